@@ -139,7 +139,8 @@ def leaves(classes: DataFrame, threshold: float, recall: float, leaf: int, depth
         first = spot(F.col("key"), 1, level)
         second = F.when(F.pmod(F.xxhash64("key", F.lit(2)), F.lit(4)) == 0, F.pmod(first + 1 + spot(F.col("key"), 3, level) % (POSITIONS - 1), F.lit(POSITIONS)).cast("int"))
         split = F.array_compact(F.array(first, second))
-        nodes = nodes.join(_small(large), "key", "left_semi").select("c", "sig", F.explode(F.transform(split, lambda at: child(F.col("key"), at))).alias("key"))
+        # Only what stands in large nodes is split, and written, so that the next levels do not split it again.
+        nodes = written(nodes.join(_small(large), "key", "left_semi").select("c", "sig", F.explode(F.transform(split, lambda at: child(F.col("key"), at))).alias("key")), f"split-{level}")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
