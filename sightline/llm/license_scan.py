@@ -32,7 +32,7 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
-    "All-rights-reserved": "Copyright. All rights reserved.",
+    "All-rights-reserved": "All rights reserved.",
 }
 
 _WORD = re.compile(r"[^\W_]+")

@@ -5,8 +5,12 @@ pieces of a public unigram vocabulary (single bytes among them): a forward recur
 pieces. One more arc spans the whole word, with the word's own discounted share of the training tokens; the pieces share
 what the discount leaves. Pieces never cross a space, so the recursion over a document is the product over its words.
 
-Piece probabilities are expected counts (forward and backward over the lattices) over all distinct training words; word
-counts cover all training documents. Nothing is sampled.
+A text is of one of several components, the languages that training documents are labelled with, and its probability
+sums over these too: each component has its own word counts and piece probabilities, and falls back on the counts of all.
+The text alone is scored; labels are read of training documents only. Without labels there is one component.
+
+Piece probabilities are expected counts (forward and backward over the lattices) over all distinct training words of a
+component; word counts cover all training documents. Nothing is sampled.
 
 Words that are common in training (a table of at most `common_words`, found by a histogram of counts) are scored in the
 scan; the others travel to their counts by a shuffle and back as sums, so any word finds its exact count.
@@ -46,13 +50,13 @@ def unigram_pieces() -> list[bytes]:
 
 
 class Lattice:
-    """Pieces and the logarithms of their probabilities."""
+    """Pieces and the logarithms of their probabilities, a row for each component."""
 
     def __init__(self, pieces: list[bytes], logp: np.ndarray):
         self.longest = max(map(len, pieces))
         key = np.array([self._one(p) for p in pieces], np.uint64)
         self.order = np.argsort(key)
-        self.key, self.logp = key[self.order], np.append(logp, -np.inf)
+        self.key, self.logp = key[self.order], np.pad(logp, ((0, 0), (0, 1)), constant_values=-np.inf)
 
     @staticmethod
     def _one(piece: bytes) -> int:
@@ -62,7 +66,7 @@ class Lattice:
         return h
 
     def _arcs(self, rows: np.ndarray):
-        """(i, j, piece ids) for the stretches of words of one length, a row each."""
+        """(i, j, piece ids) for the stretches of words of one length, a row each; -1 where a stretch is no piece."""
         width = rows.shape[1]
         head = np.zeros((width + 1, len(rows)), np.uint64)
         for j in range(width):
@@ -76,40 +80,44 @@ class Lattice:
                 if hit.any():
                     yield i, j, np.where(hit, self.order[at], -1)
 
-    def forward(self, rows: np.ndarray, arcs) -> np.ndarray:
-        alpha = np.full((rows.shape[1] + 1, len(rows)), -np.inf)
+    @staticmethod
+    def _forward(rows: np.ndarray, arcs, logp: np.ndarray) -> np.ndarray:
+        """Place, component, word."""
+        alpha = np.full((rows.shape[1] + 1, len(logp), len(rows)), -np.inf)
         alpha[0] = 0
         for i, j, ids in arcs:
-            alpha[j] = np.logaddexp(alpha[j], alpha[i] + self.logp[ids])
+            alpha[j] = np.logaddexp(alpha[j], alpha[i] + logp[:, ids])
         return alpha
 
-    def _by_length(self, words: list[bytes]):
+    @staticmethod
+    def _by_length(words: list[bytes]):
         """Places and byte rows of words of one length, some at a time."""
         size = np.array([len(w) for w in words])
         for width in np.unique(size):
             at = np.flatnonzero(size == width)
-            step = max(1, 400_000 // int(width))
+            step = max(1, 200_000 // int(width))
             for k in range(0, len(at), step):
                 some = at[k : k + step]
                 yield some, np.frombuffer(b"".join(words[i] for i in some), np.uint8).reshape(len(some), width)
 
     def score(self, words: list[bytes]) -> np.ndarray:
-        """Natural log of each word's marginal probability."""
-        out = np.zeros(len(words))
+        """Natural log of each word's marginal probability in each component."""
+        out = np.zeros((len(words), len(self.logp)))
         for at, rows in self._by_length(words):
-            out[at] = self.forward(rows, self._arcs(rows))[-1]
+            out[at] = self._forward(rows, self._arcs(rows), self.logp)[-1].T
         return out
 
-    def expected(self, words: list[bytes]) -> np.ndarray:
+    def expected(self, words: list[bytes], component: int) -> np.ndarray:
         """Expected uses of each piece, over the words."""
-        total = np.zeros(len(self.logp) - 1)
+        logp = self.logp[component : component + 1]
+        total = np.zeros(logp.shape[1] - 1)
         for _, rows in self._by_length(words):
             arcs = list(self._arcs(rows))
-            alpha = self.forward(rows, arcs)
+            alpha = self._forward(rows, arcs, logp)[:, 0]
             beta = np.full_like(alpha, -np.inf)
             beta[-1] = 0
             for i, j, ids in reversed(arcs):
-                arc = self.logp[ids] + beta[j]
+                arc = logp[0, ids] + beta[j]
                 share = np.exp(alpha[i] + arc - alpha[-1])
                 total += np.bincount(ids + 1, share, len(total) + 1)[1:]
                 beta[i] = np.logaddexp(beta[i], arc)
@@ -120,77 +128,100 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()  # of bytes: A-Z only, and ASCII white space only
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """word, c over `train`; the ends are not among them."""
+def word_counts(train: DataFrame, labels: list[str]) -> DataFrame:
+    """word, c (over all of `train`), and c0, c1, ... (over the documents of each label); the ends are not among them."""
+    place = {v: i for i, v in enumerate(labels)}
 
     def run(batches):
         def flush(counts):
-            return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+            words = [(w, k, n) for k, some in counts.items() for w, n in some.items()]
+            return pa.RecordBatch.from_arrays([pa.array([w.decode() for w, _, _ in words], pa.string()), pa.array([k for _, k, _ in words], pa.int32()), pa.array([n for _, _, n in words], pa.int64())], names=["word", "k", "n"])
 
-        counts: Counter = Counter()
+        counts: dict[int, Counter] = {}
         for batch in batches:
-            for text in batch.column("text"):
-                counts.update(words_of(text.as_py()))
-                if len(counts) > 500_000:
+            for text, label in zip(batch.column("text"), batch.column("label").to_pylist()):
+                counts.setdefault(place.get(label, -1), Counter()).update(words_of(text.as_py()))
+                if sum(map(len, counts.values())) > 500_000:
                     yield flush(counts)
-                    counts = Counter()
+                    counts = {}
         yield flush(counts)
 
-    return train.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    parts = [F.sum(F.when(F.col("k") == i, F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(len(labels))]
+    return train.mapInArrow(run, "word string, k int, n long").groupBy("word").agg(F.sum("n").alias("c"), *parts)
 
 
-def train_pieces(words: DataFrame, pieces: list[bytes], rounds: int = 2) -> np.ndarray:
-    """Log probabilities of the pieces after some rounds over all distinct words, each counted once."""
-    logp = np.full(len(pieces), -np.log(len(pieces)))
+def train_pieces(words: DataFrame, pieces: list[bytes], components: int, rounds: int = 2) -> np.ndarray:
+    """Log probabilities of the pieces in each component after some rounds over all its distinct words, each counted once."""
+    logp = np.full((components, len(pieces)), -np.log(len(pieces)))
     for _ in range(rounds):
         lattice = Lattice(pieces, logp)
 
         def run(batches, lattice=lattice):
-            total = np.zeros(len(pieces))
+            total = np.zeros((components, len(pieces)))
             for batch in batches:
-                total += lattice.expected([b" " + w.encode() for w in batch.column("word").to_pylist()])
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["piece", "n"])
-
-        got = words.select("word").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
-        counts = np.full(len(pieces), 0.01)
-        counts[got["piece"]] += got["n"]
-        logp = np.log(counts / counts.sum())
+                found = [b" " + w.encode() for w in batch.column("word").to_pylist()]
+                for k in range(components):
+                    total[k] += lattice.expected([found[i] for i in np.flatnonzero(batch.column(f"c{k}").to_numpy())], k)
+            k, at = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(at, pa.int32()), pa.array(total[k, at])], names=["k", "piece", "n"])
+
+        got = words.drop("c").mapInArrow(run, "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).toPandas()
+        counts = np.full((components, len(pieces)), 0.01)
+        counts[got["k"], got["piece"]] += got["n"]
+        logp = np.log(counts / counts.sum(1, keepdims=True))
     return logp
 
 
 class Model:
-    """What a count and a lattice score make of a word: log10 by the model, and by add-one smoothing."""
+    """What counts and lattice scores make of a word: log10 by each component, and by add-one smoothing over all.
 
-    def __init__(self, n: int, v: int, ends: int, once: int, twice: int):
-        self.n, self.v, self.ends = n, v, ends
-        self.discount = once / (once + 2 * twice) if once and twice else 0.5
-        self.left = np.log(max(self.discount * (v - (ends > 0)), 0.5)) - np.log(max(n, 1))
+    n, v, ends, once, twice: tokens, distinct tokens, documents, words seen once and twice; numbers for all documents,
+    and arrays for the components.
+    """
+
+    def __init__(self, n: int, v: int, ends: int, parts: dict[str, np.ndarray], shared: float = 0.3):
+        self.n, self.v, self.ends, self.shared = n, v, ends, shared
+        self.parts_n, self.parts_ends = np.maximum(parts["n"], 1), np.maximum(parts["ends"], 0.5)
+        some = (parts["once"] > 0) & (parts["twice"] > 0)
+        self.discount = np.where(some, parts["once"] / np.maximum(parts["once"] + 2 * parts["twice"], 1), 0.5)
+        self.left = np.log(np.maximum(self.discount * parts["v"], 0.5) / self.parts_n)
+        self.prior = np.log10(self.parts_ends / self.parts_ends.sum())
 
     def base(self, c):
         return np.log10((np.asarray(c) + 1) / (self.n + self.v + 1))
 
-    def full(self, c, lattice):
-        """c: counts in training; lattice: natural logs of the pieces' marginals."""
+    def full(self, c, parts, lattice):
+        """c: counts in training; parts, lattice: counts and natural logs of the pieces' marginals, a column for each component."""
         with np.errstate(divide="ignore"):
-            own = np.log(np.maximum(np.asarray(c) - self.discount, 0) / max(self.n, 1))
-        return np.logaddexp(own, self.left + lattice) / LN10
+            own = np.log(np.maximum(parts - self.discount, 0) / self.parts_n)
+            all_ = np.log(self.shared * np.asarray(c, float)[:, None] / max(self.n, 1))
+        return np.logaddexp(own, self.left + np.logaddexp(all_, np.log(1 - self.shared) + lattice)) / LN10
 
-    def end(self) -> float:
-        return float(np.log10(max(self.ends, 0.5) / max(self.n, 1)))
+    def end(self) -> np.ndarray:
+        return np.log10(self.parts_ends / self.parts_n)
 
 
-def score_documents(docs: DataFrame, train: DataFrame, common_words: int = 1 << 17, rounds: int = 2) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score for each of `docs`."""
+def score_documents(docs: DataFrame, train: DataFrame, label: str | None = None, components: int = 16, common_words: int = 1 << 17, rounds: int = 2) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score for each of `docs`. label: a column of `train`; its most frequent
+    values (at most `components`) are the components."""
     spark = docs.sparkSession
-    train = train.select("text")
-    words = written(word_counts(train), "words")
+    train = train.select("text", (F.col(label).cast("string") if label else F.lit("all")).alias("label"))
+    by_label = [(r["label"], r["count"]) for r in train.groupBy("label").count().orderBy(F.col("count").desc(), "label").filter("label is not null").limit(components).collect()]
     ends = train.count()
-    steps = words.groupBy(F.floor(F.log2(F.col("c").cast("double")) * 4).alias("step")).agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n"), F.sum((F.col("c") == 1).cast("long")).alias("once"), F.sum((F.col("c") == 2).cast("long")).alias("twice"))
-    steps = sorted(steps.collect(), key=lambda r: -r["step"])
-    model = Model(sum(r["n"] for r in steps) + ends, sum(r["v"] for r in steps) + (ends > 0), ends, sum(r["once"] for r in steps), sum(r["twice"] for r in steps))
+    labels, label_ends = ([v for v, _ in by_label], [n for _, n in by_label]) if by_label else (["all"], [0])
+    size = len(labels)
+    words = written(word_counts(train, labels), "words")
+    level = F.floor(F.log2(F.col("c").cast("double")) * 4)
+    sums = [F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")]
+    for k in range(size):
+        sums += [F.sum(f"c{k}").alias(f"n{k}")] + [F.sum((F.col(f"c{k}") > 0).cast("long")).alias(f"v{k}")] + [F.sum((F.col(f"c{k}") == i).cast("long")).alias(f"{name}{k}") for i, name in ((1, "once"), (2, "twice"))]
+    steps = sorted(words.groupBy(level.alias("step")).agg(*sums).collect(), key=lambda r: -r["step"])
+    parts = {name: np.array([sum(r[f"{name}{k}"] for r in steps) for k in range(size)]) for name in ("n", "v", "once", "twice")}
+    parts["ends"] = np.array(label_ends)
+    parts["n"] = parts["n"] + parts["ends"]
+    model = Model(sum(r["n"] for r in steps) + ends, sum(r["v"] for r in steps) + (ends > 0), ends, parts)
     pieces = unigram_pieces()
-    lattice = spark.sparkContext.broadcast(Lattice(pieces, train_pieces(words, pieces, rounds)))
+    lattice = spark.sparkContext.broadcast(Lattice(pieces, train_pieces(words, pieces, size, rounds)))
     # The counts from which on there are at most `common_words` words.
     step, many = None, 0
     for r in steps:
@@ -198,67 +229,71 @@ def score_documents(docs: DataFrame, train: DataFrame, common_words: int = 1 <<
         if many > common_words:
             break
         step = r["step"]
+    counts, full = [f"c{k}" for k in range(size)], [f"f{k}" for k in range(size)]
+    columns = lambda names: ", ".join(f"{n} double" for n in names)
+
+    def numbers(batch, names):
+        return np.stack([batch.column(n).fill_null(0).to_numpy(False) for n in names], 1)
 
     def score_common(batches):
         for b in batches:
             c = b.column("c").to_numpy()
-            found = lattice.value.score([b" " + w.encode() for w in b.column("word").to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(model.base(c)), pa.array(model.full(c, found))], names=["word", "c", "base", "full"])
+            found = model.full(c, numbers(b, counts), lattice.value.score([b" " + w.encode() for w in b.column("word").to_pylist()]))
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(model.base(c)), *map(pa.array, found.T)], names=["word", "base", *full])
 
-    top = words.filter(F.floor(F.log2(F.col("c").cast("double")) * 4) >= step) if step is not None else words.limit(0)
-    rows = top.mapInArrow(score_common, "word string, c long, base double, full double").toPandas()
-    common = spark.sparkContext.broadcast({w.encode(): (b, f) for w, b, f in zip(rows["word"], rows["base"], rows["full"])})
+    top = words.filter(level >= step) if step is not None else words.limit(0)
+    rows = top.mapInArrow(score_common, f"word string, base double, {columns(full)}").toPandas()
+    common = spark.sparkContext.broadcast(({w.encode(): i for i, w in enumerate(rows["word"])}, rows[["base", *full]].to_numpy(float)))
 
     def scan(batches):
         """A row of sums for each document, under a name that no word can have, and a row for each of its other words."""
+        place, known = common.value
         for batch in batches:
-            known = common.value
-            cols: tuple[list, ...] = ([], [], [], [], [], [], [])
-            for doc, key, text in zip(batch.column("doc_id"), batch.column("key"), batch.column("text")):
+            docs, keys, words, n, sure, sums = [], [], [], [], [], []
+            start = np.concatenate([[model.base(model.ends)], model.end()])
+            for doc, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), batch.column("text")):
                 tokens = words_of(text.as_py())
-                doc, key = doc.as_py(), key.as_py()
-                base, full, other = float(model.base(model.ends)), model.end(), []
-                for w in tokens:
-                    found = known.get(w)
-                    if found is None:
-                        other.append(w)
-                    else:
-                        base += found[0]
-                        full += found[1]
-                rest = Counter(other)
-                for c, v in zip(cols, (doc, key, f" {key}", len(tokens) + 1, len(tokens) - len(other) + (model.ends > 0), base, full)):
-                    c.append(v)
-                for w, n in rest.items():
-                    for c, v in zip(cols, (doc, key, w.decode(), n, None, None, None)):
-                        c.append(v)
-            kinds = (batch.schema.field("doc_id").type, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "key", "word", "n", "known", "base", "full"])
+                at = [place.get(w, -1) for w in tokens]
+                rest = Counter(w for w, i in zip(tokens, at) if i < 0)
+                at = np.array(at, np.int64)
+                at = at[at >= 0]
+                docs += [doc] * (1 + len(rest))
+                keys += [key] * (1 + len(rest))
+                words += [f" {key}", *(w.decode() for w in rest)]
+                n += [len(tokens) + 1, *rest.values()]
+                sure += [len(at) + (model.ends > 0), *[None] * len(rest)]
+                sums += [known[at].sum(0) + start, *[[0.0] * len(start)] * len(rest)]
+            arrays = [pa.array(docs, batch.schema.field("doc_id").type), pa.array(keys, pa.int64()), pa.array(words, pa.string()), pa.array(n, pa.int64()), pa.array(sure, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*arrays, *map(pa.array, np.array(sums, float).reshape(-1, size + 1).T)], names=["doc_id", "key", "word", "n", "known", "base", *full])
 
     def score_rest(batches):
         for b in batches:
             rest = b.column("known").is_null().to_numpy(False)
-            n = b.column("n").to_numpy()
-            c = b.column("c").fill_null(0).to_numpy()
+            n, c = b.column("n").to_numpy(), b.column("c").fill_null(0).to_numpy()
             tokens, known = np.where(rest, 0, n), b.column("known").fill_null(0).to_numpy() + np.where(rest & (c > 0), n, 0)
-            base, full = b.column("base").fill_null(0).to_numpy(False).copy(), b.column("full").fill_null(0).to_numpy(False).copy()
+            sums = numbers(b, ["base", *full])
             at = np.flatnonzero(rest)
             if len(at):
                 word = b.column("word").take(pa.array(at)).dictionary_encode()
                 found = lattice.value.score([b" " + w.encode() for w in word.dictionary.to_pylist()])[word.indices.to_numpy()]
-                base[at], full[at] = n[at] * model.base(c[at]), n[at] * model.full(c[at], found)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(tokens), pa.array(known), pa.array(base), pa.array(full)], names=["doc_id", "key", "tokens", "known", "base", "full"])
+                sums[at, 0] = n[at] * model.base(c[at])
+                sums[at, 1:] = n[at, None] * model.full(c[at], numbers(b, counts)[at], found)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(tokens), pa.array(known), *map(pa.array, sums.T)], names=["doc_id", "key", "tokens", "known", "base", *full])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("key"))
-    seen = keyed.select("doc_id", "key", "text").mapInArrow(scan, f"doc_id {kind}, key long, word string, n long, known long, base double, full double")
-    parts = seen.join(words, "word", "left").mapInArrow(score_rest, f"doc_id {kind}, key long, tokens long, known long, base double, full double")
-    sums = parts.groupBy("doc_id", "key").agg(F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("full").alias("score"))
-    return sums.select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+    seen = keyed.select("doc_id", "key", "text").mapInArrow(scan, f"doc_id {kind}, key long, word string, n long, known long, base double, {columns(full)}")
+    rated = seen.join(words, "word", "left").mapInArrow(score_rest, f"doc_id {kind}, key long, tokens long, known long, base double, {columns(full)}")
+    sums = rated.groupBy("doc_id", "key").agg(F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), *(F.sum(f).alias(f) for f in full))
+    each = [F.col(f) + float(p) for f, p in zip(full, model.prior)]
+    most = F.greatest(*each) if size > 1 else each[0]
+    total = most + F.log10(sum((F.pow(F.lit(10.0), e - most) for e in each), F.lit(0.0)))
+    return sums.select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", total.alias("score"))
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents")
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7))
     held = F.coalesce(remainder == 2, F.lit(False))
-    out = score_documents(docs, docs.filter(~held))
+    out = score_documents(docs, docs.filter(~held), label="lang")
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
