@@ -113,13 +113,17 @@ def runs_for(recall: float, threshold: float, depth: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth))
 
 
+def _known_small(df: DataFrame, n: int) -> DataFrame:
+    """`df`, of n rows, marked for broadcast if these are few, else as it is."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
 def _small(df: DataFrame) -> DataFrame:
-    """`df` marked for broadcast if it is small, else as it is."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return _known_small(df, df.limit(BROADCAST_ROWS + 1).count())
 
 
 def leaves(classes: DataFrame, threshold: float, recall: float, leaf: int, depth: int) -> DataFrame:
-    """classes (c, size, sig) → c, sig, base (the leaf), part (the pair of blocks in it), block, first, second."""
+    """classes (c, sig) → c, base (the leaf), part (the pair of blocks in it), block, first, second."""
     runs = runs_for(recall, threshold, depth)
     if runs > POSITIONS:
         raise ValueError(f"{runs} runs need more than {POSITIONS} positions")
@@ -130,25 +134,25 @@ def leaves(classes: DataFrame, threshold: float, recall: float, leaf: int, depth
     found = []
     for level in range(1, depth + 1):
         counts = written(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), f"nodes-{level}")
-        last = level == depth
-        small = counts if last else counts.filter(F.col("n") <= leaf)
-        found.append(nodes.join(_small(small), "key"))
-        large = counts.filter(F.col("n") > leaf).select("key")
-        if last or large.isEmpty():
+        fits = F.lit(True) if level == depth else F.col("n") <= leaf
+        n_small, n_large = counts.agg(F.count_if(fits), F.count_if(~fits)).first()
+        small, large = counts.filter(fits), counts.filter(~fits).select("key")
+        found.append(nodes.join(_known_small(small, n_small), "key").select("c", "key", "n"))
+        if not n_large:
             break
         first = spot(F.col("key"), 1, level)
         second = F.when(F.pmod(F.xxhash64("key", F.lit(2)), F.lit(4)) == 0, F.pmod(first + 1 + spot(F.col("key"), 3, level) % (POSITIONS - 1), F.lit(POSITIONS)).cast("int"))
         split = F.array_compact(F.array(first, second))
         # Only what stands in large nodes is split, and written, so that the next levels do not split it again.
-        nodes = written(nodes.join(_small(large), "key", "left_semi").select("c", "sig", F.explode(F.transform(split, lambda at: child(F.col("key"), at))).alias("key")), f"split-{level}")
+        nodes = written(nodes.join(_known_small(large, n_large), "key", "left_semi").select("c", "sig", F.explode(F.transform(split, lambda at: child(F.col("key"), at))).alias("key")), f"split-{level}")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     # A leaf that stayed large is dealt to pairs of blocks; each class goes to as many as there are blocks.
     blocks = F.when(F.col("n") <= 2 * BLOCK, 1).otherwise(F.ceil(F.col("n") / BLOCK)).cast("int")
-    out = out.select("c", "sig", F.col("key").alias("base"), blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("c", "base"), F.col("blocks")).cast("int"))
+    out = out.select("c", F.col("key").alias("base"), blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("c", "base"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("first"), F.greatest("block", j).alias("second")))
-    return out.select("c", "sig", "base", "block", F.inline(pairs)).withColumn("part", F.xxhash64("base", "first", "second"))
+    return out.select("c", "base", "block", F.inline(pairs)).withColumn("part", F.xxhash64("base", "first", "second"))
 
 
 def _groups(batches, key: str):
@@ -290,12 +294,12 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999,
     doc_id with the same set), copies (documents with that set), n_links (other sets that are similar to it)."""
     docs = docs.select("doc_id", "text")
     signed = written(signed_sets(docs, words), "signatures")
-    classes = signed.filter("size > 0").groupBy("c", "size", "sig").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("copies"))
-    rows = leaves(classes.select("c", "sig"), threshold, recall, leaf, depth)
+    classes = written(signed.filter("size > 0").groupBy("c", "size", "sig").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("copies")), "classes")
+    # Where each class stands, without signatures; all that follows reads this.
+    rows = written(leaves(classes.select("c", "sig"), threshold, recall, leaf, depth), "leaves")
     of = rows.groupBy("c").agg(F.array_sort(F.collect_set("base")).alias("bases"))
-    sizes = classes.select("c", "size")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ready = rows.join(of.join(sizes, "c"), "c").repartition(parts, "part").sortWithinPartitions("part", "c")
+    ready = rows.join(of.join(classes.select("c", "size", "sig"), "c"), "c").repartition(parts, "part").sortWithinPartitions("part", "c")
     maybe = written(candidates(ready, threshold), "candidates")
     wanted = maybe.select("c").distinct()
     ids = classes.select("c", "copy_of").join(wanted, "c", "left_semi")
