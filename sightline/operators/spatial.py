@@ -61,48 +61,74 @@ def cp_columns(st: DataFrame, cp: DataFrame, im: DataFrame, ph: DataFrame) -> Da
     return station_located_cps(cp, im, ph).join(_places(st), "station_id").select("station_id", "control_point_id", x.alias("x"), z.alias("z"))
 
 
-def _screen(x: Column, y: float, z: Column) -> tuple[Column, Column, Column]:
-    """Normalised device coordinates of a point, for columns cam_az, cam_alt, fov_deg, aspect of a camera at the origin."""
-    az, alt = F.col("cam_az"), F.col("cam_alt")
-    ahead = -x * F.sin(az) - z * F.cos(az)
-    right = x * F.cos(az) - z * F.sin(az)
-    depth = ahead * F.cos(alt) + F.sin(alt) * y
-    up = F.cos(alt) * y - ahead * F.sin(alt)
-    scale = F.lit(1.0) / F.tan(F.radians("fov_deg") / 2)
+def _screen(y: float) -> tuple[Column, Column, Column]:
+    """Normalised device coordinates of the point (right, y, ahead) of a camera at the origin, in terms of the columns that
+    match_clicks_to_columns prepares. Depth comes out beyond 1 behind the camera, as a perspective matrix has it."""
+    depth = F.col("ahead") * F.col("cos_alt") + F.col("sin_alt") * y
+    up = F.col("cos_alt") * y - F.col("ahead") * F.col("sin_alt")
     span = NEAR_M - FAR_M
-    # As a 4x4 perspective matrix has it, so a point behind the camera comes out beyond 1.
-    return right * scale / F.col("aspect") / depth, up * scale / depth, (depth * (-(FAR_M + NEAR_M) / span) + 2 * FAR_M * NEAR_M / span) / depth
+    return F.col("right") * F.col("scale_x") / depth, up * F.col("scale_y") / depth, F.lit(-(FAR_M + NEAR_M) / span) + F.lit(2 * FAR_M * NEAR_M / span) / depth
 
 
 def match_clicks_to_columns(clicks: DataFrame, st: DataFrame, located: DataFrame, radius: float = 0.01) -> DataFrame:
     """clicks (click_id, station_id, ndc_x, ndc_y, cam_az, cam_alt, fov_deg, aspect) and a station's located points
-    (station_id, control_point_id, lat, lng) → click_id, control_point_id, dist: the nearest column closer than radius, or null."""
+    (station_id, control_point_id, lat, lng) → click_id, control_point_id, dist: the nearest column closer than radius, or null.
+
+    Trigonometry is done once a click and once a point, before the two meet.
+    """
     x, z = g.tangent_xz("lat", "lng", "st_lat", "st_lng")
-    rows = clicks.join(located, "station_id").join(_places(st), "station_id").withColumn("px", x).withColumn("pz", z)
-    ax, ay, ad = _screen(F.col("px"), COLUMN_LOW_M, F.col("pz"))
-    bx, by, bd = _screen(F.col("px"), COLUMN_HIGH_M, F.col("pz"))
-    rows = rows.select("click_id", "control_point_id", "ndc_x", "ndc_y", ax.alias("ax"), ay.alias("ay"), ad.alias("ad"), (bx - ax).alias("dx"), (by - ay).alias("dy"), bd.alias("bd")).filter("not (ad > 1 and bd > 1)")
+    points = located.join(_places(st), "station_id").select("station_id", "control_point_id", x.alias("px"), z.alias("pz"))
+    zoom = F.lit(1.0) / F.tan(F.radians("fov_deg") / 2)
+    views = clicks.select(
+        "click_id", "station_id", "ndc_x", "ndc_y", F.sin("cam_az").alias("sin_az"), F.cos("cam_az").alias("cos_az"), F.sin("cam_alt").alias("sin_alt"), F.cos("cam_alt").alias("cos_alt"), (zoom / F.col("aspect")).alias("scale_x"), zoom.alias("scale_y")
+    )
+    rows = views.join(points, "station_id").withColumn("ahead", -F.col("px") * F.col("sin_az") - F.col("pz") * F.col("cos_az")).withColumn("right", F.col("px") * F.col("cos_az") - F.col("pz") * F.col("sin_az"))
+    ax, ay, ad = _screen(COLUMN_LOW_M)
+    bx, by, bd = _screen(COLUMN_HIGH_M)
+    # The click as seen from the column's foot, and the column from there.
+    rows = rows.select("click_id", "control_point_id", (F.col("ndc_x") - ax).alias("cx"), (F.col("ndc_y") - ay).alias("cy"), (bx - ax).alias("dx"), (by - ay).alias("dy"), ((ad > 1) & (bd > 1)).alias("behind"))
     size = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")
-    along = ((F.col("ndc_x") - F.col("ax")) * F.col("dx") + (F.col("ndc_y") - F.col("ay")) * F.col("dy")) / size
+    along = (F.col("cx") * F.col("dx") + F.col("cy") * F.col("dy")) / size
     t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))).otherwise(F.lit(0.0))
-    dist = F.hypot(F.col("ndc_x") - F.col("ax") - t * F.col("dx"), F.col("ndc_y") - F.col("ay") - t * F.col("dy"))
-    best = rows.select("click_id", "control_point_id", dist.alias("dist")).filter(F.col("dist") < radius).groupBy("click_id").agg(F.min(F.struct("dist", "control_point_id")).alias("b"))
+    rows = rows.select("click_id", "control_point_id", "behind", (F.col("cx") - t * F.col("dx")).alias("ex"), (F.col("cy") - t * F.col("dy")).alias("ey"))
+    near = F.when(~F.col("behind") & (F.col("dist") < radius), F.struct("dist", "control_point_id"))
+    best = rows.select("click_id", "control_point_id", "behind", F.sqrt(F.col("ex") * F.col("ex") + F.col("ey") * F.col("ey")).alias("dist")).groupBy("click_id").agg(F.min(near).alias("b"))
     return clicks.select("click_id").join(best, "click_id", "left").select("click_id", "b.control_point_id", "b.dist")
 
 
+def _planes(ph: DataFrame) -> DataFrame:
+    """photo_id, station_id, and each photo's plane: its centre c, the axes to its right r and up q, half its width and height at distance 1."""
+    sin, cos = F.sin, F.cos
+    az, tilt, roll = "photo_az", "photo_tilt", "photo_roll"
+    sign, half = F.signum(cos(tilt)), F.tan(F.col("size_rad") / 2)
+    columns = {
+        "cx": -cos(tilt) * sin(az), "cy": sin(tilt), "cz": -cos(tilt) * cos(az), "half_w": half, "half_h": half / F.col("aspect"),
+        "rx": sign * (cos(roll) * cos(az) + sin(roll) * sin(tilt) * sin(az)), "ry": sign * sin(roll) * cos(tilt), "rz": sign * (sin(roll) * sin(tilt) * cos(az) - cos(roll) * sin(az)),
+        "qx": sign * (cos(roll) * sin(tilt) * sin(az) - sin(roll) * cos(az)), "qy": sign * cos(roll) * cos(tilt), "qz": sign * (cos(roll) * sin(tilt) * cos(az) + sin(roll) * sin(az)),
+    }
+    return ph.select(F.col("id").alias("photo_id"), "station_id", *(c.alias(n) for n, c in columns.items()))
+
+
+def _met(dx: Column, dy: Column, dz: Column) -> tuple[Column, Column, Column]:
+    """How far ahead a ray goes, and how far right and up, in terms of a photo's plane."""
+    dot = lambda a: F.col(f"{a}x") * dx + F.col(f"{a}y") * dy + F.col(f"{a}z") * dz
+    return dot("c"), dot("r"), dot("q")
+
+
+def _on_photo(ahead: str, right: str, up: str) -> Column:
+    within = lambda x, half: F.abs(F.col(x)) <= F.col(ahead) * F.col(half)
+    return (F.col(ahead) > 0) & within(right, "half_w") & within(up, "half_h")
+
+
 def locate_on_photo(ph: DataFrame, st: DataFrame, cp: DataFrame, im: DataFrame) -> DataFrame:
     """photo_id, control_point_id, u, v: where the located points that a station observes fall on its photos, as seen on the horizon or, with an altitude, at it."""
     points = station_located_cps(cp, im, ph).join(cp.select(F.col("id").alias("control_point_id"), "est_alt"), "control_point_id").join(_places(st), "station_id")
     x, z = g.tangent_xz("lat", "lng", "st_lat", "st_lng")
-    az, alt = g.vec_to_az_alt(x, F.coalesce("est_alt", F.lit(0.0)), z)
-    rays = points.select("station_id", "control_point_id", az.alias("ray_az"), alt.alias("ray_alt"))
-    rows = rays.join(ph.select(F.col("id").alias("photo_id"), "station_id", *POSE), "station_id")
-    # No point outside the circle around the photo can fall on it.
-    reach = F.sqrt(F.lit(1.0) + F.lit(1.0) / (F.col("aspect") * F.col("aspect"))) * F.tan(F.col("size_rad") / 2)
-    ahead = F.cos("ray_alt") * F.cos("photo_tilt") * F.cos(F.col("ray_az") - F.col("photo_az")) + F.sin("ray_alt") * F.sin("photo_tilt")
-    rows = rows.filter(ahead >= F.cos(F.atan(reach)) - 1e-9)
-    u, v = g.locate_uv(*POSE, "ray_az", "ray_alt")
-    return rows.select("photo_id", "control_point_id", u.alias("u"), v.alias("v")).filter("u between 0 and 1 and v between 0 and 1")
+    rays = points.select("station_id", "control_point_id", x.alias("x"), F.coalesce("est_alt", F.lit(0.0)).alias("y"), z.alias("z"))
+    ahead, right, up = _met(F.col("x"), F.col("y"), F.col("z"))
+    rows = rays.join(_planes(ph), "station_id").select("photo_id", "control_point_id", "half_w", "half_h", ahead.alias("ahead"), right.alias("right"), up.alias("up")).filter(_on_photo("ahead", "right", "up"))
+    place = lambda x, half: F.col(x) / F.col("ahead") / (F.col(half) * 2) + 0.5
+    return rows.select("photo_id", "control_point_id", place("right", "half_w").alias("u"), place("up", "half_h").alias("v"))
 
 
 def nearby_pairs(st: DataFrame, cp: DataFrame, max_m: float) -> DataFrame:
@@ -142,16 +168,21 @@ def sun_positions(st: DataFrame, instants: DataFrame, tz: str = "UTC") -> DataFr
 
 
 def panorama_coverage(ph: DataFrame, width: int) -> DataFrame:
-    """station_id, i, j, n_photos, photo_ids: which photos cover the cells of each station's equirectangular panorama, width by width / 2; cells without a photo too."""
+    """station_id, i, j, n_photos, photo_ids: which photos cover the cells of each station's equirectangular panorama, width by width / 2; cells without a photo too.
+
+    The directions of columns and rows of cells are constants, and a photo's plane is worked out before its cells are, so
+    a cell costs a few products. A photo needs no join to find its cells.
+    """
     height = width // 2
-    lon, lat = g.equirect_dir((F.col("i") + 0.5) / width, (F.col("j") + 0.5) / height)
-    axis = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    grid = lambda df: df.select("*", axis(width).alias("i")).select("*", axis(height).alias("j"))
-    az, alt = g.vec_to_az_alt(F.cos("lon") * F.cos("lat"), F.sin("lat"), F.sin("lon") * F.cos("lat"))
-    u, v = g.locate_uv(*POSE, "az", "alt")
-    # A photo's own cells, without a join: its grid, and of it what falls on it.
-    hits = grid(ph.select("station_id", F.col("id").alias("photo_id"), *POSE)).withColumn("lon", lon).withColumn("lat", lat).withColumn("az", az).withColumn("alt", alt)
-    hits = hits.filter(u.between(0.0, 1.0) & v.between(0.0, 1.0)).select("station_id", "i", "j", "photo_id")
-    every = grid(ph.select("station_id").distinct()).withColumn("photo_id", F.lit(None).cast("string"))
-    both = hits.unionByName(every)
-    return both.groupBy("station_id", "i", "j").agg(F.count("photo_id").alias("n_photos"), F.array_sort(F.collect_set("photo_id")).alias("photo_ids"))
+
+    def axis(n: int, span: float, name: str) -> Column:
+        at = [((k + 0.5) / n - 0.5) * span for k in range(n)]
+        return F.array(*(F.struct(F.lit(k).alias(name), F.lit(math.cos(a)).alias(f"cos_{name}"), F.lit(math.sin(a)).alias(f"sin_{name}")) for k, a in enumerate(at)))
+
+    cells = _planes(ph).select("*", F.inline(axis(width, 2 * math.pi, "i"))).select("*", F.inline(axis(height, math.pi, "j")))
+    ahead, right, up = _met(F.col("cos_i") * F.col("cos_j"), F.col("sin_j"), F.col("sin_i") * F.col("cos_j"))
+    hits = cells.select("station_id", "photo_id", "i", "j", "half_w", "half_h", ahead.alias("ahead"), right.alias("right"), up.alias("up")).filter(_on_photo("ahead", "right", "up")).select("station_id", "i", "j", "photo_id")
+    count = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    every = ph.select("station_id").distinct().select("*", count(width, "i")).select("*", count(height, "j"))
+    found = hits.groupBy("station_id", "i", "j").agg(F.count(F.lit(1)).alias("n_photos"), F.array_sort(F.collect_list("photo_id")).alias("photo_ids"))
+    return every.join(found, ["station_id", "i", "j"], "left").select("station_id", "i", "j", F.coalesce("n_photos", F.lit(0)).alias("n_photos"), F.coalesce("photo_ids", F.array().cast("array<string>")).alias("photo_ids"))

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,28 +40,32 @@ def hillshade_cell_size(tiles: DataFrame) -> DataFrame:
     return tiles.select("z", "y").distinct().select("z", "y", (F.cos(F.radians(lat)) * 156543.03 / g.tiles_across("z")).alias("cell_m"))
 
 
+def shade(elev: np.ndarray, cell_m: float) -> np.ndarray:
+    """Gray values of a square of elevations: central differences; at a border the border pixel stands in, over the same two cells."""
+    az, alt = math.radians(315), math.radians(45)
+    wide = np.pad(elev, 1, mode="edge")
+    east = (wide[1:-1, 2:] - wide[1:-1, :-2]) / (2 * cell_m)
+    north = (wide[:-2, 1:-1] - wide[2:, 1:-1]) / (2 * cell_m)
+    facing = math.sin(alt) - east * (math.sin(az) * math.cos(alt)) - north * (math.cos(az) * math.cos(alt))
+    return np.minimum(255, np.floor(255 * np.maximum(0, facing / np.sqrt(east**2 + north**2 + 1)) + 0.5)).astype(np.int32)
+
+
 def hillshade(tiles: DataFrame) -> DataFrame:
-    """z, x, y, px, py, gray. Central differences; at a border the border pixel stands in, over the same two cells. Null tiles are flat gray.
+    """z, x, y, px, py, gray. Tiles without elevations are flat gray. A tile is shaded where it lies, so nothing is shuffled."""
+
+    def run(batches):
+        for batch in batches:
+            gray = []
+            for cell, elev in zip(batch.column("cell").to_pylist(), batch.column("elev")):
+                if not elev.is_valid:
+                    gray.append(np.full(TILE_PX * TILE_PX, FLAT_GRAY, np.int32))
+                else:
+                    gray.append(shade(elev.values.to_numpy(zero_copy_only=False).reshape(TILE_PX, TILE_PX), cell).ravel())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in "zxy"), pa.array(gray, pa.list_(pa.int32()))], names=["z", "x", "y", "gray"])
 
-    The array of a tile stays in its row: neighbours are found by index, so nothing is shuffled.
-    """
-    last = TILE_PX - 1
-    az, alt = math.radians(315), math.radians(45)
-    east, north, up = math.sin(az) * math.cos(alt), math.cos(az) * math.cos(alt), math.sin(alt)
     cell = F.cos(F.radians(g.tile_y_to_lat(F.col("y") + 0.5, "z"))) * 156543.03 / g.tiles_across("z")
-
-    def shade(i: Column) -> Column:
-        px, py = i % TILE_PX, (i - i % TILE_PX) / TILE_PX
-        at = lambda x, y: F.element_at("elev", (y * TILE_PX + x + 1).cast("int"))
-        slope_e = (at(F.least(px + 1, F.lit(last)), py) - at(F.greatest(px - 1, F.lit(0)), py)) / (F.col("cell") * 2)
-        slope_s = (at(px, F.least(py + 1, F.lit(float(last)))) - at(px, F.greatest(py - 1, F.lit(0.0)))) / (F.col("cell") * 2)
-        lit = (F.lit(up) - slope_e * east + slope_s * north) / F.sqrt(slope_e * slope_e + slope_s * slope_s + 1.0)
-        return F.least(F.lit(255), F.floor(F.greatest(F.lit(0.0), lit) * 255.0 + 0.5).cast("int"))
-
-    every = F.sequence(F.lit(0), F.lit(TILE_PX * TILE_PX - 1))
-    flat = F.array_repeat(F.lit(FLAT_GRAY), TILE_PX * TILE_PX)
-    grays = tiles.withColumn("cell", cell).select("z", "x", "y", F.posexplode(F.when(F.col("elev").isNull(), flat).otherwise(F.transform(every, shade))).alias("i", "gray"))
-    return grays.select("z", "x", "y", (F.col("i") % TILE_PX).alias("px"), F.floor(F.col("i") / TILE_PX).cast("int").alias("py"), "gray")
+    grays = tiles.select("z", "x", "y", cell.alias("cell"), "elev").mapInArrow(run, "z int, x int, y int, gray array<int>")
+    return grays.select("z", "x", "y", F.posexplode("gray").alias("i", "gray")).select("z", "x", "y", (F.col("i") % TILE_PX).alias("px"), F.expr(f"cast(i div {TILE_PX} as int)").alias("py"), "gray")
 
 
 def _rings(st: DataFrame, rings) -> DataFrame:

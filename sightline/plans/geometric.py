@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sightline.functions import geometry as g
@@ -189,9 +191,15 @@ def _elev(px: str, py: str, x: str = "x", y: str = "y") -> str:
 def made_tiles(wanted):
     """Elevation tiles for the (z, x, y) of `wanted`; every seventh is missing."""
     n = terrain.TILE_PX
-    px, py = (lambda i: i % n), (lambda i: F.floor(i / n))
-    metres = lambda i: F.pmod(px(i) * 3 + py(i) * 5 + F.col("x") * 7 + F.col("y") * 13, F.lit(256)) + F.pmod(px(i) * 7 + py(i) * 11, F.lit(256)) / F.lit(256.0)
-    return wanted.select("z", "x", "y").distinct().filter("(x + y) % 7 <> 0").select("z", "x", "y", F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), metres).alias("elev"))
+
+    def run(batches):
+        i = np.arange(n * n)
+        px, py = i % n, i // n
+        for batch in batches:
+            elev = [(px * 3 + py * 5 + x * 7 + y * 13) % 256 + (px * 7 + py * 11) % 256 / 256.0 for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in "zxy"), pa.array(elev, pa.list_(pa.float64()))], names=["z", "x", "y", "elev"])
+
+    return wanted.select("z", "x", "y").distinct().filter("(x + y) % 7 <> 0").mapInArrow(run, "z int, x int, y int, elev array<double>")
 
 
 def _centre_tiles(st, zoom: int):
