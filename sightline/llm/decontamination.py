@@ -101,3 +101,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: st
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+_SPLIT = r"[x for x in regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> '']"
+
+#: DuckDB's rows for op8: all windows of each length, joined with the items' windows.
+OP8_SQL = f"""with item_words as (select item_id, {_SPLIT} as w from benchmark where text is not null),
+    grams as (select distinct item_id, list_slice(w, s, s + 9) as g from item_words, unnest(range(1, greatest(len(w) - 9, 1) + 1)) r(s) where len(w) > 0),
+    doc_words as (select doc_id, case when text is null then [] else {_SPLIT} end as w from documents),
+    windows as (select doc_id, s, size, list_slice(w, s, s + size - 1) as g from doc_words, (select distinct len(g) as size from grams) z, unnest(range(1, len(w) - size + 2)) r(s)),
+    hits as (select doc_id, s, size, item_id from windows join grams using (g)),
+    places as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + size)) as p from hits) group by 1),
+    found as (select doc_id, count(*) as n_items, sha256(string_agg(cast(item_id as varchar), ',' order by cast(item_id as varchar))) as items_sha256 from (select distinct doc_id, item_id from hits) group by 1)
+    select d.doc_id, len(d.w) as n_words, coalesce(p.n_hit, 0) as n_hit, coalesce(f.n_items, 0) as n_items, coalesce(f.items_sha256, sha256('')) as items_sha256, coalesce(p.n_hit, 0) > 0 as contaminated
+    from doc_words d left join places p using (doc_id) left join found f using (doc_id)"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sightline.llm.decontamination import op8_decontamination
+from sightline.llm.decontamination import OP8_SQL, op8_decontamination
 from sightline.llm.fingerprints import op10_fingerprints
 from sightline.llm.jaccard_join import op7_ngram_jaccard_join
 from sightline.llm.language import op2_language
@@ -15,4 +15,4 @@ from sightline.llm.token_counts import op4_token_counts
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_language, op3_license_scan, op4_token_counts, op5_line_dedup, op6_packing, op7_ngram_jaccard_join, op8_decontamination, op9_lm_scoring, op10_fingerprints)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_decontamination": OP8_SQL}
