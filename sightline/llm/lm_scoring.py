@@ -33,6 +33,9 @@ from sightline.llm.common import table, written
 LN10 = float(np.log(10))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
+#: Bytes from which on a word's lattice is built by itself rather than beside others of its length.
+LONG = 64
+
 
 def unigram_pieces() -> list[bytes]:
     """The public vocabulary as bytes, a space for its word mark; pieces with A-Z can't occur and are left out."""
@@ -53,10 +56,26 @@ class Lattice:
     """Pieces and the logarithms of their probabilities, a row for each component."""
 
     def __init__(self, pieces: list[bytes], logp: np.ndarray):
-        self.longest = max(map(len, pieces))
-        key = np.array([self._one(p) for p in pieces], np.uint64)
-        self.order = np.argsort(key)
-        self.key, self.logp = key[self.order], np.pad(logp, ((0, 0), (0, 1)), constant_values=-np.inf)
+        self.longest, self.logp = max(map(len, pieces)), logp
+        self.key = np.array([self._one(p) for p in pieces], np.uint64)
+        # Two tables from the top bits of a key's product with a factor: the second holds what found its place in the first taken.
+        ids = np.arange(len(pieces))
+        self.first, rest = self._table(ids, np.uint64(0xD6E8FEB86659FD93))
+        factor = np.uint64(0xA0761D6478BD642F)
+        while True:
+            self.second, more = self._table(ids[rest], factor)
+            if not len(more):
+                break
+            factor += np.uint64(2)
+
+    def _table(self, ids: np.ndarray, factor: np.uint64):
+        slots, spot = np.zeros(1 << 18, np.int32), self._spot(self.key[ids], factor)
+        slots[spot[::-1]] = ids[::-1]  # the first of those that share a place
+        return (slots, factor), np.flatnonzero(slots[spot] != ids)
+
+    @staticmethod
+    def _spot(key: np.ndarray, factor: np.uint64) -> np.ndarray:
+        return ((key * factor) >> np.uint64(46)).astype(np.int64)
 
     @staticmethod
     def _one(piece: bytes) -> int:
@@ -65,8 +84,15 @@ class Lattice:
             h = (h * int(_STEP) + b + 1) % (1 << 64)
         return h
 
+    def _known(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys are pieces', and the pieces."""
+        one, two = (slots[self._spot(h, factor)] for slots, factor in (self.first, self.second))
+        ids = np.where(self.key[one] == h, one, two)
+        at = np.flatnonzero(self.key[ids] == h)
+        return at, ids[at]
+
     def _arcs(self, rows: np.ndarray):
-        """(i, j, piece ids) for the stretches of words of one length, a row each; -1 where a stretch is no piece."""
+        """(i, j, words, pieces): which words, of one length and a row each, have which piece from i to j."""
         width = rows.shape[1]
         head = np.zeros((width + 1, len(rows)), np.uint64)
         for j in range(width):
@@ -74,19 +100,17 @@ class Lattice:
         power = np.cumprod(np.append(np.ones(1, np.uint64), np.full(self.longest, _STEP, np.uint64)), dtype=np.uint64)
         for j in range(1, width + 1):
             for i in range(max(0, j - self.longest), j):
-                h = head[j] - head[i] * power[j - i]
-                at = np.minimum(np.searchsorted(self.key, h), len(self.key) - 1)
-                hit = self.key[at] == h
-                if hit.any():
-                    yield i, j, np.where(hit, self.order[at], -1)
+                at, ids = self._known(head[j] - head[i] * power[j - i])
+                if len(at):
+                    yield i, j, at, ids
 
     @staticmethod
     def _forward(rows: np.ndarray, arcs, logp: np.ndarray) -> np.ndarray:
         """Place, component, word."""
         alpha = np.full((rows.shape[1] + 1, len(logp), len(rows)), -np.inf)
         alpha[0] = 0
-        for i, j, ids in arcs:
-            alpha[j] = np.logaddexp(alpha[j], alpha[i] + logp[:, ids])
+        for i, j, at, ids in arcs:
+            alpha[j][:, at] = np.logaddexp(alpha[j][:, at], alpha[i][:, at] + logp[:, ids])
         return alpha
 
     @staticmethod
@@ -100,30 +124,78 @@ class Lattice:
                 some = at[k : k + step]
                 yield some, np.frombuffer(b"".join(words[i] for i in some), np.uint8).reshape(len(some), width)
 
+    def _long(self, word: np.ndarray):
+        """(starts, ends, pieces) of one word's arcs, in order of their ends: found for all places at once, a piece length at a time."""
+        head = np.zeros(len(word) + 1, np.uint64)
+        for j, b in enumerate(word.tolist()):
+            head[j + 1] = np.uint64((int(head[j]) * int(_STEP) + b + 1) % (1 << 64))
+        found = []
+        for size in range(1, min(self.longest, len(word)) + 1):
+            power = np.uint64(pow(int(_STEP), size, 1 << 64))
+            at, ids = self._known(head[size:] - head[:-size] * power)
+            found.append(np.stack([at, at + size, ids]))
+        found = np.concatenate(found, 1)
+        return found[:, np.argsort(found[1], kind="stable")]
+
+    @staticmethod
+    def _sweep(length: int, at: np.ndarray, to: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Log sums over paths from place 0, for arcs (at, to) in order of `to`; component, place."""
+        out = np.full((len(weight), length + 1), -np.inf)
+        out[:, 0] = 0
+        cuts = np.searchsorted(to, np.arange(length + 2)).tolist()
+        for j in range(1, length + 1):
+            some = slice(cuts[j], cuts[j + 1])
+            out[:, j] = np.logaddexp.reduce(out[:, at[some]] + weight[:, some], axis=1)
+        return out
+
     def score(self, words: list[bytes]) -> np.ndarray:
         """Natural log of each word's marginal probability in each component."""
         out = np.zeros((len(words), len(self.logp)))
         for at, rows in self._by_length(words):
-            out[at] = self._forward(rows, self._arcs(rows), self.logp)[-1].T
+            if rows.shape[1] <= LONG:
+                out[at] = self._forward(rows, self._arcs(rows), self.logp)[-1].T
+            else:
+                for i, row in zip(at, rows):
+                    starts, ends, ids = self._long(row)
+                    out[i] = self._sweep(len(row), starts, ends, self.logp[:, ids])[:, -1]
         return out
 
     def expected(self, words: list[bytes], component: int) -> np.ndarray:
         """Expected uses of each piece, over the words."""
         logp = self.logp[component : component + 1]
-        total = np.zeros(logp.shape[1] - 1)
+        total = np.zeros(logp.shape[1])
         for _, rows in self._by_length(words):
+            if rows.shape[1] > LONG:
+                for row in rows:
+                    n, (starts, ends, ids) = len(row), self._long(row)
+                    alpha = self._sweep(n, starts, ends, logp[:, ids])[0]
+                    back = np.argsort(n - starts, kind="stable")
+                    beta = self._sweep(n, n - ends[back], n - starts[back], logp[:, ids[back]])[0][::-1]
+                    total += np.bincount(ids, np.exp(alpha[starts] + logp[0, ids] + beta[ends] - alpha[-1]), len(total))
+                continue
             arcs = list(self._arcs(rows))
             alpha = self._forward(rows, arcs, logp)[:, 0]
             beta = np.full_like(alpha, -np.inf)
             beta[-1] = 0
-            for i, j, ids in reversed(arcs):
-                arc = logp[0, ids] + beta[j]
-                share = np.exp(alpha[i] + arc - alpha[-1])
-                total += np.bincount(ids + 1, share, len(total) + 1)[1:]
-                beta[i] = np.logaddexp(beta[i], arc)
+            for i, j, at, ids in reversed(arcs):
+                arc = logp[0, ids] + beta[j, at]
+                total += np.bincount(ids, np.exp(alpha[i, at] + arc - alpha[-1, at]), len(total))
+                beta[i, at] = np.logaddexp(beta[i, at], arc)
         return total
 
 
+def merged(batches, rows: int = 100_000):
+    """Batches of at least so many rows, but for the last: words of one length then are many."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()  # of bytes: A-Z only, and ASCII white space only
 
@@ -158,7 +230,7 @@ def train_pieces(words: DataFrame, pieces: list[bytes], components: int, rounds:
 
         def run(batches, lattice=lattice):
             total = np.zeros((components, len(pieces)))
-            for batch in batches:
+            for batch in merged(batches):
                 found = [b" " + w.encode() for w in batch.column("word").to_pylist()]
                 for k in range(components):
                     total[k] += lattice.expected([found[i] for i in np.flatnonzero(batch.column(f"c{k}").to_numpy())], k)
@@ -236,7 +308,7 @@ def score_documents(docs: DataFrame, train: DataFrame, label: str | None = None,
         return np.stack([batch.column(n).fill_null(0).to_numpy(False) for n in names], 1)
 
     def score_common(batches):
-        for b in batches:
+        for b in merged(batches):
             c = b.column("c").to_numpy()
             found = model.full(c, numbers(b, counts), lattice.value.score([b" " + w.encode() for w in b.column("word").to_pylist()]))
             yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(model.base(c)), *map(pa.array, found.T)], names=["word", "base", *full])
@@ -267,7 +339,7 @@ def score_documents(docs: DataFrame, train: DataFrame, label: str | None = None,
             yield pa.RecordBatch.from_arrays([*arrays, *map(pa.array, np.array(sums, float).reshape(-1, size + 1).T)], names=["doc_id", "key", "word", "n", "known", "base", *full])
 
     def score_rest(batches):
-        for b in batches:
+        for b in merged(batches):
             rest = b.column("known").is_null().to_numpy(False)
             n, c = b.column("n").to_numpy(), b.column("c").fill_null(0).to_numpy()
             tokens, known = np.where(rest, 0, n), b.column("known").fill_null(0).to_numpy() + np.where(rest & (c > 0), n, 0)

@@ -412,6 +412,16 @@ def test_forward_recursion_sums_all_segmentations():
     assert math.isclose(sum(u * len(x) for u, x in zip(uses, pieces)), sum(map(len, found)), rel_tol=1e-9)
 
 
+def test_long_words_are_scored_alike(monkeypatch):
+    rng = random.Random(15)
+    pieces = lm_scoring.unigram_pieces()
+    lattice = lm_scoring.Lattice(pieces, np.log(np.random.default_rng(1).dirichlet(np.ones(len(pieces)), 2)))
+    found = [(" " + "".join(rng.choice(SYLLABLES["de"]) for _ in range(rng.randint(1, 12)))).encode() for _ in range(50)]
+    short = lattice.score(found), lattice.expected(found, 1)
+    monkeypatch.setattr(lm_scoring, "LONG", 0)
+    assert np.allclose(short[0], lattice.score(found)) and np.allclose(short[1], lattice.expected(found, 1))
+
+
 @pytest.mark.parametrize("common", [1 << 17, 5, 0])
 def test_scores(spark, docs, empty, common):
     train = labelled(spark, 10).filter("doc_id % 7 <> 2")
