@@ -1,8 +1,9 @@
 """Removal of repeated line chunks.
 
-A rolling hash over the hashes of the last lines cuts a text into chunks, so that inserting lines moves only the cuts
-near them. Chunks of several lines are grouped by digest and bytes over all documents; the document with the least doc_id
-keeps its first occurrence, all others lose theirs after their bytes have been compared with the kept chunk's.
+A window of two line hashes rolls over a text and cuts it wherever the hash falls, so that chunks are runs of rising
+hashes (two lines on average) and inserting lines moves only the cuts beside them. Chunks of several lines are grouped by
+digest and bytes over all documents; the document with the least doc_id keeps its first occurrence, all others lose theirs
+after their bytes have been compared with the kept chunk's.
 
 Defined cases: null texts stay null; one-line chunks (so one-line texts) are never removed; a chunk that repeats inside
 its keeper stays once; rows that share a doc_id count as one document; an empty table gives no rows; extra columns are
@@ -17,24 +18,20 @@ from pyspark.sql import functions as F
 
 from sightline.llm.common import table
 
-MASK = (1 << 64) - 1
 
-
-def cut_lines(text: str, mean_lines: int = 3, least: int = 2) -> list[tuple[int, list[str]]]:
-    """(first line, lines) of each chunk. A cut depends on the two lines before it."""
+def cut_lines(text: str) -> list[tuple[int, list[str]]]:
+    """(first line, lines) of each chunk. A cut depends on the two lines that it parts, and on nothing else."""
     import xxhash
 
     chunks, first, before = [], 0, 0
     lines = text.split("\n")
     for i, line in enumerate(lines):
         now = xxhash.xxh64_intdigest(line)
-        mixed = ((before * 0x9E3779B97F4A7C15 + now * 0xC2B2AE3D27D4EB4F) & MASK) >> 32
+        if i and now < before:
+            chunks.append((first, lines[first:i]))
+            first = i
         before = now
-        if i - first + 1 >= least and mixed % mean_lines == 0:
-            chunks.append((first, lines[first : i + 1]))
-            first = i + 1
-    if first < len(lines):
-        chunks.append((first, lines[first:]))
+    chunks.append((first, lines[first:]))
     return chunks
 
 

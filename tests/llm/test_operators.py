@@ -199,6 +199,15 @@ def test_repeated_chunks(spark):
     assert got[21].n_lines == 0 and got[23].text == got[24].text == "one line"
 
 
+def test_cuts_move_only_beside_an_insertion():
+    lines = [f"line {i * 7919 % 1009}" for i in range(300)]
+    for at in range(1, 300, 17):
+        before = {tuple(c) for _, c in line_dedup.cut_lines("\n".join(lines))}
+        after = {tuple(c) for _, c in line_dedup.cut_lines("\n".join([*lines[:at], "new", *lines[at:]]))}
+        assert len(before - after) <= 2 and len(after - before) <= 3
+    assert line_dedup.cut_lines("") == [(0, [""])]
+
+
 def test_odd_rows_of_lines(docs, empty):
     got = line_dedup.dedup_lines(docs)
     assert got.count() == len(odd()) and set(docs.columns) <= set(got.columns) and line_dedup.dedup_lines(empty).count() == 0
