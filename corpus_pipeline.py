@@ -9,7 +9,7 @@ from sightline.llm.common import table, written
 from sightline.llm.decontamination import decontaminate
 from sightline.llm.jaccard_join import jaccard_join
 from sightline.llm.language import fit, predict_language
-from sightline.llm.line_dedup import dedup_lines
+from sightline.llm.line_dedup import OVER_WORDS, dedup_lines
 from sightline.llm.packing import pack_documents
 
 LEAST_SCORE = 0.3
@@ -23,8 +23,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go; a document of which nothing is left goes too. n_chars follows the text."""
-    kept = dedup_lines(docs).filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    """Repeated chunks and passages of lines go; a document of which nothing is left goes too. n_chars follows the text."""
+    kept = dedup_lines(docs, OVER_WORDS).filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
     return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

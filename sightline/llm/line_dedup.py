@@ -1,23 +1,37 @@
-"""Removal of repeated line chunks.
+"""Removal of repeated line chunks and passages.
 
 A window of two line hashes rolls over a text and cuts it wherever the hash falls, so that chunks are runs of rising
-hashes (two lines on average) and inserting lines moves only the cuts beside them. Chunks of several lines are grouped by
-digest and bytes over all documents; the document with the least doc_id keeps its first occurrence, all others lose theirs
-after their bytes have been compared with the kept chunk's.
+hashes (two lines on average) and inserting lines moves only the cuts beside them. Chunks of several lines are looked up.
 
-Defined cases: null texts stay null; one-line chunks (so one-line texts) are never removed; a chunk that repeats inside
-its keeper stays once; rows that share a doc_id count as one document; an empty table gives no rows; extra columns are
-kept, and those named n_lines or n_removed are replaced.
+With `over_words`, passages are looked up too, wherever they begin: from each line with words the least run of lines that
+has over so many words, forwards and backwards. These runs cover every run of lines with more words that two places share
+(from its first line with words to its last), so that all of it goes but one copy; a line of over so many words is such a
+run by itself.
+
+Chunks and passages are grouped by digest over all documents. The document with the least doc_id keeps its first
+occurrence, all others lose theirs after their bytes have been compared with the kept one's.
+
+Defined cases: null texts stay null; other one-line chunks (so one-line texts) are never removed; what repeats inside its
+keeper, without overlap, stays once; rows that share a doc_id count as one document; a word is what stands between white
+space, and each character of the scripts that are written without spaces; each removed line stands in some text that is
+left; an empty table gives no rows; extra columns are kept, and those named n_lines or n_removed are replaced.
 """
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm.common import table
 
+#: Passages of more words than these go in the query and in the pipeline.
+OVER_WORDS = 50
+
+_UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]")
+
 
 def cut_lines(text: str) -> list[tuple[int, list[str]]]:
     """(first line, lines) of each chunk. A cut depends on the two lines that it parts, and on nothing else."""
@@ -35,51 +49,127 @@ def cut_lines(text: str) -> list[tuple[int, list[str]]]:
     return chunks
 
 
-def line_chunks(docs: DataFrame, with_text: bool) -> DataFrame:
-    """doc_id, first, n, h1, h2, again (the same chunk stands earlier in the text), chunk (null unless wanted); several lines each."""
+def count_words(line: str) -> int:
+    return len(line.split()) + (0 if line.isascii() else len(_UNSPACED.findall(line)))
+
+
+def passages(lines: list[str], over_words: int) -> list[tuple[int, int]]:
+    """(first line, lines) of the least runs of over `over_words` words that begin or end at a line with words."""
+    counts = [(i, n) for i, line in enumerate(lines) if (n := count_words(line))]
+    spans: set[tuple[int, int]] = set()
+    for step in (1, -1):
+        total, k = 0, 0
+        for i, n in (run := counts[::step]):
+            while k < len(run) and total <= over_words:
+                total += run[k][1]
+                k += 1
+            if total <= over_words:
+                break
+            j = run[k - 1][0]
+            spans.add((min(i, j), abs(i - j) + 1))
+            total -= n
+    return sorted(spans)
+
+
+def looked_up(text: str, over_words: int | None) -> list[tuple[int, int, str, bool]]:
+    """(first line, lines, chunk, whether the same stands earlier in the text) of all that is looked up."""
+    spans = [(first, len(lines)) for first, lines in cut_lines(text) if len(lines) > 1]
+    lines = text.split("\n")
+    if over_words is not None:
+        spans = sorted({*spans, *passages(lines, over_words)})
+    out, seen = [], {}
+    for first, n in spans:
+        chunk = "\n".join(lines[first : first + n])
+        out.append((first, n, chunk, first - seen.setdefault(chunk, first) >= n))
+    return out
+
+
+def _digest(chunk: str) -> tuple[int, int]:
+    import xxhash
+
+    d = xxhash.xxh3_128_digest(chunk)
+    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+
+
+def line_chunks(docs: DataFrame, over_words: int | None) -> DataFrame:
+    """doc_id, first, n, h1, h2 of all that is looked up; what stands earlier in its own text is left out."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        import xxhash
-
         for batch in batches:
-            cols: tuple[list, ...] = ([], [], [], [], [], [], [])
+            cols: tuple[list, ...] = ([], [], [], [], [])
             for doc, text in zip(batch.column("doc_id"), batch.column("text")):
-                seen: set[str] = set()
-                for first, lines in cut_lines(text.as_py()):
-                    if len(lines) > 1:
-                        chunk = "\n".join(lines)
-                        d = xxhash.xxh3_128_digest(chunk)
-                        row = (doc.as_py(), first, len(lines), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), chunk in seen, chunk if with_text else None)
-                        seen.add(chunk)
-                        for c, v in zip(cols, row):
+                doc = doc.as_py()
+                for first, n, chunk, again in looked_up(text.as_py(), over_words):
+                    if not again:
+                        for c, v in zip(cols, (doc, first, n, *_digest(chunk))):
+                            c.append(v)
+            types = (batch.schema.field("doc_id").type, pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "first", "n", "h1", "h2"])
+
+    return docs.select("doc_id", "text").filter("text is not null").mapInArrow(run, f"doc_id {kind}, first int, n int, h1 long, h2 long")
+
+
+def kept_bytes(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """h1, h2, keeper, chunk: the bytes of each repeated chunk, out of its keeper's text."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    wanted = repeated.groupBy("keeper").agg(F.collect_list(F.struct("h1", "h2", "first", "n")).alias("wanted"))
+
+    def run(batches):
+        for batch in batches:
+            cols: tuple[list, ...] = ([], [], [], [])
+            for keeper, text, wanted in zip(batch.column("keeper"), batch.column("text"), batch.column("wanted")):
+                keeper, lines = keeper.as_py(), (text.as_py() or "").split("\n")
+                for w in wanted.as_py() or ():
+                    chunk = "\n".join(lines[w["first"] : w["first"] + w["n"]])
+                    if _digest(chunk) == (w["h1"], w["h2"]):  # else it is another row of the same doc_id
+                        for c, v in zip(cols, (w["h1"], w["h2"], keeper, chunk)):
                             c.append(v)
-            types = (batch.schema.field("doc_id").type, pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "first", "n", "h1", "h2", "again", "chunk"])
+            types = (pa.int64(), pa.int64(), batch.schema.field("keeper").type, pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["h1", "h2", "keeper", "chunk"])
 
-    return docs.select("doc_id", "text").filter("text is not null").mapInArrow(run, f"doc_id {kind}, first int, n int, h1 long, h2 long, again boolean, chunk string")
+    # The same join as the last one of dedup_lines, without a filter, so that Spark sends the texts by doc_id once for both.
+    held = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("keeper")), "left").select("keeper", F.when(F.col("keeper").isNotNull(), docs["text"]).alias("text"), "wanted")
+    return held.mapInArrow(run, f"h1 long, h2 long, keeper {kind}, chunk string")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """`docs` with text freed of repeated chunks, n_lines (of the text before) and n_removed."""
+def dedup_lines(docs: DataFrame, over_words: int | None = None) -> DataFrame:
+    """`docs` with text freed of repeated chunks (and passages of over `over_words` words), n_lines (of the text before) and n_removed."""
     docs = docs.select(*(c for c in docs.columns if c not in ("n_lines", "n_removed")))
-    # Equal bytes meet in the map task first: a chunk that a third of the documents share is sent once a task.
-    repeated = line_chunks(docs, True).groupBy("h1", "h2", "chunk").agg(F.min("doc_id").alias("keeper"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
+    chunks = line_chunks(docs, over_words)
+    # Two documents at least; the keeper's first occurrence. A chunk of rows without doc_id alone is one document's.
+    repeated = (
+        chunks.groupBy("h1", "h2").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "first", "n"))).alias("kept"), F.count(F.lit(1)).alias("times"))
+        .filter("times > 1 and kept is not null").select("h1", "h2", F.col("kept.doc_id").alias("keeper"), "kept.first", "kept.n")
+    )
     drops = (
-        line_chunks(docs, False).drop("chunk").join(repeated, ["h1", "h2"]).filter(F.col("again") | ~F.col("doc_id").eqNullSafe(F.col("keeper")))
+        chunks.join(kept_bytes(docs, repeated), ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "chunk")).alias("drops"))
     )
-    d = docs.select(F.struct(*docs.columns).alias("record"), F.col("doc_id").alias("key")).join(drops.select(F.col("doc_id").alias("key2"), "drops"), F.col("key").eqNullSafe(F.col("key2")), "left")
-    lines = F.split("record.text", "\n", -1)
-    real = F.filter("drops", lambda x: F.array_join(F.slice(F.col("lines"), x["first"] + 1, x["n"]), "\n") == x["chunk"])
-    gone = F.array_distinct(F.flatten(F.transform("real", lambda x: F.sequence(x["first"], x["first"] + x["n"] - 1))))
-    d = d.withColumn("lines", lines).withColumn("real", real).withColumn("gone", gone)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.element_at(F.col("lines"), i + 1))
-    text = F.when(F.coalesce(F.size("gone"), F.lit(0)) > 0, F.array_join(kept, "\n")).otherwise(F.col("record.text"))
-    return d.withColumn("record", F.col("record").withField("text", text)).select(
-        "record.*", F.when(F.col("record.text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"), F.greatest(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")
-    )
+
+    @F.arrow_udf("text string, n_lines long, n_removed long")
+    def freed(texts: pa.Array, drops: pa.Array) -> pa.Array:
+        out = []
+        for text, found in zip(texts, drops):
+            if (text := text.as_py()) is None:
+                out.append({"text": None, "n_lines": 0, "n_removed": 0})
+                continue
+            lines = text.split("\n")
+            gone: set[int] = set()
+            for first, n, _, again in looked_up(text, over_words):
+                if again:
+                    gone.update(range(first, first + n))
+            for d in found.as_py() or ():
+                if "\n".join(lines[d["first"] : d["first"] + d["n"]]) == d["chunk"]:
+                    gone.update(range(d["first"], d["first"] + d["n"]))
+            left = "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text
+            out.append({"text": left, "n_lines": len(lines), "n_removed": len(gone)})
+        return pa.array(out, pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_removed", pa.int64())]))
+
+    d = docs.join(drops.select(F.col("doc_id").alias("_op5_key"), F.col("drops").alias("_op5_drops")), docs["doc_id"].eqNullSafe(F.col("_op5_key")), "left")
+    d = d.withColumn("_op5_freed", freed(docs["text"], F.col("_op5_drops")))
+    return d.select(*(F.col("_op5_freed.text").alias(c) if c == "text" else docs[c] for c in docs.columns), "_op5_freed.n_lines", "_op5_freed.n_removed")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), OVER_WORDS)

@@ -208,6 +208,38 @@ def test_cuts_move_only_beside_an_insertion():
     assert line_dedup.cut_lines("") == [(0, [""])]
 
 
+def test_whole_passages_go(spark):
+    rng = random.Random(8)
+    short = lambda: prose(rng, words=rng.randint(1, 9)).replace("\n", " ")
+    one, several = prose(rng, words=60).replace("\n", " "), "\n".join([short(), "", *(prose(rng, words=9).replace("\n", " ") for _ in range(9)), "", short()])
+    unspaced = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(60))
+    # Each copy has neighbours of its own; a copy that stands again in its keeper goes too.
+    rows = [(i, "\n".join([f"{i} {short()}", p, f"{i} {short()}", *([p] if not k else []), f"{i} end"])) for j, p in enumerate((one, several, unspaced)) for k, i in enumerate(range(10 * j, 10 * j + 8))]
+    rows += [(None, f"null\n{one}"), (40, f"40\n{one[:-1]}?"), (41, "few words\n41"), (42, "few words\n42")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows).repartition(3), line_dedup.OVER_WORDS).collect()}
+    for i, text in rows:
+        first = i is not None and i in (0, 10, 20)
+        for p in (one, several, unspaced):
+            if p in text:
+                assert got[i].count(p) == (1 if first else 0)
+                if not first:
+                    assert not any(x and x in got[i].split("\n") for x in p.split("\n"))
+    assert all(f"{i} end" in got[i] for i in (1, 11, 21)) and got[None] == "null" and got[40] == rows[-3][1] and got[42] == rows[-1][1]
+
+
+def test_passages_cover_shared_runs():
+    rng = random.Random(9)
+    for _ in range(200):
+        lines = [" ".join("w" * rng.choice([0, 0, 1, 3, 7])) for _ in range(30)]
+        spans = line_dedup.passages(lines, 8)
+        a, b = sorted(rng.sample(range(31), 2))
+        full = [i for i in range(a, b) if lines[i]]
+        if sum(len(lines[i].split()) for i in full) > 8:
+            inside = {i for first, n in spans if a <= first and first + n <= b for i in range(first, first + n)}
+            assert inside == set(range(full[0], full[-1] + 1))
+    assert len(line_dedup.passages([""] * 100_000 + ["w " * 9] + [""] * 100_000, 8)) == 1
+
+
 def test_odd_rows_of_lines(docs, empty):
     got = line_dedup.dedup_lines(docs)
     assert got.count() == len(odd()) and set(docs.columns) <= set(got.columns) and line_dedup.dedup_lines(empty).count() == 0
