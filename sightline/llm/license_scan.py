@@ -4,6 +4,10 @@ Words that stand once in the text and once in the template anchor the two; the l
 and the gaps between anchors are aligned in the same way (a gap without anchors keeps its common head and tail). Coverage
 is the aligned share of the template's words.
 
+A template that stands several times in a window has few anchors or none there, as all its words are repeated. So stretches
+of twice a template's length are also aligned by themselves, by their longest common subsequence, half a length apart:
+each notice with up to half as many strange words lies whole in one of them.
+
 A template is aligned with a text only if the text holds enough of the template's words to reach `least` at all; that
 test never drops a match. Templates are read whole and their size is bounded by `template_words`.
 
@@ -85,21 +89,42 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def common_words(text: list[str], places: dict[str, int]) -> int:
+    """Length of the longest common subsequence of a text and a template, whose places of each word are the bits of a number."""
+    every = 0
+    for bits in places.values():
+        every |= bits
+    open_ = every
+    for w in text:
+        met = open_ & places.get(w, 0)
+        open_ = ((open_ + met) | (open_ - met)) & every
+    return (every ^ open_).bit_count()
+
+
 def coverage(text: list[str], template: list[str]) -> float:
-    """The best share over the places where the template may start: a text is cut where a template's rarest words stand."""
+    """The best share over the places where the template may stand: in windows around its words, and in stretches of twice its length."""
     if not template:
         return 0.0
-    held = Counter(template)
-    spots = [i for i, w in enumerate(text) if w in held]
+    size = len(template)
+    places: dict[str, int] = {}
+    for i, w in enumerate(template):
+        places[w] = places.get(w, 0) | 1 << i
+    spots = [i for i, w in enumerate(text) if w in places]
     best, k = 0, 0
     # Windows of the text around runs of template words; a run ends where a template's length of other words follows.
     while k < len(spots):
         end = k
-        while end + 1 < len(spots) and spots[end + 1] - spots[end] <= len(template):
+        while end + 1 < len(spots) and spots[end + 1] - spots[end] <= size:
             end += 1
         best = max(best, len(align(text[spots[k] : spots[end] + 1], template)))
         k = end + 1
-    return best / len(template)
+    # Stretches that hold more template words than are aligned so far.
+    step = max(1, size // 2)
+    for bucket in sorted({i // step for i in spots}) if best < size else ():
+        low, high = bisect_left(spots, bucket * step), bisect_left(spots, bucket * step + 2 * size)
+        if high - low > best:
+            best = max(best, common_words([text[i] for i in spots[low:high]], places))
+    return best / size
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, template_words: int = 100_000) -> DataFrame:

@@ -121,6 +121,30 @@ def test_licenses(spark, docs, empty):
     assert license_scan.scan_licenses(docs).count() == len(odd()) and license_scan.scan_licenses(empty).count() == 0
 
 
+def test_repeated_notices(spark):
+    rng = random.Random(4)
+    common = "the of and this is by to in a it for with work under as".split()
+    running = lambda: " ".join(rng.choice(common) for _ in range(60))
+    notices = license_scan.TEMPLATES
+    texts = [(f"{name}|{times}", " ".join([running(), *(f"{notice} {running()}" for _ in range(times))])) for name, notice in notices.items() for times in (1, 2, 3)]
+    texts += [(f"{name}|close", f"the {notice} {notice} {notice} the") for name, notice in notices.items()]
+    texts += [("None|prose", " ".join(running() for _ in range(20)))]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(texts, "doc_id string, text string")).collect()}
+    for key, row in got.items():
+        name = key.split("|")[0]
+        assert (row.license is None and not row.licenses) if name == "None" else (name in row.licenses and row.coverage == 1.0), key
+
+
+def test_common_words_are_the_longest_common_subsequence():
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        assert license_scan.common_words(a, {w: sum(1 << i for i, x in enumerate(b) if x == w) for w in set(b)}) == best[-1][-1]
+
+
 # --- op4 ------------------------------------------------------------------------------------------------------------
 
 
