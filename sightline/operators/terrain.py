@@ -140,8 +140,14 @@ def ring_vertices(st: DataFrame, tiles: DataFrame, rings=None, curvature: bool =
     )
 
 
+def ring_grid(st: DataFrame, rings=None) -> DataFrame:
+    """station_id, ring, i, j, x, z: vertices without heights, which bounds and quads do not need, so no tile is read."""
+    return _columns(_rows(ring_axes(st, rings))).select("station_id", "ring", "i", "j", F.col("wx").alias("x"), F.col("wz").alias("z"))
+
+
 def ring_bounds(vertices: DataFrame) -> DataFrame:
-    return vertices.groupBy("station_id", "ring").agg(F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("z").alias("z_min"), F.max("z").alias("z_max"))
+    # x depends on the column only and z on the row only, so the first column and row hold all values.
+    return vertices.filter("i = 0 or j = 0").groupBy("station_id", "ring").agg(F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("z").alias("z_min"), F.max("z").alias("z_max"))
 
 
 def ring_quads(vertices: DataFrame, bounds: DataFrame) -> DataFrame:

@@ -265,6 +265,7 @@ def _(t):
     return near(terrain.camera_ground_elevation(t.st, made_tiles(_centre_tiles(t.st, 11))), "elev")
 
 
+#: Of the thin rings, whose vertices DuckDB makes too.
 STRIDE = 128
 _N = 256 // STRIDE * 5 + 1
 _AXES = f"""select station_id, ring, i, j, (lng_of - lng) * 111320 * cos(radians(lat)) as x, -(lat_of - lat) * 111320::double as z, case when i = {_N - 1} or j = {_N - 1} then 0::double else {_tile_elev('px', 'py', 'tx', 'ty')} end as elev from (
@@ -272,26 +273,44 @@ _AXES = f"""select station_id, ring, i, j, (lng_of - lng) * 111320 * cos(radians
     select *, cx - 2 + i * {STRIDE} // 256 as tx, i * {STRIDE} % 256 as px, cy - 2 + j * {STRIDE} // 256 as ty, j * {STRIDE} % 256 as py from ({_CENTRED}), range({_N}) i(i), range({_N}) j(j)))"""
 
 
-def _vertices(t):
-    rings = terrain.with_stride(STRIDE)
+def _vertices(t, rings=terrain.RINGS):
     return terrain.ring_vertices(t.st, made_tiles(terrain.tile_windows(t.st, rings)), rings)
 
 
-@query("ring_vertices", f"select a.station_id, a.ring, cast(a.i as int) as i, cast(a.j as int) as j, {r('a.x', 3)} as x, {r('a.elev - g.elev - 0.86::double / 12742000 * (a.x * a.x + a.z * a.z)', 3)} as y, {r('a.z', 3)} as z, {r(f'a.i / {_N - 1}::double')} as u, {r(f'a.j / {_N - 1}::double')} as v from axes a join ground g using (station_id)", axes=_AXES, ground=_GROUND)
+@query("ring_vertices_thin", f"select a.station_id, a.ring, cast(a.i as int) as i, cast(a.j as int) as j, {r('a.x', 3)} as x, {r('a.elev - g.elev - 0.86::double / 12742000 * (a.x * a.x + a.z * a.z)', 3)} as y, {r('a.z', 3)} as z, {r(f'a.i / {_N - 1}::double')} as u, {r(f'a.j / {_N - 1}::double')} as v from axes a join ground g using (station_id)", axes=_AXES, ground=_GROUND)
 def _(t):
-    return near(near(_vertices(t), "u", "v"), "x", "y", "z", digits=3)
+    return near(near(_vertices(t, terrain.with_stride(STRIDE)), "u", "v"), "x", "y", "z", digits=3)
 
 
-@query("ring_bounds", f"select station_id, ring, {r('min(x)', 3)} as x_min, {r('max(x)', 3)} as x_max, {r('min(z)', 3)} as z_min, {r('max(z)', 3)} as z_max from axes group by 1, 2", axes=_AXES)
+@query("ring_bounds_thin", f"select station_id, ring, {r('min(x)', 3)} as x_min, {r('max(x)', 3)} as x_max, {r('min(z)', 3)} as z_min, {r('max(z)', 3)} as z_max from axes group by 1, 2", axes=_AXES)
 def _(t):
-    return near(terrain.ring_bounds(_vertices(t)), "x_min", "x_max", "z_min", "z_max", digits=3)
+    return near(terrain.ring_bounds(_vertices(t, terrain.with_stride(STRIDE))), "x_min", "x_max", "z_min", "z_max", digits=3)
 
 
-@query("ring_quads", f"""select a.station_id, a.ring, cast(a.i as int) as i, cast(a.j as int) as j, not coalesce(least(a.x, b.x) >= p.x0 and greatest(a.x, b.x) <= p.x1 and least(a.z, b.z) >= p.z0 and greatest(a.z, b.z) <= p.z1, false) as kept,
+@query("ring_quads_thin", f"""select a.station_id, a.ring, cast(a.i as int) as i, cast(a.j as int) as j, not coalesce(least(a.x, b.x) >= p.x0 and greatest(a.x, b.x) <= p.x1 and least(a.z, b.z) >= p.z0 and greatest(a.z, b.z) <= p.z1, false) as kept,
     cast(a.j * {_N} + a.i as int) as a, cast(a.j * {_N} + a.i + 1 as int) as b, cast((a.j + 1) * {_N} + a.i as int) as c, cast((a.j + 1) * {_N} + a.i + 1 as int) as d from axes a join axes b on b.station_id = a.station_id and b.ring = a.ring and b.i = a.i + 1 and b.j = a.j + 1
     left join (select station_id, ring + 1 as ring, min(x) as x0, max(x) as x1, min(z) as z0, max(z) as z1 from axes group by 1, 2) p on p.station_id = a.station_id and p.ring = a.ring""", axes=_AXES)
 def _(t):
-    vertices = _vertices(t)
+    vertices = _vertices(t, terrain.with_stride(STRIDE))
+    return terrain.ring_quads(vertices, terrain.ring_bounds(vertices))
+
+
+# The whole rings have no SQL: DuckDB would make 1.2 million vertices a station. The thin ones above have it.
+
+
+@query("ring_vertices")
+def _(t):
+    return near(near(_vertices(t), "u", "v"), "x", "y", "z", digits=3)
+
+
+@query("ring_bounds")
+def _(t):
+    return near(terrain.ring_bounds(terrain.ring_grid(t.st)), "x_min", "x_max", "z_min", "z_max", digits=3)
+
+
+@query("ring_quads")
+def _(t):
+    vertices = terrain.ring_grid(t.st)
     return terrain.ring_quads(vertices, terrain.ring_bounds(vertices))
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 
@@ -214,3 +215,36 @@ def test_two_priors_on_one_point_count_twice(spark):
     st, ph, an, pr = poses(spark, 0.0)
     doubled = solve.solve_station_poses(st, ph, an, pr.unionByName(pr))["stations"].filter("station_id = 's0'").first()
     assert abs(doubled.lat - 47) < 1e-3
+
+
+def test_registered_rings_are_whole(spark):
+    import numpy as np
+
+    from sightline.plans import geometric, relational
+
+    class One:
+        st = spark.createDataFrame([("s", 47.6, -122.3)], "id string, lat double, lng double")
+
+    rings, (lat, lng) = terrain.RINGS, (47.6, -122.3)
+    got = geometric._vertices(One).toPandas()
+    assert len(got) == 3 * 641 * 641 and {"ring_vertices", "ring_bounds", "ring_quads"} <= set(relational.QUERIES) - set(relational.SQL)
+    height = lambda x, y, px, py: np.where((x + y) % 7 == 0, 0.0, (px * 3 + py * 5 + x * 7 + y * 13) % 256 + (px * 7 + py * 11) % 256 / 256)
+    place = lambda z: (2**z * (lng + 180) / 360, 2**z * (1 - math.asinh(math.tan(math.radians(lat))) / math.pi) / 2)
+    (fx, fy) = place(rings[0][1])
+    cam = height(int(fx), int(fy), int((fx - int(fx)) * 256), int((fy - int(fy)) * 256))
+    bounds = {r.ring: r for r in terrain.ring_bounds(terrain.ring_grid(One.st)).collect()}
+    for ring, z, radius, stride in rings:
+        n = 256 // stride * (2 * radius + 1) + 1
+        cx, cy = (int(v) for v in place(z))
+        j, i = np.mgrid[0:n, 0:n]
+        tx, px, ty, py = cx - radius + i * stride // 256, i * stride % 256, cy - radius + j * stride // 256, j * stride % 256
+        x = ((tx + px / 256) / 2**z * 360 - 180 - lng) * 111320 * math.cos(math.radians(lat))
+        zz = -(np.degrees(np.arctan(np.sinh(np.pi * (1 - 2 * (ty + py / 256) / 2**z)))) - lat) * 111320
+        elev = np.where((i == n - 1) | (j == n - 1), 0.0, height(tx, ty, px, py))
+        mine = got[got.ring == ring].sort_values(["j", "i"])
+        for name, want in (("x", x), ("z", zz), ("y", elev - cam - 0.86 / 12742000 * (x * x + zz * zz))):
+            assert np.allclose(mine[name].to_numpy(), want.ravel(), rtol=1e-9, atol=1e-3), (ring, name)
+        b = bounds[ring]
+        assert np.allclose([b.x_min, b.x_max, b.z_min, b.z_max], [x.min(), x.max(), zz.min(), zz.max()], atol=1e-3)
+    quads = terrain.ring_quads(terrain.ring_grid(One.st), terrain.ring_bounds(terrain.ring_grid(One.st)))
+    assert {r.ring: r["count"] for r in quads.groupBy("ring").count().collect()} == {k: 640 * 640 for k in range(3)}
