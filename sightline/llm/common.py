@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Where it is unset, one of our own on a
+    single machine; a cluster has to name one."""
     told = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not told:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         told = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", told)
     return told.rstrip("/")

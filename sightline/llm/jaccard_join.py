@@ -13,8 +13,12 @@ Inside leaves every pair is first compared by signature, then by its whole sets.
 handled in the least of them only, so links are counted once without pairs being written: each task returns a count for
 each class, and for each group of linked classes a star of edges for the components.
 
+Joins are left to Spark, which broadcasts a side only below its own size limit and splits hot keys; each step's table is
+written, so that plans stay short and no later step builds an earlier one again.
+
 Defined cases: null texts and texts without words have no links and are classes by themselves; rows with null doc_id
-take part with their text, and name no class; an empty table gives no rows; extra columns are left aside.
+take part with their text, and name no class; rows that share a doc_id are told apart by their sets; very long texts are
+read whole; an empty table gives no rows; extra columns are left aside.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sightline.llm.common import table, written
 from sightline.llm.components import components
@@ -32,7 +37,6 @@ from sightline.llm.components import components
 WORDS = 5
 POSITIONS = 64
 BLOCK = 512
-BROADCAST_ROWS = 1_000_000
 
 _KIND = np.zeros(256, np.uint8)  # of a byte: 0 between words, else its lower-case form
 _KIND[128:] = np.arange(128, 256)
@@ -87,25 +91,26 @@ def signature(tokens: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def _digest(tokens: np.ndarray) -> tuple[int, int]:
+    import xxhash
+
+    d = xxhash.xxh3_128_digest(tokens.tobytes())
+    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+
+
 def signed_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, size, c (64 bits of the set's digest), c2 (64 more), sig (array<int>, null for an empty set)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """doc_id, size, c1, c2 (the set's digest of 128 bits), sig (array<int>, null for an empty set)."""
+    out = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("size int, c1 long, c2 long, sig array<int>").fields])
 
     def run(batches):
-        import xxhash
-
         for batch in batches:
-            size, c, c2, sig = [], [], [], []
-            for text in batch.column("text"):
-                s = shingles(text.as_py(), words)
-                d = xxhash.xxh3_128_digest(s.tobytes())
-                size.append(len(s))
-                c.append(int.from_bytes(d[:8], "big", signed=True))
-                c2.append(int.from_bytes(d[8:], "big", signed=True))
-                sig.append(signature(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int32()), pa.array(c, pa.int64()), pa.array(c2, pa.int64()), pa.array(sig, pa.list_(pa.int32()))], names=["doc_id", "size", "c", "c2", "sig"])
+            sets = [shingles(t.as_py(), words) for t in batch.column("text")]
+            c1, c2 = zip(*map(_digest, sets)) if sets else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.list_(pa.int32()))], names=out.names
+            )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, size int, c long, c2 long, sig array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, out)
 
 
 def runs_for(recall: float, threshold: float, depth: int) -> int:
@@ -113,15 +118,6 @@ def runs_for(recall: float, threshold: float, depth: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth))
 
 
-def _known_small(df: DataFrame, n: int) -> DataFrame:
-    """`df`, of n rows, marked for broadcast if these are few, else as it is."""
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
-
-
-def _small(df: DataFrame) -> DataFrame:
-    return _known_small(df, df.limit(BROADCAST_ROWS + 1).count())
-
-
 def leaves(classes: DataFrame, threshold: float, recall: float, leaf: int, depth: int) -> DataFrame:
     """classes (c, sig) → c, base (the leaf), part (the pair of blocks in it), block, first, second."""
     runs = runs_for(recall, threshold, depth)
@@ -130,21 +126,21 @@ def leaves(classes: DataFrame, threshold: float, recall: float, leaf: int, depth
     spot = lambda key, i, r: F.pmod(F.xxhash64(key, F.lit(i), F.lit(r)), F.lit(POSITIONS)).cast("int")
     child = lambda key, at: F.xxhash64(key, at, F.element_at("sig", at + 1))
     roots = F.array(*(F.xxhash64(F.lit(r), F.element_at("sig", r + 1)) for r in range(runs)))
-    nodes = classes.select("c", "sig", F.explode(roots).alias("key"))
+    nodes = classes.select("c", F.explode(roots).alias("key"))
     found = []
     for level in range(1, depth + 1):
         counts = written(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), f"nodes-{level}")
         fits = F.lit(True) if level == depth else F.col("n") <= leaf
-        n_small, n_large = counts.agg(F.count_if(fits), F.count_if(~fits)).first()
-        small, large = counts.filter(fits), counts.filter(~fits).select("key")
-        found.append(nodes.join(_known_small(small, n_small), "key").select("c", "key", "n"))
-        if not n_large:
+        placed = written(nodes.join(counts, "key"), f"placed-{level}")
+        found.append(placed.filter(fits))
+        if counts.filter(~fits).isEmpty():
             break
         first = spot(F.col("key"), 1, level)
         second = F.when(F.pmod(F.xxhash64("key", F.lit(2)), F.lit(4)) == 0, F.pmod(first + 1 + spot(F.col("key"), 3, level) % (POSITIONS - 1), F.lit(POSITIONS)).cast("int"))
         split = F.array_compact(F.array(first, second))
-        # Only what stands in large nodes is split, and written, so that the next levels do not split it again.
-        nodes = written(nodes.join(_known_small(large, n_large), "key", "left_semi").select("c", "sig", F.explode(F.transform(split, lambda at: child(F.col("key"), at))).alias("key")), f"split-{level}")
+        # Only what stands in large nodes is split, and needs its signature again.
+        large = placed.filter(~fits).select("c", "key").join(classes, "c")
+        nodes = written(large.select("c", F.explode(F.transform(split, lambda at: child(F.col("key"), at))).alias("key")), f"split-{level}")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -179,22 +175,36 @@ def _flat(column, kind) -> tuple[np.ndarray, np.ndarray]:
     return column.offsets.to_numpy(), column.values.to_numpy().astype(kind, copy=False)
 
 
-def _responsible(bases: list[set], base: int, a: int, b: int) -> bool:
-    return min(bases[a] & bases[b]) == base
-
-
 def _pairs(sub: dict, lo: int, hi: int, agree):
-    """(a, b) of a group that this group has to handle and that `agree`, a function of a row and later rows, takes."""
+    """(a, later rows) of a group: the pairs that this group has to handle and that `agree`, a function of a row and later rows, takes.
+
+    A pair that stands together in a lesser leaf too is handled there.
+    """
     base, one, two = int(sub["base"][lo]), int(sub["first"][lo]), int(sub["second"][lo])
-    sets = [set(sub["bases"][sub["at"][i] : sub["at"][i + 1]].tolist()) for i in range(lo, hi)]
-    block = sub["block"][lo:hi]
+    at = sub["at"][lo : hi + 1]
+    bases, row = sub["bases"][at[0] : at[-1]], np.repeat(np.arange(hi - lo), np.diff(at))
+    lesser = bases < base
+    leaf, code = np.unique(bases[lesser], return_inverse=True)
+    row = row[lesser]
+    order = np.argsort(row, kind="stable")
+    row, code = row[order], code[order]
+    cut = np.searchsorted(row, np.arange(hi - lo + 1))
+    by_leaf = np.argsort(code, kind="stable")
+    leaf_cut = np.searchsorted(code[by_leaf], np.arange(len(leaf) + 1))
+    block, met = sub["block"][lo:hi], np.zeros(hi - lo, bool)
     for a in range(hi - lo - 1):
         later = np.arange(a + 1, hi - lo)
         if one != two:
             later = later[block[later] != block[a]]
-        for b in later[agree(lo + a, lo + later)] if len(later) else ():
-            if _responsible(sets, base, a, int(b)):
-                yield lo + a, lo + int(b)
+        if cut[a] < cut[a + 1] and len(later):
+            for k in code[cut[a] : cut[a + 1]]:
+                met[row[by_leaf[leaf_cut[k] : leaf_cut[k + 1]]]] = True
+            later = later[~met[later]]
+            met[:] = False
+        if len(later):
+            later = later[agree(lo + a, lo + later)]
+        if len(later):
+            yield lo + a, lo + later
 
 
 def _plain(t: pa.Table) -> dict:
@@ -203,9 +213,9 @@ def _plain(t: pa.Table) -> dict:
     return got
 
 
-def candidates(rows: DataFrame, threshold: float) -> DataFrame:
+def candidates(rows: DataFrame, threshold: float, screen: float | None) -> DataFrame:
     """The rows of each part that have a partner there whose signature comes near the threshold, without signatures."""
-    near = threshold - 4 * math.sqrt(threshold * (1 - threshold) / POSITIONS)
+    near = 0.0 if screen is None else threshold - screen * math.sqrt(threshold * (1 - threshold) / POSITIONS)
     names = ["c", "part", "base", "block", "first", "second", "size", "bases"]
 
     def run(batches):
@@ -220,8 +230,8 @@ def candidates(rows: DataFrame, threshold: float) -> DataFrame:
                 return ratio & ((sig[later] == sig[a]).mean(1) >= near)
 
             for lo, hi in _spans(sub["part"]):
-                for a, b in _pairs(sub, lo, hi, agree):
-                    hit[a] = hit[b] = True
+                for a, later in _pairs(sub, lo, hi, agree):
+                    hit[a] = hit[later] = True
             yield from t.select(names).filter(pa.array(hit)).to_batches()
 
     schema = "c long, part long, base long, block int, first int, second int, size int, bases array<long>"
@@ -235,15 +245,7 @@ def verified(rows: DataFrame, threshold: float) -> DataFrame:
         for t in _groups(batches, "part"):
             sub = _plain(t)
             at, tokens = _flat(t.column("tokens"), np.int64)
-            links, root = np.zeros(t.num_rows, np.int64), sub["c"].copy()
-            parent = np.arange(t.num_rows)
-
-            def top(i):
-                while parent[i] != i:
-                    parent[i] = parent[parent[i]]
-                    i = parent[i]
-                return i
-
+            links, root = np.zeros(t.num_rows, np.int64), np.arange(t.num_rows)
             for lo, hi in _spans(sub["part"]):
                 own = tokens[at[lo] : at[hi]]
                 _, code = np.unique(own, return_inverse=True)
@@ -260,60 +262,75 @@ def verified(rows: DataFrame, threshold: float) -> DataFrame:
                     # Integers, so that a pair just at the threshold is taken.
                     return both * 1000 >= np.rint(threshold * 1000) * (sub["size"][a].astype(np.int64) + sub["size"][later] - both)
 
-                for a, b in _pairs(sub, lo, hi, agree):
-                    links[a] += 1
-                    links[b] += 1
-                    x, y = top(a), top(b)
-                    if x != y:
-                        parent[y] = x
-            tops = np.array([top(i) for i in range(t.num_rows)])
+                label = root[lo:hi]
+                for a, later in _pairs(sub, lo, hi, agree):
+                    links[a] += len(later)
+                    links[later] += 1
+                    for other in np.unique(label[later - lo]):
+                        if other != label[a - lo]:
+                            label[label == other] = label[a - lo]
             least = np.full(t.num_rows, np.iinfo(np.int64).max)
-            np.minimum.at(least, tops, root)
+            np.minimum.at(least, root, sub["c"])
             hit = links > 0
-            yield pa.RecordBatch.from_arrays([pa.array(sub["c"][hit]), pa.array(links[hit]), pa.array(least[tops][hit])], names=["c", "links", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(sub["c"][hit]), pa.array(links[hit]), pa.array(least[root][hit])], names=["c", "links", "root"])
 
     return rows.select("part", "base", "block", "first", "second", "size", "bases", "c", "tokens").mapInArrow(run, "c long, links long, root long")
 
 
 def token_sets(docs: DataFrame, words: int) -> DataFrame:
-    """c, tokens."""
+    """c1, c2, tokens."""
 
     def run(batches):
-        import xxhash
-
         for batch in batches:
             sets = [shingles(t.as_py(), words) for t in batch.column("text")]
-            c = [int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "big", signed=True) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["c", "tokens"])
+            c1, c2 = zip(*map(_digest, sets)) if sets else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["c1", "c2", "tokens"])
+
+    return docs.select("text").mapInArrow(run, "c1 long, c2 long, tokens array<long>")
 
-    return docs.select("text").mapInArrow(run, "c long, tokens array<long>")
 
+def class_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """c, tokens of `classes` (c, c1, c2, copy_of): out of the texts of their least documents."""
+    ids = written(classes.select("c", "c1", "c2", "copy_of"), "wanted")
+    texts = docs.join(ids.select(F.col("copy_of").alias("doc_id")).filter("doc_id is not null").distinct(), "doc_id", "left_semi")
+    if not ids.filter("copy_of is null").isEmpty():
+        texts = texts.unionByName(docs.filter("doc_id is null"))
+    sets = token_sets(texts, words).join(ids.select("c", "c1", "c2"), ["c1", "c2"])
+    return sets.groupBy("c").agg(F.first("tokens").alias("tokens"))
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, words: int = WORDS, leaf: int = 64, depth: int = 4) -> DataFrame:
+
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, words: int = WORDS, leaf: int = 64, depth: int = 4, screen: float | None = 4.0) -> DataFrame:
     """A row for each document: doc_id, class_id (the least doc_id of its group of linked documents), copy_of (the least
-    doc_id with the same set), copies (documents with that set), n_links (other sets that are similar to it)."""
+    doc_id with the same set), copies (documents with that set), n_links (other sets that are similar to it).
+
+    recall: of pairs just at the threshold. screen: pairs whose signatures agree less than the threshold by so many
+    standard deviations are not compared by their sets; at 4, three pairs at the threshold in 100,000, for which the runs
+    make up. None compares every pair of a leaf.
+    """
     docs = docs.select("doc_id", "text")
+    missed = 0.0 if screen is None else math.erfc(screen / math.sqrt(2)) / 2
     signed = written(signed_sets(docs, words), "signatures")
-    classes = written(signed.filter("size > 0").groupBy("c", "size", "sig").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("copies")), "classes")
+    grouped = signed.filter("size > 0").groupBy("c1", "c2", "size", "sig").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("copies"))
+    classes = written(grouped.withColumn("c", F.monotonically_increasing_id()), "classes")
     # Where each class stands, without signatures; all that follows reads this.
-    rows = written(leaves(classes.select("c", "sig"), threshold, recall, leaf, depth), "leaves")
-    of = rows.groupBy("c").agg(F.array_sort(F.collect_set("base")).alias("bases"))
+    rows = written(leaves(classes.select("c", "sig"), threshold, min(0.999999, recall + missed), leaf, depth), "leaves")
+    of = written(rows.groupBy("c").agg(F.array_sort(F.collect_set("base")).alias("bases")), "bases")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ready = rows.join(of.join(classes.select("c", "size", "sig"), "c"), "c").repartition(parts, "part").sortWithinPartitions("part", "c")
-    maybe = written(candidates(ready, threshold), "candidates")
-    wanted = maybe.select("c").distinct()
-    ids = classes.select("c", "copy_of").join(wanted, "c", "left_semi")
-    texts = docs.join(_small(ids.select(F.col("copy_of").alias("doc_id")).distinct()), "doc_id", "left_semi") if ids.filter("copy_of is null").isEmpty() else docs
-    sets = token_sets(texts, words).groupBy("c").agg(F.first("tokens").alias("tokens"))
+    described = of.join(classes.select("c", "size", "sig"), "c")
+    ready = rows.join(described, "c").repartition(parts, "part").sortWithinPartitions("part", "c")
+    maybe = written(candidates(ready, threshold, screen), "candidates")
+    wanted = classes.join(maybe.select("c").distinct(), "c", "left_semi")
+    sets = written(class_sets(docs, wanted, words), "sets")
     proof = maybe.join(sets, "c").repartition(parts, "part").sortWithinPartitions("part", "c")
     proven = written(verified(proof, threshold), "links")
     links = proven.groupBy("c").agg(F.sum("links").alias("n_links"))
-    grouped = components(proven.select(F.col("c").alias("a"), F.col("root").alias("b")))
-    linked = classes.select("c", "copy_of", "copies").join(links, "c", "left").join(grouped, F.col("c") == F.col("node"), "left").select("c", "copy_of", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "c").alias("root"))
-    named = linked.groupBy("root").agg(F.min("copy_of").alias("class_id"))
-    table_ = linked.join(named, "root").select("c", "copy_of", "copies", "n_links", "class_id")
+    roots = components(proven.select(F.col("c").alias("a"), F.col("root").alias("b")))
+    linked = classes.select("c", "c1", "c2", "copy_of", "copies").join(links, "c", "left").join(roots, F.col("c") == F.col("node"), "left")
+    linked = written(linked.select("c", "c1", "c2", "copy_of", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "c").alias("root")), "linked")
+    named = written(linked.groupBy("root").agg(F.min("copy_of").alias("class_id")), "named")
+    table_ = written(linked.join(named, "root").select("c1", "c2", "copy_of", "copies", "n_links", "class_id"), "classes")
     alone = signed.filter("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("n_links"))
-    return signed.filter("size > 0").select("doc_id", "c").join(table_, "c").select("doc_id", "class_id", "copy_of", "copies", "n_links").unionByName(alone)
+    return signed.filter("size > 0").select("doc_id", "c1", "c2").join(table_, ["c1", "c2"]).select("doc_id", "class_id", "copy_of", "copies", "n_links").unionByName(alone)
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ def vocabulary() -> dict[str, str]:
 
 
 def encoders(paths: dict[str, str]):
+    """The full tokenizer, the fast one, and a pattern for the names of special tokens."""
     key = tuple(sorted(paths.items()))
     if key not in _LOADED:
         import os
@@ -28,14 +29,18 @@ def encoders(paths: dict[str, str]):
         from tokenizers import Tokenizer
 
         full = Tokenizer.from_file(paths["json"])
-        full.encode_special_tokens = True  # their names in a text are ordinary text
+        names = [t.content for t in full.get_added_tokens_decoder().values()]
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(paths["ranks"], "rb"))}
-        _LOADED[key] = full, tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _LOADED[key] = full, fast, re.compile("|".join(map(re.escape, names)) or "(?!)")
     return _LOADED[key]
 
 
-def encode(text: str, paths: dict[str, str]) -> list[int]:
-    full, fast = encoders(paths)
-    if _COMMON.search(text):
+def encode(text: str, paths: dict[str, str], names_are_text: bool = False) -> list[int]:
+    """Ids as the full tokenizer gives them, without special tokens added: the name of a special token in a text becomes its
+    id. With `names_are_text` such a name is ordinary text, so that no id of a special token comes out of any text."""
+    full, fast, names = encoders(paths)
+    if _COMMON.search(text) or (not names_are_text and names.search(text)):
+        full.encode_special_tokens = names_are_text
         return full.encode(text, add_special_tokens=False).ids
     return fast.encode_ordinary(text)

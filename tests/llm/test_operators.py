@@ -102,6 +102,44 @@ def test_language_of_odd_rows(spark, docs, empty):
     assert language.fit(docs) is None and {r.lang_pred for r in language.predict_language(docs, None).collect()} == {"und"}
 
 
+def test_letters_are_unicode_letters():
+    assert not any(map(language.has_letter, ["", "12 ²½①Ⅷ", "_-!", "\u0301"])) and all(map(language.has_letter, ["1a", "中", "ª", "١ا"]))
+
+
+def brute_language(text, machines):
+    """Plain sums over trigrams of bytes and machine by machine, with dictionaries."""
+    bucket = lambda b: b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32
+    b = [bucket(x) for x in f" {text} ".encode()]
+    b = [x for i, x in enumerate(b) if not i or x != 32 or b[i - 1] != 32]
+    grams = collections.Counter((((x * 0x9E3779B1 + y * 0x85EBCA77 + z * 0xC2B2AE3D) % 2**32) >> 20) for x, y, z in zip(b, b[1:], b[2:]))
+    value = {k: math.sqrt(n / sum(grams.values())) for k, n in grams.items()}
+    share = lambda w: 1 / (1 + math.exp(-4 * (sum(v * float(w[k]) for k, v in value.items()) + float(w[-1]))))
+    sure, family = max((share(w), f) for f, one, _, w in machines if one is None)
+    votes = collections.Counter()
+    for f, one, other, w in machines:
+        if f == family and other is not None:
+            votes[one] += share(w)
+            votes[other] += 1 - share(w)
+    lang, n = votes.most_common(1)[0]
+    return lang, n / (len(votes) - 1) * sure
+
+
+def test_language_against_brute_force(spark):
+    rows = [(r.text, r.lang) for r in labelled(spark, 30).collect()]
+    machines = language.fit_machines(language.features([t for t, _ in rows]), np.array([v for _, v in rows], object))
+    got = language.predict_language(labelled(spark, 30), language.Hierarchy(machines)).collect()
+    for r in got:
+        lang, score = brute_language(r.text, machines)
+        assert r.lang_pred == lang and math.isclose(r.score, score, rel_tol=1e-3)
+
+
+def test_bounds_of_the_language_sample(spark):
+    model = language.fit(labelled(spark, 10), most_languages=2)
+    assert sum(map(len, model.langs.values())) == 2
+    same = spark.createDataFrame([(None, "eau ou la", "fr")] * 500 + [(1, f"ich der die {i}", "de") for i in range(40)], "doc_id long, text string, lang string")
+    assert language.predict_language(same, language.fit(same, most_rows=20)).filter("lang <> lang_pred").count() == 0
+
+
 # --- op3 ------------------------------------------------------------------------------------------------------------
 
 
@@ -173,9 +211,14 @@ def test_token_files(spark, docs, empty, tmp_path):
     assert got == sorted(len(tokens.encode(t or "", tokens.vocabulary())) for _, t in odd()) and stored.count() == index.count()
 
 
-def test_both_encoders_agree():
-    full, fast = tokens.encoders(tokens.vocabulary())
-    rng = random.Random(6)
+def test_ids_are_the_library_s_own():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    full, rng = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(6)
+    for text in ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext|", "é<|endoftext|>中"]:
+        assert tokens.encode(text, tokens.vocabulary()) == full.encode(text, add_special_tokens=False).ids
+        assert token_counts.END not in tokens.encode(text, tokens.vocabulary(), names_are_text=True)
     alphabet = "abc XYZ 0123 \n\t.,!'-_ÄÖüßéñ’“” ­́ĀğŻ"[:40]
     for _ in range(300):
         text = "".join(rng.choice(alphabet) for _ in range(60))
@@ -567,6 +610,11 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     kept = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()}
     assert not kept & {200, 201, 202, 203} and kept >= set(range(60)) - {0, 4} and len(kept & {4, 204}) == 1
+    # Null and repeated doc_ids: whole copies go, different texts stay.
+    some = [(None, rows[1][1]), (None, rows[2][1]), (None, rows[1][1]), (7, rows[5][1]), (7, rows[6][1]), (7, rows[6][1]), (9, rows[5][1]), (11, ""), (12, None)]
+    some = spark.createDataFrame([(i, t, "x", "y") for i, t in some], "doc_id long, text string, _key string, key string")
+    left = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, some, str(tmp_path)).collect()), key=repr)
+    assert left == sorted([(None, rows[1][1]), (None, rows[2][1]), (7, rows[5][1]), (7, rows[6][1]), (11, ""), (12, None)], key=repr)
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
