@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.common import table, written
+from sightline.llm.common import table, wide_hash, written
 from sightline.llm.decontamination import decontaminate
 from sightline.llm.jaccard_join import jaccard_join
 from sightline.llm.language import fit, predict_language
@@ -29,9 +29,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the least doc_id."""
-    kept = jaccard_join(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of near duplicates, the one with the least doc_id (null ids come first).
+
+    A document is known by its doc_id and text together, so documents without doc_id take part, and those that share one
+    are told apart; of rows that agree in both one stays.
+    """
+    key = F.struct("doc_id", *(h.alias(a) for h, a in zip(wide_hash(F.col("text")), ("h1", "h2"))))
+    groups = jaccard_join(docs.select(key.alias("doc_id"), "text"))
+    kept = written(groups.filter("doc_id = class_id").groupBy(F.col("doc_id").alias("_near_duplicates_key")).agg(F.count(F.lit(1)).alias("_near_duplicates_times")), "kept")
+    keyed = docs.withColumn("_near_duplicates_key", key)
+    rows = keyed.join(kept.filter("_near_duplicates_times = 1"), "_near_duplicates_key", "left_semi")
+    if not kept.filter("_near_duplicates_times > 1").isEmpty():
+        rows = rows.unionByName(keyed.join(kept.filter("_near_duplicates_times > 1"), "_near_duplicates_key", "left_semi").dropDuplicates(["_near_duplicates_key"]))
+    return rows.select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
