@@ -104,11 +104,12 @@ def signed_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sets = [shingles(t.as_py(), words) for t in batch.column("text")]
-            c1, c2 = zip(*map(_digest, sets)) if sets else ((), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.list_(pa.int32()))], names=out.names
-            )
+            rows = []
+            for text in batch.column("text"):
+                s = shingles(text.as_py(), words)
+                rows.append((len(s), *_digest(s), signature(s) if len(s) else None))
+            size, c1, c2, sig = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int32()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(sig, pa.list_(pa.int32()))], names=out.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, out)
 

@@ -1,7 +1,10 @@
 """Removal of repeated line chunks and passages.
 
-A window of two line hashes rolls over a text and cuts it wherever the hash falls, so that chunks are runs of rising
-hashes (two lines on average) and inserting lines moves only the cuts beside them. Chunks of several lines are looked up.
+Lines with words are hashed, and a polynomial hash rolls over each two that follow one another. Its 64 bits give `CUTTINGS`
+independent cuttings of the text, four bits each: a cutting cuts between the two lines where its bits fall below `CUT_BELOW`.
+So a cut depends on the two lines that it parts and on nothing else, and inserting lines moves only the cuts beside them.
+Chunks of at least two lines with words are looked up, from all cuttings: a passage that is repeated between other neighbours
+is a chunk of its own in some cutting, or is covered by several, however short it is.
 
 With `over_words`, passages are looked up too, wherever they begin: from each line with words the least run of lines that
 has over so many words, forwards and backwards. These runs cover every run of lines with more words that two places share
@@ -9,57 +12,73 @@ has over so many words, forwards and backwards. These runs cover every run of li
 run by itself.
 
 Chunks and passages are grouped by digest over all documents. The document with the least doc_id keeps its first
-occurrence, all others lose theirs after their bytes have been compared with the kept one's.
+occurrence, all others lose theirs. Of the chunks that a document would lose, as few as cover the same lines are taken, and
+their bytes are compared with the kept ones' before anything is removed.
 
 Defined cases: null texts stay null; other one-line chunks (so one-line texts) are never removed; what repeats inside its
-keeper, without overlap, stays once; rows that share a doc_id count as one document; a word is what stands between white
-space, and each character of the scripts that are written without spaces; each removed line stands in some text that is
-left; an empty table gives no rows; extra columns are kept, and those named n_lines or n_removed are replaced.
+keeper, without overlap, stays once; rows that share a doc_id are told apart by their texts, and rows that agree in both
+count as one document; texts without doc_id keep a chunk only if no text with doc_id has it; a word is what stands between
+white space, and each character of the scripts that are written without spaces; each removed line stands in some text that
+is left; very long texts are read whole; an empty table gives no rows; extra columns are kept, and those named n_lines or
+n_removed are replaced.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.common import table
+from sightline.llm.common import table, written
+from sightline.llm.jaccard_join import mix, powers
 
 #: Passages of more words than these go in the query and in the pipeline.
 OVER_WORDS = 50
 
-_UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]")
+CUTTINGS, CUT_BELOW = 16, 12
 
+_UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]")
+_LANES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
-def cut_lines(text: str) -> list[tuple[int, list[str]]]:
-    """(first line, lines) of each chunk. A cut depends on the two lines that it parts, and on nothing else."""
+
+def count_words(line: str) -> int:
+    return len(line.split()) + (0 if line.isascii() else len(_UNSPACED.findall(line)))
+
+
+def line_hashes(lines: list[str]) -> np.ndarray:
+    """Two words of 64 bits for each line."""
     import xxhash
 
-    chunks, first, before = [], 0, 0
-    lines = text.split("\n")
-    for i, line in enumerate(lines):
-        now = xxhash.xxh64_intdigest(line)
-        if i and now < before:
-            chunks.append((first, lines[first:i]))
-            first = i
-        before = now
-    chunks.append((first, lines[first:]))
-    return chunks
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), "<u8").reshape(-1, 2)
 
 
-def count_words(line: str) -> int:
-    return len(line.split()) + (0 if line.isascii() else len(_UNSPACED.findall(line)))
+def cuttings(hashes: np.ndarray) -> np.ndarray:
+    """Whether each cutting (a row) cuts before each line, and after the last. The ends of the text are cuts."""
+    cuts = np.ones((CUTTINGS, len(hashes) + 1), bool)
+    rolled = mix(hashes[:-1] * np.uint64(_LANES[0]) + hashes[1:])
+    bits = np.uint64(64 // CUTTINGS) * np.arange(CUTTINGS, dtype=np.uint64)
+    cuts[:, 1:-1] = (rolled >> bits[:, None]) & np.uint64((1 << 64 // CUTTINGS) - 1) < np.uint64(CUT_BELOW)
+    return cuts
+
+
+def chunks_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First line and lines of the chunks of all cuttings."""
+    cutting, at = np.nonzero(cuttings(hashes))
+    size = np.diff(at)
+    several = (cutting[1:] == cutting[:-1]) & (size > 1)
+    return at[:-1][several], size[several]
 
 
-def passages(lines: list[str], over_words: int) -> list[tuple[int, int]]:
-    """(first line, lines) of the least runs of over `over_words` words that begin or end at a line with words."""
-    counts = [(i, n) for i, line in enumerate(lines) if (n := count_words(line))]
+def passages(counts: list[int], over_words: int) -> list[tuple[int, int]]:
+    """(first line, lines) of the least runs of over `over_words` words that begin or end at a line with words. counts: words of each line."""
+    worded = [(i, n) for i, n in enumerate(counts) if n]
     spans: set[tuple[int, int]] = set()
     for step in (1, -1):
         total, k = 0, 0
-        for i, n in (run := counts[::step]):
+        for i, n in (run := worded[::step]):
             while k < len(run) and total <= over_words:
                 total += run[k][1]
                 k += 1
@@ -71,81 +90,128 @@ def passages(lines: list[str], over_words: int) -> list[tuple[int, int]]:
     return sorted(spans)
 
 
-def looked_up(text: str, over_words: int | None) -> list[tuple[int, int, str, bool]]:
-    """(first line, lines, chunk, whether the same stands earlier in the text) of all that is looked up."""
-    spans = [(first, len(lines)) for first, lines in cut_lines(text) if len(lines) > 1]
-    lines = text.split("\n")
-    if over_words is not None:
-        spans = sorted({*spans, *passages(lines, over_words)})
-    out, seen = [], {}
-    for first, n in spans:
-        chunk = "\n".join(lines[first : first + n])
-        out.append((first, n, chunk, first - seen.setdefault(chunk, first) >= n))
-    return out
+def looked_up(lines: list[str], over_words: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """first line, lines, and two hashes of all that is looked up, in order; and whether the same stands earlier in the text, apart from it."""
+    hashes, counts = line_hashes(lines), list(map(count_words, lines))
+    worded = np.flatnonzero(np.array(counts))
+    first = n = np.empty(0, np.int64)
+    if len(worded) > 1:
+        at, size = chunks_of(hashes[worded, 0])
+        first, n = worded[at], worded[at + size - 1] - worded[at] + 1
+    if over_words is not None and (more := passages(counts, over_words)):
+        more = np.array(more)
+        first, n = np.append(first, more[:, 0]), np.append(n, more[:, 1])
+    first, n = np.divmod(np.unique(first * (len(lines) + 1) + n), len(lines) + 1)
+    keys = []
+    for lane, base in enumerate(_LANES):
+        total = np.append(np.zeros(1, np.uint64), np.cumsum(hashes[:, lane] * powers(base, len(lines)), dtype=np.uint64))
+        keys.append(mix((total[first + n] - total[first]) * powers(pow(base, -1, 1 << 64), len(lines))[first] + n.astype(np.uint64)).view(np.int64))
+    _, once, which = np.unique(keys[0], return_index=True, return_inverse=True)
+    again = first - first[once[which]] >= n
+    for i in np.flatnonzero(again):
+        j = first[once[which[i]]]
+        again[i] = lines[first[i] : first[i] + n[i]] == lines[j : j + n[i]]
+    return first, n, keys[0], keys[1], again
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, t, text: a document is known by its doc_id and a hash of its text."""
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+
+
+def chunk_keys(docs: DataFrame, over_words: int | None) -> DataFrame:
+    """h1 of all that is looked up; what stands earlier in its own text is left out."""
 
+    def run(batches):
+        for batch in batches:
+            found = [looked_up(t.as_py().split("\n"), over_words) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h1[~again] for _, _, h1, _, again in found] or [np.empty(0, np.int64)]))], names=["h1"])
 
-def _digest(chunk: str) -> tuple[int, int]:
-    import xxhash
-
-    d = xxhash.xxh3_128_digest(chunk)
-    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+    return docs.select("text").filter("text is not null").mapInArrow(run, "h1 long")
 
 
 def line_chunks(docs: DataFrame, over_words: int | None) -> DataFrame:
-    """doc_id, first, n, h1, h2 of all that is looked up; what stands earlier in its own text is left out."""
+    """doc_id, t, first, n, h1, h2 of the same."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            cols: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text in zip(batch.column("doc_id"), batch.column("text")):
-                doc = doc.as_py()
-                for first, n, chunk, again in looked_up(text.as_py(), over_words):
-                    if not again:
-                        for c, v in zip(cols, (doc, first, n, *_digest(chunk))):
-                            c.append(v)
-            types = (batch.schema.field("doc_id").type, pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "first", "n", "h1", "h2"])
-
-    return docs.select("doc_id", "text").filter("text is not null").mapInArrow(run, f"doc_id {kind}, first int, n int, h1 long, h2 long")
-
-
-def kept_bytes(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """h1, h2, keeper, chunk: the bytes of each repeated chunk, out of its keeper's text."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    wanted = repeated.groupBy("keeper").agg(F.collect_list(F.struct("h1", "h2", "first", "n")).alias("wanted"))
+            found = [looked_up(t.as_py().split("\n"), over_words) for t in batch.column("text")]
+            row = np.repeat(np.arange(batch.num_rows), [int((~f[4]).sum()) for f in found])
+            columns = [np.concatenate([f[k][~f[4]] for f in found] or [np.empty(0, np.int64)]) for k in range(4)]
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(at), batch.column("t").take(at), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2]), pa.array(columns[3])], names=["doc_id", "t", "first", "n", "h1", "h2"]
+            )
+
+    return identified(docs).filter("text is not null").mapInArrow(run, f"doc_id {kind}, t long, first int, n int, h1 long, h2 long")
+
+
+def covering(spans: list[tuple[int, int]]) -> list[int]:
+    """Which of the (first, n) cover the same lines, as few as need be: from each line that is not yet covered the span that reaches furthest."""
+    order = sorted(range(len(spans)), key=lambda i: spans[i][0])
+    taken, end, k = [], 0, 0
+    while k < len(order):
+        best = None
+        start = max(end, spans[order[k]][0])
+        while k < len(order) and spans[order[k]][0] <= start:
+            if best is None or sum(spans[order[k]]) > sum(spans[best]):
+                best = order[k]
+            k += 1
+        if sum(spans[best]) > end:
+            taken.append(best)
+            end = sum(spans[best])
+    return taken
+
+
+def covered(lost: pa.Array) -> pa.Array:
+    """Of each list of (first, n, h1, h2) those that cover its lines."""
+    out = []
+    for spans in lost:
+        spans = spans.as_py()
+        out.append([spans[i] for i in covering([(s["first"], s["n"]) for s in spans])])
+    return pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])))
+
+
+def same_document(docs: DataFrame, other: DataFrame, names: tuple[str, str]):
+    return docs["doc_id"].eqNullSafe(other[names[0]]) & (F.xxhash64(docs["text"]) == other[names[1]])
+
+
+def kept_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """h1, h2, chunk: the bytes of each chunk that is kept, out of its keeper's text. wanted: k_id, k_t, wanted (first, n, h1, h2)."""
 
     def run(batches):
         for batch in batches:
-            cols: tuple[list, ...] = ([], [], [], [])
-            for keeper, text, wanted in zip(batch.column("keeper"), batch.column("text"), batch.column("wanted")):
-                keeper, lines = keeper.as_py(), (text.as_py() or "").split("\n")
-                for w in wanted.as_py() or ():
-                    chunk = "\n".join(lines[w["first"] : w["first"] + w["n"]])
-                    if _digest(chunk) == (w["h1"], w["h2"]):  # else it is another row of the same doc_id
-                        for c, v in zip(cols, (w["h1"], w["h2"], keeper, chunk)):
-                            c.append(v)
-            types = (pa.int64(), pa.int64(), batch.schema.field("keeper").type, pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["h1", "h2", "keeper", "chunk"])
-
-    # The same join as the last one of dedup_lines, without a filter, so that Spark sends the texts by doc_id once for both.
-    held = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("keeper")), "left").select("keeper", F.when(F.col("keeper").isNotNull(), docs["text"]).alias("text"), "wanted")
-    return held.mapInArrow(run, f"h1 long, h2 long, keeper {kind}, chunk string")
+            cols: tuple[list, ...] = ([], [], [])
+            for text, wanted in zip(batch.column("text"), batch.column("wanted")):
+                found = wanted.as_py()
+                lines = text.as_py().split("\n") if found else []
+                for w in found or ():
+                    for c, v in zip(cols, (w["h1"], w["h2"], "\n".join(lines[w["first"] : w["first"] + w["n"]]))):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string()))], names=["h1", "h2", "chunk"])
+
+    # The same join as the last one of dedup_lines, without a filter, so that Spark sends the texts to their documents once for both.
+    held = docs.join(wanted, same_document(docs, wanted, ("k_id", "k_t")), "left").select(F.when(F.col("k_t").isNotNull(), docs["text"]).alias("text"), "wanted")
+    return held.mapInArrow(run, "h1 long, h2 long, chunk string")
 
 
 def dedup_lines(docs: DataFrame, over_words: int | None = None) -> DataFrame:
     """`docs` with text freed of repeated chunks (and passages of over `over_words` words), n_lines (of the text before) and n_removed."""
     docs = docs.select(*(c for c in docs.columns if c not in ("n_lines", "n_removed")))
-    chunks = line_chunks(docs, over_words)
-    # Two documents at least; the keeper's first occurrence. A chunk of rows without doc_id alone is one document's.
-    repeated = (
-        chunks.groupBy("h1", "h2").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "first", "n"))).alias("kept"), F.count(F.lit(1)).alias("times"))
-        .filter("times > 1 and kept is not null").select("h1", "h2", F.col("kept.doc_id").alias("keeper"), "kept.first", "kept.n")
-    )
-    drops = (
-        chunks.join(kept_bytes(docs, repeated), ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "chunk")).alias("drops"))
-    )
+    # First the keys alone, which are light; then the places of those that stand twice.
+    twice = written(chunk_keys(docs, over_words).groupBy("h1").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h1"), "keys")
+    hits = written(line_chunks(docs, over_words).join(twice, "h1"), "hits")
+    # Those with doc_id first. Two documents at least.
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "t")
+    kept = hits.groupBy("h1", "h2").agg(F.min(F.struct(order.alias("who"), "first", "n")).alias("kept"), F.max(order).alias("last")).filter("kept.who <> last")
+    kept = written(kept.select("h1", "h2", F.col("kept.who.doc_id").alias("k_id"), F.col("kept.who.t").alias("k_t"), F.col("kept.first").alias("k_first"), F.col("kept.n").alias("k_n")), "kept")
+    lost = hits.join(kept.select("h1", "h2", "k_id", "k_t"), ["h1", "h2"]).filter(~(F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("t") == F.col("k_t"))))
+    lost = lost.groupBy("doc_id", "t").agg(F.arrow_udf(covered, "array<struct<first:int,n:int,h1:long,h2:long>>")(F.collect_list(F.struct("first", "n", "h1", "h2"))).alias("lost"))
+    lost = written(lost.select("doc_id", "t", F.inline("lost")), "lost")
+    needed = kept.join(lost.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
+    wanted = needed.groupBy("k_id", "k_t").agg(F.collect_list(F.struct(F.col("k_first").alias("first"), F.col("k_n").alias("n"), "h1", "h2")).alias("wanted"))
+    drops = lost.join(kept_bytes(docs, wanted), ["h1", "h2"]).groupBy(F.col("doc_id").alias("_op5_id"), F.col("t").alias("_op5_t")).agg(F.collect_list(F.struct("first", "n", "chunk")).alias("_op5_drops"))
 
     @F.arrow_udf("text string, n_lines long, n_removed long")
     def freed(texts: pa.Array, drops: pa.Array) -> pa.Array:
@@ -156,9 +222,9 @@ def dedup_lines(docs: DataFrame, over_words: int | None = None) -> DataFrame:
                 continue
             lines = text.split("\n")
             gone: set[int] = set()
-            for first, n, _, again in looked_up(text, over_words):
-                if again:
-                    gone.update(range(first, first + n))
+            first, n, _, _, again = looked_up(lines, over_words)
+            for i in np.flatnonzero(again):
+                gone.update(range(first[i], first[i] + n[i]))
             for d in found.as_py() or ():
                 if "\n".join(lines[d["first"] : d["first"] + d["n"]]) == d["chunk"]:
                     gone.update(range(d["first"], d["first"] + d["n"]))
@@ -166,8 +232,7 @@ def dedup_lines(docs: DataFrame, over_words: int | None = None) -> DataFrame:
             out.append({"text": left, "n_lines": len(lines), "n_removed": len(gone)})
         return pa.array(out, pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_removed", pa.int64())]))
 
-    d = docs.join(drops.select(F.col("doc_id").alias("_op5_key"), F.col("drops").alias("_op5_drops")), docs["doc_id"].eqNullSafe(F.col("_op5_key")), "left")
-    d = d.withColumn("_op5_freed", freed(docs["text"], F.col("_op5_drops")))
+    d = docs.join(drops, same_document(docs, drops, ("_op5_id", "_op5_t")), "left").withColumn("_op5_freed", freed(docs["text"], F.col("_op5_drops")))
     return d.select(*(F.col("_op5_freed.text").alias(c) if c == "text" else docs[c] for c in docs.columns), "_op5_freed.n_lines", "_op5_freed.n_removed")
 
 

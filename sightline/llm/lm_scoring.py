@@ -1,26 +1,32 @@
 """Subword lattice likelihood.
 
-A text is its words, each with a space before it, and one end. A word's probability sums over all ways to cut it into
-pieces of a public unigram vocabulary (single bytes among them): a forward recursion in log space over the lattice of
-pieces. One more arc spans the whole word, with the word's own discounted share of the training tokens; the pieces share
-what the discount leaves. Pieces never cross a space, so the recursion over a document is the product over its words.
+A text is its words, each with a space before it, and one end. The scores of an existing unigram vocabulary weigh all ways to
+cut a word into pieces (single bytes among them); a forward recursion in log space over the lattice of pieces sums them to
+the word's marginal. Pieces never cross a space, so the recursion over a document is the product over its words. With
+`rounds=0` and without `label` that is the model, but that a word which training knows also has its discounted share of the
+training tokens, and the lattice gets what the discount leaves:
 
-A text is of one of several components, the languages that training documents are labelled with, and its probability
-sums over these too: each component has its own word counts and piece probabilities, and falls back on the counts of all.
-The text alone is scored; labels are read of training documents only. Without labels there is one component.
+    p(word) = max(c - d, 0) / N + d * V / N * lattice(word)
 
-Piece probabilities are expected counts (forward and backward over the lattices) over all distinct training words of a
-component; word counts cover all training documents. Nothing is sampled.
+Training can change the scores: they are then the prior of the pieces' probabilities, worth `prior` uses in all, to which
+`rounds` passes add the expected uses of each piece (forward and backward over the lattices) over all distinct words.
+
+With `label` a text is of one of several components, the most frequent labels of training documents, and its probability
+sums over these: each component has its own word counts and pieces, and falls back on the counts of all documents too. All
+documents with null or rarer labels are one further component. The text alone is scored; labels are read of training
+documents only. Word counts cover all training documents; nothing is sampled.
 
 Words that are common in training (a table of at most `common_words`, found by a histogram of counts) are scored in the
 scan; the others travel to their counts by a shuffle and back as sums, so any word finds its exact count.
 
-Defined cases: null counts as empty, a document of one end; repeated rows are scored each; without training documents
-every word has count 0 and pieces are equally likely; an empty table gives no rows; other columns are left aside.
+Defined cases: null counts as empty, a document of one end; repeated rows are scored each; very long texts and words are
+read whole; without training documents every word has count 0 and the lattice alone scores; an empty table gives no rows;
+other columns are left aside.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -37,19 +43,33 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 LONG = 64
 
 
-def unigram_pieces() -> list[bytes]:
-    """The public vocabulary as bytes, a space for its word mark; pieces with A-Z can't occur and are left out."""
+#: Added to a rank before it becomes a probability (Zipf and Mandelbrot's law).
+RANK_SHIFT = 10.0
+
+
+def unigram_pieces(path: str | None = None) -> tuple[list[bytes], np.ndarray]:
+    """A public vocabulary as bytes, a space for its word mark, and the natural logs of its pieces' probabilities.
+
+    Scores that are whole numbers are ranks, as byte-pair vocabularies have them: 1 / (rank + a shift) is their probability.
+    Other scores are logs of probabilities. Pieces with A-Z can't occur and are left out; bytes that are no pieces come last.
+    """
     import public_tokenizers
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    found = {bytes([b]) for b in range(256)}
+    model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path("piece_bpe_32k.model"))
+    found = {}
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
             piece = model.id_to_piece(i).replace("▁", " ").encode()
             if piece.lower() == piece and b" " not in piece[1:]:
-                found.add(piece)
-    return sorted(found)
+                found[piece] = model.get_score(i)
+    if all(v == round(v) for v in found.values()):
+        found = {k: -math.log(RANK_SHIFT - v) for k, v in found.items()}
+    least = min(found.values())
+    found = {bytes([b]): least for b in range(256)} | found
+    pieces = sorted(found)
+    logp = np.array([found[x] for x in pieces])
+    return pieces, logp - np.logaddexp.reduce(logp)
 
 
 class Lattice:
@@ -200,8 +220,8 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()  # of bytes: A-Z only, and ASCII white space only
 
 
-def word_counts(train: DataFrame, labels: list[str]) -> DataFrame:
-    """word, c (over all of `train`), and c0, c1, ... (over the documents of each label); the ends are not among them."""
+def word_counts(train: DataFrame, labels: list[str], size: int) -> DataFrame:
+    """word, c (over all of `train`), and c0, c1, ... (over the documents of each label, then of all others); the ends are not among them."""
     place = {v: i for i, v in enumerate(labels)}
 
     def run(batches):
@@ -212,19 +232,20 @@ def word_counts(train: DataFrame, labels: list[str]) -> DataFrame:
         counts: dict[int, Counter] = {}
         for batch in batches:
             for text, label in zip(batch.column("text"), batch.column("label").to_pylist()):
-                counts.setdefault(place.get(label, -1), Counter()).update(words_of(text.as_py()))
+                counts.setdefault(place.get(label, size - 1), Counter()).update(words_of(text.as_py()))
                 if sum(map(len, counts.values())) > 500_000:
                     yield flush(counts)
                     counts = {}
         yield flush(counts)
 
-    parts = [F.sum(F.when(F.col("k") == i, F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(len(labels))]
+    parts = [F.sum(F.when(F.col("k") == i, F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(size)]
     return train.mapInArrow(run, "word string, k int, n long").groupBy("word").agg(F.sum("n").alias("c"), *parts)
 
 
-def train_pieces(words: DataFrame, pieces: list[bytes], components: int, rounds: int = 2) -> np.ndarray:
-    """Log probabilities of the pieces in each component after some rounds over all its distinct words, each counted once."""
-    logp = np.full((components, len(pieces)), -np.log(len(pieces)))
+def train_pieces(words: DataFrame, pieces: list[bytes], logp: np.ndarray, components: int, rounds: int, prior: float) -> np.ndarray:
+    """Log probabilities of the pieces in each component after some rounds over all its distinct words, each counted once; `logp` is worth `prior` uses."""
+    first = np.exp(logp) * prior
+    logp = np.repeat(logp[None], components, 0)
     for _ in range(rounds):
         lattice = Lattice(pieces, logp)
 
@@ -238,9 +259,9 @@ def train_pieces(words: DataFrame, pieces: list[bytes], components: int, rounds:
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(at, pa.int32()), pa.array(total[k, at])], names=["k", "piece", "n"])
 
         got = words.drop("c").mapInArrow(run, "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).toPandas()
-        counts = np.full((components, len(pieces)), 0.01)
-        counts[got["k"], got["piece"]] += got["n"]
-        logp = np.log(counts / counts.sum(1, keepdims=True))
+        uses = np.repeat(first[None], components, 0)
+        uses[got["k"], got["piece"]] += got["n"]
+        logp = np.log(uses / uses.sum(1, keepdims=True))
     return logp
 
 
@@ -252,7 +273,8 @@ class Model:
     """
 
     def __init__(self, n: int, v: int, ends: int, parts: dict[str, np.ndarray], shared: float = 0.3):
-        self.n, self.v, self.ends, self.shared = n, v, ends, shared
+        self.n, self.v, self.ends = n, v, ends
+        self.shared = shared if len(parts["n"]) > 1 else 0.0  # one component has all counts
         self.parts_n, self.parts_ends = np.maximum(parts["n"], 1), np.maximum(parts["ends"], 0.5)
         some = (parts["once"] > 0) & (parts["twice"] > 0)
         self.discount = np.where(some, parts["once"] / np.maximum(parts["once"] + 2 * parts["twice"], 1), 0.5)
@@ -267,22 +289,26 @@ class Model:
         with np.errstate(divide="ignore"):
             own = np.log(np.maximum(parts - self.discount, 0) / self.parts_n)
             all_ = np.log(self.shared * np.asarray(c, float)[:, None] / max(self.n, 1))
-        return np.logaddexp(own, self.left + np.logaddexp(all_, np.log(1 - self.shared) + lattice)) / LN10
+        return np.logaddexp(own, self.left + np.logaddexp(all_, math.log(1 - self.shared) + lattice)) / LN10
 
     def end(self) -> np.ndarray:
         return np.log10(self.parts_ends / self.parts_n)
 
 
-def score_documents(docs: DataFrame, train: DataFrame, label: str | None = None, components: int = 16, common_words: int = 1 << 17, rounds: int = 2) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score for each of `docs`. label: a column of `train`; its most frequent
-    values (at most `components`) are the components."""
+def score_documents(
+    docs: DataFrame, train: DataFrame, label: str | None = None, components: int = 16, common_words: int = 1 << 17, rounds: int = 2, prior: float = 100.0, vocabulary: str | None = None
+) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score for each of `docs`. label: a column of `train`; its `components`
+    most frequent values are components, and all other documents are one more."""
     spark = docs.sparkSession
-    train = train.select("text", (F.col(label).cast("string") if label else F.lit("all")).alias("label"))
-    by_label = [(r["label"], r["count"]) for r in train.groupBy("label").count().orderBy(F.col("count").desc(), "label").filter("label is not null").limit(components).collect()]
+    train = train.select("text", (F.col(label) if label else F.lit(None)).cast("string").alias("label"))
+    by_label = [(r["label"], r["count"]) for r in train.filter("label is not null").groupBy("label").count().orderBy(F.col("count").desc(), "label").limit(components).collect()]
     ends = train.count()
-    labels, label_ends = ([v for v, _ in by_label], [n for _, n in by_label]) if by_label else (["all"], [0])
-    size = len(labels)
-    words = written(word_counts(train, labels), "words")
+    labels, label_ends = [v for v, _ in by_label], [n for _, n in by_label]
+    if not labels or ends > sum(label_ends):
+        label_ends.append(ends - sum(label_ends))
+    size = len(label_ends)
+    words = written(word_counts(train, labels, size), "words")
     level = F.floor(F.log2(F.col("c").cast("double")) * 4)
     sums = [F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")]
     for k in range(size):
@@ -292,8 +318,8 @@ def score_documents(docs: DataFrame, train: DataFrame, label: str | None = None,
     parts["ends"] = np.array(label_ends)
     parts["n"] = parts["n"] + parts["ends"]
     model = Model(sum(r["n"] for r in steps) + ends, sum(r["v"] for r in steps) + (ends > 0), ends, parts)
-    pieces = unigram_pieces()
-    lattice = spark.sparkContext.broadcast(Lattice(pieces, train_pieces(words, pieces, size, rounds)))
+    pieces, logp = unigram_pieces(vocabulary)
+    lattice = spark.sparkContext.broadcast(Lattice(pieces, train_pieces(words, pieces, logp, size, rounds, prior)))
     # The counts from which on there are at most `common_words` words.
     step, many = None, 0
     for r in steps:

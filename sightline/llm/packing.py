@@ -4,8 +4,10 @@ Each document is tokenised once and ends with an end id. What is longer than a s
 rest of each document is packed by first-fit decreasing, with a tournament tree over the free room of the bins, inside
 randomised groups of about `group_docs` documents. Groups are independent, so the packing is one pass over light rows.
 
-Defined cases: a null text is empty and has its end id only; repeated rows are packed each; an empty table gives no rows;
-other columns are left aside.
+Ids are the tokenizer's own, so the name of a special token in a text becomes its id.
+
+Defined cases: a null text is empty and has its end id only; repeated rows are packed each, in groups of their own; very long
+texts are tokenised whole and cut; an empty table gives no rows; other columns are left aside.
 """
 
 from __future__ import annotations
@@ -71,7 +73,9 @@ def pack_documents(docs: DataFrame, size: int = 1024, end_id: int = 0, group_doc
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (null unless kept)."""
     groups = max(1, math.ceil(docs.count() / group_docs))
     rows = token_rows(docs, size, end_id, paths or tokens.vocabulary(), keep_ids)
-    rows = rows.withColumn("pack", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "doc_tokens", "crcs"), F.lit(groups)))
+    # Equal rows have the same hash but for where they stand in their task.
+    spot = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    rows = rows.withColumn("pack", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "doc_tokens", "crcs", spot), F.lit(groups)))
     long = T.LongType()
     out = T.StructType(
         [docs.schema["doc_id"], *(T.StructField(c, long) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")), T.StructField("ids", T.ArrayType(T.IntegerType()))]

@@ -67,14 +67,51 @@ def test_shards(docs, empty):
     assert sharding.shard_documents(empty, 5).count() == 0
 
 
+def test_shards_do_not_depend_on_partitions(spark, docs):
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in [*settings, "spark.sql.shuffle.partitions"]}
+    found = []
+    try:
+        for n in (3, 8, 211):
+            for k, v in {**settings, "spark.sql.shuffle.partitions": str(n)}.items():
+                spark.conf.set(k, v)
+            for rows in (docs, docs.repartition(n)):
+                found.append(sorted(((r.doc_id, r.text, r.shard, r.slot) for r in sharding.shard_documents(rows, 5, bucket_bytes=20_000).select("doc_id", "text", "shard", "slot").collect()), key=repr))
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert all(f == found[0] for f in found)
+
+
+def test_equal_rows_are_scattered(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    rows = frame(spark, [(1, "same")] * 500 + [(i, f"text {i}") for i in range(2, 102)]).repartition(3)
+    hashes = sharding.numbered_records(rows.select("doc_id", "text"), 17)
+    assert hashes.count() == hashes.select("h").distinct().count() == 600
+    got = sharding.shard_documents(rows, 10, bucket_bytes=1000).select("doc_id", "shard", "slot").collect()
+    assert len(got) == 600 and collections.Counter(r.doc_id for r in got)[1] == 500
+    assert set(collections.Counter(r.shard for r in got).values()) == {60} and len({r.shard for r in got if r.doc_id == 1}) == 10
+    monkeypatch.setattr(sharding, "BROADCAST_ROWS", 0)
+    again = sharding.shard_documents(rows, 10, bucket_bytes=1000).select("doc_id", "shard", "slot").collect()
+    assert sorted(got) == sorted(again)
+
+
+def test_sharding_is_native(docs):
+    plan = sharding.shard_documents(docs, 5)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
 def test_more_shards_than_rows(spark):
     got = sharding.shard_documents(frame(spark, [(1, "a"), (2, "b")]), 7).collect()
     assert sorted(r.slot for r in got) == [0, 0] and len({r.shard for r in got}) == 2
 
 
 def test_written_shards(spark, docs, tmp_path):
-    sharding.write_shards(sharding.shard_documents(docs, 3), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == len(odd())
+    sharding.write_shards(sharding.shard_documents(docs, 3), str(tmp_path / "out"), file_rows=5)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == len(odd())
+    files = out.groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n"), (F.max("slot") - F.min("slot") + 1).alias("span"), F.countDistinct("shard").alias("shards")).collect()
+    assert all(f.n == f.span <= 5 and f.shards == 1 for f in files) and len(files) >= len(odd()) / 5
 
 
 # --- op2 ------------------------------------------------------------------------------------------------------------
@@ -156,6 +193,8 @@ def test_licenses(spark, docs, empty):
     texts = [(1, f"{prose(random.Random(5))}\nLicensed under the Apache License, Version 2.0.\nmore"), (2, "this WORK is licensed under: the GNU General Public License, version 3"), (3, "the license of the work is general"), (4, "All rights reserved."), (5, None)]
     got = {r.doc_id: r.license for r in license_scan.scan_licenses(frame(spark, texts)).collect()}
     assert got == {1: "Apache-2.0", 2: "GPL-3.0", 3: None, 4: "All-rights-reserved", 5: None}
+    whole = {r.doc_id: r.license for r in license_scan.scan_licenses(spark.createDataFrame([(n, f"Copyright 2020 someone. {t} end") for n, t in license_scan.TEMPLATES.items()], "doc_id string, text string")).collect()}
+    assert whole == {n: n for n in license_scan.TEMPLATES}
     assert license_scan.scan_licenses(docs).count() == len(odd()) and license_scan.scan_licenses(empty).count() == 0
 
 
@@ -173,6 +212,41 @@ def test_repeated_notices(spark):
         assert (row.license is None and not row.licenses) if name == "None" else (name in row.licenses and row.coverage == 1.0), key
 
 
+@pytest.mark.parametrize("times", [1, 2, 3])
+def test_verbatim_notices_in_prose_are_found(times):
+    rng = random.Random(times)
+    english = "the of and to in is that it was for on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know".split()
+    sets = {n: license_scan.words(t) for n, t in license_scan.TEMPLATES.items()}
+    for k in range(200):
+        name = list(sets)[k % len(sets)]
+        running = lambda: [rng.choice(english) for _ in range(rng.randint(0, 300))]
+        text = running()
+        for _ in range(times):
+            text += sets[name] + running()
+        assert license_scan.coverage(text, sets[name]) == 1.0, name
+
+
+def longest_common(a, b):
+    best = [0] * (len(b) + 1)
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(best[j] + 1 if x == y else max(best[j + 1], row[j]))
+        best = row
+    return best[-1]
+
+
+def test_coverage_against_brute_force():
+    rng = random.Random(16)
+    for _ in range(200):
+        template = [rng.choice("abcdefgh") for _ in range(rng.randint(1, 10))]
+        text = [rng.choice("abcdefghijklmnop") for _ in range(rng.randint(0, 60))]
+        got, size = license_scan.coverage(text, template) * len(template), len(template)
+        # Every stretch of one and a half times the template's length lies whole in one that is aligned.
+        least = max((longest_common(text[i : i + size + size // 2], template) for i in range(len(text))), default=0)
+        assert least - 1e-9 <= got <= longest_common(text, template) + 1e-9
+
+
 def test_common_words_are_the_longest_common_subsequence():
     rng = random.Random(5)
     for _ in range(300):
@@ -202,13 +276,32 @@ def test_separators_across_blocks(spark, block):
     assert got == want
 
 
-def test_token_files(spark, docs, empty, tmp_path):
-    from sightline.llm.common import written
-
-    index = token_counts.write_token_files(stored := written(docs, "docs"), str(tmp_path / "t"))
-    counts = token_counts.count_tokens(spark.read.format("binaryFile").load(str(tmp_path / "t"))).withColumn("file", F.regexp_extract("path", r"/part-(\d+)-", 1).cast("long"))
-    got = sorted((r.n_tokens for r in counts.join(index, ["file", "doc_no"]).collect()))
-    assert got == sorted(len(tokens.encode(t or "", tokens.vocabulary())) for _, t in odd()) and stored.count() == index.count()
+@pytest.mark.parametrize("stored", [True, False])
+def test_token_files(spark, docs, empty, tmp_path, stored):
+    rows = docs.drop("slot").dropDuplicates(["doc_id"]).withColumn("path", F.lit("x"))
+    if stored:
+        rows.repartition(3).write.option("parquet.block.size", 1 << 14).parquet(str(tmp_path / "docs"))
+        rows = spark.read.parquet(str(tmp_path / "docs"))
+    want = {r.doc_id: len(tokens.encode(r.text or "", tokens.vocabulary(), names_are_text=True)) for r in rows.collect()}
+    index = token_counts.write_token_files(rows, str(tmp_path / "t"), docs_per_file=4)
+    files = spark.read.format("binaryFile").load(str(tmp_path / "t"))
+    assert files.count() > 10
+    # The partitions of the second reading are others.
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = token_counts.name_documents(token_counts.count_tokens(files), index).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert len(got) == len(want) and {r.doc_id: r.n_tokens for r in got} == want
+
+
+def test_token_files_of_a_part_of_a_table(spark, docs, empty, tmp_path):
+    docs.write.parquet(str(tmp_path / "docs"))
+    some = spark.read.parquet(str(tmp_path / "docs")).filter("doc_id % 3 = 0")
+    index = token_counts.write_token_files(some, str(tmp_path / "t"))
+    got = token_counts.name_documents(token_counts.count_tokens(spark.read.format("binaryFile").load(str(tmp_path / "t"))), index).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {i: len(tokens.encode(t or "", tokens.vocabulary(), names_are_text=True)) for i, t in odd() if i and i % 3 == 0}
 
 
 def test_ids_are_the_library_s_own():
@@ -228,51 +321,90 @@ def test_ids_are_the_library_s_own():
 # --- op5 ------------------------------------------------------------------------------------------------------------
 
 
-def brute_lines(rows):
-    keeper, held = {}, {}
-    for i, t in rows:
-        for _, lines in line_dedup.cut_lines(t) if t is not None else []:
-            if len(lines) > 1:
-                c = "\n".join(lines)
-                held[c] = held.get(c, 0) + 1
-                keeper[c] = min(keeper.get(c, i), i)
-    out = {}
-    for i, t in rows:
-        if t is None:
-            out[i] = None
-            continue
-        kept, seen = [], set()
-        for _, lines in line_dedup.cut_lines(t):
-            c = "\n".join(lines)
-            if len(lines) > 1 and held[c] > 1 and (c in seen or keeper[c] != i):
-                continue
-            seen.add(c)
-            kept += lines
-        out[i] = "\n".join(kept)
-    return out
+def line(rng, words=9):
+    return prose(rng, words=words).replace("\n", " ")
+
+
+def runs_of_two(text):
+    """Pairs of lines with words that follow one another, as text from the first to the second."""
+    lines = text.split("\n")
+    at = [i for i, x in enumerate(lines) if x.strip()]
+    return ["\n".join(lines[i : j + 1]) for i, j in itertools.pairwise(at)]
+
+
+def check_removal(rows, got):
+    """Brute force, without cuts: what goes is repeated and stands somewhere still."""
+    held = collections.Counter(p for _, t in rows for p in set(runs_of_two(t or "")))
+    lines = collections.Counter(x for _, t in rows for x in set((t or "").split("\n")))
+    left = {x for t in got.values() for x in (t or "").split("\n")}
+    for i, text in rows:
+        before, after = (text or "").split("\n"), (got[i] or "").split("\n")
+        gone = collections.Counter(before) - collections.Counter(after)
+        assert set(gone) <= left | {""} and not collections.Counter(after) - collections.Counter([*before, ""])
+        paired = {x for p in runs_of_two(text or "") if held[p] > 1 or runs_of_two(text).count(p) > 1 for x in p.split("\n")}
+        assert set(gone) <= paired | {x for x in lines if line_dedup.count_words(x) > 50}
+
+
+@pytest.mark.parametrize("k", [2, 3, 4, 6, 10, 30])
+def test_repeated_passages_of_any_length_go(spark, k):
+    rng = random.Random(k)
+    rows, words_of, later = [], collections.Counter(), collections.Counter()
+    for j in range(150):
+        passage = [f"{line(rng, 6)} {j}" for _ in range(k)]
+        for copy in range(2):
+            rows.append((2 * j + copy, "\n".join([*(line(rng) for _ in range(rng.randint(1, 5))), *passage, *(line(rng) for _ in range(rng.randint(1, 5)))])))
+        words_of.update({x: len(x.split()) for x in passage})
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    check_removal(rows, got)
+    kept = collections.Counter(x for t in got.values() for x in t.split("\n"))
+    gone = sum(n for x, n in words_of.items() if kept[x] == 1)
+    assert min(kept[x] for x in words_of) == 1 and gone > 0.9 * sum(words_of.values())
 
 
 def test_repeated_chunks(spark):
     rng = random.Random(7)
-    passage = "\n".join(prose(rng, words=9).replace("\n", " ") for _ in range(12))
-    rows = [(i, "\n".join([*(prose(rng, words=6).replace("\n", " ") for _ in range(rng.randint(0, 9))), passage, *(prose(rng, words=6).replace("\n", " ") for _ in range(rng.randint(0, 9)))])) for i in range(12)]
-    rows += [(20, "a\nb\nc\nd\n" * 20), (21, None), (22, ""), (23, "one line"), (24, "one line"), (25, passage + "\n" + passage)]
+    passage = "\n".join(line(rng) for _ in range(12))
+    rows = [(i, "\n".join([*(line(rng, 6) for _ in range(rng.randint(1, 9))), passage, *(line(rng, 6) for _ in range(rng.randint(1, 9)))])) for i in range(12)]
+    rows += [(20, "a\nb\nc\nd\n" * 20), (21, None), (22, ""), (23, "one line"), (24, "one line"), (25, passage + "\n" + passage), (26, "x\n\n\n"), (27, "x\n\n\n")]
     got = {r.doc_id: r for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
-    want = brute_lines(rows)
-    assert {i: r.text for i, r in got.items()} == want
-    # All but one of the copies of the passage's inner chunks go.
+    check_removal(rows, {i: r.text for i, r in got.items()})
     middle = passage.split("\n")[5]
-    assert sum(middle in (r.text or "") for r in got.values()) == 1
-    assert got[21].n_lines == 0 and got[23].text == got[24].text == "one line"
+    assert sum(middle in (r.text or "") for r in got.values()) == 1 and got[20].text.count("b") == 1
+    assert got[21].n_lines == 0 and got[23].text == got[24].text == "one line" and got[26].text == got[27].text == "x\n\n\n"
+
+
+def test_rows_that_share_a_doc_id(spark):
+    rng = random.Random(17)
+    passage = "\n".join(line(rng) for _ in range(10))
+    rows = [(5, f"a\n{passage}\nb"), (5, f"c\n{passage}\nd"), (None, f"e\n{passage}\nf"), (None, f"g\n{passage}\nh"), (4, f"i\n{passage}\nj"), (4, f"i\n{passage}\nj")]
+    got = [r.text for r in line_dedup.dedup_lines(frame(spark, rows), 50).collect()]
+    assert sum(passage in t for t in got) == 2 and sorted(t for t in got if passage not in t) == ["a\nb", "c\nd", "e\nf", "g\nh"]
+    alone = line_dedup.dedup_lines(frame(spark, rows[2:4]), 50).collect()
+    assert sum(passage in r.text for r in alone) == 1
 
 
 def test_cuts_move_only_beside_an_insertion():
     lines = [f"line {i * 7919 % 1009}" for i in range(300)]
+
+    def found(lines):
+        at, n = line_dedup.chunks_of(line_dedup.line_hashes(lines)[:, 0])
+        return {(i, j) for i, j in zip(at.tolist(), n.tolist())}
+
     for at in range(1, 300, 17):
-        before = {tuple(c) for _, c in line_dedup.cut_lines("\n".join(lines))}
-        after = {tuple(c) for _, c in line_dedup.cut_lines("\n".join([*lines[:at], "new", *lines[at:]]))}
-        assert len(before - after) <= 2 and len(after - before) <= 3
-    assert line_dedup.cut_lines("") == [(0, [""])]
+        moved = {(i + (i >= at), n) for i, n in found(lines) if i >= at or i + n <= at}
+        new = found([*lines[:at], "new", *lines[at:]])
+        # Chunks that do not touch the place stay; all that is new lies about it.
+        assert {(i, n) for i, n in moved if i + n < at or i > at + 1} <= new and all(i <= at + 1 and i + n >= at for i, n in new - moved)
+    assert all(len(x) == 0 for x in line_dedup.looked_up([""], 50)) and line_dedup.cuttings(line_dedup.line_hashes(lines)[:, 0]).mean() > 0.7
+
+
+def test_covering_takes_few_spans():
+    rng = random.Random(18)
+    for _ in range(300):
+        spans = [(rng.randrange(40), rng.randint(1, 9)) for _ in range(rng.randint(0, 25))]
+        taken = [spans[i] for i in line_dedup.covering(spans)]
+        lines = lambda some: {x for i, n in some for x in range(i, i + n)}
+        assert lines(taken) == lines(spans) and all(lines(taken) != lines(taken[:k] + taken[k + 1 :]) for k in range(len(taken)))
 
 
 def test_whole_passages_go(spark):
@@ -298,13 +430,13 @@ def test_passages_cover_shared_runs():
     rng = random.Random(9)
     for _ in range(200):
         lines = [" ".join("w" * rng.choice([0, 0, 1, 3, 7])) for _ in range(30)]
-        spans = line_dedup.passages(lines, 8)
+        spans = line_dedup.passages(list(map(line_dedup.count_words, lines)), 8)
         a, b = sorted(rng.sample(range(31), 2))
         full = [i for i in range(a, b) if lines[i]]
         if sum(len(lines[i].split()) for i in full) > 8:
             inside = {i for first, n in spans if a <= first and first + n <= b for i in range(first, first + n)}
             assert inside == set(range(full[0], full[-1] + 1))
-    assert len(line_dedup.passages([""] * 100_000 + ["w " * 9] + [""] * 100_000, 8)) == 1
+    assert len(line_dedup.passages([0] * 100_000 + [9] + [0] * 100_000, 8)) == 1
 
 
 def test_odd_rows_of_lines(docs, empty):
@@ -522,38 +654,82 @@ def test_forward_recursion_sums_all_segmentations():
 
 def test_long_words_are_scored_alike(monkeypatch):
     rng = random.Random(15)
-    pieces = lm_scoring.unigram_pieces()
-    lattice = lm_scoring.Lattice(pieces, np.log(np.random.default_rng(1).dirichlet(np.ones(len(pieces)), 2)))
+    pieces, logp = lm_scoring.unigram_pieces()
+    lattice = lm_scoring.Lattice(pieces, np.stack([logp, np.log(np.random.default_rng(1).dirichlet(np.ones(len(pieces))))]))
     found = [(" " + "".join(rng.choice(SYLLABLES["de"]) for _ in range(rng.randint(1, 12)))).encode() for _ in range(50)]
     short = lattice.score(found), lattice.expected(found, 1)
     monkeypatch.setattr(lm_scoring, "LONG", 0)
     assert np.allclose(short[0], lattice.score(found)) and np.allclose(short[1], lattice.expected(found, 1))
 
 
-@pytest.mark.parametrize("common", [1 << 17, 5, 0])
-def test_scores(spark, docs, empty, common):
-    train = labelled(spark, 10).filter("doc_id % 7 <> 2")
-    seen = collections.Counter(w for r in train.collect() for w in lm_scoring.words_of(r.text))
-    ends = train.count()
-    n, v = sum(seen.values()) + ends, len(seen) + 1
-    got = lm_scoring.score_documents(docs, train, label="lang", common_words=common, rounds=1).collect()
-    want = []
-    for i, text in odd():
-        w = lm_scoring.words_of(text)
+def brute_pieces(seen, rounds, prior):
+    pieces, logp = lm_scoring.unigram_pieces()
+    first = dict(zip(pieces, np.exp(logp)))
+    p = first
+    for _ in range(rounds):
+        uses = {k: v * prior for k, v in first.items()}
+        for w in seen:
+            w = b" " + w
+            ahead = [brute_word(w[:i], p) for i in range(len(w) + 1)]
+            behind = [brute_word(w[i:], p) for i in range(len(w) + 1)]
+            for i, j in itertools.combinations(range(len(w) + 1), 2):
+                if w[i:j] in p:
+                    uses[w[i:j]] += ahead[i] * p[w[i:j]] * behind[j] / ahead[-1]
+        total = sum(uses.values())
+        p = {k: v / total for k, v in uses.items()}
+    return p
+
+
+def brute_scores(train, rows, rounds, prior, labels=(None,)):
+    """Counts, expected uses and sums over all segmentations, with dictionaries. train: (text, label); labels: a component each, null for all others."""
+    seen = collections.Counter(w for t, _ in train for w in lm_scoring.words_of(t))
+    ends, n, v = len(train), sum(seen.values()) + len(train), len(seen) + bool(train)
+    shared = 0.3 if len(labels) > 1 else 0.0
+    parts = []
+    for label in labels:
+        own = [t for t, x in train if (x if x in labels else None) == label]
+        c = collections.Counter(w for t in own for w in lm_scoring.words_of(t))
+        once, twice = (sum(k == m for k in c.values()) for m in (1, 2))
+        d = once / (once + 2 * twice) if once and twice else 0.5
+        size = max(sum(c.values()) + len(own), 1)
+        parts.append((c, d, size, max(d * len(c), 0.5) / size, max(len(own), 0.5), brute_pieces(c, rounds, prior)))
+    out = []
+    for i, t in rows:
+        w = lm_scoring.words_of(t)
         base = sum(math.log10((seen[x] + 1) / (n + v + 1)) for x in w) + math.log10((ends + 1) / (n + v + 1))
-        want.append((i, len(w) + 1, sum(x in seen for x in w) + 1, n, round(base, 4)))
-    assert sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got), key=repr) == sorted(want, key=repr)
-    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
-    assert lm_scoring.score_documents(empty, train, rounds=1).count() == 0
-    if not common:
-        untrained = lm_scoring.score_documents(docs, empty, label="lang", rounds=1).collect()
-        assert len(untrained) == len(odd()) and all(r.n_known == 0 and math.isfinite(r.score) for r in untrained)
-
-
-def test_scores_do_not_depend_on_the_path(spark):
-    train, rows = labelled(spark, 10), labelled(spark, 12)
-    a, b = ({r.doc_id: r.score for r in lm_scoring.score_documents(rows, train, label="lang", common_words=k, rounds=1).collect()} for k in (1 << 17, 3))
-    assert a.keys() == b.keys() and all(math.isclose(a[k], b[k], rel_tol=1e-9) for k in a)
+        logs = []
+        for c, d, size, left, own_ends, p in parts:
+            word = lambda x: max(c[x] - d, 0) / size + left * (shared * seen[x] / max(n, 1) + (1 - shared) * brute_word(b" " + x, p))
+            logs.append(math.log10(own_ends / sum(x[4] for x in parts)) + math.log10(own_ends / size) + sum(math.log10(word(x)) for x in w))
+        score = max(logs) + math.log10(sum(10 ** (x - max(logs)) for x in logs))
+        out.append((i, len(w) + 1, sum(x in seen for x in w) + (ends > 0), n, base, score))
+    return sorted(out, key=repr)
+
+
+def same_scores(got, want):
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got), key=repr)
+    assert [r[:4] for r in got] == [r[:4] for r in want]
+    assert all(math.isclose(a, b, rel_tol=1e-6) for x, y in zip(got, want) for a, b in zip(x[4:], y[4:]))
+
+
+@pytest.mark.parametrize("common, rounds, label", [(1 << 17, 0, None), (5, 1, None), (0, 1, "lang"), (1 << 17, 1, "lang")])
+def test_scores(spark, docs, empty, common, rounds, label):
+    train = labelled(spark, 4).filter("doc_id % 7 <> 2").withColumn("lang", F.when(F.col("doc_id") % 5 > 0, F.col("lang")))
+    rows = [(i, t) for i, t in odd() if t is None or len(t) < 700]
+    got = lm_scoring.score_documents(frame(spark, rows).repartition(3), train, label=label, components=2, common_words=common, rounds=rounds).collect()
+    pairs = [(r.text, r.lang) for r in train.collect()]
+    by = sorted(collections.Counter(x for _, x in pairs if x).items(), key=lambda kv: (-kv[1], kv[0]))
+    same_scores(got, brute_scores(pairs, rows, rounds, 100.0, (by[0][0], by[1][0], None) if label else (None,)))
+    if common == 5:
+        every = lm_scoring.score_documents(docs, train, common_words=common, rounds=0).collect()
+        assert len(every) == len(odd()) and all(math.isfinite(r.score) and r.score < 0 for r in every)
+        assert lm_scoring.score_documents(empty, train, rounds=0).count() == 0
+
+
+def test_scores_without_training(spark, docs, empty):
+    rows = [(i, t) for i, t in odd() if t is None or len(t) < 700]
+    for label in (None, "lang"):
+        same_scores(lm_scoring.score_documents(frame(spark, rows), empty, label=label, rounds=1).collect(), brute_scores([], rows, 0, 1.0))
 
 
 # --- op10 -----------------------------------------------------------------------------------------------------------
