@@ -45,18 +45,28 @@ def control_points_in_bbox(cp: DataFrame, bbox: str | None = None, limit: int =
     return newest(cp.filter(F.col("est_lng").between(west, east) & F.col("est_lat").between(south, north)), limit)
 
 
-def boxes_join(boxes: DataFrame, points: DataFrame, zoom: int = 10) -> DataFrame:
-    """box_id, id of all points inside each box. Both sides meet by map cell, so no pair outside shared cells is made."""
-    top = (1 << zoom) - 1
-    cell = lambda c: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(float(top)), c))).cast("int")
+def boxes_join(boxes: DataFrame, points: DataFrame, most_zoom: int = 14) -> DataFrame:
+    """box_id, id of all points inside each box. Both sides meet by map cell, so no pair outside shared cells is made.
+
+    A box is cut into cells of a zoom that fits its size, so it has at most nine of them, whether it holds a street or the
+    world; a point is put in its cell at each zoom that some box has, of which there are `most_zoom` + 1 at most.
+    """
     # Web-Mercator rows end near 85 degrees; beyond, points and boxes share the outermost row.
-    row = lambda lat: cell(lat_to_tile_y(F.greatest(F.lit(-85.0), F.least(F.lit(85.0), lat)), zoom))
-    col = lambda lng: cell(lng_to_tile_x(lng, zoom))
-    wide = boxes.select("box_id", "min_lng", "min_lat", "max_lng", "max_lat", F.explode(F.sequence(col(F.col("min_lng")), col(F.col("max_lng")))).alias("cx"))
-    wide = wide.select("*", F.explode(F.sequence(row(F.col("max_lat")), row(F.col("min_lat")))).alias("cy"))
-    placed = points.select("id", "lat", "lng", col(F.col("lng")).alias("cx"), row(F.col("lat")).alias("cy"))
+    inner = lambda lat: F.greatest(F.lit(-85.0), F.least(F.lit(85.0), F.col(lat)))
+    east = lambda lng, z: lng_to_tile_x(F.col(lng), z)
+    cell = lambda c, z: F.floor(F.greatest(F.lit(0.0), F.least(F.pow(F.lit(2.0), z.cast("double")) - 1, c))).cast("int")
+    col, row = lambda lng, z: cell(east(lng, z), z), lambda lat, z: cell(lat_to_tile_y(inner(lat), z), z)
+    whole = F.lit(0)
+    # Of the whole map; a zoom where the longer side is two cells at most.
+    share = F.greatest(east("max_lng", whole) - east("min_lng", whole), lat_to_tile_y(inner("min_lat"), whole) - lat_to_tile_y(inner("max_lat"), whole), F.lit(2.0**-most_zoom))
+    z = F.greatest(F.lit(0), F.least(F.lit(most_zoom), F.floor(-F.log2(share)) + 1)).cast("int")
+    placed = boxes.select("box_id", "min_lng", "min_lat", "max_lng", "max_lat", z.alias("z"))
+    zooms = sorted(r["z"] for r in placed.select("z").distinct().collect() if r["z"] is not None)
+    at = F.col("z")
+    wide = placed.select("*", F.explode(F.sequence(col("min_lng", at), col("max_lng", at))).alias("cx")).select("*", F.explode(F.sequence(row("max_lat", at), row("min_lat", at))).alias("cy"))
+    spots = points.select("id", "lat", "lng", F.explode(F.array(*map(F.lit, zooms)).cast("array<int>")).alias("z")).select("*", col("lng", at).alias("cx"), row("lat", at).alias("cy"))
     inside = F.col("lng").between(F.col("min_lng"), F.col("max_lng")) & F.col("lat").between(F.col("min_lat"), F.col("max_lat"))
-    return wide.join(placed, ["cx", "cy"]).filter(inside).select("box_id", "id")
+    return wide.join(spots, ["z", "cx", "cy"]).filter(inside).select("box_id", "id")
 
 
 def lookup_by_id(table: DataFrame, ids: DataFrame) -> DataFrame:
@@ -191,14 +201,28 @@ def station_located_cps(cp: DataFrame, im: DataFrame, ph: DataFrame) -> DataFram
     return station_observed_cps(im, ph).join(located, "control_point_id").select("station_id", "control_point_id", "lat", "lng")
 
 
-def station_preview(st: DataFrame, ph: DataFrame, im: DataFrame, cp: DataFrame, ids: DataFrame) -> DataFrame:
-    """station_id, control_point_id, observed: every located point for each station asked for. `ids` is a list of requests, so it is the side that is sent to all tasks."""
-    stations = st.join(ids.select("id"), "id", "left_semi").select(F.col("id").alias("station_id"))
+def station_preview(st: DataFrame, ph: DataFrame, im: DataFrame, cp: DataFrame, ids: DataFrame, most_requests: int = 10_000) -> DataFrame:
+    """station_id, control_point_id, observed: every located point for each station asked for.
+
+    `ids` is a list of requests, held against all points: it is counted, and sent to all tasks in blocks of `most_requests`.
+    """
+    stations = st.join(ids.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("station_id"))
+    blocks = max(1, -(-ids.select("id").distinct().count() // most_requests))
+    points = located_control_points(cp).select(F.col("id").alias("control_point_id"))
+    every = None
+    for k in range(blocks):
+        part = points.join(F.broadcast(stations.filter(F.pmod(F.xxhash64("station_id"), F.lit(blocks)) == k)), F.lit(True))
+        every = part if every is None else every.unionByName(part)
     seen = _only(station_observed_cps(im, ph), ids, "station_id").withColumn("observed", F.lit(True))
-    every = located_control_points(cp).select(F.col("id").alias("control_point_id")).join(stations, F.lit(True))
     return every.join(seen, ["station_id", "control_point_id"], "left").select("station_id", "control_point_id", F.coalesce("observed", F.lit(False)).alias("observed"))
 
 
+def station_preview_cones(ph: DataFrame, ids: DataFrame) -> DataFrame:
+    """station_id, photo_id, az_l, az_r: the other half of a preview, the view cones of the photos of the stations asked for."""
+    half = F.col("size_rad") / 2
+    return _only(ph, ids.distinct(), "station_id").select("station_id", F.col("id").alias("photo_id"), (F.col("photo_az") + half).alias("az_l"), (F.col("photo_az") - half).alias("az_r"))
+
+
 def anchored_measurements(im: DataFrame, ph: DataFrame, cp: DataFrame) -> DataFrame:
     """Image measurements whose control point is linked and located: what the pose solver reads."""
     located = cp.filter("est_lat is not null and est_lng is not null").select(F.col("id").alias("control_point_id"), "est_lat", "est_lng")
@@ -220,12 +244,29 @@ def pin_on_photo(im: DataFrame) -> DataFrame:
     return im.filter("control_point_id is not null").groupBy("photo_id", "control_point_id").agg(F.min(F.struct("created_at", "id"))["id"].alias("id"))
 
 
-def linked_measurements(im: DataFrame, mm: DataFrame) -> DataFrame:
-    """For each linked measurement, every other measurement of the same control point."""
+def _linked(im: DataFrame, mm: DataFrame) -> DataFrame:
     kinds = [df.filter("control_point_id is not null").select(F.col("id").alias("measurement_id"), F.lit(kind).alias("kind"), "control_point_id") for df, kind in ((im, "image"), (mm, "map"))]
-    rows = kinds[0].unionByName(kinds[1])
+    return kinds[0].unionByName(kinds[1])
+
+
+def linked_measurements(im: DataFrame, mm: DataFrame) -> DataFrame:
+    """measurement_id, kind, control_point_id, n_image, n_map: each linked measurement, with how many others of either kind its control point has.
+
+    The control point names the class, so members are this table's rows; pairs, which grow with the square of a popular
+    point, are made for a selection only (linked_to).
+    """
+    rows = _linked(im, mm)
+    of = lambda kind: (F.col("kind") == kind).cast("long")
+    counts = rows.groupBy("control_point_id").agg(F.sum(of("image")).alias("image"), F.sum(of("map")).alias("map"))
+    return rows.join(counts, "control_point_id").select("measurement_id", "kind", "control_point_id", (F.col("image") - of("image")).alias("n_image"), (F.col("map") - of("map")).alias("n_map"))
+
+
+def linked_to(im: DataFrame, mm: DataFrame, selected: DataFrame) -> DataFrame:
+    """measurement_id, kind, control_point_id, other_id, other_kind: for each selected measurement (measurement_id, kind) every other of its control point."""
+    rows = _linked(im, mm)
     others = rows.select(F.col("measurement_id").alias("other_id"), F.col("kind").alias("other_kind"), "control_point_id")
-    return rows.join(others, "control_point_id").filter((F.col("measurement_id") != F.col("other_id")) | (F.col("kind") != F.col("other_kind"))).select("measurement_id", "kind", "control_point_id", "other_id", "other_kind")
+    chosen = rows.join(selected.select("measurement_id", "kind").distinct(), ["measurement_id", "kind"], "left_semi")
+    return chosen.join(others, "control_point_id").filter((F.col("measurement_id") != F.col("other_id")) | (F.col("kind") != F.col("other_kind"))).select("measurement_id", "kind", "control_point_id", "other_id", "other_kind")
 
 
 def new_map_measurements(incoming: DataFrame, mm: DataFrame) -> DataFrame:

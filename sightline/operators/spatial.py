@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -167,22 +169,74 @@ def sun_positions(st: DataFrame, instants: DataFrame, tz: str = "UTC") -> DataFr
     return rows.select("station_id", "local", "az", "alt", (F.col("alt") > 0).alias("above_horizon"), dx.alias("dx"), dy.alias("dy"), dz.alias("dz"))
 
 
-def panorama_coverage(ph: DataFrame, width: int) -> DataFrame:
-    """station_id, i, j, n_photos, photo_ids: which photos cover the cells of each station's equirectangular panorama, width by width / 2; cells without a photo too.
+#: Cells across a panorama; half as many from its foot to its head.
+PANORAMA_CELLS = 2048
 
-    The directions of columns and rows of cells are constants, and a photo's plane is worked out before its cells are, so
-    a cell costs a few products. A photo needs no join to find its cells.
+
+def photo_spans(ph: DataFrame, width: int = PANORAMA_CELLS) -> DataFrame:
+    """station_id, photo_id, j, i_first, i_last: the runs of cells of each row of a station's equirectangular panorama whose middle a photo covers.
+
+    A photo is held against the cells of the circle about it only, so its cost follows what it covers.
     """
     height = width // 2
+    lon = (np.arange(width) + 0.5) / width * 2 * np.pi - np.pi
+    lat = (np.arange(height) + 0.5) / height * np.pi - np.pi / 2
+    axes = [f"{a}{x}" for a in "crq" for x in "xyz"]
+
+    def spans(photo: dict[str, float]):
+        # A half angle that holds the photo's corners; a little more, so that rounding drops none.
+        reach = math.atan(math.hypot(photo["half_w"], photo["half_h"])) + 1e-6
+        high = math.asin(max(-1.0, min(1.0, photo["cy"])))
+        rows = np.flatnonzero(np.abs(lat - high) <= reach)
+        if abs(high) + reach >= math.pi / 2:
+            cols = np.arange(width)
+        else:
+            half = math.asin(min(1.0, math.sin(reach) / math.cos(high))) + 1e-6
+            first, last = (int((math.atan2(photo["cz"], photo["cx"]) + side * half + math.pi) / (2 * math.pi) * width // 1) for side in (-1, 1))
+            cols = np.arange(first - 1, last + 2)[:width] % width
+        x, y, z = (np.outer(np.cos(lat[rows]), v) for v in (np.cos(lon[cols]), np.ones(len(cols)), np.sin(lon[cols])))
+        y = np.repeat(np.sin(lat[rows])[:, None], len(cols), 1)
+        ahead, right, up = (photo[f"{a}x"] * x + photo[f"{a}y"] * y + photo[f"{a}z"] * z for a in "crq")
+        seen = (ahead > 0) & (np.abs(right) <= ahead * photo["half_w"]) & (np.abs(up) <= ahead * photo["half_h"])
+        # Runs end where columns jump, too: at the seam of the panorama.
+        seen = np.pad(seen, ((0, 0), (1, 1)))
+        jump = np.concatenate([[True], np.diff(cols) != 1, [True]])
+        begins, ends = seen[:, 1:] & (~seen[:, :-1] | jump), seen[:, :-1] & (~seen[:, 1:] | jump)
+        row, start = np.nonzero(begins)
+        return rows[row], cols[start], cols[np.nonzero(ends)[1] - 1]
+
+    def run(batches):
+        for batch in batches:
+            values = {c: batch.column(c).to_numpy() for c in [*axes, "half_w", "half_h"]}
+            found = [spans({c: v[k] for c, v in values.items()}) for k in range(batch.num_rows)]
+            at = pa.array(np.repeat(np.arange(batch.num_rows), [len(f[0]) for f in found]))
+            parts = [pa.array(np.concatenate([f[k] for f in found] or [[]]).astype(np.int32)) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column("station_id").take(at), batch.column("photo_id").take(at), *parts], names=["station_id", "photo_id", "j", "i_first", "i_last"])
+
+    return _planes(ph).mapInArrow(run, "station_id string, photo_id string, j int, i_first int, i_last int")
+
+
+def panorama_coverage(ph: DataFrame, width: int = PANORAMA_CELLS) -> DataFrame:
+    """station_id, j, i_first, i_last, n_photos, photo_ids: each row of a station's equirectangular panorama, width by width / 2
+    cells, as runs of cells that the same photos cover; runs without a photo too.
+
+    Photos give their runs; their ends cut a row into pieces, at most one for each cell, and each run counts in its pieces.
+    """
+    spans = photo_spans(ph, width)
+    rows = ph.select("station_id").distinct().select("station_id", F.explode(F.sequence(F.lit(0), F.lit(width // 2 - 1))).alias("j"))
+    ends = spans.select("station_id", "j", F.explode(F.array(F.col("i_first"), F.col("i_last") + 1)).alias("cut")).groupBy("station_id", "j").agg(F.collect_set("cut").alias("cuts"))
+    cuts = rows.join(ends, ["station_id", "j"], "left").select("station_id", "j", F.array_sort(F.array_union(F.array(F.lit(0), F.lit(width)), F.coalesce("cuts", F.array().cast("array<int>")))).alias("cuts"))
+    pieces = F.transform(F.slice("cuts", F.lit(1), F.size("cuts") - 1), lambda c, k: F.struct(c.alias("i_first"), (F.element_at("cuts", k + 2) - 1).alias("i_last")))
+    every = cuts.select("station_id", "j", F.inline(pieces))
+    within = F.filter("cuts", lambda c: (c >= F.col("i_first")) & (c <= F.col("i_last")))
+    hits = spans.join(cuts, ["station_id", "j"]).select("station_id", "j", "photo_id", F.explode(within).alias("i_first"))
+    found = hits.groupBy("station_id", "j", "i_first").agg(F.count(F.lit(1)).alias("n_photos"), F.array_sort(F.collect_list("photo_id")).alias("photo_ids"))
+    return every.join(found, ["station_id", "j", "i_first"], "left").select(
+        "station_id", "j", "i_first", "i_last", F.coalesce("n_photos", F.lit(0)).alias("n_photos"), F.coalesce("photo_ids", F.array().cast("array<string>")).alias("photo_ids")
+    )
+
 
-    def axis(n: int, span: float, name: str) -> Column:
-        at = [((k + 0.5) / n - 0.5) * span for k in range(n)]
-        return F.array(*(F.struct(F.lit(k).alias(name), F.lit(math.cos(a)).alias(f"cos_{name}"), F.lit(math.sin(a)).alias(f"sin_{name}")) for k, a in enumerate(at)))
-
-    cells = _planes(ph).select("*", F.inline(axis(width, 2 * math.pi, "i"))).select("*", F.inline(axis(height, math.pi, "j")))
-    ahead, right, up = _met(F.col("cos_i") * F.col("cos_j"), F.col("sin_j"), F.col("sin_i") * F.col("cos_j"))
-    hits = cells.select("station_id", "photo_id", "i", "j", "half_w", "half_h", ahead.alias("ahead"), right.alias("right"), up.alias("up")).filter(_on_photo("ahead", "right", "up")).select("station_id", "i", "j", "photo_id")
-    count = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    every = ph.select("station_id").distinct().select("*", count(width, "i")).select("*", count(height, "j"))
-    found = hits.groupBy("station_id", "i", "j").agg(F.count(F.lit(1)).alias("n_photos"), F.array_sort(F.collect_list("photo_id")).alias("photo_ids"))
-    return every.join(found, ["station_id", "i", "j"], "left").select("station_id", "i", "j", F.coalesce("n_photos", F.lit(0)).alias("n_photos"), F.coalesce("photo_ids", F.array().cast("array<string>")).alias("photo_ids"))
+def panorama_uncovered(coverage: DataFrame, width: int = PANORAMA_CELLS) -> DataFrame:
+    """station_id, uncovered: the share of a panorama's cells that no photo covers."""
+    bare = F.when(F.col("n_photos") == 0, F.col("i_last") - F.col("i_first") + 1).otherwise(0)
+    return coverage.groupBy("station_id").agg((F.sum(bare) / F.lit(width * (width // 2))).alias("uncovered"))

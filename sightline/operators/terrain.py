@@ -113,30 +113,46 @@ def _columns(axes: DataFrame) -> DataFrame:
 
 
 def sampled(tiles: DataFrame, stride: int) -> DataFrame:
-    """z, x, y, px, py, elev of every stride-th pixel."""
-    axis = F.sequence(F.lit(0), F.lit(TILE_PX - 1), F.lit(stride))
-    rows = tiles.filter("elev is not null").select("*", F.explode(axis).alias("px")).select("*", F.explode(axis).alias("py"))
-    return rows.select("z", "x", "y", "px", "py", F.element_at("elev", F.col("py") * TILE_PX + F.col("px") + 1).alias("elev"))
+    """z, x, y, elev of every stride-th pixel of every stride-th row."""
+    n = TILE_PX // stride
+    thin = F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda k: F.element_at("elev", (F.floor(k / n) * (stride * TILE_PX) + k % n * stride + 1).cast("int")))
+    return tiles.filter("elev is not null").select("z", "x", "y", thin.alias("elev"))
+
+
+#: Station windows that read one copy of a tile.
+WINDOWS_A_COPY = 500
 
 
 def ring_vertices(st: DataFrame, tiles: DataFrame, rings=None, curvature: bool = True, refraction: bool = True) -> DataFrame:
-    """station_id, ring, i, j, x, y, z, u, v. Rows come first, then columns of each row: trigonometry is done once a row.
+    """station_id, ring, i, j, x, y, z, u, v.
 
-    Tiles are thinned to the stride before they meet the vertices on (z, x, y, px, py), so a tile's array is never copied
-    to the stations that share it.
+    Stations meet the 25 tiles of a ring, not their pixels, so what is shuffled are light windows and, once, the tiles,
+    thinned to the stride. A tile that many stations share is sent in several copies, each for some of the windows, so no
+    task makes all vertices over it. Vertices are made after the join, rows first: trigonometry is done once a row.
     """
     rings = rings or RINGS
     if len({s for *_, s in rings}) != 1:
         raise ValueError("rings of one stride only")
+    stride = rings[0][3]
+    per = TILE_PX // stride
     axes = ring_axes(st, rings).join(camera_ground_elevation(st, tiles).withColumnRenamed("elev", "cam"), "station_id")
-    grid = _columns(_rows(axes)).select("station_id", "ring", "i", "j", "nx", "cam", "wx", "wz", "z", F.col("tx").alias("x"), F.col("ty").alias("y"), "px", "py")
-    met = grid.join(sampled(tiles, rings[0][3]), ["z", "x", "y", "px", "py"], "left")
+    step = lambda: F.explode(F.sequence(F.lit(0), F.col("radius") * 2))
+    windows = axes.select("*", step().alias("a")).select("*", step().alias("b")).withColumn("x", F.col("cx") - F.col("radius") + F.col("a")).withColumn("y", F.col("cy") - F.col("radius") + F.col("b"))
+    wanted = tile_windows(st, rings).groupBy("z", "x", "y").agg(F.ceil(F.count(F.lit(1)) / WINDOWS_A_COPY).cast("int").alias("copies"))
+    windows = windows.join(wanted, ["z", "x", "y"]).withColumn("copy", F.pmod(F.xxhash64("station_id", "ring"), F.col("copies")).cast("int"))
+    shared = sampled(tiles, stride).join(wanted, ["z", "x", "y"]).select("z", "x", "y", "elev", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    met = windows.join(shared, ["z", "x", "y", "copy"], "left").withColumn("elev", F.coalesce("elev", F.array_repeat(F.lit(0.0), per * per)))
+    # The places of rows and columns; a tile's row is cut out of it once.
+    wz = -(g.tile_y_to_lat(F.col("y") + F.col("r") * float(stride) / float(TILE_PX), "z") - F.col("lat")) * M_PER_DEG_LAT
+    rows = met.select("*", F.explode(F.sequence(F.lit(0), F.lit(per - 1))).alias("r")).select("station_id", "ring", "z", "lng", "lat", "nx", "cam", "x", "a", (F.col("b") * per + F.col("r")).alias("j"), wz.alias("wz"), F.slice("elev", F.col("r") * per + 1, F.lit(per)).alias("elev"))
+    wx = lambda at: (g.tile_x_to_lng(at, "z") - F.col("lng")) * M_PER_DEG_LAT * F.col("cosine")
+    inner = rows.withColumn("cosine", F.cos(F.radians("lat"))).select("*", F.posexplode("elev").alias("k", "e")).select("station_id", "ring", "nx", "cam", (F.col("a") * per + F.col("k")).alias("i"), "j", wx(F.col("x") + F.col("k") * float(stride) / float(TILE_PX)).alias("wx"), "wz", "e")
+    # The last row and column fall in tiles beyond the window, so they have elevation 0.
+    last = _columns(_rows(axes)).filter((F.col("i") == F.col("nx") - 1) | (F.col("j") == F.col("nx") - 1)).select("station_id", "ring", "nx", "cam", "i", "j", "wx", "wz", F.lit(0.0).alias("e"))
     drop = (F.col("wx") * F.col("wx") + F.col("wz") * F.col("wz")) * g.curvature_factor(curvature, refraction)
     share = lambda c: F.col(c) / (F.col("nx") - 1)
-    # The last row and column have no tile of their own ring, though another station's window may hold it.
-    elev = F.when(F.greatest("i", "j") < F.col("nx") - 1, F.coalesce("elev", F.lit(0.0))).otherwise(F.lit(0.0))
-    return met.select(
-        "station_id", "ring", "i", "j", F.col("wx").alias("x"), (elev - F.col("cam") - drop).alias("y"), F.col("wz").alias("z"), share("i").alias("u"), share("j").alias("v")
+    return inner.unionByName(last).select(
+        "station_id", "ring", "i", "j", F.col("wx").alias("x"), (F.col("e") - F.col("cam") - drop).alias("y"), F.col("wz").alias("z"), share("i").alias("u"), share("j").alias("v")
     )
 
 

@@ -157,11 +157,16 @@ def _(t):
 _INSTANTS = f"select {entity_id('S', 'o_custkey')} as station_id, concat(cast(1950 + mod(o_orderkey, 100) as string), '-', lpad(cast(1 + mod(o_orderkey, 12) as string), 2, '0'), '-', lpad(cast(1 + mod(o_orderkey, 28) as string), 2, '0'), 'T', lpad(cast(mod(o_orderkey, 24) as string), 2, '0'), ':', lpad(cast(mod(o_orderkey, 60) as string), 2, '0')) as local from orders"
 
 
-@query("sun_positions", f"""select station_id, local, {r('az')} as az, {r('alt')} as alt, alt > 0 as above_horizon, {r('sin(az) * cos(alt)')} as dx, {r('sin(alt)')} as dy, {r('-cos(az) * cos(alt)')} as dz from (
-    select station_id, local, az0 - 2 * pi() * floor(az0 / (2 * pi())) as az, alt from (select *, asin(sin(p) * sin(d) + cos(p) * cos(d) * cos(h)) as alt, atan2(-sin(h) * cos(d), cos(p) * sin(d) - sin(p) * cos(d) * cos(h)) as az0 from (
-    select *, radians((18.697374558::double + 24.06570982441908::double * n) * 15) + radians(lng) - atan2(cos(e) * sin(l), cos(l)) as h, asin(sin(e) * sin(l)) as d, radians(lat) as p from (
-    select *, radians(280.460::double + 0.9856474::double * n) + radians(1.915::double * sin(m) + 0.020::double * sin(2 * m)) as l, radians(23.439::double - 0.0000004::double * n) as e from (
-    select *, radians(357.528::double + 0.9856003::double * n) as m from (select i.*, s.lat, s.lng, (epoch(cast(concat(replace(local, 'T', ' '), ':00') as timestamp)) + 8 * 3600) / 86400::double - 10957.5::double as n from instants i join stations s on s.id = i.station_id))))))""", instants=_INSTANTS)
+# The sun's unit vector, turned into the horizon's frame: x, y along and across the equator, p to the pole; m to the meridian, e to the east.
+_SUN = f"""select station_id, local, atan2(e, p * cos(phi) - m * sin(phi)) as az, asin(m * cos(phi) + p * sin(phi)) as alt from (
+    select *, x * cos(theta) + y * sin(theta) as m, y * cos(theta) - x * sin(theta) as e from (
+    select station_id, local, radians(lat) as phi, radians(15 * ({g.SIDEREAL_HOURS[0]}::double + {g.SIDEREAL_HOURS[1]}::double * n) + lng) as theta, cos(l) as x, sin(l) * cos(tilt) as y, sin(l) * sin(tilt) as p from (
+    select *, radians({g.OBLIQUITY[0]}::double + {g.OBLIQUITY[1]:.7f}::double * n) as tilt, radians({g.MEAN_LONGITUDE[0]}::double + {g.MEAN_LONGITUDE[1]}::double * n + {g.EQUATION_OF_CENTRE[0]}::double * sin(a) + {g.EQUATION_OF_CENTRE[1]}::double * sin(2 * a)) as l from (
+    select *, radians({g.MEAN_ANOMALY[0]}::double + {g.MEAN_ANOMALY[1]}::double * n) as a from (
+    select i.*, s.lat, s.lng, (epoch(cast(concat(replace(local, 'T', ' '), ':00') as timestamp)) + 8 * 3600 - {g.UNIX_NOON_2000_S}::double) / 86400::double as n from instants i join stations s on s.id = i.station_id)))))"""
+
+
+@query("sun_positions", f"select station_id, local, {r('case when az < 0 then az + 2 * pi() else az end')} as az, {r('alt')} as alt, alt > 0 as above_horizon, {r('sin(az) * cos(alt)')} as dx, {r('sin(alt)')} as dy, {r('-cos(az) * cos(alt)')} as dz from ({_SUN})", instants=_INSTANTS)
 def _(t):
     # Etc/GMT+8 lies eight hours behind UTC the year round.
     return near(spatial.sun_positions(t.st, t.sql(_INSTANTS), "Etc/GMT+8"), "az", "alt", "dx", "dy", "dz")
@@ -170,11 +175,35 @@ def _(t):
 _CELL = ("(cos(lon) * cos(lat))", "sin(lat)", "(sin(lon) * cos(lat))")
 
 
-@query("panorama_coverage", f"""select s.station_id, s.i, s.j, count(h.photo_id) as n_photos, coalesce(string_agg(h.photo_id, ',' order by h.photo_id), '') as photo_ids from (select distinct station_id, i.i::int as i, j.j::int as j from photos, range(16) i(i), range(8) j(j)) s left join (
+# The panorama of a few cells, cell by cell as DuckDB has it; the one of 2048 x 1024 has no SQL, as DuckDB would make two million cells a station.
+_CELLS = f"""select s.station_id, s.i, s.j, count(h.photo_id) as n_photos, coalesce(string_agg(h.photo_id, ',' order by h.photo_id), '') as photo_ids from (select distinct station_id, i.i::int as i, j.j::int as j from photos, range(16) i(i), range(8) j(j)) s left join (
     select station_id, photo_id, i, j from (select station_id, photo_id, i, j, {_uv(_CELL)[0]} as ahead, {_uv(_CELL)[1]} as u, {_uv(_CELL)[2]} as v from (select p.*, p.id as photo_id, i.i, j.j, ((i.i + 0.5::double) / 16 - 0.5::double) * 2 * pi() as lon, ((j.j + 0.5::double) / 8 - 0.5::double) * pi() as lat from photos p, range(16) i(i), range(8) j(j))) where ahead > 0 and u between 0 and 1 and v between 0 and 1
-    ) h on h.station_id = s.station_id and h.i = s.i and h.j = s.j group by 1, 2, 3""")
+    ) h on h.station_id = s.station_id and h.i = s.i and h.j = s.j group by 1, 2, 3"""
+
+
+def _cells(t, width: int):
+    runs = spatial.panorama_coverage(t.ph, width)
+    return runs.select("station_id", F.explode(F.sequence("i_first", "i_last")).alias("i"), "j", "n_photos", F.array_join("photo_ids", ",").alias("photo_ids"))
+
+
+@query("panorama_coverage_thin", _CELLS)
+def _(t):
+    return _cells(t, 16)
+
+
+@query("panorama_uncovered_thin", f"select station_id, {r('sum(case when n_photos = 0 then 1 else 0 end) / 128::double')} as uncovered from ({_CELLS}) group by 1")
+def _(t):
+    return near(spatial.panorama_uncovered(spatial.panorama_coverage(t.ph, 16), 16), "uncovered")
+
+
+@query("panorama_coverage")
 def _(t):
-    return spatial.panorama_coverage(t.ph, 16).withColumn("photo_ids", F.array_join("photo_ids", ","))
+    return spatial.panorama_coverage(t.ph).withColumn("photo_ids", F.array_join("photo_ids", ","))
+
+
+@query("panorama_uncovered")
+def _(t):
+    return near(spatial.panorama_uncovered(spatial.panorama_coverage(t.ph)), "uncovered")
 
 
 # --- terrain --------------------------------------------------------------------------------------------------------
@@ -334,13 +363,17 @@ def planted_observations(t):
     return photos, images
 
 
-_PLANTED = f"select {entity_id('C', 'p_partkey')} as control_point_id, round({_TRUE_LAT}, 3) + cast(0 as double) as lat, round({_TRUE_LNG}, 3) + cast(0 as double) as lng from part where p_partkey in (select l_partkey from (select distinct l_orderkey, l_partkey from lineitem) x group by l_partkey having count(*) >= 2)"
+_SEEN = "select l_partkey as k, count(*) as n from (select distinct l_orderkey, l_partkey from lineitem) x group by 1"
+_MAPPED = "select control_point_id, count(*) as n from map_measurements where control_point_id is not null group by 1"
+#: True places of the points that have two equations: two images, or a map measurement. Map measurements lie within 1e-4 degrees of them.
+_PLANTED = f"select {entity_id('C', 'p_partkey')} as control_point_id, round({_TRUE_LAT}, 3) + cast(0 as double) as lat, round({_TRUE_LNG}, 3) + cast(0 as double) as lng from part left join ({_SEEN}) i on i.k = p_partkey left join ({_MAPPED}) m on m.control_point_id = {entity_id('C', 'p_partkey')} where coalesce(i.n, 0) + 2 * coalesce(m.n, 0) >= 2"
 
 
 def _planted_solutions(t):
+    """Estimates start a little off; those that are missing stay so."""
     photos, images = planted_observations(t)
-    latent = t.cp.withColumn("est_lat", F.lit(None).cast("double"))
-    return solve.solve_cp_locations(latent, images, photos, t.st, t.mm.limit(0))
+    off = t.cp.withColumn("est_lat", F.col("est_lat") + 0.002).withColumn("est_lng", F.col("est_lng") - 0.002)
+    return solve.solve_cp_locations(off, images, photos, t.st, t.mm)
 
 
 @query("solve_cp_locations", f"select * from ({_PLANTED})")
@@ -353,37 +386,56 @@ def _(t):
     return near(solve.apply_cp_solutions(t.cp, _planted_solutions(t)).select("id", "description", "est_alt", "est_lat", "est_lng"), "est_lat", "est_lng", digits=3)
 
 
-def planted_photos(t):
-    """Photos that start a little off their true azimuth and size, with four points each whose landmarks stand where the true photo sees them."""
-    truth = t.ph.select(F.col("id").alias("photo_id"), "station_id", F.round("photo_az", 3).alias("az"), "photo_tilt", "photo_roll", F.round("size_rad", 3).alias("size"), "aspect")
-    truth = truth.join(t.st.select(F.col("id").alias("station_id"), F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng")), "station_id")
-    uv = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(u).alias("u"), F.lit(v).alias("v")) for k, (u, v) in enumerate([(0.1, 0.4), (0.4, 0.7), (0.7, 0.3), (0.9, 0.6)])))
+def planted_poses(t):
+    """Stations, photos, anchored measurements and priors. Stations start a little off their true places, photos off their azimuth, size
+    and roll; each photo has four points, which stand where the true photo sees them from the true place and have a prior there."""
+    true_st = t.st.select(F.col("id").alias("station_id"), F.round("lat", 3).alias("s_lat"), F.round("lng", 3).alias("s_lng"))
+    truth = t.ph.select(F.col("id").alias("photo_id"), "station_id", F.round("photo_az", 3).alias("az"), "photo_tilt", F.round("photo_roll", 3).alias("roll"), F.round("size_rad", 3).alias("size"), "aspect").join(true_st, "station_id")
+    uv = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(u).alias("u"), F.lit(v).alias("v")) for k, (u, v) in enumerate([(0.1, 0.2), (0.4, 0.9), (0.7, 0.1), (0.9, 0.8)])))
     rows = truth.select("*", F.inline(uv))
-    seen, _ = g.project_uv("az", "photo_tilt", "photo_roll", "size", "aspect", "u", "v")
+    seen, _ = g.project_uv("az", "photo_tilt", "roll", "size", "aspect", "u", "v")
     step, b, a = F.lit(2000.0 / 6_371_000.0), -seen, F.radians("s_lat")
     lat = F.asin(F.sin(a) * F.cos(step) + F.cos(a) * F.sin(step) * F.cos(b))
     lng = F.radians("s_lng") + F.atan2(F.sin(b) * F.sin(step) * F.cos(a), F.cos(step) - F.sin(a) * F.sin(lat))
     name = F.concat("photo_id", F.lit("-"), F.col("k").cast("string"))
     anchored = rows.select("station_id", "photo_id", name.alias("id"), "u", "v", name.alias("control_point_id"), F.degrees(lat).alias("est_lat"), F.degrees(lng).alias("est_lng"))
-    photos = truth.select(F.col("photo_id").alias("id"), "station_id", "aspect", (F.col("az") + 0.03).alias("photo_az"), "photo_tilt", "photo_roll", (F.col("size") * 1.1).alias("size_rad"))
-    return photos, anchored
+    photos = truth.select(F.col("photo_id").alias("id"), "station_id", "aspect", (F.col("az") + 0.03).alias("photo_az"), "photo_tilt", (F.col("roll") + 0.02).alias("photo_roll"), (F.col("size") * 1.1).alias("size_rad"))
+    # Four photos give enough equations to move the station; others stand where they are.
+    many = t.ph.groupBy("station_id").agg((F.count(F.lit(1)) >= 4).alias("many"))
+    off = F.when(F.col("many"), F.lit(0.002)).otherwise(F.lit(0.0))
+    stations = true_st.join(many, "station_id").select(F.col("station_id").alias("id"), (F.col("s_lat") + off).alias("lat"), (F.col("s_lng") - off).alias("lng"))
+    return stations, photos, anchored, anchored.select("station_id", "control_point_id", F.col("est_lat").alias("lat"), F.col("est_lng").alias("lng"))
+
+
+def _poses(t, part: str):
+    return solve.solve_station_poses(*planted_poses(t), solve_roll=True)[part]
+
+
+@query("solve_station_poses", f"select id as photo_id, station_id, {r('photo_az', 3)} as photo_az, {r('size_rad', 3)} as size_rad, {r('photo_roll', 3)} as photo_roll from photos")
+def _(t):
+    return near(_poses(t, "photos").select("photo_id", "station_id", "photo_az", "size_rad", "photo_roll"), "photo_az", "size_rad", "photo_roll", digits=3)
+
+
+@query("solve_station_places", f"select id as station_id, {r('lat', 3)} as lat, {r('lng', 3)} as lng, n >= 4 as camera_moved from stations join (select station_id, count(*) as n from photos group by 1) p on p.station_id = id")
+def _(t):
+    return near(_poses(t, "stations").select("station_id", "lat", "lng", "camera_moved"), "lat", "lng", digits=3)
 
 
-@query("solve_station_poses", f"select id as photo_id, station_id, {r('photo_az', 3)} as photo_az, {r('size_rad', 3)} as size_rad, {r('photo_roll')} as photo_roll from photos")
+@query("solve_station_proposals", "select station_id, concat(p.id, '-', cast(k as varchar)) as control_point_id, true as found from photos p, range(4) r(k)")
 def _(t):
-    photos, anchored = planted_photos(t)
-    none = anchored.select("station_id", "control_point_id", F.col("est_lat").alias("lat"), F.col("est_lng").alias("lng")).limit(0)
-    got = solve.solve_station_poses(t.st, photos, anchored, none, locked=True)["photos"]
-    return near(near(got.select("photo_id", "station_id", "photo_az", "size_rad", "photo_roll"), "photo_roll"), "photo_az", "size_rad", digits=3)
+    """Whether each point is proposed where it stands, to a metre."""
+    places = planted_poses(t)[3].select("station_id", "control_point_id", F.col("lat").alias("t_lat"), F.col("lng").alias("t_lng"))
+    close = (F.abs(F.col("lat") - F.col("t_lat")) < 1e-5) & (F.abs(F.col("lng") - F.col("t_lng")) < 1e-5)
+    return _poses(t, "proposals").join(places, ["station_id", "control_point_id"]).select("station_id", "control_point_id", close.alias("found"))
 
 
 # --- streams --------------------------------------------------------------------------------------------------------
 
-_FEED = f"select case when mod(event_id, 3) = 0 then 'map' else 'image' end as kind, case when mod(event_id, 4) = 0 then {entity_id('C', 'mod(event_id * 3, 50) + 1')} end as old_cp, {entity_id('C', 'mod(event_id * 7, n) + 1')} as new_cp from (select e.event_id, c.n from events e cross join (select count(*) as n from part) c) x"
+_FEED = f"select event_id as seq, {entity_id('L', 'event_id')} as measurement_id, case when mod(event_id, 3) = 0 then 'map' else 'image' end as kind, case when mod(event_id, 4) = 0 then {entity_id('C', 'mod(event_id * 3, 50) + 1')} end as old_cp, {entity_id('C', 'mod(event_id * 7, n) + 1')} as new_cp from (select e.event_id, c.n from events e cross join (select count(*) as n from part) c) x"
 
 
-@query("stream_cp_status", """select cp as control_point_id, sum(case when kind = 'image' then d else 0 end)::bigint as n_image, sum(case when kind = 'map' then d else 0 end)::bigint as n_map, sum(case when kind = 'image' then d else 2 * d end) >= 2 as solvable
-    from (select kind, new_cp as cp, 1 as d from feed union all select kind, old_cp, -1 from feed) where cp is not null group by 1""", feed=_FEED)
+@query("stream_cp_status", """select cp as control_point_id, sum(case when kind = 'image' then d else 0 end)::bigint as n_image, sum(case when kind = 'map' then d else 0 end)::bigint as n_map, sum(case when kind = 'image' then d else 2 * d end) >= 2 as solvable, arg_max(measurement_id, seq) filter (where d > 0) as latest_link
+    from (select kind, new_cp as cp, 1 as d, seq, measurement_id from feed union all select kind, old_cp, -1, seq, measurement_id from feed) where cp is not null group by 1""", feed=_FEED)
 def _(t):
     """The feed is written, read as a stream in several batches, and the last status of each control point is kept."""
     source, out, state = (shared_path(t.spark, n) for n in ("feed", "status", "state"))
@@ -396,7 +448,7 @@ def _(t):
 
     feeds.stream_cp_status(stream, sink, state).awaitTermination()
     rows = t.spark.read.parquet(out)
-    return rows.groupBy("control_point_id").agg(F.max_by(F.struct("n_image", "n_map", "solvable"), "batch").alias("s")).select("control_point_id", "s.*")
+    return rows.groupBy("control_point_id").agg(F.max_by(F.struct("n_image", "n_map", "solvable", "latest_link"), "batch").alias("s")).select("control_point_id", "s.*")
 
 
 _POSES = changes.OVERWRITTEN["photo"]
@@ -408,7 +460,7 @@ def _(t):
     patches = t.sql(_PATCHES)
     patches.repartitionByRange(3, "seq").write.parquet(source)
     store = feeds.Store(t.spark, base)
-    store.write("photos", t.ph, 0)
+    store.create("photos", t.ph)
     stream = t.spark.readStream.schema(patches.schema).option("maxFilesPerTrigger", 1).parquet(source)
     feeds.stream_apply_patches(stream, store, "photos", "photo", state).awaitTermination()
     return store.read("photos").select("id", *_POSES)
@@ -421,9 +473,9 @@ def _(t):
     touched.write.parquet(source)
     photos, images = planted_observations(t)
     store = feeds.Store(t.spark, base)
-    store.write("stations", t.st, 0)
-    for name, df in (("photos", photos), ("image_measurements", images), ("map_measurements", t.mm.limit(0)), ("control_points", t.cp)):
-        store.write(name, df, 0)
+    store.create("stations", t.st)
+    for name, df in (("photos", photos), ("image_measurements", images), ("map_measurements", t.mm), ("control_points", t.cp)):
+        store.create(name, df)
     stream = t.spark.readStream.schema(touched.schema).parquet(source)
     feeds.stream_resolve(stream, store, state).awaitTermination()
     return near(store.read("control_points").select("id", "est_lat", "est_lng"), "est_lat", "est_lng", digits=3)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +15,7 @@ from sightline.operators import aggregates as agg
 from sightline.operators import changes, integrity, reads, validate
 from sightline.plans.sql import oracle, r, stamp, star
 from sightline.schema import ENTITIES, ID_PATTERN
-from sightline.sources.entities import ingest_patches, load_entities, upgrade_legacy_layout, write_entities
+from sightline.sources.entities import ingest_patches, load_entities, photo_aspect, photo_blob_catalog, upgrade_legacy_layout, write_entities
 from sightline.sources.fixtures import Tables, entity_id
 from sightline.sources.shared import shared_path
 
@@ -65,10 +70,50 @@ def _(t):
     return _summaries(load_entities(t.spark, write_entities({n: t.entity(n) for n in ENTITIES}, shared_path(t.spark, "entities"))))
 
 
-@query("write_entities", f"select {star('stations')} from stations")
+@query("write_entities", " union all ".join(f"select '{n}' as entity, id, {stamp('updated_at')} as updated_at from {n}" for n in ENTITIES))
+def _(t):
+    back = load_entities(t.spark, write_entities({n: t.entity(n) for n in ENTITIES}, shared_path(t.spark, "entities")))
+    rows = [df.select(F.lit(n).alias("entity"), "id", "updated_at") for n, df in back.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def pictures(t) -> str:
+    """Writes a small picture for each photo that has one, as its aspect is, and returns the folder; a folder for each photo.
+
+    Every 7th of the files is missing, every 11th is large, every 13th is no picture, and some belong to no photo.
+    """
+    path = shared_path(t.spark, "pictures")
+    rows = t.raw("orders").select("o_orderkey", F.expr(entity_id("P", "case when mod(o_orderkey, 17) = 0 then o_orderkey + 500000000 else o_orderkey end")).alias("id")).filter("mod(o_orderkey, 5) <> 0 and mod(o_orderkey, 7) <> 0")
+
+    def run(batches):
+        for batch in batches:
+            data = [b"no picture" if k % 13 == 0 else png(k % 4 + 2, 2) + b" " * (2000 if k % 11 == 0 else 0) for k in batch.column("o_orderkey").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(data, pa.binary())], names=["id", "data"])
+
+    rows.mapInArrow(run, "id string, data binary").select("id", F.col("data").cast("string").alias("value")).write.partitionBy("id").text(path)
+    return path
+
+
+def png(width: int, height: int) -> bytes:
+    """A black picture."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    pixels = (b"\0" + b"\0\0\0" * width) * height
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(pixels)) + chunk(b"IEND", b"")
+
+
+_FILES = f"select o_orderkey as k, {entity_id('P', 'case when mod(o_orderkey, 17) = 0 then o_orderkey + 500000000 else o_orderkey end')} as id from orders where mod(o_orderkey, 5) <> 0 and mod(o_orderkey, 7) <> 0"
+
+
+@query("photo_blob_catalog", """select coalesce(p.id, f.id) as photo_id, case when p.id is null then 'orphan_file' when f.id is null then 'missing' when mod(f.k, 11) = 0 and mod(f.k, 13) <> 0 then 'too_large' when p.mime_type not like 'image/%' then 'bad_mime' else 'stored' end as status
+    from (select id, blob_path, case when id like '%5' then 'text/plain' else mime_type end as mime_type from photos) p full join files f on f.id = p.id where p.blob_path is not null or f.id is not null""", files=_FILES)
+def _(t):
+    photos = t.ph.withColumn("mime_type", F.when(F.col("id").endswith("5"), "text/plain").otherwise(F.col("mime_type")))
+    return photo_blob_catalog(photos, pictures(t), 1000, r"/id=([A-Z2-7]{13})/").select("photo_id", "status")
+
+
+@query("photo_aspect", "select id, mod(k, 13) <> 0 as readable, case when mod(k, 13) <> 0 then (mod(k, 4) + 2) / 2::double end as aspect from files", files=_FILES)
 def _(t):
-    path = write_entities({n: t.entity(n) for n in ENTITIES}, shared_path(t.spark, "entities"))
-    return load_entities(t.spark, path)["stations"]
+    return photo_aspect(t.spark, pictures(t)).select(F.regexp_extract("path", r"/id=([A-Z2-7]{13})/", 1).alias("id"), (F.coalesce("width", F.lit(0)) > 0).alias("readable"), "aspect")
 
 
 _BODY = """case mod(event_id, 9) when 0 then '{"lat": 47.5}' when 1 then '{"lat": 1, "bogus": 2}' when 2 then 'no json' when 3 then '{"lat": "x", "lng": 2}'
@@ -282,6 +327,11 @@ def _(t):
     return reads.station_preview(t.st, t.ph, t.im, t.cp, t.sql(_REQUESTED, nation=t.raw("nation")))
 
 
+@query("station_preview_cones", f"select s.id as station_id, p.id as photo_id, {r('p.photo_az + p.size_rad / 2')} as az_l, {r('p.photo_az - p.size_rad / 2')} as az_r from stations s join (select distinct id from requested) q on q.id = s.id join photos p on p.station_id = s.id", requested=_REQUESTED)
+def _(t):
+    return near(reads.station_preview_cones(t.ph, t.sql(_REQUESTED, nation=t.raw("nation"))), "az_l", "az_r")
+
+
 _ANCHORED = "select p.station_id, i.photo_id, i.id, i.u, i.v, i.control_point_id, c.est_lat, c.est_lng from image_measurements i join photos p on p.id = i.photo_id join control_points c on c.id = i.control_point_id where c.est_lat is not null and c.est_lng is not null"
 _PRIORS = "select x.station_id, m.control_point_id, m.id as map_measurement_id, m.lat, m.lng, 30::double as sigma_m from map_measurements m join (select distinct station_id, control_point_id from anchored) x on x.control_point_id = m.control_point_id"
 
@@ -309,7 +359,7 @@ def _(t):
     return reads.pin_on_photo(t.im)
 
 
-@query("linked_measurements", "select a.id as measurement_id, a.kind, a.control_point_id, b.id as other_id, b.kind as other_kind from linked a join linked b on a.control_point_id = b.control_point_id and (a.id <> b.id or a.kind <> b.kind)", linked="select id, 'image' as kind, control_point_id from image_measurements where control_point_id is not null union all select id, 'map', control_point_id from map_measurements where control_point_id is not null")
+@query("linked_measurements", "select id as measurement_id, kind, control_point_id, (count(*) filter (where kind = 'image') over w - case when kind = 'image' then 1 else 0 end)::bigint as n_image, (count(*) filter (where kind = 'map') over w - case when kind = 'map' then 1 else 0 end)::bigint as n_map from linked window w as (partition by control_point_id)", linked="select id, 'image' as kind, control_point_id from image_measurements where control_point_id is not null union all select id, 'map', control_point_id from map_measurements where control_point_id is not null")
 def _(t):
     return reads.linked_measurements(t.im, t.mm)
 
@@ -468,6 +518,14 @@ def _(t):
     return changes.apply_patches(t.ph, t.sql(_PATCHES), "photo").select("id", *_POSE6)
 
 
+_STRAY = _PATCHES.replace("mod(event_id * 31, n) + 1", "mod(event_id * 31, 2 * n) + 1")
+
+
+@query("rejected_patches", "select seq, id, 'not found' as reason from patches where id not in (select id from photos)", patches=_STRAY)
+def _(t):
+    return changes.rejected_patches(t.ph, t.sql(_STRAY))
+
+
 _CP_PATCHES = f"select event_id as seq, {entity_id('C', 'mod(event_id * 7, n) + 1')} as id, case when mod(event_id, 3) = 0 then null else concat('d', cast(event_id as string)) end as description, case when mod(event_id, 2) = 0 then null else concat('n', cast(event_id as string)) end as notes, case when mod(event_id, 5) = 0 then null else cast(47 as double) end as est_lat, cast(-122 as double) as est_lng, cast(null as double) as est_alt, cast(null as timestamp) as started_at, cast(null as timestamp) as ended_at from (select e.event_id, c.n from events e cross join (select count(*) as n from part) c) x"
 
 

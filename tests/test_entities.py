@@ -11,6 +11,7 @@ from sightline.functions import geometry as g
 from sightline.functions.ids import assign_ids
 from sightline.operators import changes, integrity, reads, solve, spatial, terrain, validate
 from sightline.sources import entities
+from sightline.streaming import feeds
 
 STAMP = "timestamp_ntz'2020-01-01 00:00:00'"
 
@@ -248,3 +249,141 @@ def test_registered_rings_are_whole(spark):
         assert np.allclose([b.x_min, b.x_max, b.z_min, b.z_max], [x.min(), x.max(), zz.min(), zz.max()], atol=1e-3)
     quads = terrain.ring_quads(terrain.ring_grid(One.st), terrain.ring_bounds(terrain.ring_grid(One.st)))
     assert {r.ring: r["count"] for r in quads.groupBy("ring").count().collect()} == {k: 640 * 640 for k in range(3)}
+
+
+def test_sun_stands_where_it_should(spark):
+    # Noon of the equinox on the equator at Greenwich: overhead; the solstice at 47.6 north, at noon and a quarter of a day before.
+    rows = spark.createDataFrame([(953554050.0, 0.0, 0.0), (961588920.0, 47.6, 0.0), (961567200.0, 47.6, 0.0)], "t double, lat double, lng double")
+    az, alt = g.solar_az_alt("t", "lat", "lng")
+    a, b, c = rows.orderBy(F.col("lat"), F.col("t").desc()).select(F.degrees(az).alias("az"), F.degrees(alt).alias("alt")).collect()
+    assert a.alt > 87 and abs(b.alt - (90 - 47.6 + 23.44)) < 1 and 70 < c.az < 78
+
+
+def brute_panorama(photos, width):
+    """Every cell of every photo's station against every photo, by the ray's place in the photo's frame."""
+    out = {}
+    for j in range(width // 2):
+        for i in range(width):
+            lon, lat = ((i + 0.5) / width - 0.5) * 2 * math.pi, ((j + 0.5) / (width // 2) - 0.5) * math.pi
+            ray = math.cos(lon) * math.cos(lat), math.sin(lat), math.sin(lon) * math.cos(lat)
+            for p, s, az, tilt, roll, size, aspect in photos:
+                a, e = math.atan2(-ray[0], -ray[2]) - az, math.asin(ray[1])
+                right, level, up = -math.cos(e) * math.sin(a), math.cos(e) * math.cos(a), math.sin(e)
+                ahead, above = level * math.cos(tilt) + up * math.sin(tilt), up * math.cos(tilt) - level * math.sin(tilt)
+                if ahead <= 0:
+                    continue
+                x, y = right / ahead, above / ahead
+                u, v = (x * math.cos(roll) + y * math.sin(roll)) / (2 * math.tan(size / 2)) + 0.5, (y * math.cos(roll) - x * math.sin(roll)) * aspect / (2 * math.tan(size / 2)) + 0.5
+                if 0 <= u <= 1 and 0 <= v <= 1:
+                    out.setdefault((s, i, j), []).append(p)
+    return out
+
+
+def test_panorama_in_runs_is_that_of_all_cells(spark):
+    import random
+
+    rng = random.Random(3)
+    photos = [(f"p{k}", f"s{k % 3}", rng.uniform(-3.14, 3.14), rng.uniform(-1.5, 1.5), rng.uniform(-3, 3), rng.choice([0.03, 0.2, 0.9, 2.6]), rng.uniform(0.5, 2)) for k in range(24)]
+    ph = spark.createDataFrame(photos, "id string, station_id string, photo_az double, photo_tilt double, photo_roll double, size_rad double, aspect double")
+    width = 64
+    runs = spatial.panorama_coverage(ph, width)
+    rows, want = runs.collect(), brute_panorama(photos, width)
+    got = {(r.station_id, i, r.j): r.photo_ids for r in rows for i in range(r.i_first, r.i_last + 1)}
+    assert len(got) == sum(r.i_last - r.i_first + 1 for r in rows) == 3 * width * width // 2
+    assert {k: v for k, v in got.items() if v} == {k: sorted(v) for k, v in want.items()} and all(r.n_photos == len(r.photo_ids) for r in rows)
+    shares = {r.station_id: r.uncovered for r in spatial.panorama_uncovered(runs, width).collect()}
+    assert all(abs(shares[s] - sum(k[0] == s and not v for k, v in got.items()) / (width * width // 2)) < 1e-9 for s in shares)
+
+
+def test_boxes_of_any_size_have_few_cells(spark):
+    import random
+
+    rng = random.Random(5)
+    boxes = [("world", -180.0, -90.0, 180.0, 90.0), ("point", 10.0, 10.0, 10.0, 10.0), ("none", 1.0, 1.0, 0.0, 0.0)] + [(f"b{k}", x, y, x + w, y + h) for k in range(40) for x, y, w, h in [(rng.uniform(-180, 100), rng.uniform(-90, 60), 10 ** rng.uniform(-4, 1.8), 10 ** rng.uniform(-4, 1.4))]]
+    points = [(f"p{k}", rng.uniform(-90, 90), rng.uniform(-180, 180)) for k in range(800)] + [("at", 10.0, 10.0), ("edge", 90.0, 180.0)]
+    got = {(r.box_id, r.id) for r in reads.boxes_join(spark.createDataFrame(boxes, "box_id string, min_lng double, min_lat double, max_lng double, max_lat double"), spark.createDataFrame(points, "id string, lat double, lng double")).collect()}
+    assert got == {(b, p) for b, x0, y0, x1, y1 in boxes for p, lat, lng in points if x0 <= lng <= x1 and y0 <= lat <= y1}
+
+
+def test_previews_in_blocks(spark):
+    st = spark.createDataFrame([(f"s{k}",) for k in range(9)], "id string")
+    ph = spark.createDataFrame([("p1", "s1")], "id string, station_id string")
+    im = spark.createDataFrame([("i1", "p1", "c1")], "id string, photo_id string, control_point_id string")
+    cp = spark.createDataFrame([("c1", 1.0, 1.0, ""), ("c2", 1.0, 1.0, ""), ("c3", None, 1.0, "")], "id string, est_lat double, est_lng double, description string")
+    asked = st.filter("id < 's7'").unionByName(st)
+    one, many = (sorted(map(tuple, reads.station_preview(st, ph, im, cp, asked, n).collect())) for n in (10_000, 2))
+    assert one == many and len(one) == 18 and [r for r in one if r[2]] == [("s1", "c1", True)]
+
+
+def test_linked_to_a_selection(spark):
+    im = spark.createDataFrame([("i1", "c1"), ("i2", "c1"), ("i3", None)], "id string, control_point_id string")
+    mm = spark.createDataFrame([("m1", "c1"), ("i1", "c2")], "id string, control_point_id string")
+    classes = {(r.measurement_id, r.kind): (r.control_point_id, r.n_image, r.n_map) for r in reads.linked_measurements(im, mm).collect()}
+    assert classes == {("i1", "image"): ("c1", 1, 1), ("i2", "image"): ("c1", 1, 1), ("m1", "map"): ("c1", 2, 0), ("i1", "map"): ("c2", 0, 0)}
+    chosen = spark.createDataFrame([("i1", "image"), ("i1", "image")], "measurement_id string, kind string")
+    assert {(r.other_id, r.other_kind) for r in reads.linked_to(im, mm, chosen).collect()} == {("i2", "image"), ("m1", "map")}
+
+
+def station_rows(spark):
+    return spark.createDataFrame([(f"s{k}", 1.0, 1.0, f"n{k}") for k in range(6)], "id string, lat double, lng double, name string").withColumns({"created_at": F.expr(STAMP), "updated_at": F.expr(STAMP)})
+
+
+def patch_stream(spark, path, rows):
+    schema = "seq long, id string, lat double, lng double, name string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).parquet(path)
+
+
+def test_streams_keep_each_other_s_updates(spark, tmp_path):
+    store = feeds.Store(spark, str(tmp_path / "store"), most_changes=3)
+    store.create("stations", station_rows(spark))
+    rejected = []
+    for k in range(5):
+        stream = patch_stream(spark, str(tmp_path / f"feed{k}"), [(1, f"s{k}", 2.0, 2.0, f"stream {k}"), (2, "zz", 0.0, 0.0, None)])
+        feeds.stream_apply_patches(stream, store, "stations", "station", str(tmp_path / f"state{k}"), rejects=lambda df, n: rejected.extend(r.id for r in df.collect())).awaitTermination()
+    assert {r.id: r.name for r in store.read("stations").collect()} == {f"s{k}": f"stream {k}" if k < 5 else "n5" for k in range(6)}
+    assert rejected == ["zz"] * 5 and len(store.log("stations")) <= 4
+    # A stream that goes on, and a batch that runs again.
+    stream = patch_stream(spark, str(tmp_path / "feed4"), [(3, "s4", 3.0, 3.0, "more")])
+    feeds.stream_apply_patches(stream, store, "stations", "station", str(tmp_path / "state4")).awaitTermination()
+    before = store.log("stations")
+    for name in ("1", ".1.crc"):
+        (tmp_path / "state4" / "commits" / name).unlink()
+    feeds.stream_apply_patches(spark.readStream.schema(stream.schema).parquet(str(tmp_path / "feed4")), store, "stations", "station", str(tmp_path / "state4")).awaitTermination()
+    assert store.log("stations") == before and {r.id: r.name for r in store.read("stations").collect()}["s4"] == "more"
+    # Only touched rows are written for a batch.
+    assert spark.read.parquet(str(tmp_path / "store" / "stations" / before[-1][1])).count() in (1, 6)
+
+
+def test_status_names_the_latest_link(spark):
+    rows = [("image", None, "c1", 1, "a"), ("map", None, "c1", 2, "b"), ("image", "c1", "c2", 3, "a"), ("map", "c1", None, 4, "b")]
+    got = {r.control_point_id: (r.n_image, r.n_map, r.solvable, r.latest_link) for r in feeds.cp_status(spark.createDataFrame(rows, "kind string, old_cp string, new_cp string, seq long, measurement_id string")).collect()}
+    assert got == {"c1": (0, 0, False, "b"), "c2": (1, 0, False, "a")}
+
+
+def test_large_stations_are_solved_alike(spark, monkeypatch):
+    import numpy as np
+
+    st, ph, an, pr = poses(spark, 20.0)
+    rows = an.join(ph.withColumnRenamed("id", "photo_id"), "photo_id").join(st.select(F.col("id").alias("station_id"), F.col("lat").alias("st_lat"), F.col("lng").alias("st_lng")), "station_id").filter("station_id = 's1'").toPandas()
+    held = pr.filter("station_id = 's1'").toPandas().rename(columns={"control_point_id": "point", "lat": "p_lat", "lng": "p_lng"})
+    p = solve.StationProblem(rows, held, True, False)
+    # The sparse Jacobian against one that moves each unknown of the whole state.
+    x, r = p.value, p.residuals(p.value)
+    whole = np.stack([(p.residuals(p.clamped(x + e)) - p.residuals(p.clamped(x - e))) / (2 * solve.EPS) for e in np.eye(len(x))[p.free] * solve.EPS], 1)
+    want = np.linalg.solve(whole.T @ whole + solve.DAMPING * np.eye(len(p.free)), -whole.T @ r)
+    assert np.allclose(p.step(x, r), want, rtol=1e-4, atol=1e-7)
+    a, rms_a, _ = p.solve()
+    monkeypatch.setattr(solve, "DENSE", 0)
+    b, rms_b, _ = p.solve()
+    assert np.allclose(a, b, atol=1e-5) and abs(rms_a - rms_b) < 1e-6
+
+
+def test_many_stations_over_one_tile(spark, monkeypatch):
+    st = spark.createDataFrame([(f"s{k}", 47.6 + k / 1e4, -122.3) for k in range(12)], "id string, lat double, lng double")
+    tiles = terrain.tile_windows(st).select("z", "x", "y").distinct().withColumn("elev", F.transform(F.sequence(F.lit(0), F.lit(65535)), lambda k: (k % 97 + F.col("x") % 5).cast("double")))
+    rings = terrain.with_stride(64)
+    total = lambda: terrain.ring_vertices(st, tiles, rings).groupBy("station_id", "ring").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("y"), 3).alias("y")).orderBy("station_id", "ring").collect()
+    one = total()
+    monkeypatch.setattr(terrain, "WINDOWS_A_COPY", 3)
+    assert total() == one and all(r.n == 21 * 21 for r in one)
