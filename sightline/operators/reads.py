@@ -6,6 +6,7 @@ broadcast or shuffle to Spark, by size. Children are aggregated before they are
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -32,17 +33,49 @@ def newest(df: DataFrame, n: int = LIST_CAP) -> DataFrame:
     return df.orderBy(F.col("created_at").desc(), "id").limit(n)
 
 
-def stations_in_bbox(st: DataFrame, bbox: str, limit: int = LIST_CAP) -> DataFrame:
+CELL_ZOOM = 12
+CELL_ROWS = 64
+
+
+def with_cell(df: DataFrame, lat: str = "lat", lng: str = "lng", zoom: int = CELL_ZOOM) -> DataFrame:
+    """`df` with cell, a map cell's number, row by row from the north. A table that is sorted by it before it is written needs
+    only the files and row groups of a box's cells to be read for that box."""
+    last = F.lit(float((1 << zoom) - 1))
+    whole = lambda c: F.floor(F.greatest(F.lit(0.0), F.least(last, c))).cast("long")
+    row = whole(lat_to_tile_y(F.greatest(F.lit(-85.0), F.least(F.lit(85.0), F.col(lat))), F.lit(zoom)))
+    return df.withColumn("cell", row * (1 << zoom) + whole(lng_to_tile_x(F.col(lng), F.lit(zoom))))
+
+
+def in_cells(west: float, south: float, east: float, north: float, zoom: int = CELL_ZOOM) -> Column:
+    """Whether `cell` may lie in a box: a range for each row of cells, or one range for all where there are many rows."""
+    side = 1 << zoom
+    spot = lambda x: max(0, min(side - 1, math.floor(x)))
+    row = lambda lat: spot((0.5 - math.asinh(math.tan(math.radians(max(-85.0, min(85.0, lat))))) / (2 * math.pi)) * side)
+    # A cell more on each side, for what rounding may move.
+    first, last = max(0, row(north) - 1), min(side - 1, row(south) + 1)
+    left, right = (max(0, min(side - 1, spot((lng + 180) / 360 * side) + k)) for lng, k in ((west, -1), (east, 1)))
+    if last - first >= CELL_ROWS:
+        return F.col("cell").between(first * side, (last + 1) * side - 1)
+    hit = F.lit(False)
+    for k in range(first, last + 1):
+        hit = hit | F.col("cell").between(k * side + left, k * side + right)
+    return hit
+
+
+def _in_box(df: DataFrame, bbox: str, lat: str, lng: str) -> DataFrame:
     west, south, east, north = parse_bbox(bbox)
-    return newest(st.filter(F.col("lng").between(west, east) & F.col("lat").between(south, north)), limit)
+    inside = F.col(lng).between(west, east) & F.col(lat).between(south, north)
+    return df.filter(in_cells(west, south, east, north) & inside if "cell" in df.columns else inside)
+
+
+def stations_in_bbox(st: DataFrame, bbox: str, limit: int = LIST_CAP) -> DataFrame:
+    """The newest stations in a box. If the table has a cell (with_cell), the scan leaves out what lies elsewhere."""
+    return newest(_in_box(st, bbox, "lat", "lng"), limit)
 
 
 def control_points_in_bbox(cp: DataFrame, bbox: str | None = None, limit: int = LIST_CAP) -> DataFrame:
     """Points without an estimate are left out only if there is a box."""
-    if bbox is None:
-        return newest(cp, limit)
-    west, south, east, north = parse_bbox(bbox)
-    return newest(cp.filter(F.col("est_lng").between(west, east) & F.col("est_lat").between(south, north)), limit)
+    return newest(cp if bbox is None else _in_box(cp, bbox, "est_lat", "est_lng"), limit)
 
 
 def boxes_join(boxes: DataFrame, points: DataFrame, most_zoom: int = 14) -> DataFrame:

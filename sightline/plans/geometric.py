@@ -44,6 +44,13 @@ def _(t):
     return near(near(out, *(c for c in cols if c not in ("x", "z"))), "metres", "x", "z", digits=3)
 
 
+@query("scalar_vectors", f"""select id, {r('atan2(-x, -z)')} as az, {r('asin(y / sqrt(x * x + y * y + z * z))')} as alt, strftime(created_at, '%Y-%m-%dT%H:%M') as local from (
+    select id, created_at, -3 * cos(photo_tilt) * sin(photo_az) as x, 3 * sin(photo_tilt) as y, -3 * cos(photo_tilt) * cos(photo_az) as z from photos)""")
+def _(t):
+    az, alt = g.vec_to_az_alt(*(3 * v for v in g.dir_from_az_alt("photo_az", "photo_tilt")))
+    return near(t.ph.select("id", az.alias("az"), alt.alias("alt"), g.local_datetime("created_at").alias("local")), "az", "alt")
+
+
 # --- geometry jobs --------------------------------------------------------------------------------------------------
 
 

@@ -387,3 +387,17 @@ def test_many_stations_over_one_tile(spark, monkeypatch):
     one = total()
     monkeypatch.setattr(terrain, "WINDOWS_A_COPY", 3)
     assert total() == one and all(r.n == 21 * 21 for r in one)
+
+
+@pytest.mark.parametrize("box", ["-122.1,47.4,-121.9,47.6", "-180,-90,180,90", "10,10,10,10", "-179.9,80,179.9,89.9"])
+def test_cells_of_a_box(spark, tmp_path, box):
+    import random
+
+    rng = random.Random(6)
+    rows = [(f"{k:04d}", *rng.choice([(rng.uniform(-90, 90), rng.uniform(-180, 180)), (rng.uniform(47, 48), rng.uniform(-123, -121))])) for k in range(3000)] + [("at", 10.0, 10.0), ("pole", 90.0, 180.0)]
+    st = spark.createDataFrame(rows, "id string, lat double, lng double").withColumn("created_at", F.expr(STAMP))
+    reads.with_cell(st).repartitionByRange(4, "cell").sortWithinPartitions("cell").write.parquet(str(tmp_path / "st"))
+    stored = spark.read.parquet(str(tmp_path / "st"))
+    found = reads.stations_in_bbox(stored, box, 5000)
+    assert sorted(r.id for r in found.collect()) == sorted(r.id for r in reads.stations_in_bbox(st, box, 5000).collect())
+    assert "PushedFilters" in found._jdf.queryExecution().toString() and "cell" in found._jdf.queryExecution().toString().split("PushedFilters")[1][:400]
