@@ -119,32 +119,21 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
 
 
-def chunk_keys(docs: DataFrame, over_words: int | None) -> DataFrame:
-    """h1 of all that is looked up; what stands earlier in its own text is left out."""
-
-    def run(batches):
-        for batch in batches:
-            found = [looked_up(t.as_py().split("\n"), over_words) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h1[~again] for _, _, h1, _, again in found] or [np.empty(0, np.int64)]))], names=["h1"])
-
-    return docs.select("text").filter("text is not null").mapInArrow(run, "h1 long")
-
-
 def line_chunks(docs: DataFrame, over_words: int | None) -> DataFrame:
-    """doc_id, t, first, n, h1, h2 of the same."""
+    """doc_id, t, first, n, h1, h2 of all that is looked up, and again: whether the same stands earlier in its own text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             found = [looked_up(t.as_py().split("\n"), over_words) for t in batch.column("text")]
-            row = np.repeat(np.arange(batch.num_rows), [int((~f[4]).sum()) for f in found])
-            columns = [np.concatenate([f[k][~f[4]] for f in found] or [np.empty(0, np.int64)]) for k in range(4)]
-            at = pa.array(row)
+            at = pa.array(np.repeat(np.arange(batch.num_rows), [len(f[0]) for f in found]))
+            first, n, h1, h2, again = (np.concatenate([f[k] for f in found] or [np.empty(0, np.int64)]) for k in range(5))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(at), batch.column("t").take(at), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2]), pa.array(columns[3])], names=["doc_id", "t", "first", "n", "h1", "h2"]
+                [batch.column("doc_id").take(at), batch.column("t").take(at), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(h1), pa.array(h2), pa.array(again.astype(bool))],
+                names=["doc_id", "t", "first", "n", "h1", "h2", "again"],
             )
 
-    return identified(docs).filter("text is not null").mapInArrow(run, f"doc_id {kind}, t long, first int, n int, h1 long, h2 long")
+    return identified(docs).filter("text is not null").mapInArrow(run, f"doc_id {kind}, t long, first int, n int, h1 long, h2 long, again boolean")
 
 
 def covering(spans: list[tuple[int, int]]) -> list[int]:
@@ -199,19 +188,24 @@ def kept_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, over_words: int | None = None) -> DataFrame:
     """`docs` with text freed of repeated chunks (and passages of over `over_words` words), n_lines (of the text before) and n_removed."""
     docs = docs.select(*(c for c in docs.columns if c not in ("n_lines", "n_removed")))
+    chunks = written(line_chunks(docs, over_words), "chunks")
+    once = chunks.filter("not again").drop("again")
     # First the keys alone, which are light; then the places of those that stand twice.
-    twice = written(chunk_keys(docs, over_words).groupBy("h1").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h1"), "keys")
-    hits = written(line_chunks(docs, over_words).join(twice, "h1"), "hits")
+    twice = written(once.groupBy("h1").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h1"), "keys")
+    hits = written(once.join(twice, "h1"), "hits")
     # Those with doc_id first. Two documents at least.
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "t")
     kept = hits.groupBy("h1", "h2").agg(F.min(F.struct(order.alias("who"), "first", "n")).alias("kept"), F.max(order).alias("last")).filter("kept.who <> last")
     kept = written(kept.select("h1", "h2", F.col("kept.who.doc_id").alias("k_id"), F.col("kept.who.t").alias("k_t"), F.col("kept.first").alias("k_first"), F.col("kept.n").alias("k_n")), "kept")
     lost = hits.join(kept.select("h1", "h2", "k_id", "k_t"), ["h1", "h2"]).filter(~(F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("t") == F.col("k_t"))))
-    lost = lost.groupBy("doc_id", "t").agg(F.arrow_udf(covered, "array<struct<first:int,n:int,h1:long,h2:long>>")(F.collect_list(F.struct("first", "n", "h1", "h2"))).alias("lost"))
+    lost = lost.groupBy("doc_id", "t").agg(F.arrow_udf(covered, "array<struct<first:int,n:int,h1:long,h2:long>>")(F.collect_set(F.struct("first", "n", "h1", "h2"))).alias("lost"))
     lost = written(lost.select("doc_id", "t", F.inline("lost")), "lost")
     needed = kept.join(lost.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
     wanted = needed.groupBy("k_id", "k_t").agg(F.collect_list(F.struct(F.col("k_first").alias("first"), F.col("k_n").alias("n"), "h1", "h2")).alias("wanted"))
-    drops = lost.join(kept_bytes(docs, wanted), ["h1", "h2"]).groupBy(F.col("doc_id").alias("_op5_id"), F.col("t").alias("_op5_t")).agg(F.collect_list(F.struct("first", "n", "chunk")).alias("_op5_drops"))
+    # Rows that are copies of a keeper in doc_id and text give the same bytes.
+    proven = lost.join(kept_bytes(docs, wanted).dropDuplicates(["h1", "h2"]), ["h1", "h2"]).select("doc_id", "t", "first", "n", "chunk")
+    inside = chunks.filter("again").select("doc_id", "t", "first", "n").distinct().withColumn("chunk", F.lit(None).cast("string"))
+    drops = proven.unionByName(inside).groupBy(F.col("doc_id").alias("_op5_id"), F.col("t").alias("_op5_t")).agg(F.collect_list(F.struct("first", "n", "chunk")).alias("_op5_drops"))
 
     @F.arrow_udf("text string, n_lines long, n_removed long")
     def freed(texts: pa.Array, drops: pa.Array) -> pa.Array:
@@ -220,16 +214,16 @@ def dedup_lines(docs: DataFrame, over_words: int | None = None) -> DataFrame:
             if (text := text.as_py()) is None:
                 out.append({"text": None, "n_lines": 0, "n_removed": 0})
                 continue
+            if not (found := found.as_py()):
+                out.append({"text": text, "n_lines": text.count("\n") + 1, "n_removed": 0})
+                continue
             lines = text.split("\n")
             gone: set[int] = set()
-            first, n, _, _, again = looked_up(lines, over_words)
-            for i in np.flatnonzero(again):
-                gone.update(range(first[i], first[i] + n[i]))
-            for d in found.as_py() or ():
-                if "\n".join(lines[d["first"] : d["first"] + d["n"]]) == d["chunk"]:
+            for d in found:
+                # What repeats inside its own text was compared there.
+                if d["chunk"] is None or "\n".join(lines[d["first"] : d["first"] + d["n"]]) == d["chunk"]:
                     gone.update(range(d["first"], d["first"] + d["n"]))
-            left = "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text
-            out.append({"text": left, "n_lines": len(lines), "n_removed": len(gone)})
+            out.append({"text": "\n".join(x for i, x in enumerate(lines) if i not in gone), "n_lines": len(lines), "n_removed": len(gone)})
         return pa.array(out, pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_removed", pa.int64())]))
 
     d = docs.join(drops, same_document(docs, drops, ("_op5_id", "_op5_t")), "left").withColumn("_op5_freed", freed(docs["text"], F.col("_op5_drops")))

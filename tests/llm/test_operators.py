@@ -764,6 +764,27 @@ def test_fingerprints(spark, bits):
     assert all(len(v) == 1 for v in same.values()) and len({f for v in same.values() for f in v}) == len(same)
 
 
+def test_fingerprints_of_null_and_repeated_ids(spark):
+    rows = [(None, "a null"), (None, None), (7, "seven b"), (7, "seven a"), (7, "seven a"), (3, "three"), (9, ""), (-5, "minus five")] + odd()
+    rows = [(i, t) for i, t in rows if t is None or len(t) < 3000]
+    got = fingerprints.edited_fingerprints(frame(spark, rows).repartition(3)).collect()
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (-(1 << 63) if r[0] is None else r[0], r[1]), reverse=True)
+    want = []
+    for at, (i, text) in enumerate(order):
+        after = order[(at + 1) % len(order)][1]
+        k = len(text) // 3
+        edited = text[: len(text) - k] + after[:k]
+        want.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), float(canon(text) == canon(edited)), float(canon(text) == canon(after))))
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_fingerprints_are_native(spark, docs, monkeypatch):
+    plans = []
+    monkeypatch.setattr(fingerprints, "written", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or df)
+    plans.append(fingerprints.edited_fingerprints(frame(spark, odd()))._jdf.queryExecution().toString())
+    assert len(plans) > 2 and not any(re.search("Python|Pandas|Arrow", x) for x in plans)
+
+
 def test_fingerprints_of_odd_tables(spark, docs, empty):
     assert fingerprints.edited_fingerprints(docs).count() == len(odd()) and fingerprints.edited_fingerprints(empty).count() == 0
     alone = fingerprints.edited_fingerprints(frame(spark, [(1, "abcdef")])).first()
