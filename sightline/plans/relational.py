@@ -77,17 +77,22 @@ def _(t):
     return reduce(DataFrame.unionByName, rows)
 
 
+#: Some keys are those of no photo.
+_FILE_KEY = "case when mod(k, 17) = 0 then k + 500000000 else k end"
+
+
 def pictures(t) -> str:
-    """Writes a small picture for each photo that has one, as its aspect is, and returns the folder; a folder for each photo.
+    """Writes a small picture for the first photo of each station, and returns the folder; a folder for each photo.
 
-    Every 7th of the files is missing, every 11th is large, every 13th is no picture, and some belong to no photo.
+    Some of the files are large, some are no pictures, and some belong to no photo.
     """
     path = shared_path(t.spark, "pictures")
-    rows = t.raw("orders").select("o_orderkey", F.expr(entity_id("P", "case when mod(o_orderkey, 17) = 0 then o_orderkey + 500000000 else o_orderkey end")).alias("id")).filter("mod(o_orderkey, 5) <> 0 and mod(o_orderkey, 7) <> 0")
+    first = t.raw("orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("k"))
+    rows = first.select("k", F.expr(entity_id("P", _FILE_KEY)).alias("id"))
 
     def run(batches):
         for batch in batches:
-            data = [b"no picture" if k % 13 == 0 else png(k % 4 + 2, 2) + b" " * (2000 if k % 11 == 0 else 0) for k in batch.column("o_orderkey").to_pylist()]
+            data = [b"no picture" if k % 13 == 0 else png(k % 4 + 2, 2) + b" " * (2000 if k % 11 == 0 else 0) for k in batch.column("k").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(data, pa.binary())], names=["id", "data"])
 
     rows.mapInArrow(run, "id string, data binary").select("id", F.col("data").cast("string").alias("value")).write.partitionBy("id").text(path)
@@ -101,7 +106,7 @@ def png(width: int, height: int) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(pixels)) + chunk(b"IEND", b"")
 
 
-_FILES = f"select o_orderkey as k, {entity_id('P', 'case when mod(o_orderkey, 17) = 0 then o_orderkey + 500000000 else o_orderkey end')} as id from orders where mod(o_orderkey, 5) <> 0 and mod(o_orderkey, 7) <> 0"
+_FILES = f"select k, {entity_id('P', _FILE_KEY)} as id from (select min(o_orderkey) as k from orders group by o_custkey)"
 
 
 @query("photo_blob_catalog", """select coalesce(p.id, f.id) as photo_id, case when p.id is null then 'orphan_file' when f.id is null then 'missing' when mod(f.k, 11) = 0 and mod(f.k, 13) <> 0 then 'too_large' when p.mime_type not like 'image/%' then 'bad_mime' else 'stored' end as status
