@@ -40,6 +40,9 @@ OVER_WORDS = 50
 
 CUTTINGS, CUT_BELOW = 16, 12
 
+#: Losers of one chunk that one copy of its bytes is sent to.
+LOSERS_A_COPY = 1000
+
 _UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]")
 _LANES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -154,12 +157,12 @@ def covering(spans: list[tuple[int, int]]) -> list[int]:
 
 
 def covered(lost: pa.Array) -> pa.Array:
-    """Of each list of (first, n, h1, h2) those that cover its lines."""
+    """Of each list of (first, n, h1, h2, copies) those that cover its lines."""
     out = []
     for spans in lost:
         spans = spans.as_py()
         out.append([spans[i] for i in covering([(s["first"], s["n"]) for s in spans])])
-    return pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])))
+    return pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("copies", pa.int32())])))
 
 
 def same_document(docs: DataFrame, other: DataFrame, names: tuple[str, str]):
@@ -167,22 +170,22 @@ def same_document(docs: DataFrame, other: DataFrame, names: tuple[str, str]):
 
 
 def kept_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h1, h2, chunk: the bytes of each chunk that is kept, out of its keeper's text. wanted: k_id, k_t, wanted (first, n, h1, h2)."""
+    """h1, h2, copies, chunk: the bytes of each chunk that is kept, out of its keeper's text. wanted: for each keeper an array of (first, n, h1, h2, copies)."""
 
     def run(batches):
         for batch in batches:
-            cols: tuple[list, ...] = ([], [], [])
+            cols: tuple[list, ...] = ([], [], [], [])
             for text, wanted in zip(batch.column("text"), batch.column("wanted")):
                 found = wanted.as_py()
                 lines = text.as_py().split("\n") if found else []
                 for w in found or ():
-                    for c, v in zip(cols, (w["h1"], w["h2"], "\n".join(lines[w["first"] : w["first"] + w["n"]]))):
+                    for c, v in zip(cols, (w["h1"], w["h2"], w["copies"], "\n".join(lines[w["first"] : w["first"] + w["n"]]))):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string()))], names=["h1", "h2", "chunk"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.string()))], names=["h1", "h2", "copies", "chunk"])
 
     # The same join as the last one of dedup_lines, without a filter, so that Spark sends the texts to their documents once for both.
-    held = docs.join(wanted, same_document(docs, wanted, ("k_id", "k_t")), "left").select(F.when(F.col("k_t").isNotNull(), docs["text"]).alias("text"), "wanted")
-    return held.mapInArrow(run, "h1 long, h2 long, chunk string")
+    held = docs.join(wanted, same_document(docs, wanted, ("_op5_k_id", "_op5_k_t")), "left").select(F.when(F.col("_op5_k_t").isNotNull(), docs["text"]).alias("text"), F.col("_op5_wanted").alias("wanted"))
+    return held.mapInArrow(run, "h1 long, h2 long, copies int, chunk string")
 
 
 def dedup_lines(docs: DataFrame, over_words: int | None = None) -> DataFrame:
@@ -195,15 +198,18 @@ def dedup_lines(docs: DataFrame, over_words: int | None = None) -> DataFrame:
     hits = written(once.join(twice, "h1"), "hits")
     # Those with doc_id first. Two documents at least.
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "t")
-    kept = hits.groupBy("h1", "h2").agg(F.min(F.struct(order.alias("who"), "first", "n")).alias("kept"), F.max(order).alias("last")).filter("kept.who <> last")
-    kept = written(kept.select("h1", "h2", F.col("kept.who.doc_id").alias("k_id"), F.col("kept.who.t").alias("k_t"), F.col("kept.first").alias("k_first"), F.col("kept.n").alias("k_n")), "kept")
-    lost = hits.join(kept.select("h1", "h2", "k_id", "k_t"), ["h1", "h2"]).filter(~(F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("t") == F.col("k_t"))))
-    lost = lost.groupBy("doc_id", "t").agg(F.arrow_udf(covered, "array<struct<first:int,n:int,h1:long,h2:long>>")(F.collect_set(F.struct("first", "n", "h1", "h2"))).alias("lost"))
+    kept = hits.groupBy("h1", "h2").agg(F.min(F.struct(order.alias("who"), "first", "n")).alias("kept"), F.max(order).alias("last"), F.count(F.lit(1)).alias("times")).filter("kept.who <> last")
+    copies = F.ceil(F.col("times") / LOSERS_A_COPY).cast("int").alias("copies")
+    kept = written(kept.select("h1", "h2", copies, F.col("kept.who.doc_id").alias("k_id"), F.col("kept.who.t").alias("k_t"), F.col("kept.first").alias("k_first"), F.col("kept.n").alias("k_n")), "kept")
+    lost = hits.join(kept.select("h1", "h2", "k_id", "k_t", "copies"), ["h1", "h2"]).filter(~(F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("t") == F.col("k_t"))))
+    lost = lost.groupBy("doc_id", "t").agg(F.arrow_udf(covered, "array<struct<first:int,n:int,h1:long,h2:long,copies:int>>")(F.collect_set(F.struct("first", "n", "h1", "h2", "copies"))).alias("lost"))
     lost = written(lost.select("doc_id", "t", F.inline("lost")), "lost")
     needed = kept.join(lost.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
-    wanted = needed.groupBy("k_id", "k_t").agg(F.collect_list(F.struct(F.col("k_first").alias("first"), F.col("k_n").alias("n"), "h1", "h2")).alias("wanted"))
-    # Rows that are copies of a keeper in doc_id and text give the same bytes.
-    proven = lost.join(kept_bytes(docs, wanted).dropDuplicates(["h1", "h2"]), ["h1", "h2"]).select("doc_id", "t", "first", "n", "chunk")
+    wanted = needed.groupBy(F.col("k_id").alias("_op5_k_id"), F.col("k_t").alias("_op5_k_t")).agg(F.collect_set(F.struct(F.col("k_first").alias("first"), F.col("k_n").alias("n"), "h1", "h2", "copies")).alias("_op5_wanted"))
+    # Rows that are copies of a keeper in doc_id and text give the same bytes. A chunk that very many lose is sent in several copies.
+    chunk_bytes = kept_bytes(docs, wanted).dropDuplicates(["h1", "h2"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    losers = lost.withColumn("copy", F.pmod(F.xxhash64("doc_id", "t"), F.col("copies")).cast("int")).drop("copies")
+    proven = losers.join(chunk_bytes, ["h1", "h2", "copy"]).select("doc_id", "t", "first", "n", "chunk")
     inside = chunks.filter("again").select("doc_id", "t", "first", "n").distinct().withColumn("chunk", F.lit(None).cast("string"))
     drops = proven.unionByName(inside).groupBy(F.col("doc_id").alias("_op5_id"), F.col("t").alias("_op5_t")).agg(F.collect_list(F.struct("first", "n", "chunk")).alias("_op5_drops"))
 

@@ -19,7 +19,7 @@ import corpus_pipeline
 from sightline.llm import decontamination, fingerprints, jaccard_join, language, license_scan, line_dedup, lm_scoring, packing, sharding, token_counts, tokens
 from sightline.llm.components import components
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, slot int, score string, lang_pred string, n_lines string, h1 string, c string, word string, key string, bucket int, spans string, record string, n int, items string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, slot int, score string, lang_pred string, n_lines string, h1 string, c string, word string, key string, bucket int, spans string, record string, n int, items string, k_t string, wanted string, copies int, first int, bases string, t long"
 SYLLABLES = {"en": "th er on an re he in ed nd ha".split(), "de": "sch ung ein ich der die zu ge ß ü".split(), "fr": "eau ou é à ch ment tion en la qu".split(), "es": "ción ado os as ñ ll el que ía rr".split()}
 WORD = re.compile(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -36,7 +36,7 @@ def odd():
 
 
 def frame(spark, rows, lang=None):
-    return spark.createDataFrame([(i, t, lang, "s", None, *[None] * 14) for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, lang, "s", None, *[None] * 20) for i, t in rows], SCHEMA)
 
 
 @pytest.fixture(scope="module")
