@@ -213,7 +213,9 @@ def photo_spans(ph: DataFrame, width: int = PANORAMA_CELLS) -> DataFrame:
             parts = [pa.array(np.concatenate([f[k] for f in found] or [[]]).astype(np.int32)) for k in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column("station_id").take(at), batch.column("photo_id").take(at), *parts], names=["station_id", "photo_id", "j", "i_first", "i_last"])
 
-    return _planes(ph).mapInArrow(run, "station_id string, photo_id string, j int, i_first int, i_last int")
+    # Photos are light and their cells are many, so they are dealt to all tasks first.
+    parts = int(ph.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _planes(ph).repartition(parts, "photo_id").mapInArrow(run, "station_id string, photo_id string, j int, i_first int, i_last int")
 
 
 def panorama_coverage(ph: DataFrame, width: int = PANORAMA_CELLS) -> DataFrame:
