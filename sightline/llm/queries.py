@@ -13,13 +13,14 @@ from sightline.llm.lm_scoring import op9_lm_scoring
 from sightline.llm.packing import op6_packing
 from sightline.llm.ranked_search import OP12_SQL, op12_ranked_search
 from sightline.llm.sharding import op1_sharding
+from sightline.llm.spelling import op13_spelling_variants
 from sightline.llm.token_counts import op4_token_counts
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sharding, op2_language, op3_license_scan, op4_token_counts, op5_line_dedup, op6_packing, op7_ngram_jaccard_join, op8_decontamination, op9_lm_scoring, op10_fingerprints,
-        op11_best_fit_packing, op12_ranked_search,
+        op11_best_fit_packing, op12_ranked_search, op13_spelling_variants,
     )
 }
 
