@@ -18,3 +18,14 @@ def id_of(key: Column) -> Column:
 def assign_ids(df: DataFrame, key_col: str) -> DataFrame:
     """`df` with id. The same key always gives the same id, so a job that runs again names its rows alike."""
     return df.withColumn("id", id_of(F.col(key_col).cast("long")))
+
+
+#: Bits of a member's number in a key that is made of an owner's key and that number.
+MEMBER_BITS = 24
+
+
+def pair_key(owner: Column, member: Column) -> Column:
+    """The key of an owner's member (from 0): both side by side, so different pairs have different keys."""
+    fits = (owner >= 0) & (owner < F.lit(1 << (63 - MEMBER_BITS))) & (member >= 0) & (member < F.lit(1 << MEMBER_BITS))
+    told = F.concat(F.lit("no key for the pair "), owner.cast("string"), F.lit(", "), member.cast("string"))
+    return F.when(fits, F.shiftleft(owner.cast("long"), MEMBER_BITS) + member.cast("long")).otherwise(F.raise_error(told).cast("long"))

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.functions.ids import id_of
+from sightline.functions.ids import id_of, pair_key
 from sightline.operators.reads import pin_on_photo
 from sightline.operators.validate import photo_create_defaults, validate_control_points, validate_image_measurements, validate_map_measurements, validate_photos, validate_stations
-from sightline.schema import DEFAULT_SIZE_RAD
+from sightline.schema import DEFAULT_SIZE_RAD, ENTITIES
 
 VALIDATORS = {"station": validate_stations, "photo": validate_photos, "map_measurement": validate_map_measurements, "image_measurement": validate_image_measurements, "control_point": validate_control_points}
 
@@ -57,6 +57,65 @@ def apply_patches(base: DataFrame, patches: DataFrame, entity: str) -> DataFrame
     return base.join(last, "id", "left").select(*(value.get(c, F.col(c)).alias(c) for c in base.columns))
 
 
+#: Of rows as they were created: older than any patch.
+OLDEST = -(1 << 63)
+
+
+def _version(seq) -> Column:
+    """What orders the values of a part of a row: the patch's seq, and how often it was solved since."""
+    return F.struct(F.coalesce(seq, F.lit(OLDEST)).cast("long").alias("seq"), F.lit(0).alias("step"))
+
+
+def _whole(columns: list[str], entity: str) -> list[str]:
+    """Columns that no patch changes; updated_at is that of the creation."""
+    return [c for c in columns if c not in (*OVERWRITTEN[entity], *KEPT.get(entity, []), "id", "known", "at", "v_over", *(f"v_{k}" for k in KEPT.get(entity, [])))]
+
+
+def first_versions(rows: DataFrame, entity: str) -> DataFrame:
+    """Rows as they were created, as versions: known (this is the row itself, not a patch), at (the time of the last patch),
+    v_over (the version of what a patch overwrites), v_<column> of each kept column."""
+    return rows.select("*", F.lit(True).alias("known"), F.lit(None).cast("timestamp_ntz").alias("at"), *(_version(F.lit(None)).alias(v) for v in ("v_over", *(f"v_{c}" for c in KEPT.get(entity, [])))))
+
+
+def patch_versions(patches: DataFrame, entity: str) -> DataFrame:
+    """A row for each id that is patched, in the shape of first_versions but without the columns that no patch changes."""
+    over, kept = OVERWRITTEN[entity], KEPT.get(entity, [])
+    at = F.col("at") if "at" in patches.columns else F.lit(None)
+    value = {c: F.coalesce(c, F.lit(1.0)) if (entity, c) == ("photo", "opacity") else F.col(c) for c in over}
+    given = {c: F.when(F.col(c).isNotNull(), F.col("seq")) for c in kept}
+    last = patches.groupBy("id").agg(
+        F.max_by(F.struct(*(v.alias(c) for c, v in value.items()), at.cast("timestamp_ntz").alias("at")), "seq").alias("p"), F.max("seq").alias("seq"),
+        *(F.max_by(c, given[c]).alias(c) for c in kept), *(F.max(given[c]).alias(f"seq_{c}") for c in kept),
+    )
+    return last.select("id", "p.*", F.lit(False).alias("known"), _version(F.col("seq")).alias("v_over"), *kept, *(F.when(F.col(f"seq_{c}").isNotNull(), _version(F.col(f"seq_{c}"))).alias(f"v_{c}") for c in kept))
+
+
+def merge_versions(rows: DataFrame, entity: str) -> DataFrame:
+    """One row for each id: of each part the newest version. The same whatever the order of rows, and however often one is there."""
+    over, kept = [*OVERWRITTEN[entity], "at"], KEPT.get(entity, [])
+    whole = _whole(rows.columns, entity)
+    merged = rows.groupBy("id").agg(
+        F.max_by(F.struct(*whole), F.when(F.col("known"), 1)).alias("w"), F.max("known").alias("known"), F.max_by(F.struct(*over), "v_over").alias("o"), F.max("v_over").alias("v_over"),
+        *(F.max_by(c, f"v_{c}").alias(c) for c in kept), *(F.max(f"v_{c}").alias(f"v_{c}") for c in kept),
+    )
+    part = {c: F.col(f"w.{c}") for c in whole} | {c: F.col(f"o.{c}") for c in over}
+    return merged.select(*(part.get(c, F.col(c)).alias(c) for c in rows.columns))
+
+
+def current_rows(versions: DataFrame, entity: str) -> DataFrame:
+    """The entity's columns of merged versions; patches of ids that were never created are no rows."""
+    columns = [f.name for f in ENTITIES[f"{entity}s"] if f.name in versions.columns]
+    return versions.filter("known").select(*(F.coalesce("at", c).alias(c) if c == "updated_at" else F.col(c) for c in columns))
+
+
+def solved_versions(versions: DataFrame, solved: DataFrame) -> DataFrame:
+    """Versions of control points (merged) that have a solution (control_point_id, lat, lng), with it as their estimate, a step newer."""
+    new = solved.select(F.col("control_point_id").alias("id"), F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))
+    newer = F.struct("v_over.seq", (F.col("v_over.step") + 1).alias("step"))
+    value = {"est_lat": F.col("_lat"), "est_lng": F.col("_lng"), "v_over": newer}
+    return versions.join(new, "id").select(*(value.get(c, F.col(c)).alias(c) for c in versions.columns))
+
+
 def rejected_patches(base: DataFrame, patches: DataFrame) -> DataFrame:
     return patches.join(base.select("id"), "id", "left_anti").select("seq", "id", F.lit("not found").alias("reason"))
 
@@ -114,13 +173,15 @@ def create_cp_with_observation(requests: DataFrame) -> dict[str, DataFrame]:
 def start_stations(requests: DataFrame) -> dict[str, DataFrame]:
     """requests (key, lat, lng, name, aspects array<double>, at) → stations, and their photos spread evenly around them.
 
-    A photo that could not be decoded (null aspect) is left out, but the others keep the places they would have had.
+    A photo that could not be decoded (null aspect) is left out, but the others keep the places they would have had. The id of
+    a photo holds its request's key in the upper bits and its number in the lower, so no two photos share one; a key or a
+    number that has more bits than these is an error.
     """
     stamps = [F.col("at").alias("created_at"), F.col("at").alias("updated_at")]
     stations = requests.select(id_of(F.col("key")).alias("id"), "lat", "lng", F.nullif("name", F.lit("")).alias("name"), *stamps)
     each = requests.select("key", "at", F.size("aspects").alias("n"), F.posexplode("aspects").alias("i", "aspect")).filter("aspect is not null")
     photos = each.select(
-        id_of(F.col("key") * 1000 + F.col("i") + 1).alias("id"), id_of(F.col("key")).alias("station_id"), "aspect", (F.col("i") / F.col("n") * F.lit(2 * math.pi)).alias("photo_az"),
+        id_of(pair_key(F.col("key"), F.col("i"))).alias("id"), id_of(F.col("key")).alias("station_id"), "aspect", (F.col("i") / F.col("n") * F.lit(2 * math.pi)).alias("photo_az"),
         F.lit(0.0).alias("photo_tilt"), F.lit(0.0).alias("photo_roll"), F.lit(DEFAULT_SIZE_RAD).alias("size_rad"), F.lit(1.0).alias("opacity"), *stamps,
     )
     return {"stations": stations, "photos": photos}

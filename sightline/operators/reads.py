@@ -11,9 +11,11 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sightline.functions.geometry import lat_to_tile_y, lng_to_tile_x
 from sightline.schema import LIST_CAP
+from sightline.sources.shared import shared_path
 
 _NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?")
 
@@ -183,15 +185,36 @@ def cp_observations(cp: DataFrame, im: DataFrame, ph: DataFrame, st: DataFrame,
     return _or_empty(_or_empty(out, "image_measurements"), "map_measurements")
 
 
-def cp_observation_feed(cp: DataFrame, im: DataFrame, ph: DataFrame, st: DataFrame, mm: DataFrame) -> DataFrame:
-    """control_point_id, kind, seq (order in the list), id, label: map rows first, then image rows, oldest first."""
-    from pyspark.sql.window import Window
+def ranked(df: DataFrame, key: str, order: list[str], name: str, most_rows: int = 1_000_000) -> DataFrame:
+    """`df` with `name`, each row's number from 1 among those of its key, by `order`, which has to tell rows apart.
 
+    Keys with more than `most_rows` rows are dealt to ranges of their order: each range counts and numbers its own rows, and the
+    sum of the ranges before makes that a number of the whole. So no task sorts a popular key alone.
+    """
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most_rows)
+    n_rows = counts.agg(F.sum("_n")).first()[0]
+    number = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    if not n_rows:
+        return df.withColumn(name, number.cast("long"))
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // most_rows))
+    large = df.join(counts.select(key), key, "left_semi").repartitionByRange(ranges, key, *order).withColumn("_part", F.spark_partition_id())
+    # Written, so that what counts the ranges and what numbers their rows see the same ranges.
+    path = shared_path(df.sparkSession, "ranges")
+    large.write.parquet(path)
+    large = df.sparkSession.read.schema(large.schema).parquet(path)
+    before = large.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n")).select(key, "_part", (F.sum("_n").over(Window.partitionBy(key).orderBy("_part")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order))
+    split = large.withColumn("_own", own).join(before, [key, "_part"]).select(*df.columns, (F.col("_before") + F.col("_own")).alias(name))
+    return df.join(counts.select(key), key, "left_anti").withColumn(name, number.cast("long")).unionByName(split)
+
+
+def cp_observation_feed(cp: DataFrame, im: DataFrame, ph: DataFrame, st: DataFrame, mm: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """control_point_id, kind, seq (order in the list), id, label: map rows first, then image rows, oldest first."""
     station = F.coalesce("station_name", F.concat(F.lit("(untitled "), F.substring("station_id", 1, 6), F.lit(")")))
     maps = cp_map_observations(mm).select("control_point_id", F.lit("map").alias("kind"), F.lit(0).alias("rank"), "created_at", "id", F.concat(F.lit("observed at "), fixed("lat", 5), F.lit(", "), fixed("lng", 5)).alias("label"))
     images = cp_image_observations(im, ph, st).select("control_point_id", F.lit("image").alias("kind"), F.lit(1).alias("rank"), "created_at", "id", F.concat(uv_label(), F.lit(" in "), station).alias("label"))
     both = maps.unionByName(images).join(cp.select(F.col("id").alias("control_point_id")), "control_point_id", "left_semi")
-    return both.select("control_point_id", "kind", F.row_number().over(Window.partitionBy("control_point_id").orderBy("rank", "created_at", "id")).alias("seq"), "id", "label")
+    return ranked(both, "control_point_id", ["rank", "created_at", "id"], "seq", most_rows).select("control_point_id", "kind", "seq", "id", "label")
 
 
 def _only(df: DataFrame, ids: DataFrame | None, key: str) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sightline.functions import geometry as g
 from sightline.operators.reads import located_control_points, station_located_cps
@@ -72,19 +73,62 @@ def _screen(y: float) -> tuple[Column, Column, Column]:
     return F.col("right") * F.col("scale_x") / depth, up * F.col("scale_y") / depth, F.lit(-(FAR_M + NEAR_M) / span) + F.lit(2 * FAR_M * NEAR_M / span) / depth
 
 
-def match_clicks_to_columns(clicks: DataFrame, st: DataFrame, located: DataFrame, radius: float = 0.01) -> DataFrame:
-    """clicks (click_id, station_id, ndc_x, ndc_y, cam_az, cam_alt, fov_deg, aspect) and a station's located points
-    (station_id, control_point_id, lat, lng) → click_id, control_point_id, dist: the nearest column closer than radius, or null.
+#: Bins of azimuth about a station: for clicks, which see a degree or two, and for photos, which see a sixth of the circle.
+CLICK_BINS, PHOTO_BINS = 360, 32
+
+
+def _bin(x: Column, z: Column, bins: int) -> Column:
+    """The bin of the azimuth in which a point lies from its station; -1 for a point that stands at the station, which has none."""
+    at = F.floor(F.pmod(F.atan2(-x, -z), F.lit(g.TAU)) * (bins / g.TAU)).cast("int")
+    return F.when((x == 0) & (z == 0), F.lit(-1)).otherwise(F.least(at, F.lit(bins - 1)))
 
-    Trigonometry is done once a click and once a point, before the two meet.
+
+def _bins_in_reach(az: Column, high: Column, reach: Column, bins: int, behind: bool = False) -> Column:
+    """All bins that rays within an angle `reach` of one of azimuth `az` and altitude `high` can have; behind: and those opposite."""
+    wide = F.asin(F.least(F.lit(1.0), F.sin(reach) / F.greatest(F.cos(high), F.lit(1e-300)))) + 1e-6
+    first, last = (F.floor((az + side * wide) * (bins / g.TAU)).cast("int") for side in (-1, 1))
+    every = F.sequence(F.lit(0), F.lit(bins - 1))
+    turned = F.transform(F.sequence(first, F.least(last, first + bins - 1)), lambda b: F.pmod(b, F.lit(bins)))
+    seen = F.when(reach + F.abs(high) + 1e-6 >= math.pi / 2, every).otherwise(turned)
+    if behind:
+        seen = F.array_distinct(F.concat(seen, F.transform(seen, lambda b: (b + bins // 2) % bins)))
+    return F.concat(seen, F.array(F.lit(-1)))
+
+
+def _click_bins(radius: float) -> Column:
+    """Bins of the columns that can pass within `radius` of a click.
+
+    What lies on the screen within the radius is seen within an angle of the click's ray, and all points of a column have its
+    azimuth, or, where the screen shows what is behind the camera mirrored, the opposite one.
     """
+    half = F.tan(F.radians("fov_deg") / 2)
+    right, up = F.col("ndc_x") * half * F.col("aspect"), F.col("ndc_y") * half
+    level, high = F.cos("cam_alt") - up * F.sin("cam_alt"), F.sin("cam_alt") + up * F.cos("cam_alt")
+    length = F.sqrt(right * right + up * up + 1.0)
+    reach = F.asin(F.least(F.lit(1.0), half * F.greatest(F.col("aspect"), F.lit(1.0)) * radius / length)) + 1e-9
+    return _bins_in_reach(F.col("cam_az") - F.atan2(right, level), F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), high / length))), reach, CLICK_BINS, True)
+
+
+def click_candidates(clicks: DataFrame, st: DataFrame, located: DataFrame, radius: float = 0.01) -> DataFrame:
+    """All pairs of a click and a column that match_clicks_to_columns looks at."""
     x, z = g.tangent_xz("lat", "lng", "st_lat", "st_lng")
     points = located.join(_places(st), "station_id").select("station_id", "control_point_id", x.alias("px"), z.alias("pz"))
+    points = points.withColumn("bin", _bin(F.col("px"), F.col("pz"), CLICK_BINS))
     zoom = F.lit(1.0) / F.tan(F.radians("fov_deg") / 2)
     views = clicks.select(
-        "click_id", "station_id", "ndc_x", "ndc_y", F.sin("cam_az").alias("sin_az"), F.cos("cam_az").alias("cos_az"), F.sin("cam_alt").alias("sin_alt"), F.cos("cam_alt").alias("cos_alt"), (zoom / F.col("aspect")).alias("scale_x"), zoom.alias("scale_y")
+        "click_id", "station_id", "ndc_x", "ndc_y", F.sin("cam_az").alias("sin_az"), F.cos("cam_az").alias("cos_az"), F.sin("cam_alt").alias("sin_alt"), F.cos("cam_alt").alias("cos_alt"), (zoom / F.col("aspect")).alias("scale_x"), zoom.alias("scale_y"), F.explode(_click_bins(radius)).alias("bin")
     )
-    rows = views.join(points, "station_id").withColumn("ahead", -F.col("px") * F.col("sin_az") - F.col("pz") * F.col("cos_az")).withColumn("right", F.col("px") * F.col("cos_az") - F.col("pz") * F.col("sin_az"))
+    return views.join(points, ["station_id", "bin"])
+
+
+def match_clicks_to_columns(clicks: DataFrame, st: DataFrame, located: DataFrame, radius: float = 0.01) -> DataFrame:
+    """clicks (click_id, station_id, ndc_x, ndc_y, cam_az, cam_alt, fov_deg, aspect) and a station's located points
+    (station_id, control_point_id, lat, lng) → click_id, control_point_id, dist: the nearest column closer than radius, or null.
+
+    Points stand in bins of azimuth about their station, and a click meets those in the few bins that it can reach. Trigonometry
+    is done once a click and once a point, before the two meet.
+    """
+    rows = click_candidates(clicks, st, located, radius).withColumn("ahead", -F.col("px") * F.col("sin_az") - F.col("pz") * F.col("cos_az")).withColumn("right", F.col("px") * F.col("cos_az") - F.col("pz") * F.col("sin_az"))
     ax, ay, ad = _screen(COLUMN_LOW_M)
     bx, by, bd = _screen(COLUMN_HIGH_M)
     # The click as seen from the column's foot, and the column from there.
@@ -122,13 +166,22 @@ def _on_photo(ahead: str, right: str, up: str) -> Column:
     return (F.col(ahead) > 0) & within(right, "half_w") & within(up, "half_h")
 
 
-def locate_on_photo(ph: DataFrame, st: DataFrame, cp: DataFrame, im: DataFrame) -> DataFrame:
-    """photo_id, control_point_id, u, v: where the located points that a station observes fall on its photos, as seen on the horizon or, with an altitude, at it."""
+def photo_candidates(ph: DataFrame, st: DataFrame, cp: DataFrame, im: DataFrame) -> DataFrame:
+    """All pairs of a photo and a point that locate_on_photo looks at: photos meet the points in the bins of azimuth that they can see."""
     points = station_located_cps(cp, im, ph).join(cp.select(F.col("id").alias("control_point_id"), "est_alt"), "control_point_id").join(_places(st), "station_id")
     x, z = g.tangent_xz("lat", "lng", "st_lat", "st_lng")
     rays = points.select("station_id", "control_point_id", x.alias("x"), F.coalesce("est_alt", F.lit(0.0)).alias("y"), z.alias("z"))
+    rays = rays.withColumn("bin", _bin(F.col("x"), F.col("z"), PHOTO_BINS))
+    high = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cy"))))
+    corner = F.atan(F.sqrt(F.col("half_w") * F.col("half_w") + F.col("half_h") * F.col("half_h")))
+    planes = _planes(ph).withColumn("bin", F.explode(_bins_in_reach(F.atan2(-F.col("cx"), -F.col("cz")), high, corner, PHOTO_BINS)))
+    return rays.join(planes, ["station_id", "bin"])
+
+
+def locate_on_photo(ph: DataFrame, st: DataFrame, cp: DataFrame, im: DataFrame) -> DataFrame:
+    """photo_id, control_point_id, u, v: where the located points that a station observes fall on its photos, as seen on the horizon or, with an altitude, at it."""
     ahead, right, up = _met(F.col("x"), F.col("y"), F.col("z"))
-    rows = rays.join(_planes(ph), "station_id").select("photo_id", "control_point_id", "half_w", "half_h", ahead.alias("ahead"), right.alias("right"), up.alias("up")).filter(_on_photo("ahead", "right", "up"))
+    rows = photo_candidates(ph, st, cp, im).select("photo_id", "control_point_id", "half_w", "half_h", ahead.alias("ahead"), right.alias("right"), up.alias("up")).filter(_on_photo("ahead", "right", "up"))
     place = lambda x, half: F.col(x) / F.col("ahead") / (F.col(half) * 2) + 0.5
     return rows.select("photo_id", "control_point_id", place("right", "half_w").alias("u"), place("up", "half_h").alias("v"))
 
@@ -173,72 +226,104 @@ def sun_positions(st: DataFrame, instants: DataFrame, tz: str = "UTC") -> DataFr
 PANORAMA_CELLS = 2048
 
 
+#: Photos whose rows are made at once, as arrays of photos by rows.
+PHOTOS_A_STEP = 128
+
+
+def _free_runs(first: np.ndarray, last: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line, first and last of the runs of cells from 0 to width - 1 that none of a line's intervals holds. Of an interval that
+    holds nothing both ends are `width`."""
+    order = np.argsort(first, axis=1)
+    first, last = (np.take_along_axis(x, order, 1) for x in (first, last))
+    edge = np.full((len(first), 1), width)
+    begin = np.concatenate([edge * 0, np.maximum.accumulate(last, axis=1) + 1], 1)
+    end = np.concatenate([first, edge], 1) - 1
+    line, k = np.nonzero(begin <= end)
+    return line, begin[line, k], end[line, k]
+
+
 def photo_spans(ph: DataFrame, width: int = PANORAMA_CELLS) -> DataFrame:
     """station_id, photo_id, j, i_first, i_last: the runs of cells of each row of a station's equirectangular panorama whose middle a photo covers.
 
-    A photo is held against the cells of the circle about it only, so its cost follows what it covers.
+    A ray is on a photo if it lies on the inner side of four planes through the station, one for each edge. Along a row of the
+    panorama each plane cuts off one arc, whose ends have a closed form; the runs are what no arc holds. So the cost follows
+    the rows that a photo covers, not its cells.
     """
     height = width // 2
-    lon = (np.arange(width) + 0.5) / width * 2 * np.pi - np.pi
     lat = (np.arange(height) + 0.5) / height * np.pi - np.pi / 2
-    axes = [f"{a}{x}" for a in "crq" for x in "xyz"]
+    names = [f"{a}{x}" for a in "crq" for x in "xyz"]
 
-    def spans(photo: dict[str, float]):
+    def step(v: dict[str, np.ndarray]):
+        c, right, up = (np.stack([v[f"{a}{x}"] for x in "xyz"]) for a in "crq")
         # A half angle that holds the photo's corners; a little more, so that rounding drops none.
-        reach = math.atan(math.hypot(photo["half_w"], photo["half_h"])) + 1e-6
-        high = math.asin(max(-1.0, min(1.0, photo["cy"])))
-        rows = np.flatnonzero(np.abs(lat - high) <= reach)
-        if abs(high) + reach >= math.pi / 2:
-            cols = np.arange(width)
-        else:
-            half = math.asin(min(1.0, math.sin(reach) / math.cos(high))) + 1e-6
-            first, last = (int((math.atan2(photo["cz"], photo["cx"]) + side * half + math.pi) / (2 * math.pi) * width // 1) for side in (-1, 1))
-            cols = np.arange(first - 1, last + 2)[:width] % width
-        x, y, z = (np.outer(np.cos(lat[rows]), v) for v in (np.cos(lon[cols]), np.ones(len(cols)), np.sin(lon[cols])))
-        y = np.repeat(np.sin(lat[rows])[:, None], len(cols), 1)
-        ahead, right, up = (photo[f"{a}x"] * x + photo[f"{a}y"] * y + photo[f"{a}z"] * z for a in "crq")
-        seen = (ahead > 0) & (np.abs(right) <= ahead * photo["half_w"]) & (np.abs(up) <= ahead * photo["half_h"])
-        # Runs end where columns jump, too: at the seam of the panorama.
-        seen = np.pad(seen, ((0, 0), (1, 1)))
-        jump = np.concatenate([[True], np.diff(cols) != 1, [True]])
-        begins, ends = seen[:, 1:] & (~seen[:, :-1] | jump), seen[:, :-1] & (~seen[:, 1:] | jump)
-        row, start = np.nonzero(begins)
-        return rows[row], cols[start], cols[np.nonzero(ends)[1] - 1]
+        reach = np.arctan(np.hypot(v["half_w"], v["half_h"])) + 1e-6
+        photo, row = np.nonzero(np.abs(lat - np.arcsin(np.clip(v["cy"], -1, 1))[:, None]) <= reach[:, None])
+        first, last = np.full((2, len(photo), 8), width)
+        for k, side in enumerate((c * v["half_w"] - right, c * v["half_w"] + right, c * v["half_h"] - up, c * v["half_h"] + up)):
+            # Inside where wide * cos(lon - middle) + high >= 0.
+            wide, high, middle = np.hypot(side[0], side[2])[photo] * np.cos(lat[row]), side[1][photo] * np.sin(lat[row]), np.arctan2(side[2], side[0])[photo]
+            half = np.arccos(np.clip(-high / np.maximum(wide, 1e-300), -1, 1))
+            cell = lambda lon: (lon + np.pi) / (2 * np.pi) * width - 0.5
+            start = np.floor(cell(middle + half)).astype(np.int64) + 1
+            n = np.ceil(cell(middle + 2 * np.pi - half)).astype(np.int64) - start
+            n = np.where(high >= wide, 0, np.where(high < -wide, width, np.clip(n, 0, width)))
+            start %= width
+            out, over = n > 0, start + n - width
+            first[out, 2 * k], last[out, 2 * k] = start[out], np.minimum(start + n - 1, width - 1)[out]
+            first[over > 0, 2 * k + 1], last[over > 0, 2 * k + 1] = 0, over[over > 0] - 1
+        line, begin, end = _free_runs(first, last, width)
+        return photo[line], row[line], begin, end
 
     def run(batches):
-        for batch in batches:
-            values = {c: batch.column(c).to_numpy() for c in [*axes, "half_w", "half_h"]}
-            found = [spans({c: v[k] for c, v in values.items()}) for k in range(batch.num_rows)]
-            at = pa.array(np.repeat(np.arange(batch.num_rows), [len(f[0]) for f in found]))
-            parts = [pa.array(np.concatenate([f[k] for f in found] or [[]]).astype(np.int32)) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column("station_id").take(at), batch.column("photo_id").take(at), *parts], names=["station_id", "photo_id", "j", "i_first", "i_last"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, PHOTOS_A_STEP):
+                batch = whole.slice(at, PHOTOS_A_STEP)
+                photo, *parts = step({n: batch.column(n).to_numpy() for n in [*names, "half_w", "half_h"]})
+                yield pa.RecordBatch.from_arrays([*(batch.column(n).take(pa.array(photo)) for n in ("station_id", "photo_id")), *(pa.array(x.astype(np.int32)) for x in parts)], names=["station_id", "photo_id", "j", "i_first", "i_last"])
 
     # Photos are light and their cells are many, so they are dealt to all tasks first.
     parts = int(ph.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return _planes(ph).repartition(parts, "photo_id").mapInArrow(run, "station_id string, photo_id string, j int, i_first int, i_last int")
 
 
-def panorama_coverage(ph: DataFrame, width: int = PANORAMA_CELLS) -> DataFrame:
-    """station_id, j, i_first, i_last, n_photos, photo_ids: each row of a station's equirectangular panorama, width by width / 2
-    cells, as runs of cells that the same photos cover; runs without a photo too.
+SET = ["set_1", "set_2"]
 
-    Photos give their runs; their ends cut a row into pieces, at most one for each cell, and each run counts in its pieces.
+
+def panorama_runs(spans: DataFrame, stations: DataFrame, width: int = PANORAMA_CELLS) -> DataFrame:
+    """station_id, j, i_first, i_last, n_photos, set_1, set_2: each row of each station's panorama as runs of cells that the same
+    photos cover; runs without a photo too. Runs with equal set_1 and set_2 have the same photos.
+
+    A sweep: a photo's run adds one where it begins and takes one away behind its end, and turns its hash in the set's on and
+    off. Sums along a row give counts and sets, however many photos a row has; a row has `width` ends at most.
     """
+    on_off = F.array(F.struct(F.col("i_first").alias("cut"), F.lit(1).alias("d")), F.struct((F.col("i_last") + 1).alias("cut"), F.lit(-1).alias("d")))
+    ends = spans.select("station_id", "j", "photo_id", F.inline(on_off)).select("station_id", "j", "cut", "d", *(F.xxhash64(F.lit(k), "photo_id").alias(c) for k, c in enumerate(SET)))
+    rows = stations.select("station_id").distinct().select("station_id", F.explode(F.sequence(F.lit(0), F.lit(width // 2 - 1))).alias("j"))
+    edges = rows.select("station_id", "j", F.explode(F.array(F.lit(0), F.lit(width))).alias("cut"), F.lit(0).alias("d"), *(F.lit(0).cast("long").alias(c) for c in SET))
+    cuts = ends.unionByName(edges).groupBy("station_id", "j", "cut").agg(F.sum("d").alias("d"), *(F.bit_xor(c).alias(c) for c in SET))
+    row = Window.partitionBy("station_id", "j").orderBy("cut")
+    so_far = row.rowsBetween(Window.unboundedPreceding, 0)
+    swept = cuts.select("station_id", "j", F.col("cut").alias("i_first"), (F.lead("cut").over(row) - 1).alias("i_last"), F.sum("d").over(so_far).alias("n_photos"), *(F.bit_xor(c).over(so_far).alias(c) for c in SET))
+    return swept.filter("i_last is not null")
+
+
+def panorama_sets(runs: DataFrame, spans: DataFrame) -> DataFrame:
+    """station_id, set_1, set_2, photo_ids: the photos of each set of a station, found once, at the first of its runs."""
+    first = runs.filter("n_photos > 0").groupBy("station_id", *SET).agg(F.min(F.struct("j", "i_first")).alias("at")).select("station_id", *SET, "at.j", F.col("at.i_first").alias("i"))
+    members = first.join(spans, ["station_id", "j"]).filter(F.col("i").between(F.col("i_first"), F.col("i_last")))
+    return members.groupBy("station_id", *SET).agg(F.array_sort(F.collect_list("photo_id")).alias("photo_ids"))
+
+
+def panorama_coverage(ph: DataFrame, width: int = PANORAMA_CELLS) -> DataFrame:
+    """station_id, j, i_first, i_last, n_photos, photo_ids: each row of a station's equirectangular panorama, width by width / 2
+    cells, as runs of cells that the same photos cover; runs without a photo too."""
     spans = photo_spans(ph, width)
-    rows = ph.select("station_id").distinct().select("station_id", F.explode(F.sequence(F.lit(0), F.lit(width // 2 - 1))).alias("j"))
-    ends = spans.select("station_id", "j", F.explode(F.array(F.col("i_first"), F.col("i_last") + 1)).alias("cut")).groupBy("station_id", "j").agg(F.collect_set("cut").alias("cuts"))
-    cuts = rows.join(ends, ["station_id", "j"], "left").select("station_id", "j", F.array_sort(F.array_union(F.array(F.lit(0), F.lit(width)), F.coalesce("cuts", F.array().cast("array<int>")))).alias("cuts"))
-    pieces = F.transform(F.slice("cuts", F.lit(1), F.size("cuts") - 1), lambda c, k: F.struct(c.alias("i_first"), (F.element_at("cuts", k + 2) - 1).alias("i_last")))
-    every = cuts.select("station_id", "j", F.inline(pieces))
-    within = F.filter("cuts", lambda c: (c >= F.col("i_first")) & (c <= F.col("i_last")))
-    hits = spans.join(cuts, ["station_id", "j"]).select("station_id", "j", "photo_id", F.explode(within).alias("i_first"))
-    found = hits.groupBy("station_id", "j", "i_first").agg(F.count(F.lit(1)).alias("n_photos"), F.array_sort(F.collect_list("photo_id")).alias("photo_ids"))
-    return every.join(found, ["station_id", "j", "i_first"], "left").select(
-        "station_id", "j", "i_first", "i_last", F.coalesce("n_photos", F.lit(0)).alias("n_photos"), F.coalesce("photo_ids", F.array().cast("array<string>")).alias("photo_ids")
-    )
+    runs = panorama_runs(spans, ph, width)
+    rows = runs.join(panorama_sets(runs, spans), ["station_id", *SET], "left")
+    return rows.select("station_id", "j", "i_first", "i_last", "n_photos", F.coalesce("photo_ids", F.array().cast("array<string>")).alias("photo_ids"))
 
 
 def panorama_uncovered(coverage: DataFrame, width: int = PANORAMA_CELLS) -> DataFrame:
-    """station_id, uncovered: the share of a panorama's cells that no photo covers."""
+    """station_id, uncovered: the share of a panorama's cells that no photo covers. coverage: panorama_runs or panorama_coverage."""
     bare = F.when(F.col("n_photos") == 0, F.col("i_last") - F.col("i_first") + 1).otherwise(0)
     return coverage.groupBy("station_id").agg((F.sum(bare) / F.lit(width * (width // 2))).alias("uncovered"))

@@ -88,94 +88,143 @@ def camera_ground_elevation(st: DataFrame, tiles: DataFrame) -> DataFrame:
     return at.join(tiles, ["z", "x", "y"], "left").select("station_id", F.coalesce(F.element_at("elev", F.col("at")), F.lit(0.0)).alias("elev"))
 
 
-def _axis(n: Column, centre: str) -> tuple[Column, Column]:
-    """Tile and pixel of a ring's n-th row or column. The last one falls in a tile beyond the window."""
+def ring_axes(st: DataFrame, rings=None) -> DataFrame:
+    """station_id, lat, lng, ring, z, radius, stride, cx, cy, and nx: how many vertices a row or column of the ring has."""
+    return _rings(st, rings or RINGS).withColumn("nx", (F.lit(TILE_PX) / F.col("stride") * (F.col("radius") * 2 + 1) + 1).cast("int"))
+
+
+def _spot(n: Column, centre: str) -> Column:
+    """Where a ring's n-th row or column lies, in tiles. The last one falls in a tile beyond the window."""
     per = F.lit(TILE_PX) / F.col("stride")
-    tile = F.floor(n / per).cast("int")
-    return F.col(centre) - F.col("radius") + tile, ((n - tile * per) * F.col("stride")).cast("int")
+    tile = F.floor(n / per)
+    return F.col(centre) - F.col("radius") + tile + (n - tile * per) * F.col("stride") / float(TILE_PX)
 
 
-def ring_axes(st: DataFrame, rings=None) -> DataFrame:
-    """station_id, ring, z, nx, and for each ring its size; the base of vertices and bounds."""
-    return _rings(st, rings or RINGS).withColumn("nx", (F.lit(TILE_PX) / F.col("stride") * (F.col("radius") * 2 + 1) + 1).cast("int"))
+def _east(at: Column) -> Column:
+    return (g.tile_x_to_lng(at, "z") - F.col("lng")) * M_PER_DEG_LAT * F.cos(F.radians("lat"))
+
+
+def _south(at: Column) -> Column:
+    return -(g.tile_y_to_lat(at, "z") - F.col("lat")) * M_PER_DEG_LAT
+
 
+def _along(each) -> Column:
+    """An array of each(n) for all rows or columns of a ring."""
+    return F.transform(F.sequence(F.lit(0), F.col("nx") - 1), each)
 
-def _rows(axes: DataFrame) -> DataFrame:
-    ty, py = _axis(F.col("j"), "cy")
-    rows = axes.select("*", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("j")).withColumn("ty", ty).withColumn("py", py)
-    return rows.withColumn("wz", -(g.tile_y_to_lat(F.col("ty") + F.col("py") / float(TILE_PX), "z") - F.col("lat")) * M_PER_DEG_LAT)
 
+def _columns(k: float) -> Column:
+    """i, x, u, drop of all columns of a ring: what depends on the column alone. k: curvature_factor."""
+    whole = lambda i, x: F.struct(i.alias("i"), x.alias("x"), (i / (F.col("nx") - 1)).alias("u"), (x * x * k).alias("drop"))
+    return F.transform(_along(lambda i: _east(_spot(i, "cx"))), lambda x, i: whole(i, x))
 
-def _columns(axes: DataFrame) -> DataFrame:
-    tx, px = _axis(F.col("i"), "cx")
-    cols = axes.select("*", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("i")).withColumn("tx", tx).withColumn("px", px)
-    return cols.withColumn("wx", (g.tile_x_to_lng(F.col("tx") + F.col("px") / float(TILE_PX), "z") - F.col("lng")) * M_PER_DEG_LAT * F.cos(F.radians("lat")))
+
+def ring_columns(st: DataFrame, rings=None, curvature: bool = True, refraction: bool = True) -> DataFrame:
+    """station_id, ring, i, x, u, drop: what all vertices of a ring's column share. drop: metres that the earth falls away along x."""
+    return ring_axes(st, rings).select("station_id", "ring", F.inline(_columns(g.curvature_factor(curvature, refraction))))
 
 
 def sampled(tiles: DataFrame, stride: int) -> DataFrame:
-    """z, x, y, elev of every stride-th pixel of every stride-th row."""
+    """z, x, y, elev (array<float>; elevations are whole 256ths of a metre, so nothing is lost) of every stride-th pixel of every stride-th row."""
     n = TILE_PX // stride
-    thin = F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda k: F.element_at("elev", (F.floor(k / n) * (stride * TILE_PX) + k % n * stride + 1).cast("int")))
+    thin = F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda k: F.element_at("elev", (F.floor(k / n) * (stride * TILE_PX) + k % n * stride + 1).cast("int")).cast("float"))
     return tiles.filter("elev is not null").select("z", "x", "y", thin.alias("elev"))
 
 
-#: Station windows that read one copy of a tile.
+#: Station windows that read one copy of a strip.
 WINDOWS_A_COPY = 500
 
 
-def ring_vertices(st: DataFrame, tiles: DataFrame, rings=None, curvature: bool = True, refraction: bool = True) -> DataFrame:
-    """station_id, ring, i, j, x, y, z, u, v.
-
-    Stations meet the 25 tiles of a ring, not their pixels, so what is shuffled are light windows and, once, the tiles,
-    thinned to the stride. A tile that many stations share is sent in several copies, each for some of the windows, so no
-    task makes all vertices over it. Vertices are made after the join, rows first: trigonometry is done once a row.
-    """
-    rings = rings or RINGS
+def _stride(rings) -> int:
     if len({s for *_, s in rings}) != 1:
         raise ValueError("rings of one stride only")
-    stride = rings[0][3]
+    return rings[0][3]
+
+
+def ring_strips(windows: DataFrame, tiles: DataFrame, stride: int) -> DataFrame:
+    """z, radius, cx, y, r, elev: row r of the tiles that stand abreast about column cx in the row y of tiles, as one array.
+
+    windows: distinct z, radius, cx, y. Missing tiles are 0; a last 0 stands for the column beyond the window.
+    """
     per = TILE_PX // stride
+    abreast = windows.select("*", F.explode(F.sequence(F.lit(0), F.col("radius") * 2)).alias("a")).withColumn("x", F.col("cx") - F.col("radius") + F.col("a"))
+    found = abreast.join(sampled(tiles, stride), ["z", "x", "y"], "left")
+    rows = found.select("z", "radius", "cx", "y", "a", "elev", F.explode(F.sequence(F.lit(0), F.lit(per - 1))).alias("r"))
+    none = F.array_repeat(F.lit(0.0).cast("float"), per)
+    slices = rows.select("z", "radius", "cx", "y", "r", F.struct("a", F.coalesce(F.slice("elev", F.col("r") * per + 1, F.lit(per)), none).alias("e")).alias("s"))
+    beyond = F.array(F.lit(0.0).cast("float"))
+    return slices.groupBy("z", "radius", "cx", "y", "r").agg(F.concat(F.flatten(F.array_sort(F.collect_list("s"))["e"]), beyond).alias("elev"))
+
+
+def ring_rows(st: DataFrame, tiles: DataFrame, rings=None, curvature: bool = True, refraction: bool = True) -> DataFrame:
+    """station_id, ring, j, z, v, base, elev: a ring as a separable height field, a row for each row of its vertices.
+
+    elev holds the elevations of the row's vertices from the first column to the last. Everything else depends on the row
+    alone or the column alone, as the earth's fall is that along x plus that along z: the vertex in column i of ring_columns
+    lies at (x, elev[i] - base - drop, z). base: the camera's elevation and what the earth falls away along z.
+
+    Tiles are thinned to the stride and laid side by side once for all stations that have them in common; stations meet these
+    strips, not tiles or pixels, and their rows are the strips' own arrays. A strip that many stations share is sent in
+    several copies, each for some of them, so no task makes the rows of all.
+    """
+    rings = rings or RINGS
+    stride = _stride(rings)
+    per, k = TILE_PX // stride, g.curvature_factor(curvature, refraction)
     axes = ring_axes(st, rings).join(camera_ground_elevation(st, tiles).withColumnRenamed("elev", "cam"), "station_id")
-    step = lambda: F.explode(F.sequence(F.lit(0), F.col("radius") * 2))
-    windows = axes.select("*", step().alias("a")).select("*", step().alias("b")).withColumn("x", F.col("cx") - F.col("radius") + F.col("a")).withColumn("y", F.col("cy") - F.col("radius") + F.col("b"))
-    wanted = tile_windows(st, rings).groupBy("z", "x", "y").agg(F.ceil(F.count(F.lit(1)) / WINDOWS_A_COPY).cast("int").alias("copies"))
-    windows = windows.join(wanted, ["z", "x", "y"]).withColumn("copy", F.pmod(F.xxhash64("station_id", "ring"), F.col("copies")).cast("int"))
-    shared = sampled(tiles, stride).join(wanted, ["z", "x", "y"]).select("z", "x", "y", "elev", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-    met = windows.join(shared, ["z", "x", "y", "copy"], "left").withColumn("elev", F.coalesce("elev", F.array_repeat(F.lit(0.0), per * per)))
-    # The places of rows and columns; a tile's row is cut out of it once.
-    wz = -(g.tile_y_to_lat(F.col("y") + F.col("r") * float(stride) / float(TILE_PX), "z") - F.col("lat")) * M_PER_DEG_LAT
-    rows = met.select("*", F.explode(F.sequence(F.lit(0), F.lit(per - 1))).alias("r")).select("station_id", "ring", "z", "lng", "lat", "nx", "cam", "x", "a", (F.col("b") * per + F.col("r")).alias("j"), wz.alias("wz"), F.slice("elev", F.col("r") * per + 1, F.lit(per)).alias("elev"))
-    wx = lambda at: (g.tile_x_to_lng(at, "z") - F.col("lng")) * M_PER_DEG_LAT * F.col("cosine")
-    inner = rows.withColumn("cosine", F.cos(F.radians("lat"))).select("*", F.posexplode("elev").alias("k", "e")).select("station_id", "ring", "nx", "cam", (F.col("a") * per + F.col("k")).alias("i"), "j", wx(F.col("x") + F.col("k") * float(stride) / float(TILE_PX)).alias("wx"), "wz", "e")
-    # The last row and column fall in tiles beyond the window, so they have elevation 0.
-    last = _columns(_rows(axes)).filter((F.col("i") == F.col("nx") - 1) | (F.col("j") == F.col("nx") - 1)).select("station_id", "ring", "nx", "cam", "i", "j", "wx", "wz", F.lit(0.0).alias("e"))
-    drop = (F.col("wx") * F.col("wx") + F.col("wz") * F.col("wz")) * g.curvature_factor(curvature, refraction)
-    share = lambda c: F.col(c) / (F.col("nx") - 1)
-    return inner.unionByName(last).select(
-        "station_id", "ring", "i", "j", F.col("wx").alias("x"), (F.col("e") - F.col("cam") - drop).alias("y"), F.col("wz").alias("z"), share("i").alias("u"), share("j").alias("v")
-    )
-
-
-def ring_grid(st: DataFrame, rings=None) -> DataFrame:
-    """station_id, ring, i, j, x, z: vertices without heights, which bounds and quads do not need, so no tile is read."""
-    return _columns(_rows(ring_axes(st, rings))).select("station_id", "ring", "i", "j", F.col("wx").alias("x"), F.col("wz").alias("z"))
-
-
-def ring_bounds(vertices: DataFrame) -> DataFrame:
-    # x depends on the column only and z on the row only, so the first column and row hold all values.
-    return vertices.filter("i = 0 or j = 0").groupBy("station_id", "ring").agg(F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("z").alias("z_min"), F.max("z").alias("z_max"))
-
-
-def ring_quads(vertices: DataFrame, bounds: DataFrame) -> DataFrame:
-    """station_id, ring, i, j, kept, a, b, c, d: the corners of each cell; cells wholly inside the ring before are not kept. Triangles: a c b and b c d."""
-    from pyspark.sql.window import Window
-
-    # x depends on the column only and z on the row only, so two thin tables describe all cells.
-    xs = vertices.filter("j = 0").select("station_id", "ring", "i", F.col("x").alias("xa"), F.lead("x").over(Window.partitionBy("station_id", "ring").orderBy("i")).alias("xb"), (F.count(F.lit(1)).over(Window.partitionBy("station_id", "ring"))).cast("int").alias("nx")).filter("xb is not null")
-    zs = vertices.filter("i = 0").select("station_id", "ring", "j", F.col("z").alias("za"), F.lead("z").over(Window.partitionBy("station_id", "ring").orderBy("j")).alias("zb")).filter("zb is not null")
-    inner = bounds.select("station_id", (F.col("ring") + 1).alias("ring"), "x_min", "x_max", "z_min", "z_max")
-    inside = lambda a, b, low, high: (F.least(a, b) >= F.col(low)) & (F.greatest(a, b) <= F.col(high))
-    hidden = F.coalesce(inside("xa", "xb", "x_min", "x_max") & inside("za", "zb", "z_min", "z_max"), F.lit(False))
+    windows = axes.select("*", F.explode(F.sequence(F.lit(0), F.col("radius") * 2)).alias("b")).withColumn("y", F.col("cy") - F.col("radius") + F.col("b"))
+    key = ["z", "radius", "cx", "y"]
+    wanted = windows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / WINDOWS_A_COPY).cast("int").alias("copies"))
+    windows = windows.join(wanted, key).withColumn("copy", F.pmod(F.xxhash64("station_id", "ring"), F.col("copies")).cast("int"))
+    strips = ring_strips(wanted.select(*key), tiles, stride).join(wanted, key).select(*key, "r", "elev", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    inner = windows.join(strips, [*key, "copy"]).select("station_id", "ring", "lat", "z", "nx", "cam", (F.col("b") * per + F.col("r")).alias("j"), (F.col("y") + F.col("r") * float(stride) / float(TILE_PX)).alias("at"), "elev")
+    # The last row falls in tiles beyond the window, so it has elevation 0.
+    last = axes.select("station_id", "ring", "lat", "z", "nx", "cam", (F.col("nx") - 1).alias("j"), (F.col("cy") + F.col("radius") + 1).cast("double").alias("at"), F.array_repeat(F.lit(0.0).cast("float"), F.col("nx")).alias("elev"))
+    rows = inner.unionByName(last).withColumn("south", _south(F.col("at")))
+    return rows.select("station_id", "ring", "j", F.col("south").alias("z"), (F.col("j") / (F.col("nx") - 1)).alias("v"), (F.col("cam") + F.col("south") * F.col("south") * k).alias("base"), "elev")
+
+
+def ring_vertices(st: DataFrame, tiles: DataFrame, rings=None, curvature: bool = True, refraction: bool = True) -> DataFrame:
+    """station_id, ring, i, j, x, y, z, u, v: the height field of ring_rows vertex by vertex, for stations that are chosen (1.2
+    million rows a station)."""
+    columns = ring_axes(st, rings).select("station_id", "ring", _columns(g.curvature_factor(curvature, refraction)).alias("columns"))
+    rows = ring_rows(st, tiles, rings, curvature, refraction).join(columns, ["station_id", "ring"])
+    each = rows.select("station_id", "ring", "j", "z", "v", "base", F.inline(F.arrays_zip("elev", "columns")))
+    return each.select("station_id", "ring", "columns.i", "j", "columns.x", (F.col("elev").cast("double") - F.col("base") - F.col("columns.drop")).alias("y"), "z", "columns.u", "v")
+
+
+def ring_bounds(st: DataFrame, rings=None) -> DataFrame:
+    """station_id, ring, x_min, x_max, z_min, z_max. x grows with the column and z with the row, so the ends are enough."""
+    ends = ring_axes(st, rings).select("station_id", "ring", *(f(_spot(n, c)).alias(a) for a, f, n, c in (
+        ("x_min", _east, F.lit(0), "cx"), ("x_max", _east, F.col("nx") - 1, "cx"), ("z_min", _south, F.lit(0), "cy"), ("z_max", _south, F.col("nx") - 1, "cy"))))
+    return ends
+
+
+def ring_quads(st: DataFrame, rings=None) -> DataFrame:
+    """station_id, ring, j_first, j_last, i_first, i_last, kept, a, nx: the cells of a ring as rectangles, at most five.
+
+    A cell that lies wholly inside the ring before is not kept. x depends on the column alone and z on the row alone, so
+    these cells are a rectangle, whose sides two searches along the axes find; the kept ones are those above, left, right and
+    below of it. a is the number of the first cell's upper left corner, nx that of the corners of a row. The cell i further
+    right and j further down has the corners a + j * nx + i (upper left, a), one more (b), nx more (c), nx + 1 more (d), and the
+    triangles a c b and b c d.
+    """
+    inner = ring_bounds(st, rings).select("station_id", (F.col("ring") + 1).alias("ring"), "x_min", "x_max", "z_min", "z_max")
+    places = ring_axes(st, rings).join(inner, ["station_id", "ring"], "left").withColumn("xs", _along(lambda i: _east(_spot(i, "cx")))).withColumn("zs", _along(lambda j: _south(_spot(j, "cy"))))
+    within = lambda at, low, high: F.filter(F.sequence(F.lit(0), F.col("nx") - 2), lambda n: (F.get(at, n) >= F.col(low)) & (F.get(at, n + 1) <= F.col(high)))
+    sides = places.withColumn("hx", within("xs", "x_min", "x_max")).withColumn("hz", within("zs", "z_min", "z_max"))
+    some = (F.size("hx") > 0) & (F.size("hz") > 0)
+    sides = sides.select("station_id", "ring", "nx", (F.col("nx") - 2).alias("end"), some.alias("some"), *(end(h).alias(n) for n, end, h in (("i0", F.array_min, "hx"), ("i1", F.array_max, "hx"), ("j0", F.array_min, "hz"), ("j1", F.array_max, "hz"))))
+    none, end = F.lit(0), F.col("end")
+    i0, i1, j0, j1 = (F.col(c) for c in ("i0", "i1", "j0", "j1"))
+    block = lambda a, b, c, d, kept: F.struct(a.alias("j_first"), b.alias("j_last"), c.alias("i_first"), d.alias("i_last"), F.lit(kept).alias("kept"))
+    five = F.array(block(none, j0 - 1, none, end, True), block(j0, j1, none, i0 - 1, True), block(j0, j1, i0, i1, False), block(j0, j1, i1 + 1, end, True), block(j1 + 1, end, none, end, True))
+    blocks = F.when(F.col("some"), F.filter(five, lambda x: (x["i_first"] <= x["i_last"]) & (x["j_first"] <= x["j_last"]))).otherwise(F.array(block(none, end, none, end, True)))
+    rows = sides.select("station_id", "ring", "nx", F.inline(blocks))
+    return rows.select("station_id", "ring", "j_first", "j_last", "i_first", "i_last", "kept", (F.col("j_first") * F.col("nx") + F.col("i_first")).alias("a"), "nx")
+
+
+def quad_cells(blocks: DataFrame) -> DataFrame:
+    """station_id, ring, i, j, kept, a, b, c, d of rectangles of ring_quads, cell by cell, for rings that are chosen."""
+    cells = blocks.select("*", F.explode(F.sequence("j_first", "j_last")).alias("j")).select("*", F.explode(F.sequence("i_first", "i_last")).alias("i"))
     a = F.col("j") * F.col("nx") + F.col("i")
-    rows = xs.join(inner, ["station_id", "ring"], "left").join(zs, ["station_id", "ring"])
-    return rows.select("station_id", "ring", "i", "j", (~hidden).alias("kept"), a.alias("a"), (a + 1).alias("b"), (a + F.col("nx")).alias("c"), (a + F.col("nx") + 1).alias("d"))
+    return cells.select("station_id", "ring", "i", "j", "kept", a.alias("a"), (a + 1).alias("b"), (a + F.col("nx")).alias("c"), (a + F.col("nx") + 1).alias("d"))

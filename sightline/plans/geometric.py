@@ -14,6 +14,7 @@ from sightline.operators import changes, reads, solve, spatial, terrain
 from sightline.plans import sql as q
 from sightline.plans.relational import _ANCHORED, _LOCATED, _PAIRS, _PATCHES, _PRIORS, near, query
 from sightline.plans.sql import r
+from sightline.sources.entities import dem_tiles, write_dem_tiles, write_files
 from sightline.sources.fixtures import entity_id
 from sightline.sources.shared import shared_path
 from sightline.streaming import feeds
@@ -182,7 +183,7 @@ def _(t):
 _CELL = ("(cos(lon) * cos(lat))", "sin(lat)", "(sin(lon) * cos(lat))")
 
 
-# The panorama of a few cells, cell by cell as DuckDB has it; the one of 2048 x 1024 has no SQL, as DuckDB would make two million cells a station.
+# The panorama of a few cells, cell by cell.
 _CELLS = f"""select s.station_id, s.i, s.j, count(h.photo_id) as n_photos, coalesce(string_agg(h.photo_id, ',' order by h.photo_id), '') as photo_ids from (select distinct station_id, i.i::int as i, j.j::int as j from photos, range(16) i(i), range(8) j(j)) s left join (
     select station_id, photo_id, i, j from (select station_id, photo_id, i, j, {_uv(_CELL)[0]} as ahead, {_uv(_CELL)[1]} as u, {_uv(_CELL)[2]} as v from (select p.*, p.id as photo_id, i.i, j.j, ((i.i + 0.5::double) / 16 - 0.5::double) * 2 * pi() as lon, ((j.j + 0.5::double) / 8 - 0.5::double) * pi() as lat from photos p, range(16) i(i), range(8) j(j))) where ahead > 0 and u between 0 and 1 and v between 0 and 1
     ) h on h.station_id = s.station_id and h.i = s.i and h.j = s.j group by 1, 2, 3"""
@@ -203,14 +204,51 @@ def _(t):
     return near(spatial.panorama_uncovered(spatial.panorama_coverage(t.ph, 16), 16), "uncovered")
 
 
-@query("panorama_coverage")
+_WIDE, _HIGH = spatial.PANORAMA_CELLS, spatial.PANORAMA_CELLS // 2
+_SIDE = "({h} * {c} {sign} {a})"
+
+
+def _sides() -> str:
+    """The four planes through a station and the edges of each photo, by their normals."""
+    rows = [tuple(_SIDE.format(h=h, c=c, sign=sign, a=a) for c, a in zip(_PLANE["c"], _PLANE[axis])) for h, axis in (("tan(size_rad / 2)", "R"), ("(tan(size_rad / 2) / aspect)", "U")) for sign in "-+"]
+    return " union all ".join(f"select id, station_id, sin_tilt, reach, {x} as nx, {y} as ny, {z} as nz from (select *, sin(photo_tilt) as sin_tilt, atan(sqrt(pow(tan(size_rad / 2), 2) + pow(tan(size_rad / 2) / aspect, 2))) + 0.000001 as reach from photos)" for x, y, z in rows)
+
+
+#: Runs of a photo in a row: what the arcs beyond its four planes leave. Counts: sums along the ends of runs.
+_SWEPT = {
+    "sides": _sides(),
+    "arcs": f"select id, station_id, j, sqrt(nx * nx + nz * nz) * cos(lat) as wide, ny * sin(lat) as high, atan2(nz, nx) as middle from (select s.*, cast(j as int) as j, ((j + 0.5::double) / {_HIGH} - 0.5::double) * pi() as lat from sides s, range({_HIGH}) j(j)) where abs(lat - asin(sin_tilt)) <= reach",
+    "beyond": f"""select id, station_id, j, a % {_WIDE} as lo, n from (select *, case when high >= wide then 0 when high < -wide then {_WIDE} else greatest(0, least({_WIDE}, cast(ceil((middle + 2 * pi() - half + pi()) / (2 * pi()) * {_WIDE} - 0.5::double) as bigint) + {_WIDE} - a)) end as n from (
+        select *, cast(floor((middle + half + pi()) / (2 * pi()) * {_WIDE} - 0.5::double) as bigint) + 1 + {_WIDE} as a from (select *, acos(greatest(-1::double, least(1::double, -high / greatest(wide, 1e-300::double)))) as half from arcs)))""",
+    "taken": f"select id, station_id, j, lo, least(lo + n, {_WIDE}) - 1 as hi from beyond where n > 0 union all select id, station_id, j, 0, lo + n - {_WIDE} - 1 from beyond where lo + n > {_WIDE} and n > 0 union all select distinct id, station_id, j, {_WIDE}, {_WIDE} from arcs",
+    "spans": f"select * from (select id, station_id, j, coalesce(max(hi) over (partition by id, j order by lo, hi rows between unbounded preceding and 1 preceding), -1) + 1 as i_first, lo - 1 as i_last from taken) where i_first <= i_last",
+    "runs": f"""select * from (select station_id, j, cut as i_first, lead(cut) over w - 1 as i_last, sum(d) over w as n_photos from (select station_id, j, cut, sum(d) as d from (select station_id, j, i_first as cut, 1 as d from spans union all select station_id, j, i_last + 1, -1 from spans
+        union all select station_id, cast(j as int), e * {_WIDE}, 0 from (select distinct station_id from photos), range({_HIGH}) j(j), range(2) e(e)) group by 1, 2, 3) window w as (partition by station_id, j order by cut)) where i_last is not null""",
+}
+
+
+@query("panorama_coverage", "select station_id, j, count(*) as n_runs, max(n_photos)::bigint as most, sum(case when n_photos > 0 then i_last - i_first + 1 else 0 end)::bigint as covered, sum(n_photos * (i_last - i_first + 1))::bigint as seen, sum(n_photos * (i_first * i_first + 3 * i_last))::bigint as spread from runs group by 1, 2", **_SWEPT)
+def _(t):
+    """All runs of all panoramas, summed up by row."""
+    runs = spatial.panorama_runs(spatial.photo_spans(t.ph), t.ph)
+    n, size = F.col("n_photos"), F.col("i_last") - F.col("i_first") + 1
+    return runs.groupBy("station_id", "j").agg(
+        F.count(F.lit(1)).alias("n_runs"), F.max("n_photos").alias("most"), F.sum(F.when(n > 0, size).otherwise(0)).alias("covered"), F.sum(n * size).alias("seen"), F.sum(n * (F.col("i_first") * F.col("i_first") + 3 * F.col("i_last"))).alias("spread")
+    )
+
+
+@query("panorama_sets", "select station_id, photo_ids, sum(n)::bigint as n_cells from (select r.station_id, r.j, r.i_first, any_value(r.i_last - r.i_first + 1) as n, string_agg(s.id, ',' order by s.id) as photo_ids from runs r join spans s on s.station_id = r.station_id and s.j = r.j and r.i_first between s.i_first and s.i_last group by 1, 2, 3) group by 1, 2", **_SWEPT)
 def _(t):
-    return spatial.panorama_coverage(t.ph).withColumn("photo_ids", F.array_join("photo_ids", ","))
+    """The sets of photos that share cells, and how many cells each has."""
+    spans = spatial.photo_spans(t.ph)
+    runs = spatial.panorama_runs(spans, t.ph)
+    cells = runs.groupBy("station_id", *spatial.SET).agg(F.sum(F.col("i_last") - F.col("i_first") + 1).cast("long").alias("n_cells"))
+    return spatial.panorama_sets(runs, spans).join(cells, ["station_id", *spatial.SET]).select("station_id", F.array_join("photo_ids", ",").alias("photo_ids"), "n_cells")
 
 
-@query("panorama_uncovered")
+@query("panorama_uncovered", f"select station_id, {r(f'sum(case when n_photos = 0 then i_last - i_first + 1 else 0 end) / {_WIDE * _HIGH}::double')} as uncovered from runs group by 1", **_SWEPT)
 def _(t):
-    return near(spatial.panorama_uncovered(spatial.panorama_coverage(t.ph)), "uncovered")
+    return near(spatial.panorama_uncovered(spatial.panorama_runs(spatial.photo_spans(t.ph), t.ph)), "uncovered")
 
 
 # --- terrain --------------------------------------------------------------------------------------------------------
@@ -247,33 +285,40 @@ def _floor(x: str) -> str:
     return f"cast(floor({x}) as int)"
 
 
-_CENTRES = f"select distinct 9 as z, {_floor(q.tile_x('lng', '9'))} as x, {_floor(q.tile_y('lat', '9'))} as y from stations"
+#: All tiles that the rings of all stations need.
+_WANTED = f"select distinct z, cast(cx + a as int) as x, cast(cy + b as int) as y from (select z, {_floor(q.tile_x('lng', 'z'))} as cx, {_floor(q.tile_y('lat', 'z'))} as cy from stations, (values (11), (9), (7)) r(z)), range(-2, 3) a(a), range(-2, 3) b(b)"
+_BROKEN = "mod(x * 3 + y, 11) = 0"
 
 
-@query("dem_tiles", f"select z, x, y, 65536 as n, {r('sum(' + _elev('i % 256', 'i // 256') + ')', 3)} as total, {r('max(case when i = 300 then ' + _elev('i % 256', 'i // 256') + ' end)')} as probe from centres, range(65536) r(i) group by 1, 2, 3", centres=_CENTRES)
+@query("dem_tiles", f"select z, x, y, 65536 as n, sum({_elev('i % 256', 'i // 256')}) as total, sum({_elev('i % 256', 'i // 256')} * (i % 13 + 1)) as mixed, {r('max(case when i = 300 then ' + _elev('i % 256', 'i // 256') + ' end)')} as probe from wanted, range(65536) r(i) where mod(x + y, 7) <> 0 and not {_BROKEN} group by 1, 2, 3", wanted=_WANTED)
 def _(t):
-    n = terrain.TILE_PX
-    rows = _centre_tiles(t.st, 9).select("*", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))).alias("i")).select("z", "x", "y", (F.col("i") % n).alias("px"), F.expr(f"cast(i div {n} as int)").alias("py"))
-    pixels = rows.select("*", F.lit(128).alias("r"), F.expr("mod(px * 3 + py * 5 + x * 7 + y * 13, 256)").alias("g"), F.expr("mod(px * 7 + py * 11, 256)").alias("b"))
-    tiles = terrain.tiles_from_pixels(pixels)
-    out = tiles.select("z", "x", "y", F.size("elev").alias("n"), F.aggregate("elev", F.lit(0.0), lambda a, e: a + e).alias("total"), F.element_at("elev", 301).alias("probe"))
-    return near(near(out, "total", digits=3), "probe")
+    """Tiles of all three zooms as pictures and back; every seventh is missing, and some files are no pictures."""
+    tiles = made_tiles(terrain.tile_windows(t.st))
+    path = write_dem_tiles(tiles.filter(f"not {_BROKEN}"), shared_path(t.spark, "tiles"))
+    write_files(tiles.filter(_BROKEN).select("z", "x", "y", F.lit("no picture").cast("binary").alias("data")), f"{path}/broken", "z", "x", "y")
+    added = lambda e: F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
+    out = dem_tiles(t.spark, path).select("z", "x", "y", F.size("elev").alias("n"), added("elev").alias("total"), added(F.transform("elev", lambda e, i: e * (i % 13 + 1))).alias("mixed"), F.element_at("elev", 301).alias("probe"))
+    return near(out, "probe")
 
 
-@query("hillshade_cell_size", f"select distinct z, y, {r('156543.03::double * cos(radians(' + q.tile_lat('y + 0.5::double', 'z') + ')) / pow(2, z)', 3)} as cell_m from centres", centres=_CENTRES)
+@query("hillshade_cell_size", f"select distinct z, y, {r('156543.03::double * cos(radians(' + q.tile_lat('y + 0.5::double', 'z') + ')) / pow(2, z)', 3)} as cell_m from wanted", wanted=_WANTED)
 def _(t):
-    return near(terrain.hillshade_cell_size(_centre_tiles(t.st, 9)), "cell_m", digits=3)
+    return near(terrain.hillshade_cell_size(terrain.tile_windows(t.st)), "cell_m", digits=3)
 
 
 _SHADES = f"""select z, x, y, px, py, cast(least(255, floor(255 * greatest(0::double, (0.5::double * sqrt(2) * 1 + e * 0.5 - n * 0.5) / sqrt(e * e + n * n + 1)) + 0.5::double)) as int) as gray from (
     select z, x, y, px, py, ({_elev('least(px + 1, 255)', 'py')} - {_elev('greatest(px - 1, 0)', 'py')}) / (2 * cell) as e, ({_elev('px', 'greatest(py - 1, 0)')} - {_elev('px', 'least(py + 1, 255)')}) / (2 * cell) as n from (
-    select z, x, y, cast(i % 256 as int) as px, cast(i // 256 as int) as py, 156543.03::double * cos(radians({q.tile_lat('y + 0.5::double', 'z')})) / pow(2, z) as cell from centres, range(65536) r(i)))"""
+    select z, x, y, cast(i % 256 as int) as px, cast(i // 256 as int) as py, 156543.03::double * cos(radians({q.tile_lat('y + 0.5::double', 'z')})) / pow(2, z) as cell from wanted, range(65536) r(i)))"""
 
 
-@query("hillshade", f"select z, x, y, px, py, case when mod(x + y, 7) = 0 then 16 else gray end as gray from ({_SHADES})", centres=_CENTRES)
+@query("hillshade", f"select z, x, y, py, count(*) as n, sum(g)::bigint as total, sum(g * (px % 13 + 1))::bigint as mixed, max(case when px = 77 then g end) as probe from (select *, case when mod(x + y, 7) = 0 then 16 else gray end as g from ({_SHADES})) group by 1, 2, 3, 4", wanted=_WANTED)
 def _(t):
-    wanted = _centre_tiles(t.st, 9)
-    return terrain.hillshade(wanted.join(made_tiles(wanted), ["z", "x", "y"], "left"))
+    """All pixels of all tiles of all rings, missing ones too, summed up by row."""
+    wanted = terrain.tile_windows(t.st).select("z", "x", "y").distinct()
+    gray = F.col("gray")
+    return terrain.hillshade(wanted.join(made_tiles(wanted), ["z", "x", "y"], "left")).groupBy("z", "x", "y", "py").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("gray").alias("total"), F.sum(gray * (F.col("px") % 13 + 1)).alias("mixed"), F.max(F.when(F.col("px") == 77, gray)).alias("probe")
+    )
 
 
 _RING_ROWS = "(values (0, 11), (1, 9), (2, 7)) r(ring, z)"
@@ -301,53 +346,102 @@ def _(t):
     return near(terrain.camera_ground_elevation(t.st, made_tiles(_centre_tiles(t.st, 11))), "elev")
 
 
-#: Of the thin rings, whose vertices DuckDB makes too.
-STRIDE = 128
-_N = 256 // STRIDE * 5 + 1
-_AXES = f"""select station_id, ring, i, j, (lng_of - lng) * 111320 * cos(radians(lat)) as x, -(lat_of - lat) * 111320::double as z, case when i = {_N - 1} or j = {_N - 1} then 0::double else {_tile_elev('px', 'py', 'tx', 'ty')} end as elev from (
-    select *, {q.tile_lng('tx + px / 256::double', 'z')} as lng_of, {q.tile_lat('ty + py / 256::double', 'z')} as lat_of from (
-    select *, cx - 2 + i * {STRIDE} // 256 as tx, i * {STRIDE} % 256 as px, cy - 2 + j * {STRIDE} // 256 as ty, j * {STRIDE} % 256 as py from ({_CENTRED}), range({_N}) i(i), range({_N}) j(j)))"""
+def _ring_sql(stride: int) -> dict[str, str]:
+    """Views: cols and rows of all rings (x of a column and z of a row, with the earth's fall along each), strips (the elevations
+    of a row of tiles abreast, summed up), and inner (the bounds of the ring before)."""
+    per = 256 // stride
+    fall = "0.86::double / 12742000"
+    return {
+        "cols": f"select station_id, ring, i, x, {fall} * x * x as fall from (select station_id, ring, cast(i as int) as i, ({q.tile_lng(f'cx - 2 + i // {per} + i % {per} * {stride} / 256::double', 'z')} - lng) * 111320 * cos(radians(lat)) as x from ({_CENTRED}), range({per * 5 + 1}) i(i))",
+        "rows": f"select station_id, ring, z, cx, cy - 2 + j // {per} as y, j % {per} as r, j, south, {fall} * south * south as fall from (select station_id, ring, z, cx, cy, cast(j as int) as j, -({q.tile_lat(f'cy - 2 + j // {per} + j % {per} * {stride} / 256::double', 'z')} - lat) * 111320::double as south from ({_CENTRED}), range({per * 5 + 1}) j(j))",
+        "inner": "select x.station_id, x.ring + 1 as ring, x0, x1, z0, z1 from (select station_id, ring, min(x) as x0, max(x) as x1 from cols group by 1, 2) x join (select station_id, ring, min(south) as z0, max(south) as z1 from rows group by 1, 2) z using (station_id, ring)",
+    }
 
 
-def _vertices(t, rings=terrain.RINGS):
-    return terrain.ring_vertices(t.st, made_tiles(terrain.tile_windows(t.st, rings)), rings)
+STRIDE = terrain.RINGS[0][3]
+_PER = 256 // STRIDE
+_LAST = _PER * 5
+_RINGS = _ring_sql(STRIDE)
+#: Elevations are whole 256ths, so their sums are exact in any order.
+_STRIPS = f"""select z, cx, y, r, sum(e) as total, sum(e * (i % 7 + 1)) as mixed, max(case when i = 0 then e end) as e_first, max(case when i = {_LAST // 2} then e end) as e_mid from (
+    select z, cx, y, r, i, {_tile_elev(f'i % {_PER} * {STRIDE}', f'r * {STRIDE}', f'(cx - 2 + i // {_PER})', 'y')} as e from (select distinct z, cx, cast(cy + b as int) as y from ({_CENTRED}), range(-2, 3) b(b)), range({_PER}) r(r), range({_LAST}) i(i)) group by 1, 2, 3, 4"""
 
 
-@query("ring_vertices_thin", f"select a.station_id, a.ring, cast(a.i as int) as i, cast(a.j as int) as j, {r('a.x', 3)} as x, {r('a.elev - g.elev - 0.86::double / 12742000 * (a.x * a.x + a.z * a.z)', 3)} as y, {r('a.z', 3)} as z, {r(f'a.i / {_N - 1}::double')} as u, {r(f'a.j / {_N - 1}::double')} as v from axes a join ground g using (station_id)", axes=_AXES, ground=_GROUND)
+#: Rows of a ring that are summed up in one row of the query.
+_BAND = 32
+
+
+@query("ring_vertices", f"""select w.station_id, w.ring, cast(w.j // {_BAND} as int) as band, count(*) as n, sum(coalesce(s.total, 0::double)) as total, sum(coalesce(s.mixed, 0::double) * (w.j % 11 + 1)) as mixed, {r('min(w.south)', 3)} as z_first, {r('max(w.south)', 3)} as z_last, {r(f'max(w.j) / {_LAST}::double')} as v_last,
+    {r(f'max(case when w.j % {_BAND} = 0 then coalesce(s.e_first, 0::double) - g.elev - w.fall - a.fall end)', 3)} as y_first, {r(f'max(case when w.j % {_BAND} = 0 then coalesce(s.e_mid, 0::double) - g.elev - w.fall - b.fall end)', 3)} as y_mid, {r(f'max(case when w.j % {_BAND} = 0 then -g.elev - w.fall - c.fall end)', 3)} as y_last, {r('max(b.x)', 3)} as x_mid
+    from rows w join ground g using (station_id) join ends a on a.station_id = w.station_id and a.ring = w.ring and a.i = 0 join ends b on b.station_id = w.station_id and b.ring = w.ring and b.i = {_LAST // 2} join ends c on c.station_id = w.station_id and c.ring = w.ring and c.i = {_LAST}
+    left join strips s on s.z = w.z and s.cx = w.cx and s.y = w.y and s.r = w.r and w.j < {_LAST} group by 1, 2, 3""", cols=_RINGS["cols"], rows=_RINGS["rows"], strips=_STRIPS, ground=_GROUND, ends=f"select station_id, ring, i, x, fall from cols where i in (0, {_LAST // 2}, {_LAST})")
 def _(t):
-    return near(near(_vertices(t, terrain.with_stride(STRIDE)), "u", "v"), "x", "y", "z", digits=3)
+    """All rows of all rings; bands of rows with sums over all their elevations and the heights of three vertices."""
+    rows = terrain.ring_rows(t.st, made_tiles(terrain.tile_windows(t.st)))
+    ends = {"first": 0, "mid": _LAST // 2, "last": _LAST}
+    picked = lambda c, i: F.max(F.when(F.col("i") == i, F.col(c)))
+    columns = terrain.ring_columns(t.st).groupBy("station_id", "ring").agg(picked("x", _LAST // 2).alias("x_mid"), *(picked("drop", i).alias(f"drop_{n}") for n, i in ends.items()))
+    mixed = np.arange(_LAST + 1) % 7 + 1.0
 
+    def summed(batches):
+        """Sums of each row's elevations, plain and weighted, and three of them."""
+        for b in batches:
+            elev = b.column("elev").flatten().to_numpy().reshape(b.num_rows, -1)
+            # Whole 256ths: sums of doubles are exact.
+            sums = elev.sum(1, dtype=np.float64), elev.astype(np.float64) @ mixed
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("station_id", "ring", "j", "z", "v", "base")), *map(pa.array, sums), *(pa.array(elev[:, i].astype(np.float64)) for i in ends.values())], names=["station_id", "ring", "j", "z", "v", "base", "total", "mixed", *(f"e_{n}" for n in ends)])
 
-@query("ring_bounds_thin", f"select station_id, ring, {r('min(x)', 3)} as x_min, {r('max(x)', 3)} as x_max, {r('min(z)', 3)} as z_min, {r('max(z)', 3)} as z_max from axes group by 1, 2", axes=_AXES)
+    rows = rows.mapInArrow(summed, "station_id string, ring int, j int, z double, v double, base double, total double, mixed double, e_first double, e_mid double, e_last double")
+    heights = {n: F.when(F.col("j") % _BAND == 0, F.col(f"e_{n}") - F.col("base") - F.col(f"drop_{n}")) for n in ends}
+    each = rows.join(columns, ["station_id", "ring"]).select("station_id", "ring", "j", "z", "v", "x_mid", "total", (F.col("mixed") * (F.col("j") % 11 + 1)).alias("mixed"), *(h.alias(f"y_{n}") for n, h in heights.items()))
+    out = each.groupBy("station_id", "ring", F.expr(f"cast(j div {_BAND} as int)").alias("band")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("total").alias("total"), F.sum("mixed").alias("mixed"), F.min("z").alias("z_first"), F.max("z").alias("z_last"), F.max("v").alias("v_last"), *(F.max(f"y_{n}").alias(f"y_{n}") for n in ends), F.max("x_mid").alias("x_mid"))
+    return near(near(out, "v_last"), "z_first", "z_last", "x_mid", *(f"y_{n}" for n in ends), digits=3)
+
+
+@query("ring_bounds", f"select x.station_id, x.ring, {r('x0', 3)} as x_min, {r('x1', 3)} as x_max, {r('z0', 3)} as z_min, {r('z1', 3)} as z_max from (select station_id, ring - 1 as ring, x0, x1, z0, z1 from inner_) x", cols=_RINGS["cols"], rows=_RINGS["rows"], inner_=_RINGS["inner"])
 def _(t):
-    return near(terrain.ring_bounds(_vertices(t, terrain.with_stride(STRIDE))), "x_min", "x_max", "z_min", "z_max", digits=3)
+    return near(terrain.ring_bounds(t.st), "x_min", "x_max", "z_min", "z_max", digits=3)
 
 
-@query("ring_quads_thin", f"""select a.station_id, a.ring, cast(a.i as int) as i, cast(a.j as int) as j, not coalesce(least(a.x, b.x) >= p.x0 and greatest(a.x, b.x) <= p.x1 and least(a.z, b.z) >= p.z0 and greatest(a.z, b.z) <= p.z1, false) as kept,
-    cast(a.j * {_N} + a.i as int) as a, cast(a.j * {_N} + a.i + 1 as int) as b, cast((a.j + 1) * {_N} + a.i as int) as c, cast((a.j + 1) * {_N} + a.i + 1 as int) as d from axes a join axes b on b.station_id = a.station_id and b.ring = a.ring and b.i = a.i + 1 and b.j = a.j + 1
-    left join (select station_id, ring + 1 as ring, min(x) as x0, max(x) as x1, min(z) as z0, max(z) as z1 from axes group by 1, 2) p on p.station_id = a.station_id and p.ring = a.ring""", axes=_AXES)
+@query("ring_quads", f"""select station_id, ring, cast(j_first as int) as j_first, cast(j_last as int) as j_last, cast(i_first as int) as i_first, cast(i_last as int) as i_last, kept, cast(j_first * {_LAST + 1} + i_first as int) as a, {_LAST + 1} as nx from (
+    select station_id, ring, 0 as j_first, coalesce(j0, {_LAST}) - 1 as j_last, 0 as i_first, {_LAST - 1} as i_last, true as kept from hidden union all select station_id, ring, j0, j1, 0, i0 - 1, true from hidden union all select station_id, ring, j0, j1, i0, i1, false from hidden
+    union all select station_id, ring, j0, j1, i1 + 1, {_LAST - 1}, true from hidden union all select station_id, ring, j1 + 1, {_LAST - 1}, 0, {_LAST - 1}, true from hidden) where i_first <= i_last and j_first <= j_last""",
+    cols=_RINGS["cols"], rows=_RINGS["rows"], inner_=_RINGS["inner"],
+    across="select c.station_id, c.ring, min(c.i) as i0, max(c.i) as i1 from cols c join cols d on d.station_id = c.station_id and d.ring = c.ring and d.i = c.i + 1 join inner_ n on n.station_id = c.station_id and n.ring = c.ring where c.x >= x0 and d.x <= x1 group by 1, 2",
+    along="select c.station_id, c.ring, min(c.j) as j0, max(c.j) as j1 from rows c join rows d on d.station_id = c.station_id and d.ring = c.ring and d.j = c.j + 1 join inner_ n on n.station_id = c.station_id and n.ring = c.ring where c.south >= z0 and d.south <= z1 group by 1, 2",
+    hidden="select s.id as station_id, r.ring, case when j0 is not null then i0 end as i0, case when j0 is not null then i1 end as i1, case when i0 is not null then j0 end as j0, case when i0 is not null then j1 end as j1 from stations s cross join range(3) r(ring) left join across a on a.station_id = s.id and a.ring = r.ring left join along b on b.station_id = s.id and b.ring = r.ring")
 def _(t):
-    vertices = _vertices(t, terrain.with_stride(STRIDE))
-    return terrain.ring_quads(vertices, terrain.ring_bounds(vertices))
+    return terrain.ring_quads(t.st)
 
 
-# The whole rings have no SQL: DuckDB would make 1.2 million vertices a station. The thin ones above have it.
+#: Of the thin rings, which are compared vertex by vertex and cell by cell.
+THIN = 128
+_N = 256 // THIN * 5 + 1
+_AXES = f"""select station_id, ring, i, j, (lng_of - lng) * 111320 * cos(radians(lat)) as x, -(lat_of - lat) * 111320::double as z, case when i = {_N - 1} or j = {_N - 1} then 0::double else {_tile_elev('px', 'py', 'tx', 'ty')} end as elev from (
+    select *, {q.tile_lng('tx + px / 256::double', 'z')} as lng_of, {q.tile_lat('ty + py / 256::double', 'z')} as lat_of from (
+    select *, cx - 2 + i * {THIN} // 256 as tx, i * {THIN} % 256 as px, cy - 2 + j * {THIN} // 256 as ty, j * {THIN} % 256 as py from ({_CENTRED}), range({_N}) i(i), range({_N}) j(j)))"""
 
 
-@query("ring_vertices")
+def _vertices(t, rings=terrain.RINGS):
+    return terrain.ring_vertices(t.st, made_tiles(terrain.tile_windows(t.st, rings)), rings)
+
+
+@query("ring_vertices_thin", f"select a.station_id, a.ring, cast(a.i as int) as i, cast(a.j as int) as j, {r('a.x', 3)} as x, {r('a.elev - g.elev - 0.86::double / 12742000 * (a.x * a.x + a.z * a.z)', 3)} as y, {r('a.z', 3)} as z, {r(f'a.i / {_N - 1}::double')} as u, {r(f'a.j / {_N - 1}::double')} as v from axes a join ground g using (station_id)", axes=_AXES, ground=_GROUND)
 def _(t):
-    return near(near(_vertices(t), "u", "v"), "x", "y", "z", digits=3)
+    return near(near(_vertices(t, terrain.with_stride(THIN)), "u", "v"), "x", "y", "z", digits=3)
 
 
-@query("ring_bounds")
+@query("ring_bounds_thin", f"select station_id, ring, {r('min(x)', 3)} as x_min, {r('max(x)', 3)} as x_max, {r('min(z)', 3)} as z_min, {r('max(z)', 3)} as z_max from axes group by 1, 2", axes=_AXES)
 def _(t):
-    return near(terrain.ring_bounds(terrain.ring_grid(t.st)), "x_min", "x_max", "z_min", "z_max", digits=3)
+    return near(terrain.ring_bounds(t.st, terrain.with_stride(THIN)), "x_min", "x_max", "z_min", "z_max", digits=3)
 
 
-@query("ring_quads")
+@query("ring_quads_thin", f"""select a.station_id, a.ring, cast(a.i as int) as i, cast(a.j as int) as j, not coalesce(least(a.x, b.x) >= p.x0 and greatest(a.x, b.x) <= p.x1 and least(a.z, b.z) >= p.z0 and greatest(a.z, b.z) <= p.z1, false) as kept,
+    cast(a.j * {_N} + a.i as int) as a, cast(a.j * {_N} + a.i + 1 as int) as b, cast((a.j + 1) * {_N} + a.i as int) as c, cast((a.j + 1) * {_N} + a.i + 1 as int) as d from axes a join axes b on b.station_id = a.station_id and b.ring = a.ring and b.i = a.i + 1 and b.j = a.j + 1
+    left join (select station_id, ring + 1 as ring, min(x) as x0, max(x) as x1, min(z) as z0, max(z) as z1 from axes group by 1, 2) p on p.station_id = a.station_id and p.ring = a.ring""", axes=_AXES)
 def _(t):
-    vertices = terrain.ring_grid(t.st)
-    return terrain.ring_quads(vertices, terrain.ring_bounds(vertices))
+    return terrain.quad_cells(terrain.ring_quads(t.st, terrain.with_stride(THIN)))
 
 
 # --- solvers --------------------------------------------------------------------------------------------------------
@@ -441,19 +535,28 @@ def _(t):
 _FEED = f"select event_id as seq, {entity_id('L', 'event_id')} as measurement_id, case when mod(event_id, 3) = 0 then 'map' else 'image' end as kind, case when mod(event_id, 4) = 0 then {entity_id('C', 'mod(event_id * 3, 50) + 1')} end as old_cp, {entity_id('C', 'mod(event_id * 7, n) + 1')} as new_cp from (select e.event_id, c.n from events e cross join (select count(*) as n from part) c) x"
 
 
-@query("stream_cp_status", """select cp as control_point_id, sum(case when kind = 'image' then d else 0 end)::bigint as n_image, sum(case when kind = 'map' then d else 0 end)::bigint as n_map, sum(case when kind = 'image' then d else 2 * d end) >= 2 as solvable, arg_max(measurement_id, seq) filter (where d > 0) as latest_link
-    from (select kind, new_cp as cp, 1 as d, seq, measurement_id from feed union all select kind, old_cp, -1, seq, measurement_id from feed) where cp is not null group by 1""", feed=_FEED)
+#: Measurements that move between control points: each has about five moves, each from where the one before left it.
+_MOVES = f"""select seq, measurement_id, kind, case when k = 1 and mod(seq, 4) = 0 then {entity_id('C', 'mod(seq * 3, 50) + 1')} else before end as old_cp, new_cp from (select *, row_number() over (partition by measurement_id order by seq) as k, lag(new_cp) over (partition by measurement_id order by seq) as before from (
+    select event_id as seq, {entity_id('L', 'mod(event_id, m)')} as measurement_id, case when mod(mod(event_id, m), 3) = 0 then 'map' else 'image' end as kind, case when mod(event_id, 7) = 3 then null else {entity_id('C', 'mod(event_id * 7, n) + 1')} end as new_cp
+    from (select e.event_id, c.n, greatest(cast(d.m / 5 as bigint), 1) as m from events e cross join (select count(*) as n from part) c cross join (select count(*) as m from events) d) x) y) z"""
+
+
+@query("stream_cp_status", """select c.control_point_id, n_image, n_map, n_image + 2 * n_map >= 2 as solvable, l.latest_link
+    from (select cp as control_point_id, sum(case when kind = 'image' then d else 0 end)::bigint as n_image, sum(case when kind = 'map' then d else 0 end)::bigint as n_map from (select kind, new_cp as cp, 1 as d from moves union all select kind, old_cp, -1 from moves) where cp is not null group by 1) c
+    left join (select new_cp, arg_max(measurement_id, seq) as latest_link from (select *, row_number() over (partition by measurement_id order by seq desc) as k from moves) where k = 1 group by 1) l on l.new_cp = c.control_point_id""", moves=_MOVES)
 def _(t):
-    """The feed is written, read as a stream in several batches, and the last status of each control point is kept."""
-    source, out, state = (shared_path(t.spark, n) for n in ("feed", "status", "state"))
-    feed = t.sql(_FEED)
-    feed.repartition(3).write.parquet(source)
+    """The feed comes as a stream in several batches, out of order and a third of it twice; the last status of each control point is kept."""
+    source, out, base, state = (shared_path(t.spark, n) for n in ("feed", "status", "store", "state"))
+    feed = t.sql(_MOVES)
+    again = feed.filter("mod(seq, 3) = 0")
+    feed.repartition(3, "seq").write.parquet(source)
+    again.coalesce(1).write.mode("append").parquet(source)
     stream = t.spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(source)
 
     def sink(batch, number):
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/number={number}")
 
-    feeds.stream_cp_status(stream, sink, state).awaitTermination()
+    feeds.stream_cp_status(stream, feeds.LinkStore(t.spark, base), sink, state).awaitTermination()
     rows = t.spark.read.parquet(out)
     return rows.groupBy("control_point_id").agg(F.max_by(F.struct("n_image", "n_map", "solvable", "latest_link"), "batch").alias("s")).select("control_point_id", "s.*")
 
@@ -465,11 +568,12 @@ _POSES = changes.OVERWRITTEN["photo"]
 def _(t):
     source, base, state = (shared_path(t.spark, n) for n in ("patches", "store", "state"))
     patches = t.sql(_PATCHES)
-    patches.repartitionByRange(3, "seq").write.parquet(source)
-    store = feeds.Store(t.spark, base)
-    store.create("photos", t.ph)
+    # Dealt at random, so newer patches come before older ones, and some come twice.
+    patches.unionByName(patches.filter("mod(seq, 5) = 0")).repartition(3, "seq", "aspect").write.parquet(source)
+    store = feeds.EntityStore(t.spark, base)
+    store.create_table("photos", t.ph)
     stream = t.spark.readStream.schema(patches.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    feeds.stream_apply_patches(stream, store, "photos", "photo", state).awaitTermination()
+    feeds.stream_apply_patches(stream, store, "photos", state).awaitTermination()
     return store.read("photos").select("id", *_POSES)
 
 
@@ -479,10 +583,9 @@ def _(t):
     touched = t.sql(_FEED).select(F.col("new_cp").alias("control_point_id"))
     touched.write.parquet(source)
     photos, images = planted_observations(t)
-    store = feeds.Store(t.spark, base)
-    store.create("stations", t.st)
-    for name, df in (("photos", photos), ("image_measurements", images), ("map_measurements", t.mm), ("control_points", t.cp)):
-        store.create(name, df)
+    store = feeds.EntityStore(t.spark, base)
+    for name, df in (("stations", t.st), ("photos", photos), ("image_measurements", images), ("map_measurements", t.mm), ("control_points", t.cp)):
+        store.create_table(name, df)
     stream = t.spark.readStream.schema(touched.schema).parquet(source)
     feeds.stream_resolve(stream, store, state).awaitTermination()
     return near(store.read("control_points").select("id", "est_lat", "est_lng"), "est_lat", "est_lng", digits=3)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import struct
-import zlib
 from functools import reduce
 
 import pyarrow as pa
@@ -15,7 +13,7 @@ from sightline.operators import aggregates as agg
 from sightline.operators import changes, integrity, reads, validate
 from sightline.plans.sql import oracle, r, stamp, star
 from sightline.schema import ENTITIES, ID_PATTERN
-from sightline.sources.entities import ingest_patches, load_entities, photo_aspect, photo_blob_catalog, upgrade_legacy_layout, write_entities
+from sightline.sources.entities import ingest_patches, load_entities, photo_aspect, photo_blob_catalog, picture, upgrade_legacy_layout, write_entities, write_files
 from sightline.sources.fixtures import Tables, entity_id
 from sightline.sources.shared import shared_path
 
@@ -82,31 +80,21 @@ _FILE_KEY = "case when mod(k, 17) = 0 then k + 500000000 else k end"
 
 
 def pictures(t) -> str:
-    """Writes a small picture for the first photo of each station, and returns the folder; a folder for each photo.
+    """Writes a small picture for each photo, and returns the folder; a folder for each photo.
 
     Some of the files are large, some are no pictures, and some belong to no photo.
     """
-    path = shared_path(t.spark, "pictures")
-    first = t.raw("orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("k"))
-    rows = first.select("k", F.expr(entity_id("P", _FILE_KEY)).alias("id"))
+    rows = t.raw("orders").select(F.col("o_orderkey").alias("k"), F.expr(entity_id("P", _FILE_KEY.replace("k", "o_orderkey"))).alias("id"))
 
     def run(batches):
         for batch in batches:
-            data = [b"no picture" if k % 13 == 0 else png(k % 4 + 2, 2) + b" " * (2000 if k % 11 == 0 else 0) for k in batch.column("k").to_pylist()]
+            data = [b"no picture" if k % 13 == 0 else picture(k % 4 + 2, 2, bytes(6 * (k % 4 + 2))) + b" " * (2000 if k % 11 == 0 else 0) for k in batch.column("k").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(data, pa.binary())], names=["id", "data"])
 
-    rows.mapInArrow(run, "id string, data binary").select("id", F.col("data").cast("string").alias("value")).write.partitionBy("id").text(path)
-    return path
+    return write_files(rows.mapInArrow(run, "id string, data binary"), shared_path(t.spark, "pictures"), "id")
 
 
-def png(width: int, height: int) -> bytes:
-    """A black picture."""
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    pixels = (b"\0" + b"\0\0\0" * width) * height
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(pixels)) + chunk(b"IEND", b"")
-
-
-_FILES = f"select k, {entity_id('P', _FILE_KEY)} as id from (select min(o_orderkey) as k from orders group by o_custkey)"
+_FILES = f"select k, {entity_id('P', _FILE_KEY)} as id from (select o_orderkey as k from orders)"
 
 
 @query("photo_blob_catalog", """select coalesce(p.id, f.id) as photo_id, case when p.id is null then 'orphan_file' when f.id is null then 'missing' when mod(f.k, 11) = 0 and mod(f.k, 13) <> 0 then 'too_large' when p.mime_type not like 'image/%' then 'bad_mime' else 'stored' end as status
@@ -287,7 +275,7 @@ def _(t):
     select m.control_point_id, 'map' as kind, 0 as rank, m.created_at, m.id, printf('observed at %.5f, %.5f', round(m.lat, 5), round(m.lng, 5)) as label from map_measurements m join control_points c on c.id = m.control_point_id
     union all select o.control_point_id, 'image', 1, o.created_at, o.id, concat(printf('(u=%.2f, v=%.2f) in ', round(o.u, 2), round(o.v, 2)), coalesce(station_name, concat('(untitled ', substring(station_id, 1, 6), ')'))) from obs o join control_points c on c.id = o.control_point_id)""", obs=_OBS)
 def _(t):
-    return reads.cp_observation_feed(t.cp, t.im, t.ph, t.st, t.mm).withColumn("seq", F.col("seq").cast("long"))
+    return reads.cp_observation_feed(t.cp, t.im, t.ph, t.st, t.mm)
 
 
 @query("station_photos", f"select {star('photos')} from photos")
@@ -584,7 +572,7 @@ _STARTS = "select c_custkey as key, cast('2022-01-01 00:00:00' as timestamp) as
 
 
 @query("start_stations", f"""select 'stations' as entity, {_base32('key')} as id, case when name = '' then null else name end as label, null as photo_az, null as aspect from starts
-    union all select 'photos', {_base32('key * 1000 + i + 1')}, {_base32('key')}, {r('i::double / (1 + key % 6) * 2 * pi()')}, 1 + i / 2::double from (select key, unnest(range(0, 1 + key % 6)) as i from starts) where (key + i) % 5 <> 0""", starts=_STARTS)
+    union all select 'photos', {_base32('key * 16777216 + i')}, {_base32('key')}, {r('i::double / (1 + key % 6) * 2 * pi()')}, 1 + i / 2::double from (select key, unnest(range(0, 1 + key % 6)) as i from starts) where (key + i) % 5 <> 0""", starts=_STARTS)
 def _(t):
     rows = t.sql(_STARTS).withColumn("at", F.col("at").cast("timestamp_ntz"))
     each = F.transform(F.sequence(F.lit(0), (F.col("key") % 6).cast("int")), lambda i: F.when((F.col("key") + i) % 5 != 0, F.lit(1.0) + i / F.lit(2.0)))

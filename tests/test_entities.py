@@ -228,12 +228,17 @@ def test_registered_rings_are_whole(spark):
 
     rings, (lat, lng) = terrain.RINGS, (47.6, -122.3)
     got = geometric._vertices(One).toPandas()
-    assert len(got) == 3 * 641 * 641 and {"ring_vertices", "ring_bounds", "ring_quads"} <= set(relational.QUERIES) - set(relational.SQL)
+    assert len(got) == 3 * 641 * 641 and {"ring_vertices", "ring_bounds", "ring_quads"} <= set(relational.SQL)
     height = lambda x, y, px, py: np.where((x + y) % 7 == 0, 0.0, (px * 3 + py * 5 + x * 7 + y * 13) % 256 + (px * 7 + py * 11) % 256 / 256)
     place = lambda z: (2**z * (lng + 180) / 360, 2**z * (1 - math.asinh(math.tan(math.radians(lat))) / math.pi) / 2)
     (fx, fy) = place(rings[0][1])
     cam = height(int(fx), int(fy), int((fx - int(fx)) * 256), int((fy - int(fy)) * 256))
-    bounds = {r.ring: r for r in terrain.ring_bounds(terrain.ring_grid(One.st)).collect()}
+    bounds = {r.ring: r for r in terrain.ring_bounds(One.st).collect()}
+    cells = {k: np.zeros((640, 640), int) for k, *_ in rings}
+    for r in terrain.ring_quads(One.st).collect():
+        assert r.nx == 641 and r.a == r.j_first * 641 + r.i_first
+        cells[r.ring][r.j_first : r.j_last + 1, r.i_first : r.i_last + 1] += 1 if r.kept else 10
+    before = None
     for ring, z, radius, stride in rings:
         n = 256 // stride * (2 * radius + 1) + 1
         cx, cy = (int(v) for v in place(z))
@@ -247,8 +252,25 @@ def test_registered_rings_are_whole(spark):
             assert np.allclose(mine[name].to_numpy(), want.ravel(), rtol=1e-9, atol=1e-3), (ring, name)
         b = bounds[ring]
         assert np.allclose([b.x_min, b.x_max, b.z_min, b.z_max], [x.min(), x.max(), zz.min(), zz.max()], atol=1e-3)
-    quads = terrain.ring_quads(terrain.ring_grid(One.st), terrain.ring_bounds(terrain.ring_grid(One.st)))
-    assert {r.ring: r["count"] for r in quads.groupBy("ring").count().collect()} == {k: 640 * 640 for k in range(3)}
+        # Every cell is in one rectangle, and hidden where the ring before covers it.
+        hidden = np.zeros((640, 640), bool) if before is None else (x[:-1, :-1] >= before[0]) & (x[1:, 1:] <= before[1]) & (zz[:-1, :-1] >= before[2]) & (zz[1:, 1:] <= before[3])
+        assert (cells[ring] == np.where(hidden, 10, 1)).all() and hidden.any() == (before is not None)
+        before = x.min(), x.max(), zz.min(), zz.max()
+
+
+def test_height_field_rows_and_columns_give_the_vertices(spark):
+    st = spark.createDataFrame([("s", 47.6, -122.3), ("t", -33.1, 179.99)], "id string, lat double, lng double")
+    rings = terrain.with_stride(32)
+    tiles = terrain.tile_windows(st).select("z", "x", "y").distinct().filter("(x + y) % 5 <> 0").withColumn("elev", F.transform(F.sequence(F.lit(0), F.lit(65535)), lambda k: k % 97 + F.col("x") % 5 / F.lit(256.0)))
+    rows = {(r.station_id, r.ring, r.j): r for r in terrain.ring_rows(st, tiles, rings).collect()}
+    columns = {(r.station_id, r.ring, r.i): r for r in terrain.ring_columns(st, rings).collect()}
+    vertices = terrain.ring_vertices(st, tiles, rings).collect()
+    assert len(rows) == len(columns) == 2 * 3 * 41 and len(vertices) == 2 * 3 * 41 * 41
+    for v in vertices:
+        r, c = rows[v.station_id, v.ring, v.j], columns[v.station_id, v.ring, v.i]
+        assert (v.x, v.z, v.u, v.v) == (c.x, r.z, c.u, r.v) and abs(v.y - (r.elev[v.i] - r.base - c.drop)) < 1e-9
+    flat = {(r.station_id, r.ring, r.j): r.base for r in terrain.ring_rows(st, tiles, rings, curvature=False).collect()}
+    assert len({(k[0], b) for k, b in flat.items()}) == 2
 
 
 def test_sun_stands_where_it_should(spark):
@@ -315,6 +337,70 @@ def test_previews_in_blocks(spark):
     assert one == many and len(one) == 18 and [r for r in one if r[2]] == [("s1", "c1", True)]
 
 
+def test_ranks_of_a_popular_key_are_dealt_to_ranges(spark):
+    rows = [("hot" if k % 3 == 0 else f"k{k % 50}", k * 7919 % 1000, f"{k:04d}") for k in range(1500)]
+    df = spark.createDataFrame(rows, "key string, at int, id string").repartition(5)
+    want = sorted(reads.ranked(df, "key", ["at", "id"], "n").collect())
+    assert [r.n for r in want if r.key == "hot"] != [] and max(r.n for r in want) == 510
+    assert sorted(reads.ranked(df, "key", ["at", "id"], "n", 100).collect()) == want
+    assert sorted(reads.ranked(df.filter("key = 'hot'"), "key", ["at", "id"], "n", 100).collect()) == [r for r in want if r.key == "hot"]
+    assert reads.ranked(df.limit(0), "key", ["at", "id"], "n").count() == 0
+
+
+def test_clicks_look_at_the_columns_in_reach_only(spark):
+    """Equal rows to all pairs: clicks at the zenith and the nadir, behind the camera, across north, and a point at the station."""
+    import random
+
+    rng = random.Random(8)
+    st = spark.createDataFrame([("s", 47.0, -122.0)], "id string, lat double, lng double")
+    points = [("s", f"c{k}", 47.0 + rng.uniform(-0.2, 0.2), -122.0 + rng.uniform(-0.2, 0.2)) for k in range(300)] + [("s", "here", 47.0, -122.0), ("s", "north", 47.1, -122.0), ("s", "south", 46.9, -122.0)]
+    located = spark.createDataFrame(points, "station_id string, control_point_id string, lat double, lng double")
+    clicks = [(k, "s", rng.uniform(-1, 1), rng.uniform(-1, 1), rng.uniform(-7, 7), rng.choice([0.0, 0.1, 1.2, 1.5707, -1.5, 1.6]), rng.choice([5.0, 60.0, 120.0]), rng.choice([0.5, 1.0, 2.5])) for k in range(150)] + [(900, "s", 0.0, 0.0, math.pi, 0.0, 60.0, 1.0), (901, "s", 0.0, 0.0, 0.0, 0.0, 60.0, 1.0)]
+    asked = spark.createDataFrame(clicks, "click_id int, station_id string, ndc_x double, ndc_y double, cam_az double, cam_alt double, fov_deg double, aspect double")
+    run = lambda: sorted(map(tuple, spatial.match_clicks_to_columns(asked, st, located).collect()))
+    got, n = run(), spatial.click_candidates(asked, st, located).count()
+    every = spatial._click_bins
+    try:
+        spatial._click_bins = lambda radius: F.sequence(F.lit(-1), F.lit(spatial.CLICK_BINS - 1))
+        assert run() == got and spatial.click_candidates(asked, st, located).count() == len(clicks) * len(points)
+    finally:
+        spatial._click_bins = every
+    assert sum(r[1] is not None for r in got) > 20 and n < len(clicks) * len(points) / 3
+
+
+def test_photos_look_at_the_points_in_reach_only(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    st = spark.createDataFrame([("s", 47.0, -122.0)], "id string, lat double, lng double")
+    photos = [(f"p{k}", "s", rng.uniform(-4, 4), rng.choice([0.0, 0.3, 1.4, -1.5, 1.7]), rng.uniform(-3, 3), rng.choice([0.1, 0.8, 2.0]), rng.uniform(0.5, 2)) for k in range(60)]
+    ph = spark.createDataFrame(photos, "id string, station_id string, photo_az double, photo_tilt double, photo_roll double, size_rad double, aspect double")
+    cp = spark.createDataFrame([(f"c{k}", 47.0 + rng.uniform(-0.2, 0.2), -122.0 + rng.uniform(-0.2, 0.2), rng.choice([None, 0.0, 9000.0, -500.0]), "") for k in range(150)] + [("here", 47.0, -122.0, 100.0, "")], "id string, est_lat double, est_lng double, est_alt double, description string")
+    im = cp.select(F.concat(F.lit("i"), "id").alias("id"), F.lit("p0").alias("photo_id"), F.col("id").alias("control_point_id"))
+    run = lambda: sorted(map(tuple, spatial.locate_on_photo(ph, st, cp, im).collect()))
+    got = run()
+    monkeypatch.setattr(spatial, "_bins_in_reach", lambda *a: F.sequence(F.lit(-1), F.lit(spatial.PHOTO_BINS - 1)))
+    assert run() == got and len(got) > 300
+
+
+def test_ids_of_many_photos_of_a_request(spark):
+    at = F.expr("timestamp_ntz '2024-01-01 00:00:00'")
+    asked = spark.range(1, 4).select(F.col("id").alias("key"), F.lit(1.0).alias("lat"), F.lit(1.0).alias("lng"), F.lit("n").alias("name"), F.array_repeat(F.lit(1.5), 5000).alias("aspects"), at.alias("at"))
+    got = changes.start_stations(asked)["photos"]
+    assert got.count() == got.select("id").distinct().count() == 15_000
+    with pytest.raises(Exception, match="no key for the pair"):
+        changes.start_stations(asked.withColumn("key", F.lit(1 << 40)))["photos"].collect()
+
+
+def test_tiles_as_pictures_and_back(spark, tmp_path):
+    elev = [float(k % 9000) - 400 + (k % 256) / 256 for k in range(65536)]
+    tiles = spark.createDataFrame([(9, 1, 2, elev), (11, 700, 3, [0.0] * 65536), (7, 5, 5, None)], "z int, x int, y int, elev array<double>")
+    path = entities.write_dem_tiles(tiles, str(tmp_path / "tiles"))
+    entities.write_files(spark.createDataFrame([(9, 4, 4, b"no picture"), (9, 4, 5, entities.picture(4, 4, bytes(48)))], "z int, x int, y int, data binary"), f"{path}/odd", "z", "x", "y")
+    got = {(r.z, r.x, r.y): r.elev for r in entities.dem_tiles(spark, path).collect()}
+    assert got == {(9, 1, 2): elev, (11, 700, 3): [0.0] * 65536}
+
+
 def test_linked_to_a_selection(spark):
     im = spark.createDataFrame([("i1", "c1"), ("i2", "c1"), ("i3", None)], "id string, control_point_id string")
     mm = spark.createDataFrame([("m1", "c1"), ("i1", "c2")], "id string, control_point_id string")
@@ -335,30 +421,105 @@ def patch_stream(spark, path, rows):
 
 
 def test_streams_keep_each_other_s_updates(spark, tmp_path):
-    store = feeds.Store(spark, str(tmp_path / "store"), most_changes=3)
-    store.create("stations", station_rows(spark))
+    store = feeds.EntityStore(spark, str(tmp_path / "store"), most_changes=3, buckets=4)
+    store.create_table("stations", station_rows(spark))
     rejected = []
     for k in range(5):
         stream = patch_stream(spark, str(tmp_path / f"feed{k}"), [(1, f"s{k}", 2.0, 2.0, f"stream {k}"), (2, "zz", 0.0, 0.0, None)])
-        feeds.stream_apply_patches(stream, store, "stations", "station", str(tmp_path / f"state{k}"), rejects=lambda df, n: rejected.extend(r.id for r in df.collect())).awaitTermination()
+        feeds.stream_apply_patches(stream, store, "stations", str(tmp_path / f"state{k}"), rejects=lambda df, n: rejected.extend(r.id for r in df.collect())).awaitTermination()
     assert {r.id: r.name for r in store.read("stations").collect()} == {f"s{k}": f"stream {k}" if k < 5 else "n5" for k in range(6)}
-    assert rejected == ["zz"] * 5 and len(store.log("stations")) <= 4
+    assert rejected == ["zz"] * 5 and store.generation("stations") == 1 and len(store.changes("stations")) == 3
     # A stream that goes on, and a batch that runs again.
     stream = patch_stream(spark, str(tmp_path / "feed4"), [(3, "s4", 3.0, 3.0, "more")])
-    feeds.stream_apply_patches(stream, store, "stations", "station", str(tmp_path / "state4")).awaitTermination()
-    before = store.log("stations")
+    feeds.stream_apply_patches(stream, store, "stations", str(tmp_path / "state4")).awaitTermination()
+    before = store.generation("stations"), store.changes("stations")
     for name in ("1", ".1.crc"):
         (tmp_path / "state4" / "commits" / name).unlink()
-    feeds.stream_apply_patches(spark.readStream.schema(stream.schema).parquet(str(tmp_path / "feed4")), store, "stations", "station", str(tmp_path / "state4")).awaitTermination()
-    assert store.log("stations") == before and {r.id: r.name for r in store.read("stations").collect()}["s4"] == "more"
+    feeds.stream_apply_patches(spark.readStream.schema(stream.schema).parquet(str(tmp_path / "feed4")), store, "stations", str(tmp_path / "state4")).awaitTermination()
+    assert (store.generation("stations"), store.changes("stations")) == before and {r.id: r.name for r in store.read("stations").collect()}["s4"] == "more"
     # Only touched rows are written for a batch.
-    assert spark.read.parquet(str(tmp_path / "store" / "stations" / before[-1][1])).count() in (1, 6)
+    assert spark.read.parquet(str(tmp_path / "store" / "stations" / "1" / f"change={before[1][0]}")).count() in (1, 6)
+    # A reader that knows its ids reads their buckets only.
+    some = store.read("stations", spark.createDataFrame([("s4",)], "id string"))
+    assert [r.name for r in some.collect()] == ["more"] and "PartitionFilters: [isnotnull(bucket" in some._jdf.queryExecution().toString().replace("[bucket", "[isnotnull(bucket")
+
+
+CP_PATCH = "seq long, id string, description string, notes string, est_lat double, est_lng double, est_alt double, started_at timestamp_ntz, ended_at timestamp_ntz, at timestamp_ntz"
+
+
+def test_any_order_and_split_of_patches_gives_the_same_table(spark, tmp_path):
+    import datetime
+    import random
+
+    stamps = {"created_at": F.expr(STAMP), "updated_at": F.expr(STAMP)}
+    cp = spark.createDataFrame([(f"c{k}", f"d{k}", "n", 1.0, 1.0, None, None, None) for k in range(5)], "id string, description string, notes string, est_lat double, est_lng double, est_alt double, started_at timestamp_ntz, ended_at timestamp_ntz").withColumns(stamps)
+    for seed in range(3):
+        rng = random.Random(seed)
+        any_of = lambda *x: rng.choice(x)
+        rows = [(k, f"c{rng.randrange(6)}", any_of(None, f"text {k}"), any_of(None, f"note {k}"), any_of(None, float(k)), 2.0, any_of(None, float(-k)), None, None, any_of(None, datetime.datetime(2024, 1, 1 + k))) for k in range(20)]
+        want = sorted(map(tuple, changes.apply_patches(cp, spark.createDataFrame(rows, CP_PATCH), "control_point").collect()), key=repr)
+        store = feeds.EntityStore(spark, str(tmp_path / f"store{seed}"), most_changes=2, buckets=3)
+        store.create_table("control_points", cp)
+        dealt = rows + rng.sample(rows, 6)
+        rng.shuffle(dealt)
+        for n, at in enumerate(range(0, len(dealt), 7)):
+            feeds.patch_batch(store, "control_points", spark.createDataFrame(dealt[at : at + 7], CP_PATCH), f"b{n}")
+        feeds.patch_batch(store, "control_points", spark.createDataFrame(dealt[:7], CP_PATCH), "b0")
+        assert sorted(map(tuple, store.read("control_points").select(*cp.columns).collect()), key=repr) == want
+
+
+def test_a_solution_is_newer_than_its_patch_and_older_than_the_next(spark, tmp_path):
+    cp = spark.createDataFrame([("c", 1.0, 1.0)], "id string, est_lat double, est_lng double")
+    store = feeds.EntityStore(spark, str(tmp_path / "store"))
+    store.create_table("control_points", cp)
+    patch = lambda seq, lat: spark.createDataFrame([(seq, "c", None, None, lat, lat, None, None, None, None)], CP_PATCH)
+    solved = spark.createDataFrame([("c", 7.0, 7.0)], "control_point_id string, lat double, lng double")
+    lat = lambda: store.read("control_points").first().est_lat
+    feeds.patch_batch(store, "control_points", patch(5, 2.0), "a")
+    store.append("control_points", changes.solved_versions(store.merged("control_points"), solved), "b")
+    assert lat() == 7.0
+    feeds.patch_batch(store, "control_points", patch(4, 3.0), "c")
+    assert lat() == 7.0
+    feeds.patch_batch(store, "control_points", patch(6, 4.0), "d")
+    assert lat() == 4.0
+
+
+FEED = "kind string, old_cp string, new_cp string, seq long, measurement_id string"
 
 
 def test_status_names_the_latest_link(spark):
-    rows = [("image", None, "c1", 1, "a"), ("map", None, "c1", 2, "b"), ("image", "c1", "c2", 3, "a"), ("map", "c1", None, 4, "b")]
-    got = {r.control_point_id: (r.n_image, r.n_map, r.solvable, r.latest_link) for r in feeds.cp_status(spark.createDataFrame(rows, "kind string, old_cp string, new_cp string, seq long, measurement_id string")).collect()}
-    assert got == {"c1": (0, 0, False, "b"), "c2": (1, 0, False, "a")}
+    rows = [("image", None, "c1", 1, "a"), ("map", None, "c1", 2, "b"), ("image", "c1", "c2", 3, "a"), ("map", "c1", None, 4, "b"), ("map", "c3", None, 5, "z"), ("map", "c4", "c4", 6, "y")]
+    got = {r.control_point_id: (r.n_image, r.n_map, r.solvable, r.latest_link) for r in feeds.cp_status(spark.createDataFrame(rows + rows[1:3], FEED)).collect()}
+    # A link goes with its measurement; what leaves first was there before; where it stays it counts as before.
+    assert got == {"c1": (0, 0, False, None), "c2": (1, 0, False, "a"), "c3": (0, -1, False, None), "c4": (0, 0, False, "y")}
+
+
+def test_any_order_and_replay_of_links_gives_the_same_statuses(spark, tmp_path):
+    import random
+
+    for seed in range(2):
+        rng, rows, at = random.Random(seed), [], {}
+        for seq in range(40):
+            m = rng.randrange(9)
+            new = rng.choice([None, "c0", "c1", "c2"])
+            rows.append((("image", "map")[m % 2], at.get(m, rng.choice([None, "c3"])), new, seq, f"m{m}"))
+            at[m] = new
+        want = {}
+        for kind, old, new, seq, m in rows:
+            for c, d in ((old, -1), (new, 1)):
+                if c:
+                    want.setdefault(c, {"image": 0, "map": 0})[kind] += d
+        last = {r[4]: r for r in rows}
+        want = {c: (n["image"], n["map"], max(((r[3], r[4]) for r in last.values() if r[2] == c), default=(0, None))[1]) for c, n in want.items()}
+        dealt = rows + rng.sample(rows, 15)
+        rng.shuffle(dealt)
+        store, shown = feeds.LinkStore(spark, str(tmp_path / f"links{seed}"), most_changes=2, buckets=3), {}
+        for n, k in enumerate(range(0, len(dealt), 14)):
+            for r in feeds.status_batch(store, spark.createDataFrame(dealt[k : k + 14], FEED), f"b{n}").collect():
+                shown[r.control_point_id] = (r.n_image, r.n_map, r.latest_link)
+        assert shown == want
+        again = feeds.status_batch(store, spark.createDataFrame(dealt[:14], FEED), "b0").collect()
+        assert all(want[r.control_point_id] == (r.n_image, r.n_map, r.latest_link) for r in again)
 
 
 def test_large_stations_are_solved_alike(spark, monkeypatch):
