@@ -273,6 +273,31 @@ def station_preview(st: DataFrame, ph: DataFrame, im: DataFrame, cp: DataFrame,
     return every.join(seen, ["station_id", "control_point_id"], "left").select("station_id", "control_point_id", F.coalesce("observed", F.lit(False)).alias("observed"))
 
 
+def point_numbers(cp: DataFrame) -> DataFrame:
+    """control_point_id and n, a number of its own, of each located point: the dictionary of previews, written once."""
+    path = shared_path(cp.sparkSession, "numbers")
+    numbered = located_control_points(cp).select(F.col("id").alias("control_point_id"), F.monotonically_increasing_id().alias("n"))
+    numbered.write.parquet(path)
+    return cp.sparkSession.read.schema(numbered.schema).parquet(path)
+
+
+def station_preview_bits(im: DataFrame, ph: DataFrame, numbers: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """station_id, bucket, observed: for each station the points of the dictionary that it observes, as bitmaps of 32,768 numbers
+    each. It grows with what stations observe, where station_preview grows with stations times points."""
+    seen = _only(station_observed_cps(im, ph), ids, "station_id").join(numbers, "control_point_id")
+    return seen.groupBy("station_id", F.bitmap_bucket_number("n").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("observed"))
+
+
+def preview_of(bits: DataFrame, numbers: DataFrame, ids: DataFrame) -> DataFrame:
+    """station_id, control_point_id, observed: the previews of a few stations (`ids` are broadcast) from bitmaps, as station_preview has them."""
+    bucket, at = F.bitmap_bucket_number("n"), F.bitmap_bit_position("n")
+    chosen = F.broadcast(ids.select(F.col("id").alias("station_id")).distinct())
+    rows = numbers.select("control_point_id", bucket.alias("bucket"), at.alias("at")).join(chosen, F.lit(True)).join(bits, ["station_id", "bucket"], "left")
+    byte = F.conv(F.hex(F.substring("observed", F.expr("cast(at div 8 as int)") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.expr("shiftright(byte, cast(at % 8 as int)) & 1") == 1
+    return rows.withColumn("byte", byte).select("station_id", "control_point_id", F.coalesce(bit, F.lit(False)).alias("observed"))
+
+
 def station_preview_cones(ph: DataFrame, ids: DataFrame) -> DataFrame:
     """station_id, photo_id, az_l, az_r: the other half of a preview, the view cones of the photos of the stations asked for."""
     half = F.col("size_rad") / 2

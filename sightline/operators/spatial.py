@@ -66,11 +66,12 @@ def cp_columns(st: DataFrame, cp: DataFrame, im: DataFrame, ph: DataFrame) -> Da
 
 def _screen(y: float) -> tuple[Column, Column, Column]:
     """Normalised device coordinates of the point (right, y, ahead) of a camera at the origin, in terms of the columns that
-    match_clicks_to_columns prepares. Depth comes out beyond 1 behind the camera, as a perspective matrix has it."""
+    match_clicks_to_columns prepares. Depth comes out beyond 1 behind the camera, as a perspective matrix has it. A point in the
+    camera's own plane is nowhere on the screen (null)."""
     depth = F.col("ahead") * F.col("cos_alt") + F.col("sin_alt") * y
     up = F.col("cos_alt") * y - F.col("ahead") * F.col("sin_alt")
     span = NEAR_M - FAR_M
-    return F.col("right") * F.col("scale_x") / depth, up * F.col("scale_y") / depth, F.lit(-(FAR_M + NEAR_M) / span) + F.lit(2 * FAR_M * NEAR_M / span) / depth
+    return F.try_divide(F.col("right") * F.col("scale_x"), depth), F.try_divide(up * F.col("scale_y"), depth), F.lit(-(FAR_M + NEAR_M) / span) + F.try_divide(F.lit(2 * FAR_M * NEAR_M / span), depth)
 
 
 #: Bins of azimuth about a station: for clicks, which see a degree or two, and for photos, which see a sixth of the circle.

@@ -13,7 +13,7 @@ from sightline.operators import aggregates as agg
 from sightline.operators import changes, integrity, reads, validate
 from sightline.plans.sql import oracle, r, stamp, star
 from sightline.schema import ENTITIES, ID_PATTERN
-from sightline.sources.entities import ingest_patches, load_entities, photo_aspect, photo_blob_catalog, picture, upgrade_legacy_layout, write_entities, write_files
+from sightline.sources.entities import ingest_patches, load_entities, numbered_name, photo_aspect, photo_blob_catalog, picture, upgrade_legacy_layout, write_entities, write_many_files
 from sightline.sources.fixtures import Tables, entity_id
 from sightline.sources.shared import shared_path
 
@@ -79,19 +79,20 @@ def _(t):
 _FILE_KEY = "case when mod(k, 17) = 0 then k + 500000000 else k end"
 
 
-def pictures(t) -> str:
-    """Writes a small picture for each photo, and returns the folder; a folder for each photo.
+def pictures(t) -> tuple[str, DataFrame]:
+    """Writes a small picture for each photo, and returns the folder, and the names of its files with the photos' keys.
 
     Some of the files are large, some are no pictures, and some belong to no photo.
     """
-    rows = t.raw("orders").select(F.col("o_orderkey").alias("k"), F.expr(entity_id("P", _FILE_KEY.replace("k", "o_orderkey"))).alias("id"))
+    path = shared_path(t.spark, "pictures")
 
     def run(batches):
         for batch in batches:
             data = [b"no picture" if k % 13 == 0 else picture(k % 4 + 2, 2, bytes(6 * (k % 4 + 2))) + b" " * (2000 if k % 11 == 0 else 0) for k in batch.column("k").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(data, pa.binary())], names=["id", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(data, pa.binary())], names=["k", "data"])
 
-    return write_files(rows.mapInArrow(run, "id string, data binary"), shared_path(t.spark, "pictures"), "id")
+    names = write_many_files(t.raw("orders").select(F.col("o_orderkey").alias("k")).mapInArrow(run, "k long, data binary"), path, "k")
+    return path, names.select("name", F.expr(entity_id("P", _FILE_KEY)).alias("photo_id"))
 
 
 _FILES = f"select k, {entity_id('P', _FILE_KEY)} as id from (select o_orderkey as k from orders)"
@@ -101,12 +102,15 @@ _FILES = f"select k, {entity_id('P', _FILE_KEY)} as id from (select o_orderkey a
     from (select id, blob_path, case when id like '%5' then 'text/plain' else mime_type end as mime_type from photos) p full join files f on f.id = p.id where p.blob_path is not null or f.id is not null""", files=_FILES)
 def _(t):
     photos = t.ph.withColumn("mime_type", F.when(F.col("id").endswith("5"), "text/plain").otherwise(F.col("mime_type")))
-    return photo_blob_catalog(photos, pictures(t), 1000, r"/id=([A-Z2-7]{13})/").select("photo_id", "status")
+    path, names = pictures(t)
+    return photo_blob_catalog(photos, path, 1000, names=names).select("photo_id", "status")
 
 
 @query("photo_aspect", "select id, mod(k, 13) <> 0 as readable, case when mod(k, 13) <> 0 then (mod(k, 4) + 2) / 2::double end as aspect from files", files=_FILES)
 def _(t):
-    return photo_aspect(t.spark, pictures(t)).select(F.regexp_extract("path", r"/id=([A-Z2-7]{13})/", 1).alias("id"), (F.coalesce("width", F.lit(0)) > 0).alias("readable"), "aspect")
+    path, names = pictures(t)
+    rows = photo_aspect(t.spark, path).withColumn("name", numbered_name(F.col("path"))).join(names, "name")
+    return rows.select(F.col("photo_id").alias("id"), (F.coalesce("width", F.lit(0)) > 0).alias("readable"), "aspect")
 
 
 _BODY = """case mod(event_id, 9) when 0 then '{"lat": 47.5}' when 1 then '{"lat": 1, "bogus": 2}' when 2 then 'no json' when 3 then '{"lat": "x", "lng": 2}'
@@ -320,6 +324,13 @@ def _(t):
     return reads.station_preview(t.st, t.ph, t.im, t.cp, t.sql(_REQUESTED, nation=t.raw("nation")))
 
 
+@query("station_preview_bits", "select station_id, count(*) as n_observed from pairs join located using (control_point_id) group by 1", pairs=_PAIRS, located=_LOCATED)
+def _(t):
+    """The bitmaps of all stations, counted."""
+    bits = reads.station_preview_bits(t.im, t.ph, reads.point_numbers(t.cp))
+    return bits.groupBy("station_id").agg(F.sum(F.bitmap_count("observed")).alias("n_observed"))
+
+
 @query("station_preview_cones", f"select s.id as station_id, p.id as photo_id, {r('p.photo_az + p.size_rad / 2')} as az_l, {r('p.photo_az - p.size_rad / 2')} as az_r from stations s join (select distinct id from requested) q on q.id = s.id join photos p on p.station_id = s.id", requested=_REQUESTED)
 def _(t):
     return near(reads.station_preview_cones(t.ph, t.sql(_REQUESTED, nation=t.raw("nation"))), "az_l", "az_r")
