@@ -5,16 +5,19 @@ space, ends trimmed), digested to 128 bits of xxhash, and grouped; inside each b
 bytes are compared, and a text that differs there gets a number after its digest. ICU, which Spark ships for its
 collations, is called through the SQL function `reflect`; texts of ASCII only take `lower` instead, which gives the same.
 
-Defined cases: null counts as empty; equal texts have equal fingerprints; repeated doc_ids are ordered by their texts;
-an empty table gives no rows; other columns are left aside.
+Defined cases: null counts as empty; equal texts have equal fingerprints; doc_ids may be of any type that has an order, null
+ids come after all others; repeated doc_ids are ordered by their texts, and all rows of one doc_id meet in one task; very long
+texts are digested whole; an empty table gives no rows; other columns are left aside.
 """
 
 from __future__ import annotations
 
 import math
+import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sightline.llm.common import table, wide_hash, written
@@ -74,13 +77,37 @@ def fingerprint_documents(docs: DataFrame, bits: int = 128) -> DataFrame:
     return named.join(groups, "fingerprint").select("doc_id", "fingerprint", "group_id", "copies")
 
 
+PREFIX_BYTES = 7
+
+
+def order_key(docs: DataFrame) -> Column:
+    """A long that never falls as doc_id grows, the least one for null. Of texts it is PREFIX_BYTES bytes after what the least and
+    the greatest have in common."""
+    kind, c = docs.schema["doc_id"].dataType, F.col("doc_id")
+    if isinstance(kind, T.StringType):
+        ends = [(v or "").encode() for v in docs.agg(F.min("doc_id"), F.max("doc_id")).first()]
+        shared = len(os.path.commonprefix(ends))
+        part = F.substring(F.encode(c, "UTF-8"), shared + 1, PREFIX_BYTES)
+        key = F.conv(F.rpad(F.hex(part), 2 * PREFIX_BYTES, "0"), 16, 10).cast("long")
+    elif isinstance(kind, T.DateType):
+        key = F.unix_date(c).cast("long")
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        key = F.unix_micros(c.cast("timestamp"))
+    elif isinstance(kind, T.IntegralType):
+        key = c.cast("long")
+    else:
+        whole = F.floor(c.cast("double"))
+        key = F.when(F.isnan(whole) | (whole >= 2.0**62), F.lit(1 << 62)).when(whole <= -(2.0**62), F.lit(-(1 << 62))).otherwise(whole.try_cast("long"))
+    return F.coalesce(key, F.lit(LOWEST))
+
+
 def with_next(docs: DataFrame, cells: int, columns: list[str]) -> DataFrame:
     """`docs` (doc_id, text, and `columns`) with next_<column> of the next row in descending doc_id, cyclically.
 
     Rows are dealt to ranges of doc_id of about equal counts. The first row of a range also goes to the range before it,
     so each range finds all successors by itself; a range's rows meet once, sorted, and no text moves twice.
     """
-    key = F.coalesce("doc_id", F.lit(LOWEST))
+    key = order_key(docs)
     cells = max(1, cells)
     cuts = docs.select(key.alias("k")).agg(F.percentile_approx("k", [i / cells for i in range(1, cells)] or [0.5], 20 * cells)).first()[0]
     cuts = sorted(set(cuts or []))
@@ -102,7 +129,7 @@ def with_next(docs: DataFrame, cells: int, columns: list[str]) -> DataFrame:
         F.array(F.struct(F.col("cell").alias("home"), F.lit(0).alias("guest")))
     )
     rows = placed.select("*", F.inline(homes))
-    order = Window.partitionBy("home").orderBy("guest", key.desc(), F.col("text").desc_nulls_last())
+    order = Window.partitionBy("home").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last())
     return rows.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).filter("guest = 0").drop("home", "guest", "cell", "block")
 
 

@@ -9,7 +9,7 @@ Records that are equal in all columns would share a hash. They are found by dige
 the copies are numbered and scattered by their number, in blocks, so that no task makes or holds all copies of one record.
 
 Defined cases: null or empty texts are records of 16 bytes; very long texts are moved whole; repeated doc_ids, equal texts
-and equal rows stay separate records; an empty table gives no rows; columns named shard or slot are replaced. Columns of map
+and equal rows stay separate records, as do rows whose nulls stand in different columns; an empty table gives no rows; columns named shard or slot are replaced. Columns of map
 type are not supported.
 """
 
@@ -19,6 +19,7 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sightline.llm.common import table, written
@@ -36,16 +37,24 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _told_apart(docs: DataFrame) -> list:
+    """What the hashes of a record take in: its columns, which of them are null (a hash passes nulls over), and nested ones as
+    text, for the nulls inside."""
+    nested = [F.to_json(F.struct(f.name)) for f in docs.schema if isinstance(f.dataType, (T.StructType, T.ArrayType))]
+    return [*docs.columns, *(F.col(f"`{c}`").isNull() for c in docs.columns), *nested]
+
+
 def numbered_records(docs: DataFrame, seed: int) -> DataFrame:
     """h (the hash that scatters) and record of each row. Equal rows have hashes of their own."""
-    one, two = (F.xxhash64(F.lit(seed + k), *docs.columns) for k in (0, 1))
+    one, two = (F.xxhash64(F.lit(seed + k), *_told_apart(docs)) for k in (0, 1))
     keyed = docs.select(one.alias("h"), two.alias("h2"), F.struct(*docs.columns).alias("record"))
-    equal = written(docs.select(one.alias("h"), two.alias("h2")).groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "equal-rows")
+    equal = written(docs.select(one.alias("h"), two.alias("h2")).groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "h2"), "equal-rows")
     if equal.isEmpty():
         return keyed.select("h", "record")
     equal = _few(equal)
     single = keyed.join(equal, ["h", "h2"], "left_anti").select("h", "record")
-    kinds = keyed.join(equal, ["h", "h2"]).groupBy("h", "h2").agg(F.first("n").alias("n"), F.first("record").alias("record"))
+    # Records are compared, not their hashes only: each different one is counted for itself.
+    kinds = keyed.join(equal, ["h", "h2"]).groupBy("h", "h2", "record").agg(F.count(F.lit(1)).alias("n"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = kinds.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))).alias("from")).repartition(parts, "h", "h2", "from")
     copies = blocks.select("h", "h2", "record", F.explode(F.sequence("from", F.least(F.col("n"), F.col("from") + COPIES) - 1)).alias("copy"))

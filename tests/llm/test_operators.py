@@ -96,6 +96,23 @@ def test_equal_rows_are_scattered(spark, monkeypatch):
     assert sorted(got) == sorted(again)
 
 
+def test_rows_whose_nulls_stand_elsewhere_stay_apart(spark, monkeypatch):
+    rows = [tuple("x" if bits >> i & 1 else None for i in range(3)) for bits in range(8)] * 3 + [(None, "x", "y"), ("x", None, "y"), ("x", "y", None)]
+    schema = "doc_id string, text string, lang string"
+    got = sharding.shard_documents(spark.createDataFrame(rows, schema).repartition(3), 4, bucket_bytes=100)
+    assert sorted(((r.doc_id, r.text, r.lang) for r in got.collect()), key=repr) == sorted(rows, key=repr)
+    assert sorted(collections.Counter(r.shard for r in got.collect()).values()) == [6, 7, 7, 7]
+    # Nulls inside nested columns.
+    nested = [(1, (None, "x")), (1, ("x", None)), (1, None), (1, (None, None)), (1, ("x", None))]
+    df = spark.createDataFrame(nested, "doc_id int, deep struct<a: string, b: string>").withColumn("text", F.lit("t"))
+    back = [(r.doc_id, r.deep and tuple(r.deep)) for r in sharding.shard_documents(df, 2).collect()]
+    assert sorted(back, key=repr) == sorted(nested, key=repr)
+    # Records whose hashes agree are told apart by what they are.
+    monkeypatch.setattr(sharding, "_told_apart", lambda docs: [F.lit(1)])
+    all_alike = sharding.shard_documents(spark.createDataFrame(rows, schema), 4)
+    assert sorted(((r.doc_id, r.text, r.lang) for r in all_alike.collect()), key=repr) == sorted(rows, key=repr)
+
+
 def test_sharding_is_native(docs):
     plan = sharding.shard_documents(docs, 5)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -787,6 +804,12 @@ def test_fingerprints_are_native(spark, docs, monkeypatch):
 
 def test_fingerprints_of_odd_tables(spark, docs, empty):
     assert fingerprints.edited_fingerprints(docs).count() == len(odd()) and fingerprints.edited_fingerprints(empty).count() == 0
+    for kind, ids in (("string", ["doc-a", "doc-b", "doc-", "doc-ä", "doc-b1", None, "doc-a"]), ("double", [1.5, -2.0, 1e300, float("inf"), 1.25, None, 1.5]), ("date", ["2024-01-02", "1960-01-01", "2024-01-03", "1999-12-31", "2000-01-01", None, "2024-01-02"])):
+        rows = [(i, chr(97 + k) * 9) for k, i in enumerate(ids)]
+        df = spark.createDataFrame([(str(i) if i is not None else None, t) for i, t in rows], "doc_id string, text string").select(F.col("doc_id").cast(kind).alias("doc_id"), "text")
+        got = {r.text: r.edited_sha256 for r in fingerprints.edited_fingerprints(df.repartition(3)).collect()}
+        order = sorted(rows, key=lambda r: (r[0] is not None, r[0].encode() if isinstance(r[0], str) else r[0] or 0, r[1]), reverse=True)
+        assert got == {t: hashlib.sha256((t[:6] + order[(k + 1) % len(order)][1][:3]).encode()).hexdigest() for k, (_, t) in enumerate(order)}
     alone = fingerprints.edited_fingerprints(frame(spark, [(1, "abcdef")])).first()
     assert alone.near_next == 1.0 and alone.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest()
     groups = {r.doc_id: r for r in fingerprints.fingerprint_documents(docs).collect()}
