@@ -547,6 +547,56 @@ def test_large_stations_are_solved_alike(spark, monkeypatch):
     assert np.allclose(a, b, atol=1e-5) and abs(rms_a - rms_b) < 1e-6
 
 
+def stations_with_twins(spark, noise_m):
+    """Points that two photos see, some held by one prior, some by two, some by none; a photo of one image only."""
+    st, ph, an, pr = poses(spark, noise_m)
+    st, an, pr = st.filter("id in ('s0', 's1', 's2')"), an.filter("station_id in ('s0', 's1', 's2')"), pr.filter("control_point_id like '%3' and station_id in ('s0', 's1')")
+    twin = F.concat("photo_id", F.lit("b"))
+    an = an.unionByName(an.select("station_id", twin.alias("photo_id"), F.concat("id", F.lit("b")).alias("id"), "u", "v", "control_point_id", "est_lat", "est_lng")).filter("photo_id != 'p01b' or id like '%3b'")
+    ph = ph.unionByName(ph.withColumns({"id": F.concat("id", F.lit("b")), "photo_az": F.col("photo_az") - 0.05}))
+    return st, ph, an, pr
+
+
+@pytest.mark.parametrize("locked", [False, True])
+def test_a_step_from_sums_is_that_of_the_whole_matrix(spark, locked):
+    import numpy as np
+
+    from sightline.operators.station_sums import Sums
+
+    st, ph, an, pr = stations_with_twins(spark, 20.0)
+    pr = pr.unionByName(pr.filter("control_point_id like 'c_1%'").withColumn("lat", F.col("lat") + 1e-4))
+    rows = an.join(ph.withColumnRenamed("id", "photo_id"), "photo_id").join(st.select(F.col("id").alias("station_id"), F.col("lat").alias("st_lat"), F.col("lng").alias("st_lng")), "station_id").cache()
+    held = pr.select("station_id", "control_point_id", F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"))
+    sums = Sums(rows, held, True, locked)
+    resting = sums.photos.withColumns({c: F.lit(0.0) for c in ("d0", "d1", "d2")}), sums.points.withColumns({"x0": F.lit(0.0), "x1": F.lit(0.0)})
+    start = sums.norms(*resting, np.zeros((3, 2)), np.ones(3, bool), 1, False)[:, 0]
+    photos, points, camera = sums.step(np.ones(3, bool))
+    photos, points = ({(r[0], r[1]): r[2:] for r in df.collect()} for df in (photos, points))
+    a, b = rows.toPandas(), held.toPandas().rename(columns={"control_point_id": "point"})
+    for i, s in enumerate(sums.ids):
+        p = solve.StationProblem(a[a["station_id"] == s], b[b["station_id"] == s], True, locked)
+        r, whole = p.residuals(p.value), np.zeros(len(p.value))
+        whole[p.free] = p.step(p.value, r)
+        near = lambda x, y: np.allclose(x, y, rtol=1e-5, atol=1e-8)
+        assert near(start[i], np.linalg.norm(r)) and near(camera[i], p.part(whole, 0))
+        assert all(near(photos[s, k], [p.part(whole, j)[n] for j in (1, 2, 3)]) for n, k in enumerate(p.photos))
+        assert all(near(points.get((s, k), (0, 0)), [p.part(whole, j)[n] for j in (4, 5)]) for n, k in enumerate(p.points))
+
+
+def test_stations_solved_from_sums_are_those_solved_in_tasks(spark):
+    """s0 and s1 have priors and go to the sums, s2 is solved in a task."""
+    given = stations_with_twins(spark, 0.0)
+    given = *given[:2], given[2].filter("station_id != 's2' or photo_id not like '%b'"), given[3].filter("control_point_id like 'c_03'")
+    want, got = solve.solve_station_poses(*given), solve.solve_station_poses(*given, most_rows=26)
+    nearly = {"lat": 1e-6, "lng": 1e-6, "photo_az": 1e-5, "size_rad": 1e-5, "size_stored": 1e-5, "photo_roll": 1e-5, "residual_rms": 1e-6}
+    for part, key in (("stations", "station_id"), ("photos", "photo_id"), ("proposals", "control_point_id")):
+        a, b = ({(r["station_id"], r[key]): r for r in side[part].collect()} for side in (want, got))
+        assert a.keys() == b.keys()
+        for k in a:
+            for c in want[part].columns:
+                assert abs(a[k][c] - b[k][c]) <= nearly[c] if c in nearly else c == "iterations" or a[k][c] == b[k][c], (part, k, c, a[k], b[k])
+
+
 def test_many_stations_over_one_tile(spark, monkeypatch):
     st = spark.createDataFrame([(f"s{k}", 47.6 + k / 1e4, -122.3) for k in range(12)], "id string, lat double, lng double")
     tiles = terrain.tile_windows(st).select("z", "x", "y").distinct().withColumn("elev", F.transform(F.sequence(F.lit(0), F.lit(65535)), lambda k: (k % 97 + F.col("x") % 5).cast("double"))).cache()
