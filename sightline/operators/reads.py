@@ -80,28 +80,92 @@ def control_points_in_bbox(cp: DataFrame, bbox: str | None = None, limit: int =
     return newest(cp if bbox is None else _in_box(cp, bbox, "est_lat", "est_lng"), limit)
 
 
-def boxes_join(boxes: DataFrame, points: DataFrame, most_zoom: int = 14) -> DataFrame:
-    """box_id, id of all points inside each box. Both sides meet by map cell, so no pair outside shared cells is made.
+#: A tree of cells: the whole map, in each cell 8 x 8 smaller ones down to zoom 21, and below these 64 parts by a hash of the id, twice.
+PLACE_LEVELS, HASH_LEVELS = 7, 2
+CELL = ["level", "cx", "cy", "ch"]
 
-    A box is cut into cells of a zoom that fits its size, so it has at most nine of them, whether it holds a street or the
-    world; a point is put in its cell at each zoom that some box has, of which there are `most_zoom` + 1 at most.
+
+def map_x(lng) -> Column:
+    """The column of a finest cell; what lies beyond the map is in its outermost one."""
+    return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(2.0**21 - 1), lng_to_tile_x(lng, F.lit(21))))).cast("int")
+
+
+def map_y(lat) -> Column:
+    """Web-Mercator rows end near 85 degrees; beyond, points and boxes share the outermost row."""
+    return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(2.0**21 - 1), lat_to_tile_y(F.greatest(F.lit(-85.0), F.least(F.lit(85.0), lat)), F.lit(21))))).cast("int")
+
+
+def _cells_of(spots: DataFrame, first: int, last: int) -> DataFrame:
+    """A row for each level from first to last, with the spot's cell there."""
+    at = F.col("level")
+    rows = spots.select("*", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("level"))
+    narrow, part = 3 * F.greatest(PLACE_LEVELS - at, F.lit(0)), 6 * (PLACE_LEVELS + HASH_LEVELS - F.greatest(at, F.lit(PLACE_LEVELS)))
+    whole = lambda c, bits: F.floor(F.col(c) / F.pow(F.lit(2.0), bits)).cast("int")
+    return rows.select(*spots.columns, "level", whole("x", narrow).alias("cx"), whole("y", narrow).alias("cy"), whole("h", part).alias("ch"))
+
+
+def _split_cells(spots: DataFrame, most: int) -> tuple[DataFrame | None, int]:
+    """The cells with more than `most` spots (a written table) and the deepest level that has one, -1 if none has.
+
+    Cells are counted from the top, three or four levels in a pass; later passes read the spots in cells that were too full.
+    """
+    spark, found, deepest, rest = spots.sparkSession, None, -1, spots
+    for first, last in ((0, 3), (4, 6), (7, PLACE_LEVELS + HASH_LEVELS - 1)):
+        path = shared_path(spark, "cells")
+        _cells_of(rest.select("x", "y", "h"), first, last).groupBy(*CELL).count().filter(F.col("count") > most).select(*CELL).write.parquet(path)
+        full = spark.read.parquet(path)
+        level = full.agg(F.max("level")).first()[0]
+        if level is None:
+            break
+        found, deepest = full if found is None else found.unionByName(full), level
+        if level < last:
+            break
+        rest = _cells_of(spots, last, last).join(full.filter(F.col("level") == last), CELL, "left_semi")
+    return found, deepest
+
+
+def _leaves_of(boxes: DataFrame, split: DataFrame | None, deepest: int) -> DataFrame:
+    """A row for each unsplit cell that a box (x0, x1, y0, y1) meets: level by level, a split cell gives way to its own cells in the box."""
+    # From the first level's cells on, split or not, so that a join always has cells to meet by.
+    wide = 8 ** (PLACE_LEVELS - 1)
+    first = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / wide).cast("int"), F.floor(F.col(hi) / wide).cast("int")))
+    rows = boxes.select("*", F.lit(1).alias("level"), first("x0", "x1").alias("cx")).select("*", first("y0", "y1").alias("cy"), F.lit(0).alias("ch"))
+    for level in range(1, deepest + 1):
+        here = split.filter(F.col("level") == level).withColumn("is_split", F.lit(True))
+        rows = rows.join(here, CELL, "left")
+        one = lambda c: F.array(F.col(c))
+        if level < PLACE_LEVELS:
+            wide = 8 ** (PLACE_LEVELS - level - 1)
+            inner = lambda c, lo, hi: F.sequence(F.greatest(F.col(c) * 8, F.floor(F.col(lo) / wide).cast("int")), F.least(F.col(c) * 8 + 7, F.floor(F.col(hi) / wide).cast("int")))  # noqa: E731, B023
+            lists = {"cx": inner("cx", "x0", "x1"), "cy": inner("cy", "y0", "y1")}
+        else:
+            lists = {"ch": F.sequence(F.col("ch") * 64, F.col("ch") * 64 + 63)}
+        for c, inside in lists.items():
+            others = [k for k in rows.columns if k != c]
+            rows = rows.select(*others, F.explode(F.when(F.col("is_split"), inside).otherwise(one(c))).alias(c))
+        rows = rows.withColumn("level", F.when(F.col("is_split"), F.lit(level + 1)).otherwise(F.col("level"))).drop("is_split")
+    return rows
+
+
+def spots_in_boxes(boxes: DataFrame, spots: DataFrame, most: int) -> DataFrame:
+    """All columns of boxes (min_lng, min_lat, max_lng, max_lat) and spots (lat, lng, and id, which deals points of one place), where
+    the spot is in the box.
+
+    Spots are counted in a tree of cells, and a cell with more than `most` is split, however small a place the spots are crowded
+    in; below the finest cells they are dealt by a hash of their id. So no cell holds more (unless one place has 4096 times as many), and a box meets as many cells as its own
+    spots ask for. A box that many share with a cell is left to AQE to split.
     """
-    # Web-Mercator rows end near 85 degrees; beyond, points and boxes share the outermost row.
-    inner = lambda lat: F.greatest(F.lit(-85.0), F.least(F.lit(85.0), F.col(lat)))
-    east = lambda lng, z: lng_to_tile_x(F.col(lng), z)
-    cell = lambda c, z: F.floor(F.greatest(F.lit(0.0), F.least(F.pow(F.lit(2.0), z.cast("double")) - 1, c))).cast("int")
-    col, row = lambda lng, z: cell(east(lng, z), z), lambda lat, z: cell(lat_to_tile_y(inner(lat), z), z)
-    whole = F.lit(0)
-    # Of the whole map; a zoom where the longer side is two cells at most.
-    share = F.greatest(east("max_lng", whole) - east("min_lng", whole), lat_to_tile_y(inner("min_lat"), whole) - lat_to_tile_y(inner("max_lat"), whole), F.lit(2.0**-most_zoom))
-    z = F.greatest(F.lit(0), F.least(F.lit(most_zoom), F.floor(-F.log2(share)) + 1)).cast("int")
-    placed = boxes.select("box_id", "min_lng", "min_lat", "max_lng", "max_lat", z.alias("z"))
-    zooms = sorted(r["z"] for r in placed.select("z").distinct().collect() if r["z"] is not None)
-    at = F.col("z")
-    wide = placed.select("*", F.explode(F.sequence(col("min_lng", at), col("max_lng", at))).alias("cx")).select("*", F.explode(F.sequence(row("max_lat", at), row("min_lat", at))).alias("cy"))
-    spots = points.select("id", "lat", "lng", F.explode(F.array(*map(F.lit, zooms)).cast("array<int>")).alias("z")).select("*", col("lng", at).alias("cx"), row("lat", at).alias("cy"))
+    bounds = boxes.filter("min_lng <= max_lng and min_lat <= max_lat").select("*", map_x(F.col("min_lng")).alias("x0"), map_x(F.col("max_lng")).alias("x1"), map_y(F.col("max_lat")).alias("y0"), map_y(F.col("min_lat")).alias("y1"))
+    placed = spots.filter("lat is not null and lng is not null").select("*", map_x(F.col("lng")).alias("x"), map_y(F.col("lat")).alias("y"), F.pmod(F.xxhash64("id"), F.lit(64**HASH_LEVELS)).alias("h"))
+    split, deepest = _split_cells(placed, most)
+    leaves = _leaves_of(bounds, split, deepest).drop("x0", "x1", "y0", "y1")
     inside = F.col("lng").between(F.col("min_lng"), F.col("max_lng")) & F.col("lat").between(F.col("min_lat"), F.col("max_lat"))
-    return wide.join(spots, ["z", "cx", "cy"]).filter(inside).select("box_id", "id")
+    return leaves.join(_cells_of(placed, 1, max(deepest, 0) + 1).drop("x", "y", "h"), CELL).filter(inside)
+
+
+def boxes_join(boxes: DataFrame, points: DataFrame, most: int = 256) -> DataFrame:
+    """box_id, id of all points inside each box, by cells of at most `most` points (spots_in_boxes). Counts the points first."""
+    return spots_in_boxes(boxes.select("box_id", "min_lng", "min_lat", "max_lng", "max_lat"), points.select("id", "lat", "lng"), most).select("box_id", "id")
 
 
 def lookup_by_id(table: DataFrame, ids: DataFrame) -> DataFrame:

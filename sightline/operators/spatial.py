@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sightline.functions import geometry as g
-from sightline.operators.reads import located_control_points, station_located_cps
+from sightline.operators.reads import located_control_points, spots_in_boxes, station_located_cps
 
 POSE = ["photo_az", "photo_tilt", "photo_roll", "size_rad", "aspect"]
 COLUMN_LOW_M, COLUMN_HIGH_M = -1000.0, 5000.0
@@ -187,25 +187,22 @@ def locate_on_photo(ph: DataFrame, st: DataFrame, cp: DataFrame, im: DataFrame)
     return rows.select("photo_id", "control_point_id", place("right", "half_w").alias("u"), place("up", "half_h").alias("v"))
 
 
-def nearby_pairs(st: DataFrame, cp: DataFrame, max_m: float) -> DataFrame:
+def nearby_pairs(st: DataFrame, cp: DataFrame, max_m: float, most: int = 256) -> DataFrame:
     """station_id, control_point_id, distance_m, bearing_deg of located points within max_m.
 
-    Points are put in latitude bands as high as the range; within a band, in cells that are at least as wide as the range
-    everywhere in it. A station looks at its own and the adjacent cells. Near a pole the band is one cell; cells wrap.
+    A station looks into the box around its circle, which is two at the date line and goes all around where the circle holds a
+    pole; boxes and points meet by cells of at most `most` points (`spots_in_boxes`, which counts the points first).
     """
     high = math.degrees(max_m / 6_371_000.0) * 1.0001
-    band = lambda lat: F.floor((lat + 90.0) / high).cast("int")
-    # The band's edge that is nearer a pole, and as much again.
-    edge = lambda b: F.least(F.lit(90.0), F.greatest(F.abs(b * F.lit(high) - 90.0), F.abs((b + 1) * F.lit(high) - 90.0)) + high)
-    cells = lambda b: F.greatest(F.lit(1), F.floor(F.cos(F.radians(edge(b))) * 360.0 / (2 * high)).cast("int"))
-    col = lambda lng, b: F.pmod(F.floor((lng + 180.0) / 360.0 * cells(b)).cast("int"), cells(b))
-    points = located_control_points(cp).select(F.col("id").alias("control_point_id"), "lat", "lng", band(F.col("lat")).alias("b"))
-    points = points.withColumn("c", col(F.col("lng"), F.col("b")))
-    looks = _places(st).select("*", F.explode(F.array(*(band(F.col("st_lat")) + k for k in (-1, 0, 1)))).alias("b"))
-    looks = looks.withColumn("at", col(F.col("st_lng"), F.col("b")))
-    looks = looks.select("station_id", "st_lat", "st_lng", "b", F.explode(F.array_distinct(F.array(*(F.pmod(F.col("at") + k, cells(F.col("b"))) for k in (-1, 0, 1))))).alias("c"))
-    rows = looks.join(points, ["b", "c"]).withColumn("distance_m", g.ground_distance_m("st_lat", "st_lng", "lat", "lng"))
-    return rows.filter(F.col("distance_m") <= max_m).select("station_id", "control_point_id", "distance_m", g.bearing_deg("st_lat", "st_lng", "lat", "lng").alias("bearing_deg"))
+    half = F.degrees(F.asin(F.lit(math.sin(math.radians(min(high, 90.0)))) / F.cos(F.radians("st_lat")))) * 1.0001
+    around = F.abs("st_lat") + high >= 90.0
+    looks = _places(st).select("*", F.when(around, F.lit(-180.0)).otherwise(F.col("st_lng") - half).alias("west"), F.when(around, F.lit(180.0)).otherwise(F.col("st_lng") + half).alias("east"))
+    piece = lambda lo, hi: F.struct(lo.alias("min_lng"), hi.alias("max_lng"))
+    beyond = [F.when(F.col("west") < -180.0, piece(F.col("west") + 360.0, F.lit(180.0))), F.when(F.col("east") > 180.0, piece(F.lit(-180.0), F.col("east") - 360.0))]
+    pieces = F.filter(F.array(piece(F.greatest("west", F.lit(-180.0)), F.least("east", F.lit(180.0))), *beyond), lambda p: p.isNotNull())
+    boxes = looks.select("station_id", "st_lat", "st_lng", (F.col("st_lat") - high).alias("min_lat"), (F.col("st_lat") + high).alias("max_lat"), F.inline(pieces))
+    rows = spots_in_boxes(boxes, located_control_points(cp).select("id", "lat", "lng"), most).withColumn("distance_m", g.ground_distance_m("st_lat", "st_lng", "lat", "lng"))
+    return rows.filter(F.col("distance_m") <= max_m).select("station_id", F.col("id").alias("control_point_id"), "distance_m", g.bearing_deg("st_lat", "st_lng", "lat", "lng").alias("bearing_deg"))
 
 
 def cp_visibility(st: DataFrame, cp: DataFrame, max_m: float, sigma: float = 5e-6, curvature: bool = True, refraction: bool = True) -> DataFrame:

@@ -78,6 +78,20 @@ def test_nearby_pairs_meet_across_cells_and_the_date_line(spark):
     assert got == {("S", "a"), ("S", "b"), ("N", "c")}
 
 
+@pytest.mark.parametrize("metres", [300.0, 900_000.0])
+def test_nearby_pairs_of_crowded_places_are_all_pairs(spark, metres):
+    import random
+
+    rng = random.Random(8)
+    somewhere = lambda: rng.choice([(47.6 + rng.random() / 200, 179.998 + rng.random() / 500), (rng.uniform(85, 90), rng.uniform(-180, 180)), (rng.uniform(-90, 90), rng.uniform(-180, 180))])
+    st = spark.createDataFrame([(f"s{k}", *somewhere()) for k in range(60)], "id string, lat double, lng double").cache()
+    cp = spark.createDataFrame([(f"c{k}", *somewhere(), "") for k in range(400)], "id string, est_lat double, est_lng double, description string").withColumn("est_lng", F.when(F.col("est_lng") > 180, F.col("est_lng") - 360).otherwise(F.col("est_lng"))).cache()
+    got = sorted((r.station_id, r.control_point_id) for r in spatial.nearby_pairs(st, cp, metres, most=20).collect())
+    far = g.ground_distance_m("st_lat", "st_lng", "est_lat", "est_lng")
+    every = st.select(F.col("id").alias("s"), F.col("lat").alias("st_lat"), F.col("lng").alias("st_lng")).crossJoin(cp).filter(far <= metres)
+    assert got == sorted((r.s, r.id) for r in every.collect()) and len(got) > 300
+
+
 def test_nearby_pairs_have_no_nested_loop(spark):
     st = spark.createDataFrame([("S", 10.0, 1.0)], "id string, lat double, lng double")
     cp = spark.createDataFrame([("a", 10.0, 1.0, "")], "id string, est_lat double, est_lng double, description string")
@@ -327,6 +341,26 @@ def test_boxes_of_any_size_have_few_cells(spark):
     assert got == {(b, p) for b, x0, y0, x1, y1 in boxes for p, lat, lng in points if x0 <= lng <= x1 and y0 <= lat <= y1}
 
 
+def test_crowded_places_are_split(spark):
+    """90 % of the points in one street, a tenth of all in one spot, some beyond the map's rows: cells hold the bound, rows are those of all pairs."""
+    import random
+
+    rng = random.Random(7)
+    street = [(f"s{k}", 47.6 + rng.random() / 2000, -122.3 + rng.random() / 2000) for k in range(1600)]
+    points = street + [(f"o{k}", 47.6001, -122.3001) for k in range(200)] + [(f"w{k}", rng.uniform(-90, 90), rng.uniform(-180, 180)) for k in range(200)] + [(f"n{k}", 88.0, 5.0) for k in range(40)] + [("none", None, 1.0), ("nan", float("nan"), 1.0)]
+    boxes = [("world", -180.0, -90.0, 180.0, 90.0), ("spot", -122.3001, 47.6001, -122.3001, 47.6001), ("north", 0.0, 86.0, 10.0, 90.0), ("empty", None, 0.0, 1.0, 1.0)]
+    boxes += [(f"b{k}", x, y, x + w, y + h) for k in range(60) for x, y, w, h in [(-122.3 + rng.random() / 2000, 47.6 + rng.random() / 2000, rng.random() / 4000, rng.random() / 4000)]]
+    b, p = spark.createDataFrame(boxes, "box_id string, min_lng double, min_lat double, max_lng double, max_lat double"), spark.createDataFrame(points, "id string, lat double, lng double")
+    got = [(r.box_id, r.id) for r in reads.boxes_join(b, p, most=50).collect()]
+    want = {(b, p) for b, x0, y0, x1, y1 in boxes if x0 is not None for p, lat, lng in points if lat is not None and x0 <= lng <= x1 and y0 <= lat <= y1}
+    assert set(got) == want and len(got) == len(want)
+    spots = p.filter("lat is not null and not isnan(lat)").select("id", reads.map_x(F.col("lng")).alias("x"), reads.map_y(F.col("lat")).alias("y"), F.pmod(F.xxhash64("id"), F.lit(4096)).alias("h"))
+    split, deepest = reads._split_cells(spots, 50)
+    leaves = reads._cells_of(spots, 0, deepest + 1).join(split.select(*reads.CELL), reads.CELL, "left_anti").groupBy("id").agg(F.min(F.struct(*reads.CELL)).alias("leaf"))
+    assert deepest >= reads.PLACE_LEVELS and leaves.count() == len(points) - 2
+    assert leaves.groupBy("leaf").count().agg(F.max("count")).first()[0] <= 50
+
+
 def test_previews_in_blocks(spark):
     st = spark.createDataFrame([(f"s{k}",) for k in range(9)], "id string")
     ph = spark.createDataFrame([("p1", "s1")], "id string, station_id string")
