@@ -9,7 +9,8 @@ of twice a template's length are also aligned by themselves, by their longest co
 each notice with up to half as many strange words lies whole in one of them.
 
 A template is aligned with a text only if the text holds enough of the template's words to reach `least` at all; that
-test never drops a match. Templates are read whole and their size is bounded by `template_words`.
+test never drops a match. Licences that share most of their words are told apart by place: each place is named by the template
+that covers it best, so a header of one GNU licence does not name the others. Templates are read whole and their size is bounded by `template_words`.
 
 Defined cases: null and empty texts and empty templates match nothing; ties go to the longer template, then to the one whose
 name comes first; repeated rows are each scanned; very long texts are scanned whole; extra columns, those with clashing names
@@ -147,8 +148,54 @@ def coverage(text: list[str], template: list[str]) -> float:
     return best / size
 
 
+def occurrences(text: list[str], template: list[str], least: float) -> list[tuple[float, list[int]]]:
+    """(coverage, places in the text) wherever the template reaches `least`: the narrowest part of each stretch that holds as many
+    of its words; if no stretch has one, the windows around its words."""
+    size = len(template)
+    places: dict[str, int] = {}
+    for i, w in enumerate(template):
+        places[w] = places.get(w, 0) | 1 << i
+    spots, step, out = [i for i, w in enumerate(text) if w in places], max(1, size // 2), {}
+    for bucket in sorted({i // step for i in spots}):
+        inside = spots[bisect_left(spots, bucket * step) : bisect_left(spots, bucket * step + 2 * size)]
+        held = common_words([text[i] for i in inside], places) if len(inside) >= least * size else 0
+        if held < least * size:
+            continue
+        # More words never hold less, so both ends are found by halving.
+        end = bisect_left(range(len(inside)), held, key=lambda k: common_words([text[i] for i in inside[: k + 1]], places)) + 1
+        start = bisect_left(range(end), True, key=lambda k: common_words([text[i] for i in inside[k:end]], places) < held) - 1
+        out[inside[start], inside[end - 1]] = held
+    if out:
+        return [(held / size, list(range(a, b + 1))) for (a, b), held in out.items()]
+    found, k = [], 0
+    while k < len(spots):
+        end = k
+        while end + 1 < len(spots) and spots[end + 1] - spots[end] <= size:
+            end += 1
+        pairs = align(text[spots[k] : spots[end] + 1], template)
+        if len(pairs) >= least * size:
+            found.append((len(pairs) / size, [spots[k] + a for a, _ in pairs]))
+        k = end + 1
+    return found
+
+
+def told_apart(text: list[str], sets: dict[str, list[str]], names: list[str], least: float) -> list[str]:
+    """Of `names`, those that are the best somewhere: a place belongs to the template of highest coverage there, the longer of
+    several, and what has over half of its words in places of others is not named for it."""
+    if len(names) < 2:
+        return names
+    found = sorted(((c, len(sets[n]), n, at) for n in names for c, at in occurrences(text, sets[n], least)), key=lambda f: (-f[0], -f[1], f[2]))
+    taken, kept = set(), set()
+    for _, _, name, at in found:
+        if 2 * sum(i in taken for i in at) <= len(at):
+            kept.add(name)
+            taken.update(at)
+    return [n for n in names if n in kept]
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, template_words: int = 100_000) -> DataFrame:
-    """doc_id, license (the template with the highest coverage, the longest of several; null below `least`), coverage, licenses (all that reach `least`)."""
+    """doc_id, license (the template with the highest coverage, the longest of several; null below `least`), coverage, licenses (all that reach `least`
+    and are the best where they stand)."""
     sets = {name: words(t) for name, t in sorted((templates or TEMPLATES).items())}
     if sum(map(len, sets.values())) > template_words:
         raise ValueError(f"templates of more than {template_words} words; scan them in several calls")
@@ -166,7 +213,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
                 ok = top is not None and got[top] >= least
                 best.append(top if ok else None)
                 share.append(got[top] if ok else 0.0)
-                found.append([n for n, c in got.items() if c >= least])
+                apart = told_apart(text, sets, [n for n, c in got.items() if c >= least], least)
+                found.append(sorted({*apart, top}) if ok else [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(best, pa.string()), pa.array(share, pa.float64()), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "license", "coverage", "licenses"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, license string, coverage double, licenses array<string>")

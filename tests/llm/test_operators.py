@@ -229,6 +229,21 @@ def test_repeated_notices(spark):
         assert (row.license is None and not row.licenses) if name == "None" else (name in row.licenses and row.coverage == 1.0), key
 
 
+def test_licences_that_share_words_are_told_apart(spark):
+    """A template alone names itself alone, once or several times, amid prose or not; two that stand apart, or side by side, are both named."""
+    rng = random.Random(9)
+    t, other = license_scan.TEMPLATES, "lorem ipsum dolor sit amet".split()
+    between = lambda: " ".join(rng.choice(other) for _ in range(40))
+    texts = [(f"{n}|{k}", " ".join([between(), *(f"{t[n]} {between()}" for _ in range(k))])) for n in t for k in (1, 2, 3)]
+    texts += [(f"{n}|near", t[n].replace("version", "release")) for n in ("GPL-2.0-header", "GPL-3.0-header", "LGPL-3.0-header")]
+    pairs = [("CC-BY-SA-4.0", "CC-BY-NC-4.0"), ("GPL-2.0-header", "GPL-3.0-header"), ("GPL-3.0-header", "LGPL-3.0-header"), ("MIT-text", "MIT-full"), ("Apache-2.0", "Apache-2.0-header")]
+    texts += [(f"{a},{b}|{gap}", f"{t[a]} {between() if gap else ''} {t[b]}") for a, b in pairs for gap in (0, 1)]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(texts, "doc_id string, text string")).collect()}
+    for key, row in got.items():
+        assert row.licenses == sorted(key.split("|")[0].split(",")), (key, row)
+        assert row.license in row.licenses
+
+
 @pytest.mark.parametrize("times", [1, 2, 3])
 def test_verbatim_notices_in_prose_are_found(times):
     rng = random.Random(times)
