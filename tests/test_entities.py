@@ -653,3 +653,13 @@ def test_cells_of_a_box(spark, tmp_path, box):
     found = reads.stations_in_bbox(stored, box, 5000)
     assert sorted(r.id for r in found.collect()) == sorted(r.id for r in reads.stations_in_bbox(st, box, 5000).collect())
     assert "PushedFilters" in found._jdf.queryExecution().toString() and "cell" in found._jdf.queryExecution().toString().split("PushedFilters")[1][:400]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_hidden_cells_come_in_closed_form_without_a_shuffle(spark):
+    st = spark.createDataFrame([("s", 47.6, -122.3)], "id string, lat double, lng double")
+    logical, _ = plan_of(terrain.ring_quads(st))
+    assert "Join" not in logical and "transform(" not in logical
