@@ -663,3 +663,12 @@ def test_hidden_cells_come_in_closed_form_without_a_shuffle(spark):
     st = spark.createDataFrame([("s", 47.6, -122.3)], "id string, lat double, lng double")
     logical, _ = plan_of(terrain.ring_quads(st))
     assert "Join" not in logical and "transform(" not in logical
+
+
+def test_what_is_made_of_a_strip_is_that_of_its_rows(spark):
+    st = spark.createDataFrame([("s", 47.6, -122.3), ("t", 47.6001, -122.3)], "id string, lat double, lng double")
+    rings = terrain.with_stride(64)
+    tiles = terrain.tile_windows(st).select("z", "x", "y").distinct().withColumn("elev", F.transform(F.sequence(F.lit(0), F.lit(65535)), lambda k: k % 97 + F.col("x") % 5 / F.lit(256.0)))
+    total = lambda df: df.select(*(c for c in df.columns if c != "elev"), F.aggregate("elev", F.lit(0.0), lambda a, x: a + x).alias("total"))
+    want, got = (sorted(df.select("station_id", "ring", "j", "z", "v", "base", "total").collect()) for df in (total(terrain.ring_rows(st, tiles, rings)), terrain.ring_rows(st, tiles, rings, of_rows=total)))
+    assert want == got and len(got) == 2 * 3 * 21
