@@ -672,3 +672,11 @@ def test_what_is_made_of_a_strip_is_that_of_its_rows(spark):
     total = lambda df: df.select(*(c for c in df.columns if c != "elev"), F.aggregate("elev", F.lit(0.0), lambda a, x: a + x).alias("total"))
     want, got = (sorted(df.select("station_id", "ring", "j", "z", "v", "base", "total").collect()) for df in (total(terrain.ring_rows(st, tiles, rings)), terrain.ring_rows(st, tiles, rings, of_rows=total)))
     assert want == got and len(got) == 2 * 3 * 21
+
+
+def test_rows_that_grow_with_stations_are_not_broadcast_for_rings(spark):
+    st = spark.range(1).selectExpr("'s' as id", "47.6d as lat", "-122.3d as lng")
+    tiles = terrain.tile_windows(st).select("z", "x", "y").distinct().withColumn("elev", F.array_repeat(F.lit(0.0), 65536))
+    _, physical = plan_of(terrain.ring_vertices(st, tiles, terrain.with_stride(128)))
+    # Only the row of zeros may be sent to all.
+    assert physical.count("BroadcastHashJoin") <= 1
