@@ -680,3 +680,13 @@ def test_rows_that_grow_with_stations_are_not_broadcast_for_rings(spark):
     _, physical = plan_of(terrain.ring_vertices(st, tiles, terrain.with_stride(128)))
     # Only the row of zeros may be sent to all.
     assert physical.count("BroadcastHashJoin") <= 1
+
+
+def test_panoramas_in_buckets_are_those_of_sums_over_all_runs(spark):
+    rows = [(f"p{k:02}", f"s{k % 3}", 0.7 * k - 3, 0.1 * (k % 5) - 0.2, 0.05 * (k % 3), 0.3 + 0.1 * (k % 6), 1.5) for k in range(24)]
+    ph = spark.createDataFrame(rows, "id string, station_id string, photo_az double, photo_tilt double, photo_roll double, size_rad double, aspect double").withColumn("photo_az", F.pmod("photo_az", F.lit(6.0)) - 3)
+    for f in (spatial.station_runs, spatial.station_sets, spatial.panorama_coverage):
+        tasks, sums = (sorted(map(str, f(ph, 128, most_photos=n).collect())) for n in (100, 0))
+        assert tasks == sums and tasks
+    # Runs of cells are made and summed up where the photos are: photos alone are shuffled.
+    assert spatial.station_runs(ph, 128)._jdf.queryExecution().optimizedPlan().toString().count("Window") == 0
