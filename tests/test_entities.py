@@ -690,3 +690,12 @@ def test_panoramas_in_buckets_are_those_of_sums_over_all_runs(spark):
         assert tasks == sums and tasks
     # Runs of cells are made and summed up where the photos are: photos alone are shuffled.
     assert spatial.station_runs(ph, 128)._jdf.queryExecution().optimizedPlan().toString().count("Window") == 0
+
+
+def test_stations_are_solved_in_buckets_not_one_by_one(spark):
+    st = spark.createDataFrame([("s", 47.6, -122.3)], "id string, lat double, lng double")
+    ph = spark.createDataFrame([("p", "s", 0.1, 0.0, 0.0, 1.0, 1.5)], "id string, station_id string, photo_az double, photo_tilt double, photo_roll double, size_rad double, aspect double")
+    an = spark.createDataFrame([("s", "p", "i", 0.5, 0.5, "c", 47.61, -122.3)], "station_id string, photo_id string, id string, u double, v double, control_point_id string, est_lat double, est_lng double")
+    logical, _ = plan_of(solve.solve_station_poses(st, ph, an, an.selectExpr("station_id", "'not seen' as control_point_id", "est_lat as lat", "est_lng as lng"))["photos"])
+    cogroup = next(line for line in logical.splitlines() if "CoGroups" in line)
+    assert "bucket" in cogroup and "station_id" not in cogroup.split("[")[1].split("]")[0]
