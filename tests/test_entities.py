@@ -700,8 +700,8 @@ def test_stations_are_solved_in_buckets_not_one_by_one(spark):
     assert "pmod(xxhash64(station_id" in logical
 
 
-#: Photos of two stations that a plain solve leaves off the truth.
-PHOTOS_OF_TWO = [
+#: Photos of stations that a plain solve leaves off the truth.
+OFF_THE_TRUTH = [
     ("p264820", "S2", 0.002, 0.274, 0.033, 0.643, 1.0),
     ("p265819", "S2", -0.733, -0.156, -0.045, 0.609, 2.5),
     ("p267346", "S2", -0.781, -0.187, -0.093, 0.542, 2.0),
@@ -711,19 +711,23 @@ PHOTOS_OF_TWO = [
     ("p670558", "S7", 2.221, -0.235, -0.015, 0.298, 2.0),
     ("p704702", "S7", 2.666, -0.276, 0.049, 1.167, 2.0),
     ("p732319", "S7", 0.366, 0.006, 0.084, 1.187, 2.5),
+    ("p786766", "S8", -1.938, -0.274, -0.027, 0.861, 2.0),
+    ("p858674", "S8", 0.949, -0.202, -0.074, 1.076, 2.0),
+    ("p876766", "S8", -1.928, -0.121, -0.048, 0.332, 2.0),
+    ("p888559", "S8", 0.886, -0.214, 0.099, 0.613, 2.5),
 ]
 
 
 def test_a_station_that_stalls_is_solved_from_a_second_start(spark):
     from sightline.plans import geometric
 
-    class Two:
-        """Stations 28277 and 73655 of the test tables' formulas, and their photos."""
+    class Few:
+        """Stations 28277, 73655 and 78621 of the test tables' formulas, and their photos."""
 
-        stations = [("S2", 47.8920000, -121.0950000), ("S7", 47.594, -121.17)]
+        stations = [("S2", 47.8920000, -121.0950000), ("S7", 47.594, -121.17), ("S8", 47.418, -121.514)]
         st = spark.createDataFrame(stations, "id string, lat double, lng double")
-        ph = spark.createDataFrame(PHOTOS_OF_TWO, "id string, station_id string, photo_az double, photo_tilt double, photo_roll double, size_rad double, aspect double")
+        ph = spark.createDataFrame(OFF_THE_TRUTH, "id string, station_id string, photo_az double, photo_tilt double, photo_roll double, size_rad double, aspect double")
 
-    truth = {r.id: r for r in Two.ph.collect()}
-    for r in geometric._poses(Two, "photos").collect():
+    truth = {r.id: r for r in Few.ph.collect()}
+    for r in geometric._poses(Few, "photos").collect():
         assert all(abs(getattr(r, c) - getattr(truth[r.photo_id], c)) < 5e-5 for c in ("photo_az", "size_rad", "photo_roll")), r
