@@ -4,6 +4,7 @@ import math
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,6 +227,56 @@ def test_large_points_are_solved_from_sums_alike(spark):
     assert a.keys() == b.keys() and all(abs(a[k].lat - b[k].lat) < 1e-6 and abs(a[k].iterations - b[k].iterations) <= 1 for k in a)
 
 
+def test_points_that_stall_start_once_more(spark):
+    """A point without an estimate starts at the mean of its stations, from where no part of a step helps."""
+    places = [
+        (47.05116, -121.34489), (47.91696, -121.5572), (47.9966, -121.13348), (47.74978, -121.38825), (47.29599, -121.25327),
+        (47.12761, -121.68898), (47.33686, -121.40354), (47.25492, -121.74963), (47.1409, -121.42542), (47.47717, -121.4431),
+        (47.97222, -121.49126), (47.7127, -121.24378), (47.06685, -121.4451), (47.05556, -121.59606), (47.94674, -121.20052),
+        (47.38403, -121.78819),
+    ]
+    lat, lng = 47.212, -121.159
+    st = spark.createDataFrame([(f"s{k}", *at, "") for k, at in enumerate(places)], "id string, lat double, lng double, name string")
+    az = solve.expected_az(*np.array(places).T, np.full(len(places), lat), np.full(len(places), lng))
+    ph = spark.createDataFrame([(f"p{k}", f"s{k}", float(z), 0.0, 0.0, 1.0, 1.5) for k, z in enumerate(az)], "id string, station_id string, photo_az double, photo_tilt double, photo_roll double, size_rad double, aspect double")
+    im = ph.select(F.concat(F.lit("i"), "id").alias("id"), F.col("id").alias("photo_id"), F.lit(0.5).alias("u"), F.lit(0.5).alias("v"), F.lit("c").alias("control_point_id"), F.expr("timestamp_ntz '2024-01-01 00:00:00'").alias("created_at"))
+    cp = spark.createDataFrame([("c", None, None)], "id string, est_lat double, est_lng double")
+    mm = spark.createDataFrame([], "id string, lat double, lng double, control_point_id string, created_at timestamp_ntz")
+    for most in (1_000_000, 0):
+        got = solve.solve_cp_locations(cp, im, ph, st, mm, most_rows=most).first()
+        assert abs(got.lat - lat) < 1e-5 and abs(got.lng - lng) < 1e-5
+
+
+def test_lines_of_sight_meet_places_on_the_map():
+    """At the date line and near a pole; the map alone, lines alone, and both."""
+    for lat, lng in ((10.0, 179.9999), (89.99, 20.0), (-45.0, -180.0)):
+        a, b = lat + np.array([-0.1, -0.2, 0.0]) * (-1 if lat < 0 else 1), lng + np.array([0.3, -0.1, 0.0])
+        is_map = np.array([0.0, 0.0, 1.0])
+        az = np.where(is_map > 0, 0.0, solve.expected_az(a, b, np.full(3, lat), np.full(3, lng)))
+        for some in ([0, 1], [2], [0, 1, 2]):
+            sums = [np.array([x[some].sum()]) for x in solve._line_products(np, is_map, a, b, az)]
+            to_lat, to_lng = solve._meeting_places(sums, a[:1], b[:1])
+            assert abs(to_lat[0] - lat) < 1e-6 and abs((to_lng[0] - lng + 180) % 360 - 180) < 1e-3
+
+
+def test_planted_ids_are_unique_beyond_100_000_parts(spark, tmp_path):
+    from sightline.plans import geometric
+    from sightline.sources.fixtures import Tables
+
+    # 1 * 100000 + 200001 = 2 * 100000 + 100001
+    made = {
+        "customer": "select id as c_custkey, 'n' as c_name from range(3)",
+        "orders": "select id as o_orderkey, id as o_custkey, timestamp_ntz '2020-01-01 00:00:00' as o_orderdate from range(3)",
+        "part": "select id as p_partkey from values (100001L), (200001L) as t(id)",
+        "lineitem": "select o as l_orderkey, p as l_partkey, timestamp_ntz '2020-01-01 00:00:00' as l_shipdate from values (1L, 200001L), (2L, 100001L) as t(o, p)",
+    }
+    for name, text in made.items():
+        spark.sql(text).write.parquet(str(tmp_path / f"{name}.parquet"))
+    photos, images = geometric.planted_observations(Tables(spark, str(tmp_path)))
+    assert photos.select("id").distinct().count() == images.select("id").distinct().count() == 2
+    assert images.join(photos, F.col("photo_id") == photos["id"]).count() == 2
+
+
 def test_two_priors_on_one_point_count_twice(spark):
     st, ph, an, pr = poses(spark, 0.0)
     doubled = solve.solve_station_poses(st, ph, an, pr.unionByName(pr))["stations"].filter("station_id = 's0'").first()
