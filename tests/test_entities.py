@@ -483,6 +483,17 @@ def test_ids_of_many_photos_of_a_request(spark):
         changes.start_stations(asked.withColumn("key", F.lit(1 << 40)))["photos"].collect()
 
 
+def test_many_files_are_what_was_given(spark, tmp_path):
+    """Byte for byte, also of a task that runs again, and under names that tell the key."""
+    rows = spark.createDataFrame([(k, bytes([k % 251, 200, 10, 0])) for k in (0, 3, 249, 250, 1007)], "k long, data binary").repartition(3)
+    for path in (str(tmp_path / "a"), f"file:{tmp_path}/b", f"file://{tmp_path}/c"):
+        for _ in range(2):
+            names = entities.write_many_files(rows, path, "k")
+        files = spark.read.format("binaryFile").load(path).withColumn("name", entities.numbered_name(F.col("path"))).join(names, "name")
+        assert {r.k: bytes(r.content) for r in files.collect()} == {r.k: bytes(r.data) for r in rows.collect()}
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["a", "b", "c"] and len(list((tmp_path / "a").iterdir())) == 5
+
+
 def test_tiles_as_pictures_and_back(spark, tmp_path):
     elev = [float(k % 9000) - 400 + (k % 256) / 256 for k in range(65536)]
     tiles = spark.createDataFrame([(9, 1, 2, elev), (11, 700, 3, [0.0] * 65536), (7, 5, 5, None)], "z int, x int, y int, elev array<double>")
