@@ -412,6 +412,20 @@ def test_crowded_places_are_split(spark):
     assert leaves.groupBy("leaf").count().agg(F.max("count")).first()[0] <= 50
 
 
+def test_pairs_of_few_boxes_are_dealt_to_many_tasks(spark, monkeypatch):
+    """Small tables with many pairs: the work is dealt by pairs, not by the size of the tables, and one crowded cell is shared out."""
+    monkeypatch.setattr(reads, "TASK_PAIRS", 1000)
+    boxes = [(f"b{k}", 9.9, 9.9, 10.1, 10.1) for k in range(200)] + [(f"w{k}", -10.0, -10.0, 20.0, 20.0) for k in range(100)]
+    points = [(f"p{k}", 10.0, 10.0) for k in range(150)] + [(f"q{k}", k / 20, k / 20) for k in range(200)]
+    b, p = spark.createDataFrame(boxes, "box_id string, min_lng double, min_lat double, max_lng double, max_lat double").coalesce(1), spark.createDataFrame(points, "id string, lat double, lng double").coalesce(1)
+    rows = reads.boxes_join(b, p)
+    got = [(r.box_id, r.id) for r in rows.collect()]
+    want = {(b, p) for b, x0, y0, x1, y1 in boxes for p, lat, lng in points if x0 <= lng <= x1 and y0 <= lat <= y1}
+    assert set(got) == want and len(got) == len(want)
+    tasks = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) > 20 and max(tasks) < len(got) / 5
+
+
 def test_previews_in_blocks(spark):
     st = spark.createDataFrame([(f"s{k}",) for k in range(9)], "id string")
     ph = spark.createDataFrame([("p1", "s1")], "id string, station_id string")
