@@ -426,6 +426,18 @@ def test_pairs_of_few_boxes_are_dealt_to_many_tasks(spark, monkeypatch):
     assert len(tasks) > 20 and max(tasks) < len(got) / 5
 
 
+def test_bitmaps_of_previews_are_not_shuffled(spark):
+    ph = spark.createDataFrame([(f"p{k}", f"s{k % 40}") for k in range(80)], "id string, station_id string")
+    im = spark.createDataFrame([(f"i{k}", f"p{k % 80}", f"c{k % 97}") for k in range(4000)], "id string, photo_id string, control_point_id string")
+    numbers = spark.createDataFrame([(f"c{k}", k * 40_000) for k in range(97)], "control_point_id string, n long")
+    bits = reads.station_preview_bits(im, ph, numbers)
+    got = {(r.station_id, r.bucket): r.observed for r in bits.collect()}
+    assert len(got) == 40 * 97 and all(sum(b.bit_count() for b in v) == 1 for v in got.values())
+    plan = bits._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("bitmap_construct_agg"):].split("Exchange")[0]
+    assert below.count("bitmap_construct_agg") > 1 and "partial_bitmap_construct_agg" in below
+
+
 def test_previews_in_blocks(spark):
     st = spark.createDataFrame([(f"s{k}",) for k in range(9)], "id string")
     ph = spark.createDataFrame([("p1", "s1")], "id string, station_id string")
