@@ -137,6 +137,16 @@ def test_ingest_is_strict(spark):
     assert {r.seq: r.reason for r in bad.collect()} == {3: "unknown field", 4: "invalid JSON", 5: "invalid JSON", 6: "wrong type", 7: "body too large", 8: "invalid JSON"}
 
 
+def test_bodies_are_parsed_once(spark):
+    bodies = ['{"LAT": 1, "Lng": 2, "NAME": "Ab \\"LAT\\": 3"}', '{"lat": 1, "lng": 2, "name": "a"}', '{"LNG": "2", "lat": 1}', '{"lat": {"LAT": 2}, "lng": 1}', '{"lat": 1, "Other": 2}']
+    raw = spark.createDataFrame([(i, "station", f"id{i}", b) for i, b in enumerate(bodies)], "seq long, entity string, id string, body string")
+    good, bad = entities.ingest_patches(raw, "station")
+    assert sorted((r.seq, r.lat, r.lng, r.name) for r in good.collect()) == [(0, 1.0, 2.0, 'Ab "LAT": 3'), (1, 1.0, 2.0, "a")]
+    assert sorted((r.seq, r.id, r.reason) for r in bad.collect()) == [(2, "id2", "wrong type"), (3, "id3", "wrong type"), (4, "id4", "unknown field")]
+    for df in (good, bad):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+
 def test_photo_files(spark, tmp_path):
     blobs = tmp_path / "photos"
     blobs.mkdir()
