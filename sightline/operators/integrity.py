@@ -12,31 +12,44 @@ def _ids(ids: DataFrame, name: str = "id") -> DataFrame:
     return ids.select(F.col("id").alias(name)).distinct()
 
 
-def delete_photos(ph: DataFrame, im: DataFrame, ids: DataFrame) -> dict[str, DataFrame]:
-    """Photos, their image measurements, and the ids of files that go with them."""
-    gone = ph.join(_ids(ids), "id", "left_semi").select("id")
-    return {"photos": ph.join(_ids(ids), "id", "left_anti"), "image_measurements": im.join(_ids(ids, "photo_id"), "photo_id", "left_anti").select(*im.columns), "blob_ids": gone}
+#: From so many ids on, a list is too long to be sent to all tasks.
+MANY_IDS = 100_000
+
+
+def _hashed(ids: DataFrame, many: bool) -> DataFrame:
+    """A long list, dealt to tasks, is what they hash; the table streams by and is not sorted. A short one is left to Spark."""
+    return ids.hint("shuffle_hash") if many else ids
+
+
+def delete_photos(ph: DataFrame, im: DataFrame, ids: DataFrame, many: bool | None = None) -> dict[str, DataFrame]:
+    """Photos, their image measurements, and the ids of files that go with them. Counts the ids, unless told whether they are many."""
+    many = ids.count() > MANY_IDS if many is None else many
+    listed = lambda name="id": _hashed(_ids(ids, name), many)
+    gone = ph.join(listed(), "id", "left_semi").select("id")
+    return {"photos": ph.join(listed(), "id", "left_anti"), "image_measurements": im.join(listed("photo_id"), "photo_id", "left_anti").select(*im.columns), "blob_ids": gone}
 
 
 def delete_stations(st: DataFrame, ph: DataFrame, im: DataFrame, ids: DataFrame) -> dict[str, DataFrame]:
-    """The photos of the stations go, and what goes with these; control points stay."""
-    photos = ph.join(_ids(ids, "station_id"), "station_id", "left_semi").select("id")
-    return {"stations": st.join(_ids(ids), "id", "left_anti"), **delete_photos(ph, im, photos)}
+    """The photos of the stations go, and what goes with these; control points stay. Counts the ids."""
+    many = ids.count() > MANY_IDS
+    photos = ph.join(_hashed(_ids(ids, "station_id"), many), "station_id", "left_semi").select("id")
+    return {"stations": st.join(_hashed(_ids(ids), many), "id", "left_anti"), **delete_photos(ph, im, photos, many)}
 
 
-def _unlink(df: DataFrame, ids: DataFrame) -> DataFrame:
-    hit = _ids(ids, "control_point_id").withColumn("_gone", F.lit(True))
+def _unlink(df: DataFrame, ids: DataFrame, many: bool) -> DataFrame:
+    hit = _hashed(_ids(ids, "control_point_id").withColumn("_gone", F.lit(True)), many)
     joined = df.join(hit, "control_point_id", "left")
     return joined.withColumn("control_point_id", F.when(F.col("_gone").isNull(), F.col("control_point_id"))).select(*df.columns)
 
 
 def delete_control_points(cp: DataFrame, im: DataFrame, mm: DataFrame, ids: DataFrame) -> dict[str, DataFrame]:
-    """Measurements stay, without their link."""
-    return {"control_points": cp.join(_ids(ids), "id", "left_anti"), "image_measurements": _unlink(im, ids), "map_measurements": _unlink(mm, ids)}
+    """Measurements stay, without their link. Counts the ids."""
+    many = ids.count() > MANY_IDS
+    return {"control_points": cp.join(_hashed(_ids(ids), many), "id", "left_anti"), "image_measurements": _unlink(im, ids, many), "map_measurements": _unlink(mm, ids, many)}
 
 
 def delete_measurements(df: DataFrame, ids: DataFrame) -> DataFrame:
-    return df.join(_ids(ids), "id", "left_anti")
+    return df.join(_hashed(_ids(ids), ids.count() > MANY_IDS), "id", "left_anti")
 
 
 def fk_violations(st: DataFrame, ph: DataFrame, im: DataFrame, mm: DataFrame, cp: DataFrame) -> DataFrame:

@@ -116,6 +116,24 @@ def test_patches_of_a_station_clear_its_name_and_unknown_ids_are_rejected(spark)
     assert [r.id for r in changes.rejected_patches(base, patches).collect()] == ["zz"]
 
 
+def test_deletes_of_many_stations_sort_no_table(spark, monkeypatch):
+    st = spark.range(300).selectExpr("concat('s', id) as id")
+    ph = spark.range(3000).selectExpr("concat('p', id) as id", "concat('s', id % 300) as station_id")
+    im = spark.range(9000).selectExpr("concat('i', id) as id", "concat('p', id % 3000) as photo_id")
+    ids = st.filter("cast(substring(id, 2) as int) % 3 = 0").repartition(3)
+    few = {n: sorted(map(tuple, df.collect())) for n, df in integrity.delete_stations(st, ph, im, ids.unionByName(ids)).items()}
+    monkeypatch.setattr(integrity, "MANY_IDS", 50)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = integrity.delete_stations(st, ph, im, ids.unionByName(ids))
+        assert {n: sorted(map(tuple, df.collect())) for n, df in left.items()} == few
+        assert [len(few[n]) for n in ("stations", "photos", "image_measurements", "blob_ids")] == [200, 2000, 6000, 1000]
+        assert "Sort " not in left["image_measurements"]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_delete_leaves_no_broken_links(spark):
     st = spark.createDataFrame([("s1",), ("s2",)], "id string")
     ph = spark.createDataFrame([("p1", "s1"), ("p2", "s2")], "id string, station_id string")
