@@ -116,6 +116,26 @@ def test_patches_of_a_station_clear_its_name_and_unknown_ids_are_rejected(spark)
     assert [r.id for r in changes.rejected_patches(base, patches).collect()] == ["zz"]
 
 
+def test_hydrated_images_are_shuffled_once(spark):
+    when = F.expr(STAMP)
+    st = spark.range(30).selectExpr("concat('s', id) as id").withColumn("created_at", when)
+    ph = spark.range(100).selectExpr("concat('p', id) as id", "concat('s', id % 25) as station_id").withColumn("created_at", when)
+    im = spark.range(900).selectExpr("concat('i', id) as id", "concat('p', id % 100) as photo_id", "case when id % 7 > 0 then concat('c', id % 31) end as control_point_id").withColumn("created_at", when)
+    cp = spark.range(28).selectExpr("concat('c', id) as id", "'' as notes").withColumn("created_at", when)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = reads.hydrate_stations(st, ph, im, cp)
+        got = rows.collect()
+        assert rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Range (0, 900") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    want = {(r.station_id, r.id) for r in reads.station_control_points(cp, im, ph).collect()}
+    points = [(r.station_id, p.id) for r in got for p in r.control_points]
+    assert len(got) == 30 and sum(len(r.image_measurements) for r in got) == 900 and sum(len(r.photos) for r in got) == 100
+    assert set(points) == want and len(points) == len(want) > 300
+
+
 def test_deletes_of_many_stations_sort_no_table(spark, monkeypatch):
     st = spark.range(300).selectExpr("concat('s', id) as id")
     ph = spark.range(3000).selectExpr("concat('p', id) as id", "concat('s', id % 300) as station_id")
