@@ -671,6 +671,22 @@ def test_status_names_the_latest_link(spark):
     assert got == {"c1": (0, 0, False, None), "c2": (1, 0, False, "a"), "c3": (0, -1, False, None), "c4": (0, 0, False, "y")}
 
 
+def test_a_feed_is_dealt_to_all_cores_and_its_ends_are_hashed(spark, monkeypatch, tmp_path):
+    from sightline.plans import geometric, relational
+
+    monkeypatch.setattr(geometric, "shared_path", lambda session, name: str(tmp_path / name))
+    relational.QUERIES["stream_cp_status"](spark, "/root/testdata/sf0.001").count()
+    cores = spark.sparkContext.defaultParallelism
+    assert len(list((tmp_path / "feed").glob("*.parquet"))) == 4 * cores and len(list((tmp_path / "status").glob("number=*"))) == 4
+    rows = [("image", None, "c1", 5, "a"), ("image", "c1", "c1", 7, "a"), ("image", "c1", None, None, "a"), ("map", "c1", "c2", 3, "b"), ("map", None, "c1", 3, "b"), ("map", "c2", None, 4, "b")]
+    ends = feeds.link_ends(spark.createDataFrame(rows, FEED))
+    got = {(r.control_point_id, r.measurement_id): (tuple(r.first), tuple(r.last)) for r in ends.collect()}
+    # At one seq a measurement leaves before it comes; a row without a seq is the oldest.
+    assert got == {("c1", "a"): ((-(2**63), False), (7, True)), ("c1", "b"): ((3, False), (3, True)), ("c2", "b"): ((3, True), (4, False))}
+    for df in (ends, feeds.merge_links(ends)):
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_any_order_and_replay_of_links_gives_the_same_statuses(spark, tmp_path):
     import random
 
