@@ -474,6 +474,31 @@ def test_pairs_of_few_boxes_are_dealt_to_many_tasks(spark, monkeypatch):
     assert len(tasks) > 20 and max(tasks) < len(got) / 5
 
 
+def test_observations_carry_the_fields_that_are_asked_for(spark, monkeypatch):
+    from sightline.plans import relational
+    from sightline.sources.fixtures import Tables
+
+    sf = "/root/testdata/sf0.001"
+    plan = relational.QUERIES["cp_observations"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "station_lat" in plan and "photo_tilt" not in plan and "station_name" not in plan
+    t = Tables(spark, sf)
+    tables = t.cp, t.im, t.ph, t.st, t.mm
+    whole = {r.control_point_id: r for r in reads.cp_observations(*tables).collect()}
+    seen = next(r for r in whole.values() if r.image_measurements and r.map_measurements)
+    assert seen.image_measurements[0].__fields__ == ["created_at", "id", *reads.IMAGE_FIELDS] and seen.map_measurements[0].__fields__ == ["created_at", "id", *reads.MAP_FIELDS]
+    some = sorted(whole)[::17]
+    asked = spark.createDataFrame([(k,) for k in [*some, some[0], "none"]], "id string")
+    assert sorted(reads.cp_observations(*tables, asked).collect()) == [whole[k] for k in some]
+    # Images are not shuffled for their stations: these meet the photos first.
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joins = [x for x in reads.cp_image_observations(t.im, t.ph, t.st)._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in x]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len(joins) == 2 and "photo_id" in joins[0] and "station_id" in joins[1]
+
+
 def test_bitmaps_of_previews_are_not_shuffled(spark):
     ph = spark.createDataFrame([(f"p{k}", f"s{k % 40}") for k in range(80)], "id string, station_id string")
     im = spark.createDataFrame([(f"i{k}", f"p{k % 80}", f"c{k % 97}") for k in range(4000)], "id string, photo_id string, control_point_id string")
