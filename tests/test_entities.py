@@ -558,6 +558,22 @@ def test_clicks_look_at_the_columns_in_reach_only(spark):
     assert sum(r[1] is not None for r in got) > 20 and n < len(clicks) * len(points) / 3
 
 
+def test_clicks_are_shuffled_for_few_bins(spark):
+    """A click meets a bin and the one opposite at once, and a point at its station only on the middle of its screen."""
+    st = spark.createDataFrame([("s", 47.0, -122.0)], "id string, lat double, lng double")
+    located = spark.createDataFrame([("s", "here", 47.0, -122.0)], "station_id string, control_point_id string, lat double, lng double")
+    shape = "click_id int, station_id string, ndc_x double, ndc_y double, cam_az double, cam_alt double, fov_deg double, aspect double"
+    middle = spark.createDataFrame([(k, "s", x, 1 / math.tan(1.2), 0.7, 1.2, 90.0, 1.0) for k, x in enumerate((0.0, -0.005, 0.0101, 0.5))], shape)
+    got = {r.click_id: (r.control_point_id, r.dist and round(r.dist, 9)) for r in spatial.match_clicks_to_columns(middle, st, located).collect()}
+    assert got == {0: ("here", 0.0), 1: ("here", 0.005), 2: (None, None), 3: (None, None)}
+    level = spark.createDataFrame([(k, "s", 0.5, 0.1, k * 0.0314 - 3.14, 0.1, 60.0, 1.0) for k in range(200)], shape)
+    bins = [r.bins for r in level.select(spatial._click_bins(0.01).alias("bins")).collect()]
+    assert max(map(len, bins)) <= 2 and all(b >= 0 for row in bins for b in row)
+    # Neither lambdas, which Spark does not compile, nor a filter that works the bins out again.
+    plan = spatial.click_candidates(level, st, located)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and plan.count("sequence(") == 1
+
+
 def test_photos_look_at_the_points_in_reach_only(spark, monkeypatch):
     import random
 
