@@ -924,3 +924,23 @@ def test_a_station_that_stalls_is_solved_from_a_second_start(spark):
     truth = {r.id: r for r in Few.ph.collect()}
     for r in geometric._poses(Few, "photos").collect():
         assert all(abs(getattr(r, c) - getattr(truth[r.photo_id], c)) < 5e-5 for c in ("photo_az", "size_rad", "photo_roll")), r
+
+
+def test_a_station_of_few_photos_is_solved_from_places_about_it(spark):
+    from sightline.plans import geometric
+
+    #: Stations of four photos, by the test tables' keys, that end off the truth from their own place, also on the second start.
+    keys = {572214: [15120, 7556221, 728232, 119025], 31712: [573165, 6613837, 5058615, 6758514], 262240: [2176132, 6411212, 994166, 2702537], 99152: [7720570, 2154098, 7941397, 3686467]}
+
+    class Few:
+        st = spark.createDataFrame([(f"S{c}", 47 + c * 7919 % 10007 / 10007, -122 + c * 104729 % 10009 / 10009) for c in keys], "id string, lat double, lng double")
+        ph = spark.createDataFrame(
+            [(f"P{o}", f"S{c}", (o * 37 % 6283 - 3141) / 1000, (o * 11 % 601 - 300) / 1000, (o * 13 % 201 - 100) / 1000, (200 + o * 17 % 1001) / 1000, (o % 4 + 2) / 2) for c, orders in keys.items() for o in orders],
+            "id string, station_id string, photo_az double, photo_tilt double, photo_roll double, size_rad double, aspect double",
+        )
+
+    truth = {r.id: r for r in Few.ph.collect()}
+    got = geometric._poses(Few, "photos").collect()
+    assert len(got) == 16
+    for r in got:
+        assert all(abs(getattr(r, c) - getattr(truth[r.photo_id], c)) < 5e-5 for c in ("photo_az", "size_rad", "photo_roll")), r
