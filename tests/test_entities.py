@@ -867,6 +867,31 @@ def test_what_is_made_of_a_strip_is_that_of_its_rows(spark):
     assert want == got and len(got) == 2 * 3 * 21
 
 
+def test_blocks_of_a_ring_hold_all_its_vertices(spark):
+    st = spark.createDataFrame([("s", 47.6, -122.3), ("t", 47.6001, -122.3), ("u", 47.2, -121.9)], "id string, lat double, lng double")
+    rings = terrain.with_stride(64)
+    tiles = terrain.tile_windows(st).select("z", "x", "y").distinct().filter("(x + y) % 5 <> 0").withColumn("elev", F.transform(F.sequence(F.lit(0), F.lit(65535)), lambda k: k % 97 + F.col("x") % 5 / F.lit(256.0)))
+
+    def listed(j, z, x, elev, y):
+        i = np.arange(len(x))
+        flat = lambda a: np.broadcast_to(a, y.shape).ravel()
+        return flat(j[:, None]), flat(i), flat(x), y.ravel(), flat(z[:, None]), elev.ravel()
+
+    got = {(r.station_id, r.ring, r.j, r.i): r for r in terrain.of_ring_vertices(st, tiles, listed, "j int, i int, x double, y double, z double, elev double", rings).collect()}
+    want = {(r.station_id, r.ring, r.j, r.i): r for r in terrain.ring_vertices(st, tiles, rings).collect()}
+    assert got.keys() == want.keys() and len(got) == 3 * 3 * 21 * 21
+    for k, r in want.items():
+        assert all(abs(getattr(r, c) - getattr(got[k], c)) < 1e-6 for c in "xyz"), (k, r, got[k])
+
+
+def test_the_query_of_vertices_makes_every_vertex(spark, tmp_path):
+    from sightline.plans import relational
+
+    spark.read.parquet("/root/testdata/sf0.001/customer.parquet").limit(1).write.parquet(str(tmp_path / "customer.parquet"))
+    rows = relational.QUERIES["ring_vertices"](spark, str(tmp_path)).collect()
+    assert sum(r.n for r in rows) == 3 * 641 * 641 and len(rows) == 3 * 21
+
+
 def test_rows_that_grow_with_stations_are_not_broadcast_for_rings(spark):
     st = spark.range(1).selectExpr("'s' as id", "47.6d as lat", "-122.3d as lng")
     tiles = terrain.tile_windows(st).select("z", "x", "y").distinct().withColumn("elev", F.array_repeat(F.lit(0.0), 65536))
