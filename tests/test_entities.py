@@ -195,6 +195,25 @@ def test_photo_files(spark, tmp_path):
     assert got == {"A": "stored", "B": "too_large", "C": "bad_mime", "D": "missing", "Z": "orphan_file"}
 
 
+def test_aspect_of_whole_cut_and_other_pictures(spark, tmp_path):
+    import struct
+    import zlib
+
+    folder = tmp_path / "kinds"
+    folder.mkdir()
+    whole = entities.picture(5, 2, bytes(range(30)))
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    # Of two passes only, as the others have no pixels: 1 x 1 and the second column.
+    laced = entities.PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 1, 8, 0, 0, 0, 1)) + chunk(b"IDAT", zlib.compress(b"\0\1\0\2")) + chunk(b"IEND", b"")
+    bmp = b"BM" + struct.pack("<IHHI", 54 + 24, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 2, 3, 1, 24, 0, 24, 0, 0, 0, 0) + bytes(24)
+    files = {"whole": whole + b" " * 100, "cut": whole[: whole.index(b"IDAT") + 12], "few": whole.replace(struct.pack(">II", 5, 2), struct.pack(">II", 5, 9)), "laced": laced, "bmp": bmp, "like": b"BM, but no picture", "none": b"x"}
+    for name, data in files.items():
+        (folder / name).write_bytes(data)
+    got = {r.path.rsplit("/", 1)[1]: (r.width, r.height, r.aspect) for r in entities.photo_aspect(spark, str(folder)).collect()}
+    none = (None, None, None)
+    assert got == {"whole": (5, 2, 2.5), "cut": none, "few": none, "laced": (2, 1, 2.0), "bmp": (2, 3, 2 / 3), "like": none, "none": none}
+
+
 def test_aspect_and_tiles_from_pictures(spark, tmp_path):
     png(tmp_path / "a" / "one.png", 6, 4, lambda x, y: (1, 2, 3))
     (tmp_path / "a" / "two.png").write_bytes(b"no picture")
