@@ -929,6 +929,18 @@ def test_panoramas_in_buckets_are_those_of_sums_over_all_runs(spark):
     assert spatial.station_runs(ph, 128)._jdf.queryExecution().optimizedPlan().toString().count("Window") == 0
 
 
+def test_sums_of_panoramas_are_made_where_their_runs_are(spark):
+    rows = [(f"p{k:02}", f"s{k % 3}", 0.7 * k - 3, 0.1 * (k % 5) - 0.2, 0.05 * (k % 3), 0.3 + 0.1 * (k % 6), 1.5) for k in range(24)]
+    ph = spark.createDataFrame(rows, "id string, station_id string, photo_az double, photo_tilt double, photo_roll double, size_rad double, aspect double").withColumn("photo_az", F.pmod("photo_az", F.lit(6.0)) - 3)
+    runs = spatial.station_runs(ph, 128)
+    for f, want in ((spatial.station_rows, spatial.row_sums(runs)), (spatial.station_uncovered, spatial.panorama_uncovered(runs, 128))):
+        tasks, sums, want = (sorted(map(str, df.collect())) for df in (f(ph, 128), f(ph, 128, most_photos=0), want))
+        assert tasks == sums == want and tasks
+        # Nothing is shuffled after the tasks that sweep.
+        plan = f(ph, 128)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan[: plan.index("FlatMapGroupsInArrow")]
+
+
 def test_stations_are_solved_in_buckets_not_one_by_one(spark):
     st = spark.createDataFrame([("s", 47.6, -122.3)], "id string, lat double, lng double")
     ph = spark.createDataFrame([("p", "s", 0.1, 0.0, 0.0, 1.0, 1.5)], "id string, station_id string, photo_az double, photo_tilt double, photo_roll double, size_rad double, aspect double")
