@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import geometry as g
 from sightline.functions.ids import assign_ids
-from sightline.operators import changes, integrity, reads, solve, spatial, terrain, validate
+from sightline.operators import aggregates, changes, integrity, reads, solve, spatial, terrain, validate
 from sightline.sources import entities
 from sightline.streaming import feeds
 
@@ -1000,3 +1000,19 @@ def test_a_station_of_few_photos_is_solved_from_places_about_it(spark):
     assert len(got) == 16
     for r in got:
         assert all(abs(getattr(r, c) - getattr(truth[r.photo_id], c)) < 5e-5 for c in ("photo_az", "size_rad", "photo_roll")), r
+
+
+def test_observations_are_joined_once_and_a_points_rows_meet_once(spark):
+    from sightline.plans import geometric
+    from sightline.sources.fixtures import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    photos, images = geometric.planted_observations(t)
+    got = solve.solve_cp_locations(t.cp, images, photos, t.st, t.mm)
+    logical, _ = plan_of(got)
+    # What solves reads a table of observations, not photos and stations again, and rows meet their points in the tasks.
+    assert "photo_az" not in logical and "FlatMapCoGroupsInPandas" in logical
+    seen = solve.cp_observation_rows(t.cp, images, photos, t.st, t.mm)
+    want = aggregates.cp_initial_guess(t.cp, images, photos, t.st, t.mm).join(solve._starts(t.cp, seen), "control_point_id")
+    rows = want.collect()
+    assert len(rows) == got.count() and all(abs(r.lat - r.lat0) < 1e-9 and abs(r.lng - r.lng0) < 1e-9 for r in rows)
